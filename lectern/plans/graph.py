@@ -171,7 +171,7 @@ def graph_health_counters(spark, folder):
 
 @query("scope_cluster_totals", "A21 A23", with_ctes(CLUSTERS, MEMBERSHIPS) + """,
 per_cluster AS (SELECT cluster_id, count(*) AS n FROM memberships GROUP BY 1)
-SELECT domain, collection, count(*) AS clusters, count_if(coalesce(n, 0) > 1) AS multi_material,
+SELECT domain, collection, count(*) AS clusters, CAST(count_if(coalesce(n, 0) > 1) AS BIGINT) AS multi_material,
        CAST(sum(coalesce(n, 0)) AS BIGINT) AS memberships
 FROM clusters LEFT JOIN per_cluster USING (cluster_id) GROUP BY 1, 2""")
 def scope_cluster_totals(spark, folder):

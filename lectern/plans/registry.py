@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
 MODULES = (
-    "search", "related", "graph",
+    "search", "related", "graph", "aggregates",
 )
 
 
