@@ -28,7 +28,7 @@ def bind(value: Column, use) -> Column:
     would tokenise a text again for each of them; a lambda argument is not
     inlined.
     """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda bound: use(bound)), F.lit(0))
 
 
 def strip(c: Column) -> Column:
@@ -394,8 +394,7 @@ def table_markdown(header: Column, rows: Column) -> Column:
     """Pipe table with escaped cells; short rows are padded to the widest."""
 
     def cell(value: Column) -> Column:
-        flat = F.regexp_replace(squeeze(text_or_empty(value)), r"\|", r"\\\\|")
-        return flat
+        return F.regexp_replace(squeeze(text_or_empty(value)), r"\|", r"\\|")
 
     width = F.greatest(F.size(header), F.array_max(F.transform(rows, lambda r: F.size(r))))
 
