@@ -17,11 +17,12 @@ def _prefixes(key: Column) -> Column:
 
 def _probes(*kinds: tuple[int, str, Column]) -> Column:
     """(stage, side, token) lookups of one row, flattened to one array."""
-    parts = [
-        F.transform(tokens, lambda t, s=stage, k=side: F.struct(
-            F.lit(s).alias("stage"), F.lit(k).alias("side"), t.alias("token")))
-        for stage, side, tokens in kinds
-    ]
+
+    def tagged(stage: int, side: str, tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: F.struct(
+            F.lit(stage).alias("stage"), F.lit(side).alias("side"), t.alias("token")))
+
+    parts = [tagged(*kind) for kind in kinds]
     return F.concat(*parts)
 
 

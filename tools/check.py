@@ -60,7 +60,7 @@ def main() -> int:
             gframe = got.toPandas()
         except Exception as error:  # report and go on
             bad += 1
-            print(f"FAIL {name}: {type(error).__name__} {str(error)[:1500]}")
+            print(f"FAIL {name}: {type(error).__name__} {str(error)[:500]}")
             continue
         took = time.time() - started
         sql = registry.ORACLES.get(name)
