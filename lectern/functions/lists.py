@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import strip, text_or_empty
+from lectern.functions.text import bind, strip, text_or_empty
 
 STRINGS = "array<string>"
 
@@ -20,8 +20,13 @@ def json_list(c: Column) -> Column:
 def dedupe_folded(values: Column) -> Column:
     """First spelling of each value, compared trimmed and without case."""
     kept = F.filter(F.transform(values, lambda v: strip(text_or_empty(v))), lambda v: v != "")
-    keys = F.transform(kept, lambda v: F.lower(v))
-    return F.filter(kept, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
+
+    def firsts(items: Column) -> Column:
+        folded = F.transform(items, lambda v: F.lower(v))
+        return bind(folded, lambda keys: F.filter(
+            items, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+
+    return bind(kept, firsts)
 
 
 def first_text(*candidates: Column) -> Column:

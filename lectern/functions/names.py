@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import SPACE_RUN, squeeze, strip, text_or_empty
+from lectern.functions.text import SPACE_RUN, bind, squeeze, strip, text_or_empty
 
 
 def _drop_last(c: Column, n: int) -> Column:
     return c.substr(F.lit(1), F.length(c) - n)
 
 
+def singular(word: Column) -> Column:
+    """English singular of one lower-case word by its ending."""
+    size = F.length(word)
+    cut_two = word.endswith("ses") | word.endswith("xes") | word.endswith("zes") | word.endswith("ches") | word.endswith("shes")
+    keeps_s = word.endswith("ss") | word.endswith("us") | word.endswith("is")
+    return (
+        F.when((size <= 3) | ~word.endswith("s"), word)
+        .when(word.endswith("ies") & (size > 4), F.concat(_drop_last(word, 3), F.lit("y")))
+        .when(cut_two, _drop_last(word, 2))
+        .when(keeps_s, word)
+        .otherwise(_drop_last(word, 1))
+    )
+
+
 def concept_key(c: Column) -> Column:
     """Grouping key of a concept: folded case, last word made singular."""
-    key = squeeze(F.lower(text_or_empty(c)))
-    last = F.regexp_extract(key, r"([^ ]*)$", 1)
-    head = key.substr(F.lit(1), F.length(key) - F.length(last))
-    size = F.length(last)
-    singular = (
-        F.when(size <= 3, last)
-        .when(last.endswith("ies") & (size > 4), F.concat(_drop_last(last, 3), F.lit("y")))
-        .when(last.rlike("(ses|xes|zes|ches|shes)$"), _drop_last(last, 2))
-        .when(last.endswith("s") & ~last.rlike("(ss|us|is)$"), _drop_last(last, 1))
-        .otherwise(last)
-    )
-    return F.concat(head, singular)
+
+    def keyed(key: Column) -> Column:
+        last = F.substring_index(key, " ", -1)
+        return F.concat(key.substr(F.lit(1), F.length(key) - F.length(last)), singular(last))
+
+    return bind(squeeze(F.lower(text_or_empty(c))), keyed)
 
 
 def cluster_name_key(c: Column) -> Column:

@@ -15,12 +15,10 @@ def _terms(tokens: Column) -> Column:
     ``lead`` marks a word's first use on the page, so the number of pages
     holding it is a plain sum and no distinct count is needed.
     """
-    words = F.transform(
-        tokens,
-        lambda t, i: F.struct(
-            t.alias("term"), F.lit(False).alias("pair"),
-            (F.array_position(tokens, t) == i + 1).alias("lead")),
-    )
+    ordered = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
+    words = bind(ordered, lambda s: F.transform(s, lambda x, i: F.struct(
+        x["term"].alias("term"), F.lit(False).alias("pair"),
+        ((i == 0) | (F.get(s, i - 1)["term"] != x["term"])).alias("lead"))))
     after = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
     pairs = F.filter(
         F.zip_with(

@@ -17,23 +17,30 @@ from lectern.functions.text import bind, matching_form
 PAGE = ["material_id", "page"]
 
 
+MARK = "\u001f"
+
+
 def _windows(words: Column) -> Column:
+    """(pair, first, rest) of every six-word window, joined to one string."""
     width = F.least(F.size(words), F.lit(6))
-    starts = F.sequence(F.lit(1), F.size(words) - width + 1)
-    return F.transform(starts, lambda s: F.slice(words, s, width))
+    starts = F.sequence(F.lit(0), F.size(words) - width)
+    return F.transform(starts, lambda s: F.concat_ws(
+        MARK, F.concat_ws(" ", F.get(words, s + 1), F.get(words, s + 2)), F.get(words, s),
+        F.array_join(F.slice(words, s + 4, width - 3), " ")))
 
 
 def _word_pairs(words: Column) -> Column:
     """(pair, word before, three words after) at every inner position."""
     starts = F.when(F.size(words) >= 4, F.sequence(F.lit(1), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts,
-        lambda s: F.struct(
-            F.concat_ws(" ", F.get(words, s), F.get(words, s + 1)).alias("pair"),
-            F.get(words, s - 1).alias("before"),
-            F.array_join(F.slice(words, s + 3, F.lit(3)), " ").alias("after"),
-        ),
-    )
+    return F.transform(starts, lambda s: F.concat_ws(
+        MARK, F.concat_ws(" ", F.get(words, s), F.get(words, s + 1)), F.get(words, s - 1),
+        F.array_join(F.slice(words, s + 3, F.lit(3)), " ")))
+
+
+def _exploded(rows: DataFrame, keep: list[str], joined: Column, names: tuple[str, str, str]) -> DataFrame:
+    """One row per distinct triple; strings keep the distinct hash-based."""
+    parts = rows.select(*keep, F.explode(F.array_distinct(joined)).alias("_t")).withColumn("_t", F.split("_t", MARK))
+    return parts.select(*keep, *[F.get("_t", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def overlaps(chunks: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -51,15 +58,10 @@ def overlaps(chunks: DataFrame, annotations: DataFrame) -> DataFrame:
     marked = spans.select(*PAGE).distinct()
     texts = chunks.join(marked, PAGE, "left_semi").select(*PAGE, "chunk_id", matching_form(F.col("text")).alias("body"))
 
-    windows = spans.where(F.size("words") >= 4).select(
-        *PAGE, "annotation_id", F.explode(F.array_distinct(_windows(F.col("words")))).alias("w")
-    ).select(
-        *PAGE, "annotation_id",
-        F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("pair"),
-        F.get("w", F.lit(0)).alias("first"),
-        F.array_join(F.slice("w", 4, 3), " ").alias("rest"),
-    )
-    pairs = texts.select(*PAGE, "chunk_id", F.inline(F.array_distinct(bind(F.split("body", " "), _word_pairs))))
+    windows = _exploded(
+        spans.where(F.size("words") >= 4), [*PAGE, "annotation_id"], _windows(F.col("words")), ("pair", "first", "rest"))
+    pairs = _exploded(
+        texts, [*PAGE, "chunk_id"], bind(F.split("body", " "), _word_pairs), ("pair", "before", "after"))
     long = pairs.join(windows, [*PAGE, "pair"]).where(
         F.col("before").endswith(F.col("first")) & F.col("after").startswith(F.col("rest"))
     ).select(*PAGE, "chunk_id", "annotation_id")

@@ -96,7 +96,7 @@ def rerank(ordered: DataFrame, chunk_hits: DataFrame, annotation_hits: DataFrame
             concept_hits.select(key, F.lit(CONCEPT_BOOST).alias("boost")),
         ],
     )
-    wanted = boosts.join(ordered.select(key), key, "left_semi").groupBy(key).agg(F.sum("boost").alias("boost"))
+    wanted = boosts.groupBy(key).agg(F.sum("boost").alias("boost"))
     scored = ordered.join(wanted, key, "left").withColumn(
         "priority", F.round(F.col("ordinal") - F.coalesce("boost", F.lit(0.0)), 6)
     )

@@ -167,7 +167,7 @@ n AS (SELECT source, count(*) AS page_count FROM documents GROUP BY 1)
 SELECT source, line, pages_with, page_count FROM c JOIN n USING (source) WHERE pages_with >= CASE WHEN page_count < 8 THEN 2 ELSE 3 END""")
 def header_footer_lines(spark, folder):
     docs = table(spark, folder, "documents")
-    pages = docs.select("source", F.transform(lines(F.col("text")), tidy_line).alias("l"))
+    pages = spread(docs.select("source", "text")).select("source", F.transform(lines(F.col("text")), tidy_line).alias("l"))
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("page_count"))
     return keywords.repeated_lines(pages, "source", "l", counts).select("source", "line", "pages_with", "page_count")
 

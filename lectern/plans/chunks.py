@@ -87,7 +87,7 @@ MATCH = """(contains(b.body, s.span) OR (len(s.w) >= 4 AND len(list_filter(range
 
 def _notes(spark, folder):
     labels = table(spark, folder, "labels").where("quality = 1").select("doc_id", "toxic")
-    docs = table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).join(labels, "doc_id")
     quotes = docs.select("doc_id", "toxic", F.posexplode(F.slice(lines(F.col("text")), 1, 6)).alias("pos", "quoted_text"))
     return quotes.select(
         F.col("doc_id").alias("material_id"), F.lit(1).alias("page"),

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.names import concept_key
-from lectern.functions.text import lines, strip, word_tokens
+from lectern.functions.names import singular
+from lectern.functions.text import bind, lines, strip, word_tokens
 from lectern.session import spread
 
 
@@ -20,11 +20,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- materials
 
-def materials(spark: SparkSession, folder: str, balanced: bool = False) -> DataFrame:
+def materials(spark: SparkSession, folder: str) -> DataFrame:
     """documents as materials: domain = lang, collection = source."""
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    if balanced:
-        docs = spread(docs)
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
     return docs.select(
         F.col("doc_id").alias("material_id"),
         F.col("lang").alias("domain"),
@@ -43,11 +41,9 @@ materials AS (
 
 # ------------------------------------------------------------------- chunks
 
-def chunks(spark: SparkSession, folder: str, balanced: bool = False) -> DataFrame:
+def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Non-empty lines of a document; long lines of reviewed documents are emphasised."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    if balanced:
-        docs = spread(docs)
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     labels = table(spark, folder, "labels").where("quality = 1").select("doc_id", F.lit(1).alias("good"))
     exploded = docs.join(labels, "doc_id", "left").select(
         "doc_id", "good", F.posexplode(lines(F.col("text"))).alias("pos", "line")
@@ -79,7 +75,7 @@ chunks AS (
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as a reader's marks; a user's turn carries a comment."""
-    return table(spark, folder, "conversations").select(
+    return spread(table(spark, folder, "conversations")).select(
         F.col("conv_id").alias("material_id"),
         F.col("turn").alias("page"),
         F.concat_ws("-", F.lit("ann"), "conv_id", "turn").alias("annotation_id"),
@@ -100,7 +96,7 @@ annotations AS (
 
 def figures(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraph blocks of a web page as figure descriptions."""
-    pages = table(spark, folder, "pages").select("page_id", "html")
+    pages = spread(table(spark, folder, "pages").select("page_id", "html"))
     blocks = pages.select(
         "page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1))).alias("pos", "description")
     )
@@ -139,14 +135,17 @@ def concepts(spark: SparkSession, folder: str) -> DataFrame:
     Keyed (material, concept key); the first spelling wins inside the row, so
     no shuffle is needed.
     """
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("material_id"), "text")
+    docs = spread(table(spark, folder, "documents").select(F.col("doc_id").alias("material_id"), "text"))
     words = F.array_distinct(word_tokens(strip(F.get(lines(F.col("text")), F.lit(0)))))
-    graded = docs.select("material_id", F.transform(
-        words,
-        lambda w, i: F.struct(w.alias("concept_name"), concept_key(w).alias("concept_key"), i.alias("pos")),
-    ).alias("words"))
-    keys = F.col("words.concept_key")
-    first = F.filter("words", lambda w, i: F.array_position(keys, w["concept_key"]) == i + 1)
+
+    def first_spellings(found):
+        """Sort by (key, position) and keep each key's first entry."""
+        ordered = F.sort_array(F.transform(found, lambda w, i: F.struct(
+            singular(w).alias("concept_key"), i.alias("pos"), w.alias("concept_name"))))
+        return bind(ordered, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["concept_key"] != x["concept_key"])))
+
+    first = bind(words, first_spellings)
+    graded = docs
     return graded.select("material_id", F.explode(first).alias("w")).select(
         "material_id", "w.concept_name", "w.concept_key",
         F.col("w.pos").cast("bigint").alias("pos"),

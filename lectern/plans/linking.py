@@ -8,6 +8,7 @@ from lectern.functions import names as N
 from lectern.functions.text import bind
 from lectern.plans.corpus import table, with_ctes
 from lectern.plans.registry import query
+from lectern.session import spread
 
 PAGE_PATH = "'wiki/' || coalesce(nullif(regexp_extract(url, '//[^/]*/([a-z]+)/', 1), ''), 'misc') || '/' || page_id || '.md'"
 PAGES = rf"""
@@ -20,7 +21,7 @@ links AS (SELECT page_id, path, unnest(list_transform(regexp_extract_all(md, '\[
 def _pages(spark, folder):
     lang = F.coalesce(F.nullif(F.regexp_extract("url", "//[^/]*/([a-z]+)/", 1), F.lit("")), F.lit("misc"))
     md = F.regexp_replace("html", '<a href="/([^"]*)">([^<]*)</a>', "[$2](../$1.md#top)")
-    return table(spark, folder, "pages").select(
+    return spread(table(spark, folder, "pages")).select(
         "page_id", F.concat(F.lit("wiki/"), lang, F.lit("/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), md.alias("md"))
 
 

@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
 MODULES = (
-    "search", "related", "graph", "aggregates", "texts", "chunks", "linking", "health", "incremental", "deltas",
+    "search", "related", "graph", "aggregates", "texts", "chunks", "linking", "health", "incremental", "deltas", "evidence", "ordering",
 )
 
 

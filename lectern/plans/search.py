@@ -57,12 +57,12 @@ def bm25_cte(name: str, source: str, key: str, fields: list[str], ask: str,
 
 
 def material_table(spark, folder):
-    rows = corpus.materials(spark, folder, balanced=True)
+    rows = corpus.materials(spark, folder)
     return TextTable(rows, "material_id", ("title", "text"), ("domain", "collection"))
 
 
 def chunk_table(spark, folder):
-    rows = corpus.chunks(spark, folder, balanced=True)
+    rows = corpus.chunks(spark, folder)
     return TextTable(rows, "chunk_key", ("text",), ("material_id", "chunk_id", "emphasized"))
 
 
@@ -260,6 +260,17 @@ def content_first_candidates(spark, folder):
     return ops.content_candidates(content_sources(spark, folder), "material_id", 20)
 
 
+def content_tops(spark, folder):
+    """Each source's truncated hits; they name the same materials as all hits."""
+    chunk, note, figure, concept = content_sources(spark, folder)
+    return [
+        ops.top_chunks(chunk.select("material_id", "chunk_key", "emphasized", "score"), "material_id", "chunk_key", 5),
+        ops.top_annotations(note.select("material_id", "annotation_id", "comment", "score"), "material_id", "annotation_id", 3),
+        ops.top_plain(figure.select("material_id", "figure_key", "score"), "material_id", "figure_key", 3),
+        ops.top_plain(concept.select("material_id", "concept_row", "score"), "material_id", "concept_row", 3),
+    ]
+
+
 ORDERED = """
 cards AS (
   SELECT material_id, row_number() OVER (ORDER BY score DESC, material_id) AS rank FROM (
@@ -302,19 +313,11 @@ scored AS (
   FROM ordered LEFT JOIN (SELECT material_id, sum(CAST(boost AS DOUBLE)) AS boost FROM boosts GROUP BY 1) b USING (material_id))""") +
        "SELECT *, row_number() OVER (ORDER BY priority, ordinal) AS rank FROM scored")
 def rerank_evidence(spark, folder):
-    phrases = query_phrases(ASK)
-    sources = content_sources(spark, folder)
-    card_rows = ops.cards(bm25(material_table(spark, folder), phrases), "material_id", 20)
-    ordered = ops.append_content(
-        card_rows, ops.content_candidates(sources, "material_id", 20), corpus.materials(spark, folder), "material_id")
-    chunk_hits, note_hits, _, concept_hits = sources
-    return ops.rerank(
-        ordered,
-        ops.top_chunks(chunk_hits, "material_id", "chunk_key", 5),
-        ops.top_annotations(note_hits, "material_id", "annotation_id", 3),
-        ops.top_plain(concept_hits, "material_id", "concept_row", 3),
-        "material_id",
-    )
+    chunk_top, note_top, figure_top, concept_top = content_tops(spark, folder)
+    card_rows = ops.cards(bm25(material_table(spark, folder), query_phrases(ASK)), "material_id", 20)
+    found = ops.content_candidates([chunk_top, note_top, figure_top, concept_top], "material_id", 20)
+    ordered = ops.append_content(card_rows, found, corpus.materials(spark, folder), "material_id")
+    return ops.rerank(ordered, chunk_top, note_top, concept_top, "material_id")
 
 
 # ------------------------------------------------- collections and clusters
