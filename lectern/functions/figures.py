@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lectern.functions.fixed import HINT_FULL_PAGE, HINT_INLINE, HINT_TINY, SCAN_ARTIFACT_PHRASES
 from lectern.functions.text import strip, text_or_empty
@@ -83,32 +84,38 @@ def mostly_covered(box: Column, others: Column, share: float = 0.5) -> Column:
     return F.exists(others, lambda o: (area(box) > 0) & (overlap_area(box, o) > area(box) * share))
 
 
-def merged_regions(rects: DataFrame, keys: list[str], margin: float = 20.0) -> DataFrame:
-    """Union touching rectangles of a page until nothing changes.
+def closure(boxes: list[list[float]]) -> list[list[float]]:
+    """Merge touching boxes into their common bounds until none touch."""
+    settled: list[list[float]] = []
+    waiting = [list(b) for b in boxes]
+    while waiting:
+        box = waiting.pop()
+        touching = [s for s in settled if not (s[2] < box[0] or box[2] < s[0] or s[3] < box[1] or box[3] < s[1])]
+        if not touching:
+            settled.append(box)
+            continue
+        settled = [s for s in settled if s not in touching]
+        group = [*touching, box]
+        waiting.append([min(b[0] for b in group), min(b[1] for b in group), max(b[2] for b in group), max(b[3] for b in group)])
+    return sorted(settled)
+
+
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def merge_boxes(pages: pd.Series) -> pd.Series:
+    return pages.map(closure)
 
-    Rows: keys, x0, y0, x1, y1. Pages are grouped tasks; a page's drawings are
-    what one physical page holds, so a group is small by nature.
-    """
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        boxes = [
-            [r.x0 - margin, r.y0 - margin, r.x1 + margin, r.y1 + margin]
-            for r in frame.sort_values(["x0", "y0", "x1", "y1"]).itertuples()
-        ]
-        while True:
-            grown: list[list[float]] = []
-            for box in boxes:
-                touching = [g for g in grown if not (g[2] < box[0] or box[2] < g[0] or g[3] < box[1] or box[3] < g[1])]
-                grown = [g for g in grown if g not in touching]
-                group = [*touching, box]
-                grown.append([min(g[0] for g in group), min(g[1] for g in group), max(g[2] for g in group), max(g[3] for g in group)])
-            if len(grown) == len(boxes):
-                break
-            boxes = grown
-        out = pd.DataFrame(sorted(grown), columns=["x0", "y0", "x1", "y1"])
-        for key in reversed(keys):
-            out.insert(0, key, frame[key].iloc[0])
-        return out
-
-    schema = rects.select(*keys, "x0", "y0", "x1", "y1").schema
-    return rects.select(*keys, "x0", "y0", "x1", "y1").groupBy(*keys).applyInPandas(merge, schema)
+def merged_regions(rects: DataFrame, keys: list[str], margin: float = 20.0, salts: int = 16) -> DataFrame:
+    """Regions of a page after merging rectangles closer than twice the margin.
+
+    The result does not depend on merge order, so a page's rectangles are first
+    merged within hash slices and the few survivors once more per page; a page
+    with very many drawings is thus never held by one task unmerged.
+    """
+    grown = F.array(F.col("x0") - margin, F.col("y0") - margin, F.col("x1") + margin, F.col("y1") + margin)
+    slices = rects.select(*keys, grown.alias("_box"), F.pmod(F.xxhash64("x0", "y0", "x1", "y1"), F.lit(salts)).alias("_salt"))
+    partial = slices.groupBy(*keys, "_salt").agg(F.collect_list("_box").alias("_boxes"))
+    partial = partial.select(*keys, F.explode(merge_boxes("_boxes")).alias("_box"))
+    whole = partial.groupBy(*keys).agg(F.collect_list("_box").alias("_boxes"))
+    merged = whole.select(*keys, F.explode(merge_boxes("_boxes")).alias("_box"))
+    return merged.select(*keys, *[F.get("_box", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])

@@ -49,7 +49,8 @@ def flatten_value(field: Column) -> Column:
 def keyword_json(field: Column) -> Column:
     listed = F.try_variant_get(field, "$.value", STRINGS)
     single = F.try_variant_get(field, "$.value", "string")
-    return F.coalesce(F.to_json(listed), F.to_json(F.array(single)), F.lit("[]"))
+    one = F.when(single.isNotNull(), F.to_json(F.array(single)))
+    return F.coalesce(F.to_json(listed), one, F.lit("[]"))
 
 
 def canonical_hash(*parts: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.fixed import BM25_B, BM25_IDF_FLOOR, BM25_K1, QUERY_SYNTAX, STOP_WORDS
+from lectern.functions.stem import stem, stem_tokens
 from lectern.functions.text import fold_text, word_tokens
 
 
@@ -65,6 +66,7 @@ class TextTable:
     key: str
     fields: tuple[str, ...]
     carry: tuple[str, ...] = field(default=())
+    stemmed: bool = False
 
 
 def bm25(table: TextTable, phrases: list[list[str]], only: str | None = None) -> DataFrame:
@@ -73,6 +75,8 @@ def bm25(table: TextTable, phrases: list[list[str]], only: str | None = None) ->
     ``only`` limits matching to one indexed column; row length still counts
     every indexed column. Carried columns come back with the key.
     """
+    if table.stemmed:
+        phrases = [[stem(w) for w in p] for p in phrases]
     if not phrases:
         return table.rows.select(table.key, *table.carry, F.lit(0.0).alias("score")).where("false")
     matched_fields = [only] if only else list(table.fields)
@@ -92,10 +96,14 @@ def bm25(table: TextTable, phrases: list[list[str]], only: str | None = None) ->
     def counted(carry: tuple[str, ...]) -> DataFrame:
         # The lambda tokenises a row once; the generator keeps later filters
         # from being pushed below it, which would tokenise the row again.
-        tokens = F.struct(*[word_tokens(F.col(f)).alias(f) for f in table.fields])
-        return table.rows.select(
-            table.key, *carry, F.inline(F.transform(F.array(tokens), measure))
-        )
+        words = {f: word_tokens(F.col(f)) for f in table.fields}
+        rows = table.rows
+        if table.stemmed:
+            stems = [stem_tokens(w).alias(f"_stems_{f}") for f, w in words.items()]
+            rows = rows.select(table.key, *carry, *stems)
+            words = {f: F.col(f"_stems_{f}") for f in table.fields}
+        tokens = F.struct(*[w.alias(f) for f, w in words.items()])
+        return rows.select(table.key, *carry, F.inline(F.transform(F.array(tokens), measure)))
 
     stats = counted(()).agg(
         F.struct(

@@ -114,6 +114,14 @@ def search_cards_bm25(spark, folder):
     return _cards(bm25(material_table(spark, folder), query_phrases(ASK)))
 
 
+@query("search_cards_stemmed", "W1", None)
+def search_cards_stemmed(spark, folder):
+    """Cards are indexed by stem: any inflection of a query word matches."""
+    rows = corpus.materials(spark, folder)
+    stems = TextTable(rows, "material_id", ("title", "text"), ("domain", "collection"), stemmed=True)
+    return _cards(bm25(stems, query_phrases("licensing hatedness relational")))
+
+
 @query("search_faceted_exact", "F1 F2", with_ctes(MATERIALS, CARD_HITS) + top_sql(
     "(SELECT * FROM hits WHERE domain = 'en' AND collection = 'src7')", "material_id", 20, CARD_COLUMNS))
 def search_faceted_exact(spark, folder):
@@ -137,9 +145,6 @@ def search_scoped_ids(spark, folder):
     return _cards(hits.join(scope, "material_id", "left_semi"))
 
 
-_PHRASE = 'thorat "the and"'
-
-
 @query("search_phrase", "X1 F5", with_ctes(MATERIALS, bm25_cte(
     "hits", "materials", "material_id", ["title", "text"], '"of the"', carry=("domain", "collection"))) + top_sql("hits", "material_id", 20, CARD_COLUMNS))
 def search_phrase(spark, folder):
@@ -224,13 +229,13 @@ def concept_topk(spark, folder):
 @query("material_evidence", "G26", with_ctes(CHUNKS, CHUNK_HITS, ANNOTATIONS, ANN_HITS) + """
 SELECT 'chunk' AS kind, chunk_id AS evidence_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (ORDER BY score + CASE WHEN emphasized THEN 0.2 ELSE 0 END DESC, chunk_key) AS rank
-  FROM chunk_hits WHERE material_id = 4) WHERE rank <= 5
+  FROM chunk_hits WHERE material_id = 110) WHERE rank <= 5
 UNION ALL
 SELECT 'annotation', annotation_id, round(score, 6), rank FROM (
   SELECT *, row_number() OVER (ORDER BY CASE WHEN comment = '' THEN 1 ELSE 0 END, score DESC, annotation_id) AS rank
-  FROM ann_hits WHERE material_id = 4) WHERE rank <= 3""")
+  FROM ann_hits WHERE material_id = 110) WHERE rank <= 3""")
 def material_evidence(spark, folder):
-    one = F.col("material_id") == 4
+    one = F.col("material_id") == 110
     chunk = ops.top_chunks(bm25(chunk_table(spark, folder), query_phrases(ASK)).where(one), "material_id", "chunk_key", 5)
     note = ops.top_annotations(bm25(annotation_table(spark, folder), query_phrases(ASK)).where(one), "material_id", "annotation_id", 3)
     return chunk.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("evidence_id"), rounded(F.col("score")).alias("score"), "rank").unionByName(
@@ -323,10 +328,10 @@ def rerank_evidence(spark, folder):
 # ------------------------------------------------- collections and clusters
 
 @query("like_fallback_union", "F6 U2 H42", with_ctes(MATERIALS, bm25_cte(
-    "hits", "materials", "material_id", ["title"], "erblest ation", carry=("domain",)), """
+    "hits", "materials", "material_id", ["title"], "erblest heon", carry=("domain",)), """
 fallback AS (
   SELECT material_id, domain FROM materials
-  WHERE lower(title) LIKE '%ationen%' OR lower(collection) LIKE '%ationen%'),
+  WHERE lower(title) LIKE '%heonth%' OR lower(collection) LIKE '%heonth%'),
 both_rows AS (
   SELECT material_id, domain, 0 AS late, row_number() OVER (ORDER BY score DESC, material_id) AS spot FROM hits
   UNION ALL
@@ -338,8 +343,8 @@ SELECT material_id, domain, rank, CASE WHEN late = 0 THEN 'terms' ELSE 'substrin
 FROM numbered WHERE rank <= 30""")
 def like_fallback_union(spark, folder):
     rows = corpus.materials(spark, folder)
-    hits = bm25(TextTable(rows, "material_id", ("title",), ("domain",)), query_phrases("erblest ation"))
-    fallback = rows.where(ops.like_any([F.col("title"), F.col("collection")], "ationen")).select("material_id", "domain")
+    hits = bm25(TextTable(rows, "material_id", ("title",), ("domain",)), query_phrases("erblest heon"))
+    fallback = rows.where(ops.like_any([F.col("title"), F.col("collection")], "heonth")).select("material_id", "domain")
     key = F.col("material_id").asc()
     merged = ops.hits_then_fallback(
         hits, fallback, "material_id", 30, [F.col("score").desc(), key], [F.col("domain").asc(), key])

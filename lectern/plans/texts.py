@@ -132,27 +132,27 @@ def keyword_tokens(spark, folder):
     return _docs(spark, folder).select("doc_id", F.array_join(T.keyword_tokens(F.col("text")), " ").alias("tokens"))
 
 
-def _doc_type_sql() -> str:
+def _doc_type_sql(key: str, source: str) -> str:
     rows = []
     for order, (kind, text_signals, name_signals) in enumerate(DOCUMENT_TYPE_SIGNALS):
         rows += [f"('{kind}', {order}, '{s}', 1, 't')" for s in text_signals]
         rows += [f"('{kind}', {order}, '{s}', 2, 'n')" for s in name_signals]
     return f"""
 WITH signals(kind, ord, signal, points, field) AS (VALUES {', '.join(rows)}),
-d AS (SELECT p_partkey, lower(p_type || ' class chapter ' || p_name || ' load testing preface index lecture ' || p_brand) AS body,
-             lower(p_name) AS name FROM part),
-s AS (SELECT p_partkey, kind, ord, sum(points) AS score FROM d JOIN signals ON contains(CASE field WHEN 't' THEN body ELSE name END, signal) GROUP BY 1, 2, 3),
-b AS (SELECT p_partkey, kind, score FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, ord) = 1)
-SELECT d.p_partkey, CASE WHEN b.score >= 3 THEN b.kind ELSE 'unknown' END AS document_type FROM d LEFT JOIN b USING (p_partkey)"""
+d AS ({source}),
+s AS (SELECT {key}, kind, ord, sum(points) AS score FROM d JOIN signals ON contains(CASE field WHEN 't' THEN body ELSE name END, signal) GROUP BY 1, 2, 3),
+b AS (SELECT {key}, kind, score FROM s QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY score DESC, ord) = 1)
+SELECT d.{key}, CASE WHEN b.score >= 3 THEN b.kind ELSE 'unknown' END AS document_type FROM d LEFT JOIN b USING ({key})"""
 
 
-@query("doc_type_score", "X16", _doc_type_sql())
+@query("doc_type_score", "X16", _doc_type_sql("p_partkey", """
+SELECT p_partkey, lower(p_type || ' class chapter ' || p_name || ' load testing preface index lecture ' || p_brand) AS body, lower(p_name) AS name FROM part"""))
 def doc_type_score(spark, folder):
     body = F.concat("p_type", F.lit(" class chapter "), "p_name", F.lit(" load testing preface index lecture "), "p_brand")
     return table(spark, folder, "part").select("p_partkey", doctypes.document_type(body, F.col("p_name")).alias("document_type"))
 
 
-@query("doc_type_of_documents", "X16", None)
+@query("doc_type_of_documents", "X16", _doc_type_sql("doc_id", "SELECT doc_id, lower(text) AS body, '' AS name FROM documents"))
 def doc_type_of_documents(spark, folder):
     return _docs(spark, folder).select("doc_id", doctypes.document_type(F.col("text"), F.lit("")).alias("document_type"))
 
