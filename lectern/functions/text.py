@@ -241,7 +241,6 @@ def date_year(c: Column) -> Column:
 
 def clean_quote(c: Column) -> Column:
     """Drop one- and two-letter noise lines; rejoin a drop cap with its word."""
-    trimmed = F.filter(F.transform(lines(c), strip), lambda p: p != "")
     start = F.struct(F.lit("").alias("done"), F.lit("").alias("cap"))
 
     def add(done: Column, part: Column) -> Column:
@@ -263,12 +262,9 @@ def clean_quote(c: Column) -> Column:
             F.when(short & is_cap, part).when(short, cap).otherwise(F.lit("")).alias("cap"),
         )
 
-    pairs = F.transform(
-        trimmed,
-        lambda p, i: F.struct(
-            p.alias("part"), F.coalesce(F.get(trimmed, i + 1), F.lit("")).alias("next")
-        ),
-    )
+    trimmed = F.filter(F.transform(lines(c), strip), lambda p: p != "")
+    pairs = bind(trimmed, lambda parts: F.transform(parts, lambda p, i: F.struct(
+        p.alias("part"), F.coalesce(F.get(parts, i + 1), F.lit("")).alias("next"))))
     joined = F.aggregate(
         pairs, start, step,
         lambda acc: F.when(acc["cap"] == "", acc["done"]).otherwise(add(acc["done"], acc["cap"])),

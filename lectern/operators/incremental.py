@@ -70,3 +70,24 @@ def cascade_delete(memberships: DataFrame, removed: DataFrame, minimum: int = 2)
     left = memberships.join(removed.select("material_id"), "material_id", "left_anti")
     alive = left.groupBy("cluster_id").agg(F.count_distinct("material_id").alias("n")).where(F.col("n") >= minimum)
     return left.join(alive, "cluster_id", "left_semi")
+
+
+def index_gate(stamp: DataFrame, manifest_rows: Column, newest_input: Column, digest: Column) -> DataFrame:
+    """One row saying whether the index must be rebuilt, and why.
+
+    Checks run cheapest first: no stamp, other row count, and only when some
+    input is newer than the stamp, the content digest.
+    """
+    reason = (
+        F.when(F.col("indexed_at").isNull(), "no stamp")
+        .when(F.col("materials") != manifest_rows, "material count differs")
+        .when((newest_input > F.col("indexed_at")) & (F.col("digest") != digest), "content changed")
+        .otherwise("")
+    )
+    return stamp.select(reason.alias("reason"), (reason != "").alias("stale"))
+
+
+def later_map_wins(stamps: DataFrame, key: str, value: str, position: str) -> DataFrame:
+    """Union of key→value stamps: the later one wins, empty values are dropped."""
+    usable = stamps.where((F.coalesce(F.col(key).cast("string"), F.lit("")) != "") & (F.coalesce(value, F.lit("")) != ""))
+    return usable.groupBy(key).agg(F.max_by(value, position).alias(value))

@@ -96,10 +96,9 @@ def collection_selection(spark, folder):
 
 @query("material_packets", "A22 H4", with_ctes(CONCEPTS) + """
 SELECT material_id, concept_name, relevance, rn FROM (
-  SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY concept_name) AS rn FROM concepts WHERE relevance <> 'low') WHERE rn <= 8""")
+  SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY concept_name) AS rn FROM concepts) WHERE rn <= 8""")
 def material_packets(spark, folder):
-    rows = corpus.concepts(spark, folder).where("relevance != 'low'")
-    return sample_per(rows, "material_id", 8, F.asc("concept_name")).select("material_id", "concept_name", "relevance", "rn")
+    return sample_per(corpus.concepts(spark, folder), "material_id", 8, F.asc("concept_name")).select("material_id", "concept_name", "relevance", "rn")
 
 
 @query("packet_evidence_spans", "A22", """

@@ -109,7 +109,7 @@ def _cards(hits, limit=20):
 CARD_COLUMNS = ", domain, collection"
 
 
-@query("search_cards_bm25", "W1 O1 F5 J1 X1 A-K7", with_ctes(MATERIALS, CARD_HITS) + top_sql("hits", "material_id", 20, CARD_COLUMNS))
+@query("search_cards_bm25", "W1 O1 F5 J1 X1", with_ctes(MATERIALS, CARD_HITS) + top_sql("hits", "material_id", 20, CARD_COLUMNS))
 def search_cards_bm25(spark, folder):
     return _cards(bm25(material_table(spark, folder), query_phrases(ASK)))
 

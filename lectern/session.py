@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,20 +45,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``; a local one is made only
-    where the session names none (tests).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def rounded(column, digits: int = 6):
     """Scores leave every query rounded, so summation order cannot show."""
     return F.round(column, digits)
