@@ -85,7 +85,14 @@ def keyword_tokens(c: Column) -> Column:
 
 
 def lines(c: Column) -> Column:
-    return F.split(F.regexp_replace(text_or_empty(c), r"\r\n?", "\n"), "\n")
+    text = text_or_empty(c)
+    plain = F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    return F.split(plain, "\n")
+
+
+def first_line(c: Column) -> Column:
+    """Trimmed first line, found without splitting the rest of the text."""
+    return strip(F.regexp_extract(text_or_empty(c), r"^[^\r\n]*", 0))
 
 
 def paragraphs(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.names import cluster_name_key
-from lectern.functions.text import strip
+from lectern.functions.text import bind, strip
 
 
 def _prefixes(key: Column) -> Column:
@@ -15,15 +15,8 @@ def _prefixes(key: Column) -> Column:
     return F.transform(lengths, lambda n: F.substring(key, F.lit(1), n))
 
 
-def _probes(*kinds: tuple[int, str, Column]) -> Column:
-    """(stage, side, token) lookups of one row, flattened to one array."""
-
-    def tagged(stage: int, side: str, tokens: Column) -> Column:
-        return F.transform(tokens, lambda t: F.struct(
-            F.lit(stage).alias("stage"), F.lit(side).alias("side"), t.alias("token")))
-
-    parts = [tagged(*kind) for kind in kinds]
-    return F.concat(*parts)
+def _marked(mark: str, tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.concat(F.lit(mark), t))
 
 
 def resolve_references(refs: DataFrame, index: DataFrame) -> DataFrame:
@@ -31,19 +24,28 @@ def resolve_references(refs: DataFrame, index: DataFrame) -> DataFrame:
 
     Exact key first, then a unique caseless name, then a unique key that is a
     prefix of the other; what stays ambiguous is dropped. All three tests are
-    one equality join on (material, test, token), a prefix test being equality
-    with a generated prefix; no material's concepts are paired with each other.
-    ``index`` is unique per (material_id, concept_key).
+    one equality join on (material, probe), where a probe is a test's digit and
+    a text, and a prefix test is equality with a generated prefix; no
+    material's concepts are paired with each other. ``index`` is unique per
+    (material_id, concept_key).
     """
-    key, name = cluster_name_key(F.col("concept_name")), F.lower(strip(F.col("concept_name")))
-    asked = refs.select("ref_id", "material_id", F.inline(_probes(
-        (0, "key", F.array(key)), (1, "name", F.array(name)),
-        (2, "within", _prefixes(key)), (2, "extends", F.array(key)))))
-    known = index.select("material_id", "concept_key", F.inline(_probes(
-        (0, "key", F.array("concept_key")), (1, "name", F.array(name)),
-        (2, "within", F.array("concept_key")), (2, "extends", _prefixes(F.col("concept_key"))))))
-    pairs = asked.join(known, ["material_id", "stage", "side", "token"]).select("ref_id", "stage", "concept_key").distinct()
-    at = [F.when(F.col("stage") == s, F.col("concept_key")) for s in range(3)]
+    name = F.lower(strip(F.col("concept_name")))
+
+    def asked_probes(key: Column) -> Column:
+        return F.concat(
+            F.array(F.concat(F.lit("0"), key)), F.array(F.concat(F.lit("1"), name)),
+            F.array(F.concat(F.lit("3"), key)), _marked("2", _prefixes(key)))
+
+    known_key = F.col("concept_key")
+    known_probes = F.concat(
+        F.array(F.concat(F.lit("0"), known_key)), F.array(F.concat(F.lit("1"), name)),
+        F.array(F.concat(F.lit("2"), known_key)), _marked("3", _prefixes(known_key)))
+    asked = refs.select("ref_id", "material_id", F.explode(
+        bind(cluster_name_key(F.col("concept_name")), asked_probes)).alias("probe"))
+    known = index.select("material_id", "concept_key", F.explode(known_probes).alias("probe"))
+    pairs = asked.join(known, ["material_id", "probe"]).select(
+        "ref_id", F.least(F.substring("probe", 1, 1), F.lit("2")).alias("stage"), "concept_key").distinct()
+    at = [F.when(F.col("stage") == str(s), F.col("concept_key")) for s in range(3)]
     counted = pairs.groupBy("ref_id").agg(
         *[F.count(at[s]).alias(f"n{s}") for s in range(3)], *[F.min(at[s]).alias(f"k{s}") for s in range(3)])
     choice = F.coalesce(*[F.when(F.col(f"n{s}") == 1, F.col(f"k{s}")) for s in range(3)])
@@ -57,16 +59,17 @@ def first_claims(resolved: DataFrame) -> DataFrame:
     ).select("material_id", "concept_key", "_c.cluster_id", "_c.src_pos")
 
 
-def connected(claims: DataFrame, minimum: int = 2) -> DataFrame:
-    """Claims of clusters that reach ``minimum`` distinct materials.
+def connected(claims: DataFrame) -> DataFrame:
+    """Claims of clusters that reach two distinct materials.
 
-    Runs after claiming: a dropped cluster keeps what it claimed.
+    Runs after claiming: a dropped cluster keeps what it claimed. Two distinct
+    materials exist exactly when smallest and largest differ.
     """
-    sizes = claims.groupBy("cluster_id").agg(F.count_distinct("material_id").alias("n")).where(F.col("n") >= minimum)
-    return claims.join(sizes.select("cluster_id"), "cluster_id", "left_semi")
+    spread = claims.groupBy("cluster_id").agg(F.min("material_id").alias("_a"), F.max("material_id").alias("_b"))
+    return claims.join(spread.where("_a != _b").select("cluster_id"), "cluster_id", "left_semi")
 
 
-def running_number(rows: DataFrame, groups: list[str], position: str, width: int = 100_000,
+def running_number(rows: DataFrame, groups: list[str], position: str, width: int = 1_000_000,
                    name: str = "number") -> DataFrame:
     """1, 2, 3, … by position within a group, also when one group is huge.
 

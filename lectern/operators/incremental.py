@@ -65,10 +65,14 @@ def change_plan(manifest: DataFrame, snapshot: DataFrame, ignored: DataFrame) ->
     return updated.unionByName(arrived).unionByName(deleted)
 
 
-def cascade_delete(memberships: DataFrame, removed: DataFrame, minimum: int = 2) -> DataFrame:
-    """Memberships left after removing materials; too small clusters collapse."""
+def cascade_delete(memberships: DataFrame, removed: DataFrame) -> DataFrame:
+    """Memberships left after removing materials.
+
+    A cluster left with fewer than two distinct materials collapses: its
+    smallest and largest material are then the same.
+    """
     left = memberships.join(removed.select("material_id"), "material_id", "left_anti")
-    alive = left.groupBy("cluster_id").agg(F.count_distinct("material_id").alias("n")).where(F.col("n") >= minimum)
+    alive = left.groupBy("cluster_id").agg(F.min("material_id").alias("_a"), F.max("material_id").alias("_b")).where("_a != _b")
     return left.join(alive, "cluster_id", "left_semi")
 
 

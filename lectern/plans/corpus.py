@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.names import singular
-from lectern.functions.text import bind, lines, strip, word_tokens
+from lectern.functions.text import bind, first_line, lines, strip, word_tokens
 from lectern.session import spread
 
 
@@ -27,7 +27,7 @@ def materials(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("material_id"),
         F.col("lang").alias("domain"),
         F.col("source").alias("collection"),
-        strip(F.get(lines(F.col("text")), F.lit(0))).alias("title"),
+        first_line(F.col("text")).alias("title"),
         "text",
     )
 
@@ -136,7 +136,7 @@ def concepts(spark: SparkSession, folder: str) -> DataFrame:
     no shuffle is needed.
     """
     docs = spread(table(spark, folder, "documents").select(F.col("doc_id").alias("material_id"), "text"))
-    words = F.array_distinct(word_tokens(strip(F.get(lines(F.col("text")), F.lit(0)))))
+    words = F.array_distinct(word_tokens(first_line(F.col("text"))))
 
     def first_spellings(found):
         """Sort by (key, position) and keep each key's first entry."""

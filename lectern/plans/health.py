@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.lists import content_hash
 from lectern.functions.names import material_path
-from lectern.functions.text import lines, strip
+from lectern.functions.text import first_line
 from lectern.operators import quality as Q
 from lectern.plans.corpus import table, with_ctes
 from lectern.plans.linking import PAGES, broken_links_of
@@ -22,7 +22,7 @@ missing AS (
 
 def _missing(spark, folder):
     labels = table(spark, folder, "labels").select("doc_id", "quality")
-    docs = table(spark, folder, "documents").select("doc_id", "lang", strip(F.get(lines(F.col("text")), F.lit(0))).alias("title"))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", first_line(F.col("text")).alias("title"))
     return docs.join(labels, "doc_id", "left").select("doc_id", Q.missing_fields(
         {"title": F.col("title"), "domain": F.col("lang"), "raw_document_type": F.col("quality")}).alias("fields")).where("fields != ''")
 

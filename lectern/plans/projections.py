@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.functions import citations as C
 from lectern.functions import lists as L
@@ -114,15 +113,18 @@ def provenance_stamped(spark, folder):
 
 
 @query("bridge_backrefs", "P18", """
-SELECT l_partkey AS material_id, n_name AS bridge, row_number() OVER (PARTITION BY l_partkey ORDER BY lower(n_name)) AS n
-FROM (SELECT DISTINCT l_partkey, n_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)""")
+SELECT DISTINCT l_partkey AS material_id, n_name AS bridge
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey""")
 def bridge_backrefs(spark, folder):
-    """Bridges of each material in caseless name order, one row per reference."""
+    """Bridges of each material, sorted by material and caseless name.
+
+    A global sort splits a material with very many bridges over tasks, which a
+    per-material window could not.
+    """
     homes = table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("cluster_id"), F.col("n_name").alias("bridge"))
-    pairs = corpus.memberships(spark, folder).join(homes, "cluster_id").select("material_id", "bridge").distinct()
-    order = Window.partitionBy("material_id").orderBy(F.lower("bridge"))
-    return pairs.withColumn("n", F.row_number().over(order).cast("bigint"))
+    pairs = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("cluster_id"), F.col("l_partkey").alias("material_id"))
+    return pairs.join(homes, "cluster_id").select("material_id", "bridge").distinct().orderBy("material_id", F.lower("bridge"))
 
 
 @query("json_lists", "X3 P19", """

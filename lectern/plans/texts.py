@@ -37,8 +37,7 @@ WITH k AS (SELECT doc_id, trim(regexp_replace(lower(string_split(text, chr(10))[
 p AS (SELECT doc_id, regexp_extract(k, '([^ ]*)$', 1) AS last, left(k, length(k) - length(regexp_extract(k, '([^ ]*)$', 1))) AS head FROM k)
 SELECT doc_id, """ + KEY_SQL + " AS concept_key FROM p")
 def concept_key_norm(spark, folder):
-    title = F.get(T.lines(F.col("text")), F.lit(0))
-    return table(spark, folder, "documents").select("doc_id", T.bind(title, N.concept_key).alias("concept_key"))
+    return table(spark, folder, "documents").select("doc_id", T.bind(T.first_line(F.col("text")), N.concept_key).alias("concept_key"))
 
 
 @query("concept_name_norm", "X5", r"""
@@ -57,7 +56,7 @@ def concept_name_norm(spark, folder):
 SELECT doc_id, trim(regexp_replace(regexp_replace(replace(trim(lower(string_split(text, chr(10))[1])), ' ', '-'), '[^a-z0-9-]+', '', 'g'), '-{2,}', '-', 'g'), '-') AS slug
 FROM documents""")
 def slugify(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", N.slugify(F.get(T.lines(F.col("text")), F.lit(0))).alias("slug"))
+    return table(spark, folder, "documents").select("doc_id", N.slugify(T.first_line(F.col("text"))).alias("slug"))
 
 
 @query("match_score", "X7", r"""
@@ -286,16 +285,15 @@ def doc_context_canonical(spark, folder):
 
 
 @query("markdown_tables", "X46 S13", r"""
-SELECT l_orderkey, '| line | quantity | flag |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
-  string_agg('| ' || l_linenumber || ' | ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' | ' || l_returnflag || '\|' || l_linestatus || ' |', chr(10) ORDER BY l_linenumber, l_quantity, l_returnflag, l_linestatus) AS md
-FROM lineitem GROUP BY 1""")
+SELECT p_partkey, '| field | value | note |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| name\|title | ' || p_name || ' |  |' || chr(10) ||
+  '| brand | ' || p_brand || ' | ' || p_type || ' |' AS md FROM part""")
 def markdown_tables(spark, folder):
-    row = F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
-    orders = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("r"))
-    cells = F.transform("r", lambda r: F.array(
-        r["l_linenumber"].cast("string"), r["l_quantity"].cast("bigint").cast("string"), F.concat(r["l_returnflag"], F.lit("|"), r["l_linestatus"])))
-    header = F.array(F.lit("line"), F.lit("quantity"), F.lit("flag"))
-    return orders.select("l_orderkey", T.table_markdown(header, cells).alias("md"))
+    """Short rows are padded, pipes escaped, line breaks flattened."""
+    header = F.array(F.lit("field"), F.lit("value"), F.lit("note"))
+    rows = F.array(
+        F.array(F.lit("name|title"), F.col("p_name")),
+        F.array(F.lit("brand"), F.concat("p_brand", F.lit("\n")), F.col("p_type")))
+    return table(spark, folder, "part").select("p_partkey", T.table_markdown(header, rows).alias("md"))
 
 
 @query("fenced_text", "X47 H25", """
