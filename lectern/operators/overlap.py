@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import bind, matching_form
+from lectern.functions.text import matching_form
 
 PAGE = ["material_id", "page"]
 
@@ -29,12 +29,27 @@ def _windows(words: Column) -> Column:
         F.array_join(F.slice(words, s + 4, width - 3), " ")))
 
 
-def _word_pairs(words: Column) -> Column:
-    """(pair, word before, three words after) at every inner position."""
-    starts = F.when(F.size(words) >= 4, F.sequence(F.lit(1), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.concat_ws(
-        MARK, F.concat_ws(" ", F.get(words, s), F.get(words, s + 1)), F.get(words, s - 1),
-        F.array_join(F.slice(words, s + 3, F.lit(3)), " ")))
+def _positions(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """(pair, before, after) at every word of ``body``, plus the body itself.
+
+    Shifted copies of the word array are zipped and unrolled, which generated
+    code does far faster than a lambda per position. The body travels as one
+    marked extra word; its mark keeps it from matching as a neighbour.
+    """
+    words = rows.select(*keep, F.concat(F.split("body", " "), F.array(F.concat(F.lit(MARK), F.col("body")))).alias("_w"))
+    names = [f"_t{i}" for i in range(6)]
+    shifted = [F.col("_w")] + [F.slice("_w", F.lit(i + 1), F.size("_w")) for i in range(1, 6)]
+    unrolled = words.select(*keep, F.inline(F.arrays_zip(*shifted)).alias(*names))
+    body = F.col("_t0").startswith(MARK)
+    return unrolled.where(body | F.col("_t3").isNotNull()).select(
+        *keep,
+        F.when(body, "").otherwise(F.concat_ws(" ", "_t1", "_t2")).alias("pair"),
+        F.when(body, "").otherwise(F.col("_t0")).alias("before"),
+        F.when(body, F.substring("_t0", 2, 2_000_000_000)).otherwise(F.concat_ws(" ", "_t3", "_t4", "_t5")).alias("after"))
+
+
+def _whole(text: Column) -> Column:
+    return F.concat_ws(MARK, F.lit(""), F.lit(""), text)
 
 
 def _exploded(rows: DataFrame, keep: list[str], joined: Column, names: tuple[str, str, str]) -> DataFrame:
@@ -58,15 +73,11 @@ def overlaps(chunks: DataFrame, annotations: DataFrame) -> DataFrame:
     marked = spans.select(*PAGE).distinct()
     texts = chunks.join(marked, PAGE, "left_semi").select(*PAGE, "chunk_id", matching_form(F.col("text")).alias("body"))
 
-    windows = _exploded(
-        spans.where(F.size("words") >= 4), [*PAGE, "annotation_id"], _windows(F.col("words")), ("pair", "first", "rest"))
-    pairs = _exploded(
-        texts, [*PAGE, "chunk_id"], bind(F.split("body", " "), _word_pairs), ("pair", "before", "after"))
-    long = pairs.join(windows, [*PAGE, "pair"]).where(
-        F.col("before").endswith(F.col("first")) & F.col("after").startswith(F.col("rest"))
-    ).select(*PAGE, "chunk_id", "annotation_id")
-
-    short = texts.join(
-        spans.where(F.size("words") < 4).select(*PAGE, "annotation_id", "span"), PAGE
-    ).where(F.contains("body", "span")).select(*PAGE, "chunk_id", "annotation_id")
-    return long.unionByName(short).distinct()
+    # Short spans and whole chunk texts meet under the empty pair.
+    wanted = F.when(F.size("words") >= 4, _windows(F.col("words"))).otherwise(F.array(_whole(F.col("span"))))
+    windows = _exploded(spans, [*PAGE, "annotation_id"], wanted, ("pair", "first", "rest"))
+    pairs = _positions(texts, [*PAGE, "chunk_id"])
+    inside = F.contains("after", "rest")
+    aligned = F.endswith("before", "first") & F.startswith("after", "rest")
+    met = pairs.join(windows, [*PAGE, "pair"]).where(F.when(F.col("pair") == "", inside).otherwise(aligned))
+    return met.select(*PAGE, "chunk_id", "annotation_id").distinct()

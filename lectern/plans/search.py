@@ -12,7 +12,7 @@ from lectern.operators.ranking import TextTable, best, bm25, query_phrases
 from lectern.plans import corpus
 from lectern.plans.corpus import ANNOTATIONS, CHUNKS, CLUSTERS, CONCEPTS, FIGURES, MATERIALS, MEMBERSHIPS, with_ctes
 from lectern.plans.registry import query
-from lectern.session import rounded
+from lectern.session import rounded, spread
 
 ASK = "reer of the inhe mente"
 
@@ -464,7 +464,7 @@ SELECT doc_id,
        CASE WHEN e < n THEN '...' ELSE '' END END AS excerpt
 FROM y""")
 def excerpt_windows(spark, folder):
-    docs = corpus.table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(corpus.table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", excerpt(F.col("text"), "mente thorat").alias("excerpt"))
 
 
