@@ -149,11 +149,11 @@ def bigram_counts(spark, folder):
 scored AS (
   SELECT doc_id, term, round(CASE WHEN pair THEN tf / total * 2.0 ELSE tf / total * (ln((page_count + 1) / (pages_with + 1)) + 1) END, 9) AS score
   FROM counts JOIN totals USING (doc_id) WHERE NOT pair OR tf >= 2)
-SELECT doc_id, term, round(score, 6) AS score, rank FROM (
+SELECT doc_id, term, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM scored) WHERE rank <= 15""")
 def tfidf_keywords(spark, folder):
     top = keywords.top_keywords(keywords.scored(_counts(spark, folder)), "doc_id")
-    return top.select("doc_id", "term", F.round("score", 6).alias("score"), "rank")
+    return top.select("doc_id", "term", "score", "rank")
 
 
 @query("header_footer_lines", "A17", r"""
