@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import unicodedata
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,20 @@ def composed(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
+def slices(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of at most `most` text bytes (one row at least), so that what a worker builds
+    beside the texts stays small whatever their lengths."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def bind(value: Column, use) -> Column:
     """use(value) with value computed once: a lambda variable is not inlined into every use."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -1,12 +1,13 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 One model per language over the letters of words (a word is a maximal run of letters, lower-cased, between
-boundary marks). Every order is a sorted array of 64-bit n-gram hashes beside its probabilities; contexts are a
-second sorted array beside their back-off weights. A document's cross-entropy is the mean over its character
+boundary marks). Every order is a sorted array of 64-bit n-gram hashes with a column of probabilities per language;
+contexts are a second sorted array with their back-off weights. A document's cross-entropy is the mean over its character
 events, so a word's score is computed once per distinct word and task, and looked up for each occurrence.
 
-Rejection is calibrated on labelled rows that the models have not seen: a document is rejected if its best
-cross-entropy lies more than `z` standard deviations above the mean of that language's documents of similar length.
+Rejection is calibrated on labelled rows that the models have not seen: a document is rejected if its cross-entropy,
+with every word taken in that word's best language, lies more than `z` standard deviations above the mean of its
+language's documents of similar length. So a text in several known languages stays.
 
 Defined results: null text or text without a letter gives `und`, score 0, rejected. Repeated rows give repeated
 results. An empty table gives no rows; without any labelled row every document gets `und`. Ties between
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import composed, table
+from lectern.llm.common import composed, slices, table
 
 UNKNOWN = "und"
 ORDER = 5
@@ -40,12 +41,16 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Model:
-    """Sorted hash arrays of all languages; grams[k][l] and contexts[k][l] are (hashes, log2 values) of order k+1."""
+    """One sorted hash array per order beside a column of log2 values per language.
+
+    grams[k] has the n-grams of order k + 1 that any language has seen, with every language's interpolated
+    probability; contexts[k] their contexts, with every language's back-off weight (0 where it has not seen one).
+    """
 
     languages: list[str]
     alphabet: int
-    grams: list[list[tuple[np.ndarray, np.ndarray]]]
-    contexts: list[list[tuple[np.ndarray, np.ndarray]]]
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    contexts: list[tuple[np.ndarray, np.ndarray]]
     limits: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))  # language x length band
 
 
@@ -78,69 +83,73 @@ def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
     return hashes
 
 
-def _sorted(hashes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], values[order].astype(np.float32)
-
-
-def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes, values = table
-    if not len(hashes):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+def _look_up(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is there, and its place."""
     at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-    return hashes[at] == keys, values[at]
+    return hashes[at] == keys, at
+
 
+def _language_tables(grams: np.ndarray, counts: np.ndarray, alphabet: int) -> list[tuple[np.ndarray, ...]]:
+    """grams: one row of ORDER code points per distinct n-gram. Highest order: counts; lower ones: continuations.
 
-def _language_tables(grams: np.ndarray, counts: np.ndarray, alphabet: int):
-    """grams: one row of ORDER code points per distinct n-gram. Highest order: counts; lower ones: continuations."""
+    Per order: n-gram hashes, log2 probabilities, hashes of suffix and context; context hashes, log2 weights.
+    """
     levels: list[tuple[np.ndarray, np.ndarray]] = [(grams, counts.astype(np.float64))]
     for _ in range(ORDER - 1):
         shorter, types = np.unique(levels[0][0][:, 1:], axis=0, return_counts=True)
         levels.insert(0, (shorter, types.astype(np.float64)))
-    lower_hash, lower_probability = np.empty(0, np.uint64), np.empty(0)
-    tables, contexts = [], []
+    lower_hash, lower_probability = np.zeros(1, np.uint64), np.array([1 / alphabet])
+    tables = []
     for k, (rows, n) in enumerate(levels, start=1):
         flat = rows.astype(np.uint64).ravel()
         hashes = gram_hashes(flat)
         ends = np.arange(k - 1, len(flat), k)
-        own = hashes[k][ends]
+        own, suffix = hashes[k][ends], hashes[k - 1][ends]
         context = hashes[k - 1][ends - 1] if k > 1 else np.zeros(len(rows), np.uint64)
-        suffix = hashes[k - 1][ends] if k > 1 else None
         names, group = np.unique(context, return_inverse=True)
         total = np.bincount(group, weights=n)
-        kinds = np.bincount(group)
         once, twice = (n == 1).sum(), (n == 2).sum()
         discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
-        gamma = discount * kinds / total
-        if suffix is None:
-            lower = np.full(len(rows), 1 / alphabet)
-        else:
-            lower = lower_probability[np.searchsorted(lower_hash, suffix)]
+        gamma = discount * np.bincount(group) / total
+        lower = lower_probability[np.searchsorted(lower_hash, suffix)]
         probability = (n - discount) / total[group] + gamma[group] * lower
         order = np.argsort(own, kind="stable")
         lower_hash, lower_probability = own[order], probability[order]
-        tables.append((lower_hash, np.log2(lower_probability).astype(np.float32)))
-        contexts.append(_sorted(names, np.log2(gamma)))
-    return tables, contexts
+        tables.append((lower_hash, np.log2(lower_probability), suffix[order], context[order], names, np.log2(gamma)))
+    return tables
 
 
 def build_model(rows: pd.DataFrame) -> Model:
     """rows: lang, gram (ORDER characters), n."""
     languages = sorted(rows["lang"].unique())
-    characters = {c for g in rows["gram"] for c in g}
-    alphabet = len(characters) + 1
+    alphabet = len({c for g in rows["gram"] for c in g}) + 1
     per_language = []
     for language in languages:
         own = rows[rows["lang"] == language].sort_values("gram")
         codes = np.frombuffer("".join(own["gram"]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         per_language.append(_language_tables(codes.reshape(-1, ORDER), own["n"].to_numpy(), alphabet))
-    return Model(languages, alphabet,
-                 [[t[0][k] for t in per_language] for k in range(ORDER)],
-                 [[t[1][k] for t in per_language] for k in range(ORDER)])
+    grams, contexts = [], []
+    lower = np.zeros(1, np.uint64), np.full((1, len(languages)), -np.log2(alphabet))
+    for k in range(ORDER):
+        tables = [t[k] for t in per_language]
+        names = np.unique(np.concatenate([t[4] for t in tables]))
+        weights = np.zeros((len(names), len(languages)))
+        for l, t in enumerate(tables):
+            weights[np.searchsorted(names, t[4]), l] = t[5]
+        hashes, first = np.unique(np.concatenate([t[0] for t in tables]), return_index=True)
+        suffix = np.concatenate([t[2] for t in tables])[first]
+        context = np.concatenate([t[3] for t in tables])[first]
+        values = lower[1][np.searchsorted(lower[0], suffix)] + weights[np.searchsorted(names, context)]
+        for l, t in enumerate(tables):
+            values[np.searchsorted(hashes, t[0]), l] = t[1]
+        lower = hashes, values
+        grams.append((hashes, values.astype(np.float32)))
+        contexts.append((names, weights.astype(np.float32)))
+    return Model(languages, alphabet, grams, contexts)
 
 
 def word_scores(model: Model, words: list[str]) -> np.ndarray:
-    """log2 probability of every word (its letters and its end) in every language."""
+    """log2 probability of every word (its letters and its end) in every language, from the highest order down."""
     codes, lengths = padded_codes(words)
     hashes = gram_hashes(codes)
     firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -148,15 +157,16 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     inside[(firsts[:, None] + np.arange(ORDER - 1)).ravel()] = False
     events = np.flatnonzero(inside)
     starts = np.concatenate(([0], np.cumsum(lengths - (ORDER - 1))[:-1]))
-    out = np.empty((len(words), len(model.languages)), np.float32)
-    for l in range(len(model.languages)):
-        value = np.full(len(events), -np.log2(model.alphabet), np.float32)
-        for k in range(1, ORDER + 1):
-            seen, own = _look_up(model.grams[k - 1][l], hashes[k][events])
-            known, weight = _look_up(model.contexts[k - 1][l], hashes[k - 1][events - 1])
-            value = np.where(seen, own, value + np.where(known, weight, 0))
-        out[:, l] = np.add.reduceat(value, starts)
-    return out
+    value = np.zeros((len(events), len(model.languages)), np.float32)
+    open_ = np.arange(len(events))
+    for k in range(ORDER, 0, -1):
+        seen, at = _look_up(model.grams[k - 1][0], hashes[k][events[open_]])
+        value[open_[seen]] += model.grams[k - 1][1][at[seen]]
+        open_ = open_[~seen]
+        known, at = _look_up(model.contexts[k - 1][0], hashes[k - 1][events[open_] - 1])
+        value[open_[known]] += model.contexts[k - 1][1][at[known]]
+    value[open_] -= np.float32(np.log2(model.alphabet))
+    return np.add.reduceat(value, starts, axis=0)
 
 
 class Scorer:
@@ -165,6 +175,7 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.index = model, {}
         self.table = np.empty((0, len(model.languages)), np.float32)
+        self.best = np.empty(0, np.float32)
 
     def _learn(self, batches: list[list[str]]) -> None:
         fresh = set().union(*batches) - self.index.keys()
@@ -175,11 +186,14 @@ class Scorer:
         if fresh:
             self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
             self.table = np.concatenate([self.table, word_scores(self.model, fresh)])
+            self.best = self.table.max(axis=1)
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: bits per event in each language, number of events, whether it has a letter."""
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: bits per event in each language, the same with every word in its own best language, number of
+        events, whether it has a letter."""
         words = [words_of(t) if t else [] for t in texts]
         entropy = np.zeros((len(texts), len(self.model.languages)))
+        blend = np.zeros(len(texts))
         events = np.zeros(len(texts), np.int64)
         lettered = np.fromiter((has_letter(w) for w in words), bool, len(words))
         self._learn(words)
@@ -188,7 +202,8 @@ class Scorer:
                 ids = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
                 events[i] = sum(map(len, own)) + len(own)
                 entropy[i] = -self.table[ids].sum(axis=0, dtype=np.float64) / events[i]
-        return entropy, events, lettered
+                blend[i] = -self.best[ids].sum(dtype=np.float64) / events[i]
+        return entropy, blend, events, lettered
 
 
 def bands(events: np.ndarray) -> np.ndarray:
@@ -252,9 +267,9 @@ def fit(docs: DataFrame, learn: Column, train_chars: int = 4_000_000, z: float =
 
     def own_entropy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer, place = Scorer(shared.value), {l: i for i, l in enumerate(shared.value.languages)}
-        for batch in batches:
+        for batch in (b.iloc[i:i + 500] for b in batches for i in range(0, len(b), 500)):
             batch = batch[batch["lang"].isin(place)]
-            entropy, events, lettered = scorer.score(list(batch["text"]))
+            entropy, _, events, lettered = scorer.score(list(batch["text"]))
             own = entropy[np.arange(len(batch)), [place[l] for l in batch["lang"]]] if len(batch) else np.empty(0)
             yield pd.DataFrame({"lang": batch["lang"].to_numpy(), "band": bands(events), "bits": own})[lettered]
 
@@ -289,15 +304,13 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         names = np.array(shared.value.languages, dtype=object)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            entropy, events, lettered = scorer.score(batch.column(1).to_pylist())
+        for batch in (part for whole in batches for part in slices(whole)):
+            entropy, blend, events, lettered = scorer.score(batch.column(1).to_pylist())
             best = entropy.argmin(axis=1)
             bits = entropy[np.arange(len(batch)), best]
             # likelihood ratio of the shortest texts at most 32 events long, so that long texts stay comparable
             weight = np.exp2(-(entropy - bits[:, None]) * np.minimum(events, 32)[:, None])
-            over = bits > shared.value.limits[best, bands(events)]
+            over = blend > shared.value.limits[best, bands(events)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.where(lettered, names[best], UNKNOWN), pa.string()),
                  pa.array(np.where(lettered, 1 / weight.sum(axis=1), 0.0)), pa.array(bits, mask=~lettered),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import lang_id
+from lectern.llm import lang_id, near_dup
 
 QUERIES = {
+    "op5_order_minhash": near_dup.query,
     "op7_language_id": lang_id.query,
 }
 ORACLES: dict[str, str] = {}
