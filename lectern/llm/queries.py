@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lectern.llm import lang_id, near_dup
+from lectern.llm import decontam, lang_id, near_dup
 
 QUERIES = {
+    "op1_decontamination": decontam.query,
     "op5_order_minhash": near_dup.query,
     "op7_language_id": lang_id.query,
 }
