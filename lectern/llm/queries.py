@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, lang_id, near_dup
+from lectern.llm import decontam, lang_id, near_dup, pii
 
 QUERIES = {
     "op1_decontamination": decontam.query,
     "op5_order_minhash": near_dup.query,
+    "op8_pii": pii.query,
     "op7_language_id": lang_id.query,
 }
 ORACLES: dict[str, str] = {}
