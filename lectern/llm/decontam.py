@@ -178,39 +178,36 @@ def _candidates(items: Items, flat: np.ndarray, positions: np.ndarray) -> set[tu
     return found
 
 
-def _matches(classes: list[Items], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+Match = tuple[int, int, int, int, int, float]
+
+
+def matches_in(classes: list[Items], texts: list[str | None]) -> list[Match]:
+    """(index of the text, item_id, first word, words, distance, similarity) by text, best place of each item."""
     reach = max(items.reach for items in classes)
-    for batch in (part for whole in batches for part in slices(whole, most=1 << 22)):
-        words = [words_of(t) for t in batch.column(1).to_pylist()]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(sizes + reach) - sizes - reach  # each text is followed by marks, so no walk leaves it
-        flat = np.zeros(int((sizes + reach).sum()), np.uint64)
-        for own, start in zip(words, starts.tolist()):
-            flat[start:start + len(own)] = hashes_of(own)
-        best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
-        for c, items in enumerate(classes):
-            opens = np.maximum(sizes - int(SIMILARITY * items.sizes.min()) + 1, 0)
-            shift = np.repeat(starts - (np.cumsum(opens) - opens), opens)
-            positions = (np.arange(len(shift)) + shift).astype(np.int32)
-            for place, item in _candidates(items, flat, positions):
-                doc = int(np.searchsorted(starts, place, "right")) - 1
-                size = int(items.sizes[item])
-                most = int((1 - SIMILARITY) * size + 1e-9)
-                window = flat[place:min(place + size + most, int(starts[doc] + sizes[doc]))]
-                if len(window) < size - most:
-                    continue
-                distance, length = edit_distance(items.words[item], window, most)
-                if distance <= most:
-                    at = (distance, place - int(starts[doc]), length)
-                    best[doc, c, item] = min(best.get((doc, c, item), at), at)
-        rows = [(doc, classes[c].ids[item], at, length, distance, 1 - distance / float(classes[c].sizes[item]))
-                for (doc, c, item), (distance, at, length) in sorted(best.items())]
-        columns = list(zip(*rows)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(columns[0], pa.int64()))]
-            + [pa.array(values, kind) for values, kind in zip(columns[1:], kinds)],
-            ["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"])
+    words = [words_of(t) if t else [] for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes + reach) - sizes - reach  # each text is followed by marks, so no walk leaves it
+    flat = np.zeros(int((sizes + reach).sum()), np.uint64)
+    for own, start in zip(words, starts.tolist()):
+        flat[start:start + len(own)] = hashes_of(own)
+    best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
+    for c, items in enumerate(classes):
+        opens = np.maximum(sizes - int(SIMILARITY * items.sizes.min()) + 1, 0)
+        shift = np.repeat(starts - (np.cumsum(opens) - opens), opens)
+        positions = (np.arange(len(shift)) + shift).astype(np.int32)
+        for place, item in _candidates(items, flat, positions):
+            doc = int(np.searchsorted(starts, place, "right")) - 1
+            size = int(items.sizes[item])
+            most = int((1 - SIMILARITY) * size + 1e-9)
+            window = flat[place:min(place + size + most, int(starts[doc] + sizes[doc]))]
+            if len(window) < size - most:
+                continue
+            distance, length = edit_distance(items.words[item], window, most)
+            if distance <= most:
+                at = (distance, place - int(starts[doc]), length)
+                best[doc, c, item] = min(best.get((doc, c, item), at), at)
+    return [(doc, classes[c].ids[item], at, length, distance, 1 - distance / float(classes[c].sizes[item]))
+            for (doc, c, item), (distance, at, length) in sorted(best.items())]
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
@@ -221,25 +218,34 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[Da
     return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
 
 
+def length_classes(block: DataFrame) -> list[Items]:
+    """The items of a block by length: a class reaches to double its shortest item, so that the sampled steps lie
+    within every item of it."""
+    rows = [(r["item_id"], words_of(r["text"])) for r in block.collect()]
+    rows = [(i, w) for i, w in rows if len(w) >= SHORTEST]
+    classes: list[list] = []
+    for row in sorted(rows, key=lambda r: (len(r[1]), r[1], r[0] is None, r[0] or 0)):
+        if not classes or len(row[1]) > 2 * len(classes[-1][0][1]):
+            classes.append([])
+        classes[-1].append(row)
+    return [Items(c) for c in classes]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, n_words, distance, similarity: items found in documents, best place of each."""
     schema = "doc_id long, item_id long, first_word long, n_words long, distance long, similarity double"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
     parts = []
-    for block in item_blocks(benchmark):
-        rows = [(r["item_id"], words_of(r["text"])) for r in block.collect()]
-        rows = [(i, w) for i, w in sorted(rows, key=lambda r: (len(r[1]), r[0] is None, r[0], r[1])) if len(w) >= SHORTEST]
-        # one length class reaches to double its shortest item: sampled steps then lie within every item of it
-        classes: list[list] = []
-        for row in rows:
-            if not classes or len(row[1]) > 2 * len(classes[-1][0][1]):
-                classes.append([])
-            classes[-1].append(row)
-        if not classes:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast([Items(c) for c in classes])
+    for classes in filter(None, map(length_classes, item_blocks(benchmark))):
+        shared = docs.sparkSession.sparkContext.broadcast(classes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            yield from _matches(shared.value, batches)
+            for batch in (part for whole in batches for part in slices(whole, most=1 << 22)):
+                columns = list(zip(*matches_in(shared.value, batch.column(1).to_pylist()))) or [[]] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(columns[0], pa.int64()))]
+                    + [pa.array(values, kind) for values, kind in zip(columns[1:], kinds)],
+                    ["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"])
 
         parts.append(docs.select("doc_id", "text").where("text is not null").mapInArrow(run, schema))
     if not parts:
@@ -247,6 +253,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, in which no item is found."""
+    place = docs.columns.index("text")
+    for classes in filter(None, map(length_classes, item_blocks(benchmark))):
+        shared = docs.sparkSession.sparkContext.broadcast(classes)
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in (part for whole in batches for part in slices(whole, place, 1 << 22)):
+                hit = {m[0] for m in matches_in(shared.value, batch.column(place).to_pylist())}
+                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -319,6 +319,22 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double, bits double, rejected boolean")
 
 
+def known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, all columns, that identify() does not reject."""
+    if model is None:
+        return docs.where(F.lit(False))
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in (part for whole in batches for part in slices(whole, place)):
+            entropy, blend, events, lettered = scorer.score(batch.column(place).to_pylist())
+            within = blend <= shared.value.limits[entropy.argmin(axis=1), bands(events)]
+            yield batch.filter(pa.array(within & lettered))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 

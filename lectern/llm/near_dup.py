@@ -266,6 +266,19 @@ def _left_over(many: DataFrame, tied: DataFrame, texts: DataFrame) -> DataFrame:
             .select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct())
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates: the smallest id of each class stays. Rows with a null
+    id stay; of rows that repeat an id and its text one stays."""
+    classes = stored(near_classes(docs), "classes")
+    kept = docs.join(classes.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    repeated = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept.union(docs.where("doc_id is null")).select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return (kept.join(repeated, "doc_id", "left_anti").union(once).union(docs.where("doc_id is null"))
+            .select(*docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document with the class of its near duplicates."""
     return near_classes(table(spark, sf_dir, "documents"))
