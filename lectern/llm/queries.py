@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, lang_id, near_dup, packing, pii
+from lectern.llm import decontam, html_text, lang_id, near_dup, packing, pii
 
 QUERIES = {
     "op1_decontamination": decontam.query,
     "op5_order_minhash": near_dup.query,
+    "op2_html_text": html_text.query,
     "op3_packing": packing.query,
     "op8_pii": pii.query,
     "op7_language_id": lang_id.query,
