@@ -178,7 +178,7 @@ class Scorer:
         self.best = np.empty(0, np.float32)
 
     def _learn(self, batches: list[list[str]]) -> None:
-        fresh = set().union(*batches) - self.index.keys()
+        fresh = [w for w in set().union(*batches) if w not in self.index]
         if len(self.index) + len(fresh) > CACHED_WORDS:
             self.index, self.table = {}, self.table[:0]
             fresh = set().union(*batches)

@@ -7,9 +7,10 @@ similarity of 0.8 a pair is missed with a chance of about 0.0002). Candidates ar
 sequences inside the band that a similarity of 0.8 leaves: similarity = aligned / (n1 + n2 - aligned).
 
 Exact copies collapse first, so everything after works on distinct texts. A bucket of at most `SMALL` texts compares
-its texts with each other. A larger one compares its members with its smallest id, then the rest with the smallest of
-the rest; what is still not in the bucket's largest class is compared with every other class of that bucket that
-shares a second sketch, whatever its size. Classes are connected components.
+its texts with each other. A larger one drops members and pairs that cannot reach 0.8 because too many of their
+k-mers are in no other member of a large bucket, compares its members with its smallest id, then the rest with the
+smallest of the rest; what is still not in the bucket's largest class is compared with every other class of that
+bucket that shares a second sketch, whatever its size. Classes are connected components.
 
 Defined results: null text is its own class; texts without any word are copies only if identical; a null doc_id gets
 a null class and takes no part; repeated rows and rows sharing an id share a class. Ties cannot matter: the class id
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import composed, slices, stored, table
@@ -193,16 +194,40 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return rows.mapInArrow(_similar_rows, "u long, v long, similarity double")
 
 
-def _fits(a: str, b: str):
-    return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+def _kmer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in slices(whole)):
+        marked = [labelled(shingles(np.frombuffer(b, np.uint32))) for b in batch.column(1).to_pylist()]
+        ids = np.repeat(batch.column(0).to_numpy(), [len(m) for m in marked])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marked).view(np.int64)), pa.array(ids)],
+                                         ["kmer", "id"])
+
+
+def _with_lone(members: DataFrame, words: DataFrame) -> DataFrame:
+    """members with `lone`, the number of k-mers that no other member has, without those that can't have a partner:
+    at least 0.8 of a text's k-mers must be in the other text too."""
+    ids = members.select("id").distinct()
+    kmers = words.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(
+        _kmer_rows, "kmer long, id long")
+    lone = (kmers.groupBy("kmer").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+            .groupBy("id").agg(F.count("*").alias("lone")))
+    return members.join(lone, "id", "left").select(
+        "band", "key", "id", "n", F.coalesce("lone", F.lit(0)).alias("lone")).where(
+            F.col("lone") <= (1 - SIMILARITY) * F.col("n"))
+
+
+def _fits(n: str, m: str, lone_n: str = "0", lone_m: str = "0") -> Column:
+    """Whether two texts of n and m k-mers can be similar enough, given how many of each no other text has."""
+    most = F.expr(f"least({n} - {lone_n}, {m} - {lone_m})")
+    return most >= SIMILARITY * (F.col(n) + F.col(m) - most)
 
 
 def _leader_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members with their bucket's smallest id beside them, and the pairs to be checked."""
-    led = members.join(members.groupBy("band", "key").agg(F.min_by(F.struct("id", "n"), "id").alias("l")),
-                       ["band", "key"]).select("band", "key", "id", "n", F.col("l.id").alias("leader"),
-                                               F.col("l.n").alias("leader_n"))
-    return led, led.where("id <> leader").where(_fits("n", "leader_n")).select(
+    led = members.join(members.groupBy("band", "key").agg(F.min_by(F.struct("id", "n", "lone"), "id").alias("l")),
+                       ["band", "key"]).select(
+        "band", "key", "id", "n", "lone", F.col("l.id").alias("leader"), F.col("l.n").alias("m"),
+        F.col("l.lone").alias("lone_m"))
+    return led, led.where("id <> leader").where(_fits("n", "m", "lone", "lone_m")).select(
         F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
 
 
@@ -225,6 +250,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
              .where((F.col("id") > F.col("v")) & _fits("n", "m"))
              .select(F.col("id").alias("u"), "v").distinct())
     many = members.where(F.col("size") > SMALL).select("band", "key", "id", "n")
+    many = stored(_with_lone(many, words), "many")
     if many.isEmpty():
         links = stored(verified(pairs, words), "links")
         tied = components(links.select("u", "v"))
@@ -233,7 +259,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         links = stored(verified(pairs.union(first).distinct(), words), "links")
         rest = led.where("id <> leader").join(
             links.select(F.col("u").alias("id"), F.col("v").alias("leader")), ["id", "leader"], "left_anti")
-        _, second = _leader_pairs(rest.select("band", "key", "id", "n"))
+        _, second = _leader_pairs(rest.select("band", "key", "id", "n", "lone"))
         links = links.union(stored(verified(second, words), "links"))
         tied = components(links.select("u", "v"))
         last = stored(verified(_left_over(many, tied, texts), words), "links")
@@ -257,12 +283,13 @@ def _left_over(many: DataFrame, tied: DataFrame, texts: DataFrame) -> DataFrame:
                                            F.count("*").alias("classes")).where("classes > 1"))
     placed = placed.join(largest, ["band", "key"]).join(
         texts.select(F.col("exact_id").alias("id"), "keys"), "id")
-    spread = placed.select("band", "key", "id", "n", "component", "main", F.posexplode("keys").alias("band2", "key2")
-                           ).where("band2 <> band")
+    spread = placed.select("band", "key", "id", "n", "lone", "component", "main",
+                           F.posexplode("keys").alias("band2", "key2")).where("band2 <> band")
     outside = spread.where("component <> main")
     other = spread.select("band", "key", "band2", "key2", F.col("id").alias("v"), F.col("n").alias("m"),
-                          F.col("component").alias("c2"))
-    return (outside.join(other, ["band", "key", "band2", "key2"]).where("component <> c2").where(_fits("n", "m"))
+                          F.col("lone").alias("lone_m"), F.col("component").alias("c2"))
+    return (outside.join(other, ["band", "key", "band2", "key2"]).where("component <> c2")
+            .where(_fits("n", "m", "lone", "lone_m"))
             .select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct())
 
 

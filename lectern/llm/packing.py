@@ -58,10 +58,9 @@ class Tokens:
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if UNUSUAL.search(t) else WORD.findall(t.lower()) for t in texts]
-        fresh = set().union(*(s for s in split if s)) - self.known.keys()
         ids = self.known
+        fresh = [w for w in set().union(*(s for s in split if s)) if w not in ids]
         if fresh:
-            fresh = list(fresh)
             new = {w: tuple(e.ids) for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))}
             if len(ids) + len(new) <= CACHED_WORDS:
                 ids.update(new)

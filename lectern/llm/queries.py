@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, html_text, lang_id, near_dup, packing, pii
+from lectern.llm import decontam, html_text, lang_id, near_dup, neighbours, packing, pii, token_counts, url_rules
 
 QUERIES = {
     "op1_decontamination": decontam.query,
     "op5_order_minhash": near_dup.query,
     "op2_html_text": html_text.query,
     "op3_packing": packing.query,
+    "op4_token_counts": token_counts.query,
     "op8_pii": pii.query,
     "op7_language_id": lang_id.query,
+    "op9_url_rules": url_rules.query,
+    "op10_neighbours": neighbours.query,
 }
 ORACLES: dict[str, str] = {}
