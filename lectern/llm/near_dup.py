@@ -242,7 +242,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     shared = entries.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(entries.join(shared, ["band", "key"]), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    words = stored(docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id", "left_semi")
+    # the same join at every size: a broadcast would only serve small tables
+    words = stored(docs.select("doc_id", "text").where("text is not null").join(ids.hint("merge"), "doc_id", "left_semi")
                    .mapInArrow(_word_rows, "doc_id long, words binary"), "words").dropDuplicates(["doc_id"])
 
     few = members.where(F.col("size") <= SMALL).select("band", "key", "id", "n")
@@ -275,22 +276,23 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def _left_over(many: DataFrame, tied: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of large buckets still in different classes: those outside the bucket's largest class against all others
-    that share a second sketch."""
+    that share a second sketch. Members that the bucket's shortest text shows to have no partner are left out."""
     placed = many.join(tied.withColumnRenamed("vertex", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
-    largest = (placed.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
+    largest = (placed.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.min("n").alias("least"))
                .groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("main"),
-                                           F.count("*").alias("classes")).where("classes > 1"))
-    placed = placed.join(largest, ["band", "key"]).join(
-        texts.select(F.col("exact_id").alias("id"), "keys"), "id")
-    spread = placed.select("band", "key", "id", "n", "lone", "component", "main",
-                           F.posexplode("keys").alias("band2", "key2")).where("band2 <> band")
-    outside = spread.where("component <> main")
-    other = spread.select("band", "key", "band2", "key2", F.col("id").alias("v"), F.col("n").alias("m"),
-                          F.col("lone").alias("lone_m"), F.col("component").alias("c2"))
-    return (outside.join(other, ["band", "key", "band2", "key2"]).where("component <> c2")
-            .where(_fits("n", "m", "lone", "lone_m"))
-            .select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct())
+                                           F.count("*").alias("classes"), F.min("least").alias("least"))
+               .where("classes > 1"))
+    keys = texts.select(F.col("exact_id").alias("id"), "keys")
+    outside = stored(placed.join(largest, ["band", "key"]).where("component <> main").where(
+        F.expr("n - lone") >= SIMILARITY * F.expr("greatest(least, n - lone) + lone")).join(keys, "id"), "outside")
+    other = placed.join(outside.select("band", "key").distinct(), ["band", "key"], "left_semi").join(keys, "id").select(
+        "band", "key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("lone").alias("lone_m"),
+        F.col("component").alias("c2"), F.col("keys").alias("keys2"))
+    shared = F.filter(F.zip_with("keys", "keys2", lambda a, b: a == b), lambda same: same)
+    pairs = outside.join(other, ["band", "key"]).where("component <> c2").where(
+        _fits("n", "m", "lone", "lone_m") & (F.size(shared) > 1))
+    return pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, html_text, lang_id, near_dup, neighbours, packing, pii, token_counts, url_rules
+from lectern.llm import decontam, html_text, lang_id, licenses, near_dup, neighbours, packing, pii, token_counts, url_rules
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_packing": packing.query,
     "op4_token_counts": token_counts.query,
     "op8_pii": pii.query,
+    "op6_licenses": licenses.query,
     "op7_language_id": lang_id.query,
     "op9_url_rules": url_rules.query,
     "op10_neighbours": neighbours.query,
