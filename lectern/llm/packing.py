@@ -31,7 +31,7 @@ from lectern.llm.common import slices, stored, table
 LENGTH, END = 2048, 1
 DIMS, BITS = 4, 12
 HASHED = 1024  # length of the hashed vectors
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 _LETTERS = "".join(chr(c) for c in range(0x300) if unicodedata.category(chr(c))[0] == "L")
 _NUMBERS = "".join(chr(c) for c in range(0x300) if unicodedata.category(chr(c))[0] == "N")
 #: The tokenizer's own split, for texts of the characters below.
@@ -46,41 +46,72 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_characters() -> list[str]:
+    """The characters that byte-level vocabularies write bytes as: printable ones as themselves, the rest from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+class Words(dict):
+    """Numbers of words in the order they are first asked for, from 1 on; `fresh` lists those without ids yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        number = self[word] = len(self) + 1
+        return number
+
+
 class Tokens:
-    """Token ids of texts; ids of words that were met are kept, up to a bound."""
+    """Token ids of texts. Words that were met keep their ids in one flat array, up to a bound; then it starts anew."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of(self, texts: list[str]) -> list[np.ndarray]:
+        self.bytes = dict(enumerate(_byte_characters()))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index = Words()
+        self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)  # word 0 is the end of a text
+        self.flat = np.array([END], np.uint32)
+
+    def _learn(self) -> None:
+        model, table_, fresh = self.tokenizer.model, self.bytes, self.index.fresh
+        ids = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(table_))] for w in fresh]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        self.index.fresh = []
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by END, in one array, and their number per text."""
         split = [None if UNUSUAL.search(t) else WORD.findall(t.lower()) for t in texts]
-        ids = self.known
-        fresh = [w for w in set().union(*(s for s in split if s)) if w not in ids]
-        if fresh:
-            new = {w: tuple(e.ids) for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))}
-            if len(ids) + len(new) <= CACHED_WORDS:
-                ids.update(new)
-            else:
-                ids = Both(ids, new)
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, s in zip(texts, split) if s is None],
-                                                      add_special_tokens=False))
-        return [np.array(next(whole).ids, np.uint32) if s is None
-                else np.fromiter(chain.from_iterable(map(ids.__getitem__, s)), np.uint32) for s in split]
-
-
-class Both(dict):
-    """The words of one slice over those that are kept."""
-
-    def __init__(self, kept: dict, new: dict) -> None:
-        super().__init__(new)
-        self.kept = kept
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        return self.kept[word]
+        if len(self.index) > CACHED_WORDS:
+            self._forget()
+        index = self.index
+        words = np.fromiter(chain.from_iterable(chain(map(index.__getitem__, s or ()), (0,)) for s in split), np.int64)
+        if index.fresh:
+            self._learn()
+        sizes = self.sizes[words]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[words] - ends + sizes, sizes) + np.arange(int(ends[-1]))]
+        last = np.cumsum([len(s or ()) + 1 for s in split])
+        counts = np.diff(ends[last - 1], prepend=0)
+        if None not in split:
+            return ids, counts
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        whole = self.tokenizer.encode_batch_fast([t for t, s in zip(texts, split) if s is None], add_special_tokens=False)
+        for i, encoding in zip([i for i, s in enumerate(split) if s is None], whole):
+            parts[i] = np.append(np.array(encoding.ids, np.uint32), np.uint32(END))
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 _TOKENS: dict[str, Tokens] = {}  # of this worker process
@@ -95,8 +126,8 @@ def tokens_of(path: str) -> Tokens:
 def projection(size: int) -> np.ndarray:
     """Row i: what token i adds to the projected vector; hashing to HASHED signed slots and a Gaussian projection."""
     ids = np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    slots, signs = (ids >> np.uint64(40)) % np.uint64(HASHED), 1 - 2 * ((ids >> np.uint64(20)) & np.uint64(1)).astype(np.float64)
-    return np.random.default_rng(3).normal(size=(HASHED, DIMS))[slots] * signs[:, None]
+    slots, signs = (ids >> np.uint64(40)) % np.uint64(HASHED), 1 - 2 * ((ids >> np.uint64(20)) & np.uint64(1)).astype(np.float32)
+    return np.random.default_rng(3).normal(size=(HASHED, DIMS))[slots].astype(np.float32) * signs[:, None]
 
 
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -135,17 +166,18 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         kind, weights = np.uint16 if size <= 1 << 16 else np.uint32, projection(size)
         row = TaskContext.get().partitionId() << 40
         for batch in (part for whole in batches for part in slices(whole)):
-            ids = [np.append(i, np.uint32(END)) for i in tokens.of([t or "" for t in batch.column(1).to_pylist()])]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            firsts = np.cumsum(sizes) - sizes
-            vectors = np.add.reduceat(weights[np.concatenate(ids)], firsts) / sizes[:, None]
+            ids, sizes = tokens.of([t or "" for t in batch.column(1).to_pylist()])
+            ends = np.cumsum(sizes)
+            vectors = np.add.reduceat(weights[ids], ends - sizes) / sizes[:, None]
+            narrow = ids.astype(kind)
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(sizes), [
+                None, pa.py_buffer(np.concatenate(([0], ends * narrow.itemsize)).astype(np.int64)), pa.py_buffer(narrow)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(ids))), batch.column(0), pa.array(sizes)]
+                [pa.array(np.arange(row, row + len(sizes))), batch.column(0), pa.array(sizes)]
                 + [pa.array(vectors[:, d]) for d in range(DIMS)]
-                + [pa.array([i.astype(kind).tobytes() for i in ids], pa.binary()),
-                   pa.array(np.full(len(ids), np.dtype(kind).itemsize, np.int32))],
+                + [blobs.cast(pa.binary()), pa.array(np.full(len(sizes), narrow.itemsize, np.int32))],
                 ["row", "doc_id", "n"] + [f"x{d}" for d in range(DIMS)] + ["ids", "id_bytes"])
-            row += len(ids)
+            row += len(sizes)
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "row long, doc_id long, n long, " + ", ".join(f"x{d} double" for d in range(DIMS))
