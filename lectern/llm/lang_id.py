@@ -77,7 +77,7 @@ def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
     hashes = [np.zeros(len(codes), np.uint64)]
     for k in range(1, ORDER + 1):
         last = np.zeros(len(codes), np.uint64)
-        last[k - 1:] = codes[:len(codes) - k + 1]
+        last[k - 1:] = codes[:max(0, len(codes) - k + 1)]
         mixed = (hashes[-1] + last + np.uint64(k)) * STEP
         hashes.append(mixed ^ (mixed >> np.uint64(29)))
     return hashes
@@ -281,15 +281,21 @@ def fit(docs: DataFrame, learn: Column, train_chars: int = 4_000_000, z: float =
 
 
 def _limits(model: Model, spread: list, z: float) -> np.ndarray:
-    """Limits per language and length band; a band of under 20 rows takes that of the next one with more."""
+    """Limits per language and length band; a band of under 20 rows takes that of the nearest one with more, or the
+    pooled one if none has."""
     limits = np.full((len(model.languages), 64), np.inf)
     for l, lang in enumerate(model.languages):
-        own = {r["band"]: r["mean"] + z * max(r["sd"], 0.05) for r in spread if r["lang"] == lang and r["n"] >= 20}
-        for band in range(64):
-            if own:
-                limits[l, band] = own[min(own, key=lambda b: (abs(b - band), b))]
-                if band < min(own):  # shorter than anything calibrated: only the alphabet's own entropy rejects
-                    limits[l, band] = max(limits[l, band], 2 * np.log2(model.alphabet))
+        rows = [r for r in spread if r["lang"] == lang]
+        own = {r["band"]: r["mean"] + z * max(r["sd"], 0.05) for r in rows if r["n"] >= 20}
+        if rows and not own:
+            n = sum(r["n"] for r in rows)
+            mean = sum(r["n"] * r["mean"] for r in rows) / n
+            square = sum(r["n"] * (r["sd"] ** 2 + r["mean"] ** 2) for r in rows) / n
+            own = {max(r["band"] for r in rows): mean + z * max((max(square - mean * mean, 0)) ** 0.5, 0.05)}
+        for band in range(64 if own else 0):
+            limits[l, band] = own[min(own, key=lambda b: (abs(b - band), b))]
+            if band < min(own):  # shorter than anything calibrated: only far beyond the alphabet's own entropy
+                limits[l, band] = max(limits[l, band], 2 * np.log2(model.alphabet))
     return limits
 
 
