@@ -8,9 +8,10 @@ The container with the most points is kept, and with it those siblings whose own
 Its text blocks are joined in page order.
 
 Defined results: null or empty html gives the empty string; a page without any scored paragraph gives the text of its
-body without the parts above; a page that has no text beside parts named as advert and the like gives those; broken, unclosed or cut mark-up is read as far as it goes; repeated rows give repeated
-results; equal points go to the earlier container. Empty tables give no rows. Whole pages are read, whatever their
-size; tags nested deeper than `DEEPEST` add to the container at that depth.
+body without the parts above; a page that has no text beside parts named as advert and the like gives those; broken,
+unclosed or cut mark-up is read as far as it goes; repeated rows give repeated results; equal points go to the earlier
+container. Empty tables give no rows. Whole pages are read, whatever their size; tags nested deeper than `DEEPEST` add
+to the container at that depth.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ UNLIKELY = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 KEPT = frozenset(("html", "body", "article", "main"))
 DEEPEST = 400
+CUT_TAG = re.compile(r"<[A-Za-z/!?][^>]*\Z")  # a page that ends inside a tag
 SPACE = re.compile(r"\s+")
 
 
@@ -269,6 +271,7 @@ def best_nodes(root: Node) -> list[Node]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    html = CUT_TAG.sub("", html)
     for named in (True, False):
         tree = Tree(named)
         tree.feed(html)
