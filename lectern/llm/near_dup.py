@@ -8,9 +8,9 @@ sequences inside the band that a similarity of 0.8 leaves: similarity = aligned
 
 Exact copies collapse first, so everything after works on distinct texts. A bucket of at most `SMALL` texts compares
 its texts with each other. A larger one drops members and pairs that cannot reach 0.8 because too many of their
-k-mers are in no other member of a large bucket, compares its members with its smallest id, then the rest with the
-smallest of the rest; what is still not in the bucket's largest class is compared with every other class of that
-bucket that shares a second sketch, whatever its size. Classes are connected components.
+k-mers are in no other member of a large bucket, and compares its members with its smallest id. What is then not in
+the bucket's largest class is compared with those of its other classes that share the most sketches with it, and what
+still is not, with all others that share a second sketch, whatever the bucket's size. Classes are connected components.
 
 Defined results: null text is its own class; texts without any word are copies only if identical; a null doc_id gets
 a null class and takes no part; repeated rows and rows sharing an id share a class. Ties cannot matter: the class id
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import composed, slices, stored, table
@@ -34,7 +34,7 @@ from lectern.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 LENGTH, SKETCHES = 4, 16
-SMALL = 32
+SMALL, CLOSEST = 32, 4
 WORD = re.compile(r"\w+")
 SEEDS = np.random.default_rng(20240501).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 STEP, TURN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(31)
@@ -221,14 +221,13 @@ def _fits(n: str, m: str, lone_n: str = "0", lone_m: str = "0") -> Column:
     return most >= SIMILARITY * (F.col(n) + F.col(m) - most)
 
 
-def _leader_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with their bucket's smallest id beside them, and the pairs to be checked."""
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """Members beside their bucket's smallest id, where they fit each other."""
     led = members.join(members.groupBy("band", "key").agg(F.min_by(F.struct("id", "n", "lone"), "id").alias("l")),
                        ["band", "key"]).select(
-        "band", "key", "id", "n", "lone", F.col("l.id").alias("leader"), F.col("l.n").alias("m"),
-        F.col("l.lone").alias("lone_m"))
-    return led, led.where("id <> leader").where(_fits("n", "m", "lone", "lone_m")).select(
-        F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
+        "id", "n", "lone", F.col("l.id").alias("leader"), F.col("l.n").alias("m"), F.col("l.lone").alias("lone_m"))
+    return led.where("id <> leader").where(_fits("n", "m", "lone", "lone_m")).select(
+        F.col("id").alias("u"), F.col("leader").alias("v"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -252,21 +251,16 @@ def near_classes(docs: DataFrame) -> DataFrame:
              .select(F.col("id").alias("u"), "v").distinct())
     many = members.where(F.col("size") > SMALL).select("band", "key", "id", "n")
     many = stored(_with_lone(many, words), "many")
-    if many.isEmpty():
-        links = stored(verified(pairs, words), "links")
-        tied = components(links.select("u", "v"))
-    else:
-        led, first = _leader_pairs(many)
-        links = stored(verified(pairs.union(first).distinct(), words), "links")
-        rest = led.where("id <> leader").join(
-            links.select(F.col("u").alias("id"), F.col("v").alias("leader")), ["id", "leader"], "left_anti")
-        _, second = _leader_pairs(rest.select("band", "key", "id", "n", "lone"))
-        links = links.union(stored(verified(second, words), "links"))
-        tied = components(links.select("u", "v"))
-        last = stored(verified(_left_over(many, tied, texts), words), "links")
-        if not last.isEmpty():
+    links = stored(verified(pairs.union(_leader_pairs(many)).distinct(), words), "links")
+    tied = components(links.select("u", "v"))
+    for most in (CLOSEST, None):
+        last = _left_over(many, tied, texts, most)
+        if last is None:
+            break
+        links = stored(verified(last, words), "links")
+        if not links.isEmpty():
             tied = components(tied.select(F.col("vertex").alias("u"), F.col("component").alias("v"))
-                              .union(last.select("u", "v")))
+                              .union(links.select("u", "v")))
     texts = texts.select("exact", "exact_id").join(
         tied.select(F.col("vertex").alias("exact_id"), "component"), "exact_id", "left")
     return rows.select("doc_id", "exact").join(texts, "exact", "left").select(
@@ -274,9 +268,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "exact_id", "doc_id")).alias("class_id"))
 
 
-def _left_over(many: DataFrame, tied: DataFrame, texts: DataFrame) -> DataFrame:
+def _left_over(many: DataFrame, tied: DataFrame, texts: DataFrame, most: int | None) -> DataFrame | None:
     """Pairs of large buckets still in different classes: those outside the bucket's largest class against all others
-    that share a second sketch. Members that the bucket's shortest text shows to have no partner are left out."""
+    that share a second sketch, or against the `most` that share the most. Members that the bucket's shortest text
+    shows to have no partner are left out. None if there is no such member."""
     placed = many.join(tied.withColumnRenamed("vertex", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     largest = (placed.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.min("n").alias("least"))
@@ -286,12 +281,17 @@ def _left_over(many: DataFrame, tied: DataFrame, texts: DataFrame) -> DataFrame:
     keys = texts.select(F.col("exact_id").alias("id"), "keys")
     outside = stored(placed.join(largest, ["band", "key"]).where("component <> main").where(
         F.expr("n - lone") >= SIMILARITY * F.expr("greatest(least, n - lone) + lone")).join(keys, "id"), "outside")
+    if outside.isEmpty():
+        return None
     other = placed.join(outside.select("band", "key").distinct(), ["band", "key"], "left_semi").join(keys, "id").select(
         "band", "key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("lone").alias("lone_m"),
         F.col("component").alias("c2"), F.col("keys").alias("keys2"))
-    shared = F.filter(F.zip_with("keys", "keys2", lambda a, b: a == b), lambda same: same)
+    same = F.size(F.filter(F.zip_with("keys", "keys2", lambda a, b: a == b), lambda s: s))
     pairs = outside.join(other, ["band", "key"]).where("component <> c2").where(
-        _fits("n", "m", "lone", "lone_m") & (F.size(shared) > 1))
+        _fits("n", "m", "lone", "lone_m") & (same > 1)).select("id", "v", same.alias("same")).distinct()
+    if most is not None:
+        order = Window.partitionBy("id").orderBy(F.desc("same"), "v")
+        pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
 
 
