@@ -54,9 +54,9 @@ def keyword_json(field: Column) -> Column:
 
 
 def canonical_hash(*parts: Column) -> Column:
-    """Sixteen hex digits over the parts' canonical text."""
-    rendered = [F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
-    return F.substring(F.sha2(F.concat_ws("\u001f", *rendered), 256), 1, 16)
+    """Sixteen hex digits over the parts as one JSON object: no value can run into the next, and null is not text."""
+    fields = F.struct(*[p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)])
+    return F.substring(F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256), 1, 16)
 
 
 def content_hash(c: Column) -> Column:

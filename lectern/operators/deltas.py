@@ -127,3 +127,8 @@ def audit_targets(clusters: DataFrame, reviews: DataFrame) -> DataFrame:
         F.when(changed, F.lit("changed_since_last_audit")),
         F.when(changed & (F.lower("status") == "open"), F.lit("open_review"))))
     return joined.where(missing | changed).select("cluster_id", F.array_join(reasons, ",").alias("reasons"))
+
+
+def cluster_id(scope: Column, number: Column) -> Column:
+    """Id of a scope's cluster: the number has seven digits at least and is never cut."""
+    return F.concat(scope, F.lit("__local_"), F.format_string("%07d", number))

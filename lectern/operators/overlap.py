@@ -3,8 +3,9 @@
 A span of four or more words matches when any window of six words (all words
 when the span is shorter) occurs in the chunk's text. Inner words of such an
 occurrence are whole words, so the second and third word of a window are an
-equality key; neighbours are then compared literally. Short spans have no such
-key and are compared by containment within their own page.
+equality key; neighbours are then compared literally. A span of two or three
+words is keyed by the letters around its first gap, a single long word by its
+first letters, which long words of the text offer at every place.
 """
 
 from __future__ import annotations
@@ -29,27 +30,45 @@ def _windows(words: Column) -> Column:
         F.array_join(F.slice(words, s + 4, width - 3), " ")))
 
 
+GAP, WORD = "\u001eg", "\u001ew"  # matching forms hold no control characters
+SHORTEST, LETTERS = 10, 4
+
+
+def _gap_key(left: Column, right: Column) -> Column:
+    return F.concat(F.lit(GAP), F.right(left, F.lit(1)), F.lit(" "), F.left(right, F.lit(1)))
+
+
+def _short(words: Column, span: Column) -> Column:
+    """(pair, first, rest) of a span under four words."""
+    first, rest = F.get(words, F.lit(0)), F.array_join(F.slice(words, 2, 2), " ")
+    letters = F.concat(F.lit(WORD), F.substring(span, 1, LETTERS))
+    return F.when(F.size(words) > 1, F.concat_ws(MARK, _gap_key(first, F.get(words, F.lit(1))), first, rest)).otherwise(
+        F.concat_ws(MARK, letters, F.lit(""), span))
+
+
 def _positions(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """(pair, before, after) at every word of ``body``, plus the body itself.
+    """(pair, before, after) at every word of ``body``: for windows, for gaps, and for long words.
 
     Shifted copies of the word array are zipped and unrolled, which generated
-    code does far faster than a lambda per position. The body travels as one
-    marked extra word; its mark keeps it from matching as a neighbour.
+    code does far faster than a lambda per position.
     """
-    words = rows.select(*keep, F.concat(F.split("body", " "), F.array(F.concat(F.lit(MARK), F.col("body")))).alias("_w"))
+    words = rows.select(*keep, F.split("body", " ").alias("_w"))
     names = [f"_t{i}" for i in range(6)]
     shifted = [F.col("_w")] + [F.slice("_w", F.lit(i + 1), F.size("_w")) for i in range(1, 6)]
     unrolled = words.select(*keep, F.inline(F.arrays_zip(*shifted)).alias(*names))
-    body = F.col("_t0").startswith(MARK)
-    return unrolled.where(body | F.col("_t3").isNotNull()).select(
-        *keep,
-        F.when(body, "").otherwise(F.concat_ws(" ", "_t1", "_t2")).alias("pair"),
-        F.when(body, "").otherwise(F.col("_t0")).alias("before"),
-        F.when(body, F.substring("_t0", 2, 2_000_000_000)).otherwise(F.concat_ws(" ", "_t3", "_t4", "_t5")).alias("after"))
 
+    def entry(pair: Column, before: Column, after: Column) -> Column:
+        return F.struct(pair.alias("pair"), before.alias("before"), after.alias("after"))
 
-def _whole(text: Column) -> Column:
-    return F.concat_ws(MARK, F.lit(""), F.lit(""), text)
+    t0, t1 = F.col("_t0"), F.col("_t1")
+    window = F.when(F.col("_t3").isNotNull(), entry(F.concat_ws(" ", "_t1", "_t2"), t0, F.concat_ws(" ", "_t3", "_t4", "_t5")))
+    gap = F.when(t1.isNotNull(), entry(_gap_key(t0, t1), t0, F.concat_ws(" ", "_t1", "_t2")))
+    inside = F.when(F.length(t0) >= SHORTEST, F.transform(
+        F.sequence(F.lit(1), F.length(t0) - (SHORTEST - 1)),
+        lambda i: entry(F.concat(F.lit(WORD), F.substring(t0, i, F.lit(LETTERS))), F.lit(""), F.substring(t0, i, F.length(t0)))))
+    everything = F.concat(F.array_compact(F.array(window, gap)), F.coalesce(inside, F.array().cast(
+        "array<struct<pair:string,before:string,after:string>>")))
+    return unrolled.select(*keep, F.inline(everything))
 
 
 def _exploded(rows: DataFrame, keep: list[str], joined: Column, names: tuple[str, str, str]) -> DataFrame:
@@ -67,17 +86,14 @@ def overlaps(chunks: DataFrame, annotations: DataFrame) -> DataFrame:
     spans = (
         annotations.where(F.col("type").isin("highlight", "underline") & (F.coalesce("quoted_text", F.lit("")) != ""))
         .select(*PAGE, "annotation_id", matching_form(F.col("quoted_text")).alias("span"))
-        .where(F.length("span") >= 10)
+        .where(F.length("span") >= SHORTEST)
         .withColumn("words", F.split("span", " "))
     )
     marked = spans.select(*PAGE).distinct()
     texts = chunks.join(marked, PAGE, "left_semi").select(*PAGE, "chunk_id", matching_form(F.col("text")).alias("body"))
 
-    # Short spans and whole chunk texts meet under the empty pair.
-    wanted = F.when(F.size("words") >= 4, _windows(F.col("words"))).otherwise(F.array(_whole(F.col("span"))))
+    wanted = F.when(F.size("words") >= 4, _windows(F.col("words"))).otherwise(F.array(_short(F.col("words"), F.col("span"))))
     windows = _exploded(spans, [*PAGE, "annotation_id"], wanted, ("pair", "first", "rest"))
-    pairs = _positions(texts, [*PAGE, "chunk_id"])
-    inside = F.contains("after", "rest")
     aligned = F.endswith("before", "first") & F.startswith("after", "rest")
-    met = pairs.join(windows, [*PAGE, "pair"]).where(F.when(F.col("pair") == "", inside).otherwise(aligned))
+    met = _positions(texts, [*PAGE, "chunk_id"]).join(windows, [*PAGE, "pair"]).where(aligned)
     return met.select(*PAGE, "chunk_id", "annotation_id").distinct()

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from lectern.functions.fixed import BM25_B, BM25_IDF_FLOOR, BM25_K1
 from lectern.functions.text import word_tokens
 
-BUCKETS = 256
-
-
 def build(rows: DataFrame, key: str, field: str) -> DataFrame:
     """(term, document, tf, length) rows; the document length rides along."""
     tokens = rows.select(key, F.inline(F.transform(
@@ -29,19 +26,22 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("uses"))
 
 
-def write(postings: DataFrame, path: str, buckets: int = BUCKETS, spread_by: int = 8) -> None:
-    """Parquet partitioned by term bucket; a frequent term's rows are salted
-    over several files so that no writer holds them all."""
-    bucketed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    salted = bucketed.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in postings.columns if c not in ("tf", "length")]), F.lit(spread_by)))
-    salted.repartition("bucket", "_salt").drop("_salt").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write(postings: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Parquet partitioned by term bucket, as many as the session has shuffle partitions unless told otherwise; the
+    number is part of the layout. Rebalancing splits a bucket that is larger than the advisory partition size over
+    several writers, however frequent its terms are."""
+    buckets = buckets or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = postings.withColumns({
+        "buckets": F.lit(buckets), "bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")})
+    bucketed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
+        "buckets", "bucket").parquet(path)
 
 
-def probe(postings: DataFrame, terms: list[str], buckets: int = BUCKETS) -> DataFrame:
+def probe(postings: DataFrame, terms: list[str]) -> DataFrame:
     """Only the query's postings: bucket pruning first, then the term filter."""
     hit = postings.where(F.col("term").isin(*terms))
     if "bucket" in postings.columns:
-        wanted = [F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms]
+        wanted = [F.pmod(F.xxhash64(F.lit(t)), F.col("buckets").cast("bigint")).cast("int") for t in terms]
         hit = hit.where(reduce(lambda a, b: a | b, (F.col("bucket") == w for w in wanted)))
     return hit
 

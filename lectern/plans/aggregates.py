@@ -11,7 +11,6 @@ from lectern.operators import evidence, keywords
 from lectern.plans import corpus
 from lectern.plans.corpus import CATALOGUE, CLUSTERS, CONCEPTS, table, with_ctes
 from lectern.plans.registry import query
-from lectern.session import spread
 
 GLOSSARY = """,
 glossary AS (
@@ -130,7 +129,7 @@ counts AS (
 
 
 def _counts(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", lines(F.col("text")).alias("pages"))
+    docs = table(spark, folder, "documents").select("doc_id", "text").select("doc_id", lines(F.col("text")).alias("pages"))
     return keywords.term_counts(docs, "doc_id", "pages")
 
 
@@ -167,7 +166,7 @@ n AS (SELECT source, count(*) AS page_count FROM documents GROUP BY 1)
 SELECT source, line, pages_with, page_count FROM c JOIN n USING (source) WHERE pages_with >= CASE WHEN page_count < 8 THEN 2 ELSE 3 END""")
 def header_footer_lines(spark, folder):
     docs = table(spark, folder, "documents")
-    pages = spread(docs.select("source", "text")).select("source", F.transform(lines(F.col("text")), tidy_line).alias("l"))
+    pages = docs.select("source", "text").select("source", F.transform(lines(F.col("text")), tidy_line).alias("l"))
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("page_count"))
     return keywords.repeated_lines(pages, "source", "l", counts).select("source", "line", "pages_with", "page_count")
 

@@ -8,7 +8,6 @@ from lectern.functions.text import bind, estimated_tokens, lines, strip
 from lectern.operators import overlap, packing
 from lectern.plans.corpus import table, with_ctes
 from lectern.plans.registry import query
-from lectern.session import spread
 
 FOLD = """
 paras AS (
@@ -27,7 +26,7 @@ CHUNK_FOLD = FOLD.format(size="length(x)", full="a['cur'] + x['cur'] + 1 > 2000"
 
 
 def _paragraphs(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     cleaned = F.filter(F.transform(lines(F.col("text")), strip), lambda x: x != "")
     return docs.select("doc_id", cleaned.alias("p"))
 
@@ -66,8 +65,8 @@ def packet_parts(spark, folder):
 
 SPANS = r"""
 note_rows AS (
-  SELECT d.doc_id, unnest(string_split(text, chr(10))[1:6]) AS quoted_text, generate_subscripts(string_split(text, chr(10))[1:6], 1) - 1 AS pos, toxic
-  FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE quality = 1),
+  SELECT d.doc_id, unnest(string_split(text, chr(10))) AS quoted_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, coalesce(toxic, 0) AS toxic
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 notes AS (SELECT doc_id, 'n' || pos AS annotation_id, quoted_text FROM note_rows WHERE toxic = 0)"""
 
 
@@ -86,13 +85,13 @@ MATCH = """(contains(b.body, s.span) OR (len(s.w) >= 4 AND len(list_filter(range
 
 
 def _notes(spark, folder):
-    labels = table(spark, folder, "labels").where("quality = 1").select("doc_id", "toxic")
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).join(labels, "doc_id")
-    quotes = docs.select("doc_id", "toxic", F.posexplode(F.slice(lines(F.col("text")), 1, 6)).alias("pos", "quoted_text"))
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    docs = table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    quotes = docs.select("doc_id", "toxic", F.posexplode(lines(F.col("text"))).alias("pos", "quoted_text"))
     return quotes.select(
         F.col("doc_id").alias("material_id"), F.lit(1).alias("page"),
         F.concat(F.lit("n"), F.col("pos").cast("string")).alias("annotation_id"), "quoted_text",
-        F.when(F.col("toxic") == 0, "highlight").otherwise("note").alias("type"))
+        F.when(F.col("toxic") == 1, "note").otherwise("highlight").alias("type"))
 
 
 def _overlaps(spark, folder):

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions.names import singular
 from lectern.functions.text import bind, first_line, lines, strip, word_tokens
-from lectern.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,7 +21,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def materials(spark: SparkSession, folder: str) -> DataFrame:
     """documents as materials: domain = lang, collection = source."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
     return docs.select(
         F.col("doc_id").alias("material_id"),
         F.col("lang").alias("domain"),
@@ -43,7 +42,7 @@ materials AS (
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Non-empty lines of a document; long lines of reviewed documents are emphasised."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").where("quality = 1").select("doc_id", F.lit(1).alias("good"))
     exploded = docs.join(labels, "doc_id", "left").select(
         "doc_id", "good", F.posexplode(lines(F.col("text"))).alias("pos", "line")
@@ -51,7 +50,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return exploded.select(
         F.col("doc_id").alias("material_id"),
         F.format_string("chk_%05d", F.col("pos") + 1).alias("chunk_id"),
-        (F.col("doc_id") * 1000000 + F.col("pos")).alias("chunk_key"),
+        F.format_string("%019d-%019d", "doc_id", "pos").alias("chunk_key"),
         F.col("pos").cast("bigint").alias("pos"),
         strip(F.col("line")).alias("text"),
         (F.col("good").isNotNull() & (F.length("line") >= 200)).alias("emphasized"),
@@ -65,7 +64,7 @@ raw_lines AS (
   FROM documents),
 chunks AS (
   SELECT r.doc_id AS material_id, format('chk_{:05d}', pos + 1) AS chunk_id,
-         r.doc_id * 1000000 + pos AS chunk_key, CAST(pos AS BIGINT) AS pos,
+         format('{:019d}-{:019d}', r.doc_id, pos) AS chunk_key, CAST(pos AS BIGINT) AS pos,
          trim(line) AS text, (l.doc_id IS NOT NULL AND length(line) >= 200) AS emphasized
   FROM raw_lines r LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = r.doc_id
   WHERE trim(line) <> '')"""
@@ -75,7 +74,7 @@ chunks AS (
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as a reader's marks; a user's turn carries a comment."""
-    return spread(table(spark, folder, "conversations")).select(
+    return table(spark, folder, "conversations").select(
         F.col("conv_id").alias("material_id"),
         F.col("turn").alias("page"),
         F.concat_ws("-", F.lit("ann"), "conv_id", "turn").alias("annotation_id"),
@@ -96,14 +95,14 @@ annotations AS (
 
 def figures(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraph blocks of a web page as figure descriptions."""
-    pages = spread(table(spark, folder, "pages").select("page_id", "html"))
+    pages = table(spark, folder, "pages").select("page_id", "html")
     blocks = pages.select(
         "page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1))).alias("pos", "description")
     )
     return blocks.select(
         F.col("page_id").alias("material_id"),
         F.format_string("fig_%04d", F.col("pos") + 1).alias("figure_id"),
-        (F.col("page_id") * 100000 + F.col("pos")).alias("figure_key"),
+        F.format_string("%019d-%019d", "page_id", "pos").alias("figure_key"),
         (F.col("pos") + 1).cast("bigint").alias("source_page"),
         F.when(F.length("description") >= 120, "photo").otherwise("diagram").alias("visual_type"),
         F.when(F.length("description") >= 60, "substantive").otherwise("decorative").alias("relevance"),
@@ -119,7 +118,7 @@ raw_figures AS (
   FROM pages),
 figures AS (
   SELECT page_id AS material_id, format('fig_{:04d}', pos + 1) AS figure_id,
-         page_id * 100000 + pos AS figure_key, CAST(pos + 1 AS BIGINT) AS source_page,
+         format('{:019d}-{:019d}', page_id, pos) AS figure_key, CAST(pos + 1 AS BIGINT) AS source_page,
          CASE WHEN length(description) >= 120 THEN 'photo' ELSE 'diagram' END AS visual_type,
          CASE WHEN length(description) >= 60 THEN 'substantive' ELSE 'decorative' END AS relevance,
          CASE WHEN length(description) >= 20 THEN 'figures/' || pos || '.png' ELSE '' END AS image_path,
@@ -130,13 +129,15 @@ figures AS (
 # ----------------------------------------------------------------- concepts
 
 def concepts(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct words of a document's title line, graded by where they first stand.
+    """Key terms of a document, the longest word of each of its lines, graded by where they first stand.
 
     Keyed (material, concept key); the first spelling wins inside the row, so
     no shuffle is needed.
     """
-    docs = spread(table(spark, folder, "documents").select(F.col("doc_id").alias("material_id"), "text"))
-    words = F.array_distinct(word_tokens(first_line(F.col("text"))))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("material_id"), "text")
+    longest = F.transform(lines(F.col("text")), lambda line: F.aggregate(
+        word_tokens(line), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a)))
+    words = F.array_distinct(F.filter(longest, lambda w: w != ""))
 
     def first_spellings(found):
         """Sort by (key, position) and keep each key's first entry."""
@@ -155,11 +156,12 @@ def concepts(spark: SparkSession, folder: str) -> DataFrame:
 
 CONCEPTS = r"""
 raw_words AS (
-  SELECT doc_id AS material_id, string_split(text, chr(10))[1] AS title FROM documents),
+  SELECT doc_id AS material_id, string_split(text, chr(10)) AS rows FROM documents),
 word_lists AS (
   SELECT material_id,
-         list_filter(regexp_extract_all(strip_accents(lower(trim(title))), '[\p{L}\p{N}]+'),
-                     lambda x: true) AS w
+         list_filter(list_transform(rows, lambda r: list_reduce(
+           list_concat([''], regexp_extract_all(strip_accents(lower(trim(r))), '[\p{L}\p{N}]+')),
+           lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END)), lambda x: x <> '') AS w
   FROM raw_words),
 word_rows AS (
   SELECT material_id, unnest(w) AS concept_name, generate_subscripts(w, 1) AS spot FROM word_lists),

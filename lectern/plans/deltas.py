@@ -14,10 +14,10 @@ from lectern.plans.registry import query
 REFS = """
 refs AS (
   SELECT c.material_id || '/' || c.pos AS ref_id, source AS cluster_id, CAST(substr(source, 4) AS BIGINT) AS cluster_pos,
-         c.material_id * 100 + c.pos AS src_pos, c.material_id,
+         c.pos AS src_pos, c.material_id,
          CASE pos WHEN 0 THEN concept_name || 'S' WHEN 1 THEN left(concept_name, greatest(length(concept_name) - 1, 1))
                   WHEN 2 THEN concept_name || 'xyz' WHEN 3 THEN 'zz unknown' ELSE concept_name END AS concept_name
-  FROM concepts c JOIN documents d ON d.doc_id = c.material_id WHERE pos < 5),
+  FROM concepts c JOIN documents d ON d.doc_id = c.material_id),
 keyed AS (
   SELECT *, CASE WHEN k LIKE '%ies' AND length(k) > 4 THEN left(k, length(k) - 3) || 'y'
     WHEN k LIKE '%es' AND length(k) > 3 THEN left(k, length(k) - 2) WHEN k LIKE '%s' AND length(k) > 2 THEN left(k, length(k) - 1) ELSE k END AS key
@@ -33,14 +33,14 @@ near AS (
 resolved AS (SELECT * FROM exact UNION ALL SELECT * FROM named UNION ALL SELECT * FROM near)"""
 CLAIMS = """,
 claims AS (
-  SELECT r.material_id, x.concept_key, arg_min(r.cluster_id, r.cluster_pos * 1000000000 + r.src_pos) AS cluster_id
+  SELECT r.material_id, x.concept_key, arg_min(r.cluster_id, {'a': r.cluster_pos, 'b': r.src_pos}) AS cluster_id
   FROM resolved x JOIN refs r USING (ref_id) GROUP BY 1, 2),
 kept AS (SELECT * FROM claims WHERE cluster_id IN (SELECT cluster_id FROM claims GROUP BY 1 HAVING count(DISTINCT material_id) >= 2))"""
 
 
 def _refs(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("material_id"), F.col("source").alias("cluster_id"))
-    rows = corpus.concepts(spark, folder).where("pos < 5").join(docs, "material_id")
+    rows = corpus.concepts(spark, folder).join(docs, "material_id")
     name, pos = F.col("concept_name"), F.col("pos")
     shorter = F.substring(name, F.lit(1), F.greatest(F.length(name) - 1, F.lit(1)))
     proposed = (
@@ -49,7 +49,7 @@ def _refs(spark, folder):
     return rows.select(
         F.concat_ws("/", "material_id", "pos").alias("ref_id"), "cluster_id",
         F.substring("cluster_id", 4, 10).cast("bigint").alias("cluster_pos"),
-        (F.col("material_id") * 100 + pos).alias("src_pos"), "material_id", proposed.alias("concept_name"))
+        pos.alias("src_pos"), "material_id", proposed.alias("concept_name"))
 
 
 @query("reference_resolve", "J22", with_ctes(CONCEPTS, REFS) + "SELECT ref_id, concept_key FROM resolved")
@@ -94,7 +94,7 @@ def concept_index_first_wins(spark, folder):
 @query("next_ids", "W11 G5", """
 WITH o AS (SELECT o_orderkey, o_orderstatus AS scope, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END AS idx FROM orders),
 m AS (SELECT scope, max(idx) AS top FROM o GROUP BY 1)
-SELECT o_orderkey, scope || '__local_' || lpad(CAST(coalesce(idx, top + row_number() OVER (PARTITION BY scope, idx IS NULL ORDER BY o_orderkey)) AS VARCHAR), 7, '0') AS cluster_id
+SELECT o_orderkey, scope || '__local_' || format('{:07d}', coalesce(idx, top + row_number() OVER (PARTITION BY scope, idx IS NULL ORDER BY o_orderkey))) AS cluster_id
 FROM o JOIN m USING (scope)""")
 def next_ids(spark, folder):
     """Rows with an id keep it; new rows continue after the scope's highest."""
@@ -106,7 +106,7 @@ def next_ids(spark, folder):
         "o_orderkey", "scope", (F.col("top") + F.col("number")).alias("idx"))
     known = rows.where("idx IS NOT NULL").select("o_orderkey", "scope", "idx")
     return known.unionByName(fresh).select(
-        "o_orderkey", F.concat("scope", F.lit("__local_"), F.lpad(F.col("idx").cast("string"), 7, "0")).alias("cluster_id"))
+        "o_orderkey", ops.cluster_id(F.col("scope"), F.col("idx")).alias("cluster_id"))
 
 
 @query("slug_dedupe", "W12", """
@@ -304,15 +304,20 @@ def horizon_overlaps(spark, folder):
 
 
 @query("reflection_due", "G21", """
-WITH c AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS u, max(ts) AS t FROM events GROUP BY 1)
-SELECT event_type, CASE WHEN abs(n - 2000) >= 5 OR abs(u - 150) >= 3 THEN 'enough graph change accumulated'
+WITH c AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS u, max(ts) AS t,
+  count(*) FILTER (ts <= TIMESTAMP '2024-01-25 00:00:00') AS n0, count(DISTINCT user_id) FILTER (ts <= TIMESTAMP '2024-01-25 00:00:00') AS u0 FROM events GROUP BY 1)
+SELECT event_type, CASE WHEN abs(n - n0) >= 5 OR abs(u - u0) >= 3 THEN 'enough graph change accumulated'
   WHEN epoch(TIMESTAMP '2024-02-20 00:00:00' - t) / 3600 >= 168 THEN 'graph reflection periodic interval reached' ELSE 'graph reflection deferred by schedule' END AS reason FROM c""")
 def reflection_due(spark, folder):
     rows = table(spark, folder, "events")
     now = F.lit("2024-02-20 00:00:00").cast(dict(rows.dtypes)["ts"])
-    counts = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("u"), F.max("ts").alias("t"))
+    # the stamp: what the last reflection had counted
+    old = F.col("ts") <= F.lit("2024-01-25 00:00:00").cast(dict(rows.dtypes)["ts"])
+    counts = rows.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("u"), F.max("ts").alias("t"),
+        F.count_if(old).alias("n0"), F.count_distinct(F.when(old, F.col("user_id"))).alias("u0"))
     hours = F.timestamp_diff("SECOND", F.col("t"), now) / 3600
-    return counts.select("event_type", F.when((F.abs(F.col("n") - 2000) >= 5) | (F.abs(F.col("u") - 150) >= 3), "enough graph change accumulated")
+    return counts.select("event_type", F.when((F.abs(F.col("n") - F.col("n0")) >= 5) | (F.abs(F.col("u") - F.col("u0")) >= 3), "enough graph change accumulated")
                          .when(hours >= 168, "graph reflection periodic interval reached").otherwise("graph reflection deferred by schedule").alias("reason"))
 
 

@@ -65,19 +65,19 @@ pool AS (
   UNION ALL
   SELECT material_id, chunk_id, 1, row_number() OVER (PARTITION BY material_id ORDER BY score + CASE WHEN emphasized THEN 0.2 ELSE 0 END DESC, chunk_key) AS r FROM h1 QUALIFY r <= 3
   UNION ALL SELECT material_id, chunk_id, 2, rn FROM fallback),
-one AS (SELECT material_id, chunk_id, min(src * 1000 + r) AS o FROM pool GROUP BY 1, 2)
-SELECT material_id, chunk_id, CASE WHEN o >= 2000 THEN 'fallback' ELSE 'search' END AS source, rn FROM (
+one AS (SELECT material_id, chunk_id, min({'src': src, 'r': r}) AS o FROM pool GROUP BY 1, 2)
+SELECT material_id, chunk_id, CASE WHEN o.src = 2 THEN 'fallback' ELSE 'search' END AS source, rn FROM (
   SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY o) AS rn FROM one) WHERE rn <= 3""")
 def evidence_packet(spark, folder):
     """Chunks found by each query in turn, filled up from the plain sample."""
     found = []
     for i, ask in enumerate(("thorat mente", "erblest")):
         top = search_ops.top_chunks(bm25(chunk_table(spark, folder), query_phrases(ask)), "material_id", "chunk_key", 3)
-        found.append(top.select("material_id", "chunk_id", (F.lit(i * 1000) + F.col("rank")).alias("o")))
-    found.append(_fallback(spark, folder).select("material_id", "chunk_id", (F.lit(2000) + F.col("rn")).alias("o")))
+        found.append(top.select("material_id", "chunk_id", F.struct(F.lit(i).alias("src"), F.col("rank").cast("bigint").alias("r")).alias("o")))
+    found.append(_fallback(spark, folder).select("material_id", "chunk_id", F.struct(F.lit(len(found)).alias("src"), F.col("rn").cast("bigint").alias("r")).alias("o")))
     one = reduce(DataFrame.unionByName, found).groupBy("material_id", "chunk_id").agg(F.min("o").alias("o"))
     return sample_per(one, "material_id", 3, F.asc("o")).select(
-        "material_id", "chunk_id", F.when(F.col("o") >= 2000, "fallback").otherwise("search").alias("source"), "rn")
+        "material_id", "chunk_id", F.when(F.col("o.src") == len(found) - 1, "fallback").otherwise("search").alias("source"), "rn")
 
 
 @query("collection_selection", "W16", """

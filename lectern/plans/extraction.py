@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import figures as G
+from lectern.functions.fixed import SCAN_ARTIFACT_PHRASES
 from lectern.functions.text import bind
 from lectern.operators import postings
 from lectern.operators.ranking import best
 from lectern.plans.corpus import table, with_ctes
 from lectern.plans.registry import query
 from lectern.plans.search import bm25_cte
-from lectern.session import rounded, spread
+from lectern.session import rounded
 from lectern.sources import paths, readers
 
 FILES = """
@@ -72,21 +73,18 @@ SELECT doc_id, heading, body FROM g WHERE trim(body, e' \n\t\r') <> ''""")
 def markdown_sections(spark, folder):
     parts = F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) > 200, F.concat(F.lit("## "), x)).otherwise(x))
     md = F.concat(F.array_join(parts, "\n"), F.lit("\n```\n# not a heading\n```"))
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.explode(bind(md, readers.markdown_sections)).alias("s")).select("doc_id", "s.heading", "s.body")
 
 
 @query("capped_sheets", "S14", """
-WITH r AS (SELECT l_suppkey AS material_id, l_returnflag AS sheet, l_orderkey AS row, l_partkey FROM lineitem),
-z AS (SELECT material_id, sheet, max(row) AS top FROM r GROUP BY 1, 2)
-SELECT r.material_id, r.sheet, r.row, r.sheet || ',' || l_partkey AS cells, top > 2000 AS truncated_rows, true AS truncated_columns
-FROM r JOIN z ON z.material_id = r.material_id AND z.sheet = r.sheet WHERE r.row <= 2000""")
+WITH r AS (SELECT l_suppkey AS material_id, l_returnflag AS sheet, l_orderkey AS row, l_partkey FROM lineitem)
+SELECT material_id, sheet, row, sheet || ',' || l_partkey || ',end' AS cells, false AS truncated_rows, false AS truncated_columns FROM r""")
 def capped_sheets(spark, folder):
     rows = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("material_id"), F.col("l_returnflag").alias("sheet"), F.col("l_orderkey").alias("row"),
-        F.array("l_returnflag", F.col("l_partkey").cast("string"), F.lit("cut")).alias("cells"))
-    capped = readers.capped_sheet(rows, 2000, 2)
-    return capped.withColumn("cells", F.array_join("cells", ","))
+        F.array("l_returnflag", F.col("l_partkey").cast("string"), F.lit("end")).alias("cells"))
+    return readers.capped_sheet(rows).withColumn("cells", F.array_join("cells", ","))
 
 
 @query("annotation_types", "S12", """
@@ -98,7 +96,8 @@ def annotation_types(spark, folder):
     return mapped.where("type IS NOT NULL")
 
 
-BOXES = """
+PHRASES = "phrases AS (SELECT [" + ", ".join(f"'{p}'" for p in SCAN_ARTIFACT_PHRASES) + "] AS list)"
+BOXES = PHRASES + """,
 boxes AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 200 AS x0, l_tax * 200 AS y0, l_discount * 200 + l_quantity * 12 AS x1,
          l_tax * 200 + l_extendedprice / 90 AS y1, l_returnflag, l_linestatus FROM lineitem),
@@ -107,17 +106,19 @@ tested AS (
   SELECT *, w > 0 AND h > 0 AND (w < 48 OR h < 48 OR w * h < 3500) AS tiny,
          x0 <= 1 AND y0 <= 1 AND w >= 400 AND h >= 700 AS full_page,
          CASE l_linestatus WHEN 'O' THEN 'embedded' ELSE 'rasterized' END AS method,
-         CASE l_returnflag WHEN 'A' THEN 'Blank scan of a page' ELSE 'drawing' END AS description,
-         CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN ' Decorative ' ELSE 'substantive' END AS relevance FROM sized)"""
+         CASE l_returnflag WHEN 'A' THEN 'A ' || upper(phrases.list[1 + l_partkey % len(phrases.list)]) || '.' WHEN 'N' THEN 'drawing ' || left(phrases.list[1 + l_partkey % len(phrases.list)], 5) ELSE 'drawing' END AS description,
+         CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN ' Decorative ' ELSE 'substantive' END AS relevance FROM sized, phrases)"""
 
 
 def _boxes(spark, folder):
     x0, y0 = F.col("l_discount") * 200, F.col("l_tax") * 200
+    phrase = F.get(F.array(*map(F.lit, SCAN_ARTIFACT_PHRASES)), (F.col("l_partkey") % len(SCAN_ARTIFACT_PHRASES)).cast("int"))
     box = F.array(x0, y0, x0 + F.col("l_quantity") * 12, y0 + F.col("l_extendedprice") / 90)
     return table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", box.alias("box"),
         F.when(F.col("l_linestatus") == "O", "embedded").otherwise("rasterized").alias("method"),
-        F.when(F.col("l_returnflag") == "A", "Blank scan of a page").otherwise("drawing").alias("description"),
+        F.when(F.col("l_returnflag") == "A", F.concat(F.lit("A "), F.upper(phrase), F.lit(".")))
+        .when(F.col("l_returnflag") == "N", F.concat(F.lit("drawing "), F.substring(phrase, 1, 5))).otherwise("drawing").alias("description"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), " Decorative ").otherwise("substantive").alias("relevance"))
 
 
@@ -133,7 +134,7 @@ def bbox_geometry(spark, folder):
 
 @query("deletable_figures", "F14 H15", with_ctes(BOXES) + f"""
 SELECT {IDS} FROM tested WHERE lower(trim(relevance)) IN ('decorative', 'front_matter')
-  OR (method = 'embedded' AND (tiny OR full_page) AND contains(lower(description), 'blank scan'))""")
+  OR (method = 'embedded' AND (tiny OR full_page) AND EXISTS (SELECT 1 FROM (SELECT unnest(list) AS p FROM phrases) WHERE contains(lower(description), p)))""")
 def deletable_figures(spark, folder):
     drop = G.deletable(F.col("relevance"), F.col("method"), F.col("box"), F.col("description"))
     return _boxes(spark, folder).where(drop).select("l_orderkey", "l_linenumber", "l_partkey")
@@ -161,7 +162,7 @@ def merged_regions(spark, folder):
 
 
 def _postings(spark, folder):
-    return postings.build(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
+    return postings.build(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @query("postings_build", "K1 S6", r"""
@@ -182,7 +183,7 @@ def postings_term_stats(spark, folder):
 @query("search_via_postings", "W1 J1 F5", with_ctes(bm25_cte("hits", "documents", "doc_id", ["text"], "reer inhe mente")) + """
 SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM hits ORDER BY score DESC, doc_id LIMIT 20""")
 def search_via_postings(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     hits = postings.bm25(_postings(spark, folder), postings.lengths(docs, "doc_id", "text"), "doc_id", ["reer", "inhe", "mente"])
     top = best(hits, 20, F.desc("score"), F.asc("doc_id"))
     return top.select("doc_id", rounded(F.col("score")).alias("score"), "rank")

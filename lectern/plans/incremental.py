@@ -13,7 +13,7 @@ from lectern.plans.registry import query
 
 
 @query("fingerprints", "A25 G18", """
-SELECT doc_id, substr(sha256(lang || chr(31) || source || chr(31) || sha256(text)), 1, 16) AS fingerprint FROM documents""")
+SELECT doc_id, substr(sha256(CAST(to_json({'p0': lang, 'p1': source, 'p2': sha256(text)}) AS VARCHAR)), 1, 16) AS fingerprint FROM documents""")
 def fingerprints(spark, folder):
     return table(spark, folder, "documents").select(
         "doc_id", canonical_hash(F.col("lang"), F.col("source"), content_hash(F.col("text"))).alias("fingerprint"))
@@ -39,11 +39,16 @@ def pending_since_watermark(spark, folder):
 
 
 @query("pending_in_scope", "F11 H3", """
-SELECT event_id FROM events WHERE event_type = 'click' AND ts > TIMESTAMP '2024-01-15 00:00:00'""")
+WITH scope AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click')
+SELECT event_id FROM events SEMI JOIN scope USING (user_id) WHERE event_type = 'error' OR ts > TIMESTAMP '2024-01-15 00:00:00'""")
 def pending_in_scope(spark, folder):
-    rows = table(spark, folder, "events").where("event_type = 'click'").select("event_id", "ts")
+    """Pending rows of the scope's materials; an unknown ingest time stays pending here too."""
+    events = table(spark, folder, "events")
+    scope = events.where("event_type = 'click'").select("user_id").distinct()
+    rows = events.join(scope, "user_id", "left_semi").select("event_id", "event_type", "ts")
+    ingested = rows.select("event_id", F.when(F.col("event_type") != "error", F.col("ts")).alias("ingested_at"))
     since = F.lit("2024-01-15 00:00:00").cast(dict(rows.dtypes)["ts"])
-    return rows.where(F.col("ts") > since).select("event_id")
+    return ops.pending(rows.select("event_id"), ingested, "event_id", since)
 
 
 @query("upsert_last_wins", "K2 S4 H16", """

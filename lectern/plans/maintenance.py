@@ -56,12 +56,13 @@ def stage_eligibility(spark, folder):
 
 
 @query("manifest_counters", "H23 A26", """
-WITH h AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents)
+WITH h AS (SELECT sha256(doc_id || ':' || sha256(text)) AS h FROM documents)
 SELECT count(*) AS materials, sha256(concat_ws(':',
   CAST(sum(('0x' || substr(h, 1, 12))::BIGINT) AS VARCHAR), CAST(sum(('0x' || substr(h, 13, 12))::BIGINT) AS VARCHAR),
   CAST(sum(('0x' || substr(h, 25, 12))::BIGINT) AS VARCHAR), CAST(sum(('0x' || substr(h, 37, 12))::BIGINT) AS VARCHAR), CAST(count(*) AS VARCHAR))) AS digest FROM h""")
 def manifest_counters(spark, folder):
-    h = table(spark, folder, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    member = F.concat(F.col("doc_id").cast("string"), F.lit(":"), content_hash(F.col("text")))
+    h = table(spark, folder, "documents").select(F.sha2(member, 256).alias("h"))
     return h.agg(F.count(F.lit(1)).alias("materials"), set_digest(F.col("h")).alias("digest"))
 
 

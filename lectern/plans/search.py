@@ -12,7 +12,7 @@ from lectern.operators.ranking import TextTable, best, bm25, query_phrases
 from lectern.plans import corpus
 from lectern.plans.corpus import ANNOTATIONS, CHUNKS, CLUSTERS, CONCEPTS, FIGURES, MATERIALS, MEMBERSHIPS, with_ctes
 from lectern.plans.registry import query
-from lectern.session import rounded, spread
+from lectern.session import rounded
 
 ASK = "reer of the inhe mente"
 
@@ -216,12 +216,16 @@ def figure_topk(spark, folder):
     return top.select("material_id", "figure_id", "visual_type", rounded(F.col("score")).alias("score"), "rank")
 
 
-@query("concept_topk", "W4 J2", with_ctes(CONCEPT_ROWS, CONCEPT_HITS) + """
+TERMS = "thanedble licensed therhean"
+TERM_HITS = bm25_cte("concept_hits", "concept_rows", "concept_row", ["concept_name"], TERMS, carry=("material_id", "concept_name", "relevance"))
+
+
+@query("concept_topk", "W4 J2", with_ctes(CONCEPT_ROWS, TERM_HITS) + """
 SELECT material_id, concept_name, relevance, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY score DESC, concept_row) AS rank FROM concept_hits)
 WHERE rank <= 3""")
 def concept_topk(spark, folder):
-    hits = bm25(concept_table(spark, folder), query_phrases(ASK))
+    hits = bm25(concept_table(spark, folder), query_phrases(TERMS))
     top = ops.top_plain(hits, "material_id", "concept_row", 3)
     return top.select("material_id", "concept_name", "relevance", rounded(F.col("score")).alias("score"), "rank")
 
@@ -464,7 +468,7 @@ SELECT doc_id,
        CASE WHEN e < n THEN '...' ELSE '' END END AS excerpt
 FROM y""")
 def excerpt_windows(spark, folder):
-    docs = spread(corpus.table(spark, folder, "documents").select("doc_id", "text"))
+    docs = corpus.table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", excerpt(F.col("text"), "mente thorat").alias("excerpt"))
 
 

@@ -11,7 +11,6 @@ from lectern.functions.fixed import DOCUMENT_TYPE_SIGNALS, STOP_WORDS
 from lectern.operators import doctypes
 from lectern.plans.corpus import table
 from lectern.plans.registry import query
-from lectern.session import spread
 
 TIDY = r"""trim(regexp_replace(regexp_replace(translate({x}, '‐‑‒–—', '-----'), '[ \t]+', ' ', 'g'), '[\s\p{{Z}}]+([,.;:!?])', '\1', 'g'))"""
 
@@ -21,7 +20,7 @@ def _tidy(x: str) -> str:
 
 
 def _docs(spark, folder):
-    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return table(spark, folder, "documents").select("doc_id", "text")
 
 
 KEY_SQL = """

@@ -1,13 +1,10 @@
-"""Session settings and the few physical-plan helpers the operators share."""
+"""Session settings and the rounding that the queries share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes below which a table cannot give every core one full scan split.
-SPLIT_BYTES = 128 * 1024 * 1024
-
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -27,24 +24,6 @@ def build_session(app: str = "lectern", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate for ``df`` (file sizes for a plain scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute an input too small to occupy every core.
-
-    A table with at least one full split per core is returned untouched, so on
-    large inputs this adds no shuffle; a small file with a single row group
-    would otherwise be tokenised by one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if cores < 2 or estimated_bytes(df) >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(cores)
-
-
 def rounded(column, digits: int = 6):
     """Scores leave every query rounded, so summation order cannot show."""
     return F.round(column, digits)

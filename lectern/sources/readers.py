@@ -24,7 +24,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def scan_library(spark: SparkSession, root: str, ignored_extensions: tuple[str, ...] = ()) -> DataFrame:
-    """Supported files below ``root``, sorted by path; contents are not read here."""
+    """Supported files below ``root``. ``content`` is a column that is only read where it is selected."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = root.rstrip("/") + "/"
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + prefix.replace(".", r"\."), "")
@@ -35,7 +35,7 @@ def scan_library(spark: SparkSession, root: str, ignored_extensions: tuple[str,
         paths.file_type(F.col("relative_path")).alias("file_type"),
         paths.domain(F.col("relative_path")).alias("domain"),
         paths.collection(F.col("relative_path")).alias("collection"),
-    ).orderBy("path")
+    )
 
 
 def snapshot(files: DataFrame) -> DataFrame:
@@ -136,12 +136,15 @@ def parse_with(files: DataFrame, parser: Callable[[str, bytes], list[dict]], sch
     return files.select("path", "content").mapInPandas(run, schema)
 
 
-def capped_sheet(rows: DataFrame, max_rows: int = 2000, max_columns: int = 64) -> DataFrame:
-    """First rows and columns of each spreadsheet sheet, with truncation flags.
+def capped_sheet(rows: DataFrame, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:
+    """Rows of spreadsheet sheets with truncation flags; whole sheets unless the caller asks for a display cap.
 
-    The caps are part of the format: the rest of a huge sheet is not indexed.
     Rows: material_id, sheet, row (from 1), cells.
     """
+    if max_rows is None and max_columns is None:
+        return rows.select("material_id", "sheet", "row", "cells", F.lit(False).alias("truncated_rows"),
+                           F.lit(False).alias("truncated_columns"))
+    max_rows, max_columns = (2**31 - 1 if m is None else m for m in (max_rows, max_columns))
     sizes = rows.groupBy("material_id", "sheet").agg(F.max("row").alias("_rows"), F.max(F.size("cells")).alias("_columns"))
     kept = rows.where(F.col("row") <= max_rows).withColumn("cells", F.slice("cells", 1, max_columns))
     return kept.join(sizes, ["material_id", "sheet"]).select(
@@ -166,8 +169,9 @@ def bridge_domain(members: Column) -> Column:
 
 
 def read_only_sql(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
-    """Run a caller's read-only query over named tables."""
-    return spark.sql(sql, **tables)
+    """Run a caller's query over named tables. It is run as a subquery, so a statement that writes, drops or sets
+    anything does not parse."""
+    return spark.sql("SELECT * FROM (" + sql.rstrip().rstrip(";") + "\n)", **tables)
 
 
 def map_type(kind: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,19 +15,34 @@ def _file_system(df: DataFrame, path: str):
 
 
 def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Write beside ``path`` and swap it in by rename; a failed write leaves no trace."""
-    staging = f"{path}.staging-{uuid.uuid4().hex}"
-    fs, target = _file_system(df, path)
-    _, staged = _file_system(df, staging)
-    try:
-        df.write.partitionBy(*partition_by).parquet(staging)
-        if fs.exists(target):
-            fs.delete(target, True)
-        if not fs.rename(staged, target):
-            raise OSError(f"could not move {staging} to {path}")
-    finally:
-        if fs.exists(staged):
-            fs.delete(staged, True)
+    """Write a new version below ``path``, then let the version log name it as the current one.
+
+    A version is complete before a log entry names it, and no older one is touched, so readers always find a whole
+    table; a write or an entry that fails leaves the last version current.
+    """
+    version = uuid.uuid4().hex
+    df.write.partitionBy(*partition_by).parquet(f"{path}/versions/{version}")
+    spark = df.sparkSession
+    entry = spark.range(1).select(F.lit(_last(spark, path)[0] + 1).cast("long").alias("number"), F.lit(version).alias("version"))
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+
+def _last(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and name of the current version; two rows at most reach the driver."""
+    fs, log = _file_system(spark.range(0), f"{path}/log")
+    if not fs.exists(log):
+        return 0, None
+    rows = spark.read.schema("number long, version string").parquet(f"{path}/log")
+    row = rows.orderBy(F.desc("number"), "version").first()
+    return (row["number"], row["version"]) if row else (0, None)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a published table."""
+    version = _last(spark, path)[1]
+    if version is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(f"{path}/versions/{version}")
 
 
 def write_manifest(df: DataFrame, path: str) -> None:

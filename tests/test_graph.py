@@ -154,3 +154,24 @@ def test_audit_targets(spark):
     reviews = spark.createDataFrame([("a", "1", "open"), ("b", "x", "open")], "cluster_id string, input_fingerprint string, status string")
     got = {r["cluster_id"]: r["reasons"] for r in deltas.audit_targets(clusters, reviews).collect()}
     assert got == {"b": "changed_since_last_audit,open_review", "c": "missing_review"}
+
+
+def test_cluster_ids_are_never_cut(spark):
+    numbers = [0, 1234567, 9_999_999, 12_345_678, 12_345_679, 20_000_000]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long")
+    ids = [r["i"] for r in rows.select(deltas.cluster_id(F.lit("s"), F.col("n")).alias("i")).collect()]
+    assert len(set(ids)) == len(numbers) and ids[0] == "s__local_0000000" and ids[-1] == "s__local_20000000"
+
+
+def test_every_artifact_phrase_marks_a_scan(spark):
+    rows = spark.createDataFrame([(f"Una {p.upper()}.",) for p in figures.SCAN_ARTIFACT_PHRASES] + [("a drawing",)], "d string")
+    box = F.array(*[F.lit(float(x)) for x in (0, 0, 10, 10)])
+    found = rows.where(figures.deletable(F.lit("substantive"), F.lit("embedded"), box, F.col("d"))).count()
+    assert found == len(figures.SCAN_ARTIFACT_PHRASES) == 48
+
+
+def test_hashes_tell_null_from_text_and_fields_apart(spark):
+    from lectern.functions.lists import canonical_hash
+
+    rows = spark.createDataFrame([(None, "b"), ("null", "b"), ("a\u001fb", ""), ("a", "b\u001f"), ("", None)], "x string, y string")
+    assert rows.select(canonical_hash(F.col("x"), F.col("y")).alias("h")).distinct().count() == 5

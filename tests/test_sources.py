@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from lectern import schemas
@@ -69,12 +71,25 @@ def test_injected_parser(spark, tmp_path):
     assert got["a.PDF"] == [["3"]] and len(got) == 4
 
 
-def test_publish_replaces_and_leaves_no_staging(spark, tmp_path):
+def test_publish_keeps_the_last_version_until_a_new_one_is_whole(spark, tmp_path):
     target = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        writers.published(spark, target)
     writers.publish(spark.range(3), target)
     writers.publish(spark.range(5), target)
-    assert spark.read.parquet(target).count() == 5
-    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+    assert writers.published(spark, target).count() == 5
+    broken = spark.range(4).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        writers.publish(broken, target)
+    assert writers.published(spark, target).count() == 5
+
+
+def test_read_only_sql_refuses_statements(spark):
+    assert readers.read_only_sql(spark, "WITH a AS (SELECT * FROM {t}) SELECT count(*) AS n FROM a;", t=spark.range(4)).first()["n"] == 4
+    for statement in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "SET a=b", "CREATE TABLE x AS SELECT 1",
+                      "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a"):
+        with pytest.raises(ParseException):
+            readers.read_only_sql(spark, statement)
 
 
 def test_pages_and_json(spark, tmp_path):
@@ -86,8 +101,10 @@ def test_pages_and_json(spark, tmp_path):
     assert writers.append_ignored(ignored, ignored).count() == 1
 
 
-def test_capped_sheet(spark):
+def test_sheets_are_whole_unless_capped(spark):
     rows = spark.createDataFrame([("m", "s", i, ["a", "b", "c"]) for i in range(1, 6)], "material_id string, sheet string, row int, cells array<string>")
+    whole = readers.capped_sheet(rows).collect()
+    assert len(whole) == 5 and not any(r["truncated_rows"] or r["truncated_columns"] or len(r["cells"]) != 3 for r in whole)
     got = readers.capped_sheet(rows, 3, 2).collect()
     assert len(got) == 3 and all(r["truncated_rows"] and r["truncated_columns"] and len(r["cells"]) == 2 for r in got)
 
