@@ -15,7 +15,8 @@ ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
 MODULES = (
-    "search", "related", "graph", "aggregates", "texts", "chunks", "linking", "health", "incremental", "deltas", "evidence", "ordering", "extraction", "projections", "maintenance",
+    "search", "related", "graph", "aggregates", "texts", "chunks", "linking", "health", "incremental", "deltas",
+    "evidence", "ordering", "extraction", "projections", "maintenance", "projects", "publication",
 )
 
 

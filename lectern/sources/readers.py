@@ -53,8 +53,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest keyed by material; the last line of a material wins."""
-    rows = read_jsonl(spark, path, MANIFEST).withColumn("_at", F.monotonically_increasing_id())
+    """Manifest keyed by material; the last line of a material wins, in the last of several files by name."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = read_jsonl(spark, path, MANIFEST).withColumn("_at", place)
     rest = [c for c in rows.columns if c not in ("material_id", "_at")]
     picked = rows.where("material_id IS NOT NULL").groupBy("material_id").agg(F.max_by(F.struct(*rest), "_at").alias("_r"))
     return picked.select("material_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
