@@ -132,3 +132,40 @@ def audit_targets(clusters: DataFrame, reviews: DataFrame) -> DataFrame:
 def cluster_id(scope: Column, number: Column) -> Column:
     """Id of a scope's cluster: the number has seven digits at least and is never cut."""
     return F.concat(scope, F.lit("__local_"), F.format_string("%07d", number))
+
+
+def normalized_references(references: Column) -> Column:
+    """Array of (material_id, concept_name): trimmed, without blanks, the first of each material and folded name."""
+    kind = F.transform(references, lambda r: F.struct(
+        F.trim(F.coalesce(r["material_id"], F.lit(""))).alias("material_id"),
+        F.trim(F.coalesce(r["concept_name"], F.lit(""))).alias("concept_name")))
+    filled = F.filter(kind, lambda r: (r["material_id"] != "") & (r["concept_name"] != ""))
+
+    def firsts(items: Column) -> Column:
+        keys = F.transform(items, lambda r: F.struct(r["material_id"], F.lower(r["concept_name"])))
+        return bind(keys, lambda k: F.filter(items, lambda r, i: F.array_position(k, F.get(k, i)) == i + 1))
+
+    return bind(filled, firsts)
+
+
+def delta_parts(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """Parts of a proposed cluster delta with normalised references, and why a part is skipped (empty: it is not).
+
+    parts: part_id, kind (link or new), cluster_id, canonical_name, refs. known: cluster_id.
+    """
+    rows = parts.withColumn("refs", normalized_references(F.col("refs"))).join(
+        known.select("cluster_id", F.lit(True).alias("_known")), "cluster_id", "left")
+    link, cluster = F.col("kind") == "link", F.trim(F.coalesce("cluster_id", F.lit("")))
+    reason = (
+        F.when(link & (cluster == ""), "cluster_id is missing")
+        .when(link & F.col("_known").isNull(), "cluster_id is unknown")
+        .when(~link & (F.trim(F.coalesce("canonical_name", F.lit(""))) == ""), "canonical_name is missing")
+        .when(F.size("refs") == 0, "no valid source_concepts").otherwise(""))
+    return rows.select("part_id", "kind", "cluster_id", "canonical_name", "refs", reason.alias("reason"))
+
+
+def first_spellings(names: DataFrame, key: str) -> DataFrame:
+    """(key, alias, position) -> the first spelling of each folded alias of a key, numbered in order."""
+    kept = names.select(key, F.trim("alias").alias("alias"), "position").where("alias != ''").groupBy(
+        key, F.lower("alias").alias("_folded")).agg(F.min_by("alias", "position").alias("alias"), F.min("position").alias("position"))
+    return kept.drop("_folded")

@@ -54,6 +54,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest keyed by material; the last line of a material wins, in the last of several files by name."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], MANIFEST)
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
     rows = read_jsonl(spark, path, MANIFEST).withColumn("_at", place)
     rest = [c for c in rows.columns if c not in ("material_id", "_at")]
