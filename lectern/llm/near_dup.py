@@ -9,8 +9,8 @@ sequences inside the band that a similarity of 0.8 leaves: similarity = aligned
 Exact copies collapse first, so everything after works on distinct texts. A bucket of at most `SMALL` texts compares
 its texts with each other. A larger one drops members and pairs that cannot reach 0.8 because too many of their
 k-mers are in no other member of a large bucket, and compares its members with its smallest id. What is then not in
-the bucket's largest class is compared with those of its other classes that share the most sketches with it, and what
-still is not, with all others that share a second sketch, whatever the bucket's size. Classes are connected components.
+the bucket's largest class is compared, in blocks, with all of its other classes that share a second sketch, whatever
+the bucket's size. Classes are connected components.
 
 Defined results: null text is its own class; texts without any word are copies only if identical; a null doc_id gets
 a null class and takes no part; repeated rows and rows sharing an id share a class. Ties cannot matter: the class id
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import composed, slices, stored, table
@@ -34,7 +34,7 @@ from lectern.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 LENGTH, SKETCHES = 4, 16
-SMALL, CLOSEST = 32, 4
+SMALL, BLOCK = 32, 400
 WORD = re.compile(r"\w+")
 SEEDS = np.random.default_rng(20240501).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 STEP, TURN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(31)
@@ -159,16 +159,24 @@ def _aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return head + tail + int(best[-1])
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Share of aligned shingles of two word-hash sequences; 0 as soon as it must stay below `least`."""
-    a, b = shingles(a), shingles(b)
+class Prepared:
+    """A text's shingles, and the distinct ones with their counts."""
+
+    __slots__ = ("sequence", "names", "counts")
+
+    def __init__(self, words: bytes) -> None:
+        self.sequence = shingles(np.frombuffer(words, np.uint32))
+        self.names, self.counts = np.unique(self.sequence, return_counts=True)
+
+
+def similarity_of(x: Prepared, y: Prepared, least: float = SIMILARITY) -> float:
+    """Share of aligned shingles of two texts; 0 as soon as it must stay below `least`."""
+    a, b = x.sequence, y.sequence
     total = len(a) + len(b)
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return 0.0
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(n[i], m[j]).sum())
+    _, i, j = np.intersect1d(x.names, y.names, assume_unique=True, return_indices=True)
+    shared = int(np.minimum(x.counts[i], y.counts[j]).sum())
     if shared < least * (total - shared):
         return 0.0
     need = int(np.ceil(least / (1 + least) * total))
@@ -176,10 +184,15 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return matched / (total - matched)
 
 
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """similarity_of() for two sequences of word hashes."""
+    return similarity_of(Prepared(a.tobytes()), Prepared(b.tobytes()), least)
+
+
 def _similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole, 2)):
         left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        scores = [similarity(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) for a, b in zip(left, right)]
+        scores = [similarity_of(Prepared(a), Prepared(b)) for a, b in zip(left, right)]
         keep = pa.array([s >= SIMILARITY for s in scores], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())],
                                          ["u", "v", "similarity"]).filter(keep)
@@ -251,16 +264,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
              .select(F.col("id").alias("u"), "v").distinct())
     many = members.where(F.col("size") > SMALL).select("band", "key", "id", "n")
     many = stored(_with_lone(many, words), "many")
-    links = stored(verified(pairs.union(_leader_pairs(many)).distinct(), words), "links")
-    tied = components(links.select("u", "v"))
-    for most in (CLOSEST, None):
-        last = _left_over(many, tied, texts, most)
-        if last is None:
-            break
-        links = stored(verified(last, words), "links")
-        if not links.isEmpty():
-            tied = components(tied.select(F.col("vertex").alias("u"), F.col("component").alias("v"))
-                              .union(links.select("u", "v")))
+    links = stored(verified(pairs.union(_leader_pairs(many)).distinct(), words), "links").select("u", "v")
+    tied = components(links)
+    last = _left_over(many, tied, texts, words)
+    if last is not None:
+        last = stored(last, "links")
+        if not last.isEmpty():
+            tied = components(tied.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(last))
     texts = texts.select("exact", "exact_id").join(
         tied.select(F.col("vertex").alias("exact_id"), "component"), "exact_id", "left")
     return rows.select("doc_id", "exact").join(texts, "exact", "left").select(
@@ -268,31 +278,63 @@ def near_classes(docs: DataFrame) -> DataFrame:
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "exact_id", "doc_id")).alias("class_id"))
 
 
-def _left_over(many: DataFrame, tied: DataFrame, texts: DataFrame, most: int | None) -> DataFrame | None:
-    """Pairs of large buckets still in different classes: those outside the bucket's largest class against all others
-    that share a second sketch, or against the `most` that share the most. Members that the bucket's shortest text
-    shows to have no partner are left out. None if there is no such member."""
+def _between(outside: pa.Table, other: pa.Table) -> pa.Table:
+    """Links between two blocks of a bucket. A pair belongs to the first band its texts share, and must share two."""
+    out: list[tuple[int, int]] = []
+    if outside.num_rows and other.num_rows:
+        ids, others = outside["id"].to_numpy(), other["id"].to_numpy()
+        band = outside["band"][0].as_py()
+        n, m = outside["n"].to_numpy()[:, None], other["n"].to_numpy()[None, :]
+        most = np.minimum(n - outside["lone"].to_numpy()[:, None], m - other["lone"].to_numpy()[None, :])
+        keys, other_keys = (np.array(t["keys"].to_pylist(), np.int64) for t in (outside, other))
+        met = (outside["component"].to_numpy()[:, None] != other["component"].to_numpy()[None, :]) & (
+            most >= SIMILARITY * (n + m - most)) & (~other["out"].to_numpy(zero_copy_only=False)[None, :] | (ids[:, None] < others[None, :]))
+        left, right = (t["words"].to_pylist() for t in (outside, other))
+        kept: dict[int, Prepared] = {}
+        for i in np.flatnonzero(met.any(axis=1)).tolist():
+            own = Prepared(left[i])
+            same = other_keys == keys[i]
+            fits = met[i] & (same.argmax(axis=1) == band) & (same.sum(axis=1) > 1)
+            for j in np.flatnonzero(fits).tolist():
+                if j not in kept:
+                    kept[j] = Prepared(right[j])
+                if similarity_of(own, kept[j]) >= SIMILARITY:
+                    out.append((int(ids[i]), int(others[j])))
+    columns = list(zip(*out)) or [(), ()]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
+
+
+def _left_over(many: DataFrame, tied: DataFrame, texts: DataFrame, words: DataFrame) -> DataFrame | None:
+    """Links (u, v) between the classes of large buckets: those outside a bucket's largest class against all its other
+    classes, block by block. Members that the bucket's shortest text shows to have no partner are left out; None if
+    nothing is left. A block holds some hundred texts, whatever the size of its bucket."""
     placed = many.join(tied.withColumnRenamed("vertex", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     largest = (placed.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.min("n").alias("least"))
                .groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("main"),
-                                           F.count("*").alias("classes"), F.min("least").alias("least"))
-               .where("classes > 1"))
-    keys = texts.select(F.col("exact_id").alias("id"), "keys")
-    outside = stored(placed.join(largest, ["band", "key"]).where("component <> main").where(
-        F.expr("n - lone") >= SIMILARITY * F.expr("greatest(least, n - lone) + lone")).join(keys, "id"), "outside")
-    if outside.isEmpty():
+                                           F.sum("c").alias("members"), F.count("*").alias("classes"),
+                                           F.min("least").alias("least")).where("classes > 1"))
+    marked = placed.join(largest, ["band", "key"]).withColumn("out", (F.col("component") != F.col("main")) & (
+        F.expr("n - lone") >= SIMILARITY * F.expr("greatest(least, n - lone) + lone")))
+    marked = stored(marked.select("band", "key", "id", "n", "lone", "component", "members", "out"), "placed")
+    left = marked.where("out").groupBy("band", "key").agg(F.count("*").alias("outside"))
+    if left.isEmpty():
         return None
-    other = placed.join(outside.select("band", "key").distinct(), ["band", "key"], "left_semi").join(keys, "id").select(
-        "band", "key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("lone").alias("lone_m"),
-        F.col("component").alias("c2"), F.col("keys").alias("keys2"))
-    same = F.size(F.filter(F.zip_with("keys", "keys2", lambda a, b: a == b), lambda s: s))
-    pairs = outside.join(other, ["band", "key"]).where("component <> c2").where(
-        _fits("n", "m", "lone", "lone_m") & (same > 1)).select("id", "v", same.alias("same")).distinct()
-    if most is not None:
-        order = Window.partitionBy("id").orderBy(F.desc("same"), "v")
-        pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
+    full = (marked.join(left, ["band", "key"])
+            .join(texts.select(F.col("exact_id").alias("id"), "keys"), "id")
+            .join(words.withColumnRenamed("doc_id", "id"), "id")
+            .withColumns({"row_blocks": F.ceil(F.col("members") / BLOCK), "out_blocks": F.ceil(F.col("outside") / BLOCK)}))
+
+    def dealt(rows: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+        return rows.withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_blocks))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_blocks) - 1))).drop(
+                "row_blocks", "out_blocks", "members", "outside")
+
+    asked = dealt(full.where("out"), "ob", "out_blocks", "rb", "row_blocks")
+    rows = dealt(full, "rb", "row_blocks", "ob", "out_blocks")
+    rows = rows.toDF(*rows.columns)  # columns of its own, as both sides come from one table
+    block = ["band", "key", "ob", "rb"]
+    return asked.groupBy(*block).cogroup(rows.groupBy(*block)).applyInArrow(_between, "u long, v long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
