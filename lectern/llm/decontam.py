@@ -3,7 +3,7 @@
 Every word position of a document opens a window as long as a benchmark item. A CGK walk reads a window with one
 pointer: in step j it puts out the word under the pointer and moves on by bit j of that word's hash. Two windows at
 a small edit distance so become two sequences at a small Hamming distance. One repetition has its own hash bits and
-samples `SAMPLES` steps; windows that agree with an item in all of them are candidates. The steps are taken lazily,
+samples one step in each of `STRETCHES`; windows that agree with an item in all of them are candidates. The steps are taken lazily,
 for all positions of a batch at once: after each sampled step only positions that can still agree walk on. The
 number of repetitions follows from the target recall: how often a window with the tolerated edits agrees in one
 repetition is measured on the items themselves, with edits of a fixed seed.
@@ -36,7 +36,7 @@ from lectern.llm.common import composed, slices, table
 
 WORD = re.compile(r"\w+")
 SIMILARITY, RECALL, TOLERATED = 0.8, 0.99, 0.1
-SHORTEST, SAMPLES = 8, 3
+SHORTEST, STRETCHES = 8, (1 / 8, 1 / 2, 1)
 MOST_REPETITIONS = 24
 BLOCK_WORDS = 2_000_000
 SLOTS = 1 << 16
@@ -52,10 +52,11 @@ def hashes_of(words: list[str]) -> np.ndarray:
 
 
 def plan_of(repetition: int, reach: int) -> tuple[np.uint64, list[int]]:
-    """Multiplier that gives a repetition its hash bits, and its sampled steps, spread over the first `reach`."""
+    """Multiplier that gives a repetition its hash bits, and its sampled steps: one in each stretch of the first
+    `reach` steps, the first stretch being the shortest, as all positions have to walk there."""
     rng = np.random.default_rng(7_000 + repetition)
     odd = np.uint64(int(rng.integers(1, 2**62)) * 2 + 1)
-    edges = np.linspace(0, reach, SAMPLES + 1).astype(int)
+    edges = [0, *(int(reach * part) for part in STRETCHES)]
     return odd, [int(rng.integers(a, max(a + 1, b))) for a, b in zip(edges[:-1], edges[1:])]
 
 
@@ -63,19 +64,28 @@ class Walk:
     """Pointers of CGK walks over one array of word hashes, all at the same step."""
 
     def __init__(self, words: np.ndarray, starts: np.ndarray, odd: np.uint64) -> None:
-        self.words, self.at, self.step = words, starts, 0
-        self.bits = words * odd
-        self.bits ^= self.bits >> np.uint64(32)
+        self.words, self.at, self.step = words, starts.astype(np.intp), 0
+        bits = words * odd
+        bits ^= bits >> np.uint64(32)
+        self.bytes = bits.view(np.uint8).reshape(-1, 8)
+        self.byte = self.bytes[:, 0].copy()  # the bits of eight steps
+        self.move = np.empty(len(starts), np.uint8)
 
     def to(self, step: int) -> np.ndarray:
         """The words put out in `step`."""
         while self.step < step:
-            self.at = self.at + ((self.bits[self.at] >> np.uint64(self.step & 63)) & np.uint64(1)).astype(np.int32)
+            np.take(self.byte, self.at, out=self.move, mode="clip")  # no pointer leaves the array
+            np.right_shift(self.move, np.uint8(self.step & 7), out=self.move)
+            np.bitwise_and(self.move, np.uint8(1), out=self.move)
+            np.add(self.at, self.move, out=self.at)
             self.step += 1
-        return self.words[self.at]
+            if self.step & 7 == 0:
+                self.byte = self.bytes[:, (self.step >> 3) & 7].copy()
+        return np.take(self.words, self.at, mode="clip")
 
     def keep(self, mask: np.ndarray) -> None:
         self.at = self.at[mask]
+        self.move = self.move[:len(self.at)]
 
 
 def slot(values: np.ndarray) -> np.ndarray:
@@ -93,7 +103,7 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.words = [hashes_of(w) for _, w in rows]
         self.sizes = np.array([len(w) for w in self.words])
-        self.reach = max(SAMPLES, int(1.5 * self.sizes.min()))
+        self.reach = int(1.5 * self.sizes.min())
         # the walk may run past an item's end; there it reads this mark, as a window's walk reads the next words
         self.flat = np.concatenate([np.concatenate([w, np.zeros(self.reach, np.uint64)]) for w in self.words])
         self.starts = np.concatenate(([0], np.cumsum(self.sizes + self.reach)[:-1])).astype(np.int32)
@@ -240,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(classes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in (part for whole in batches for part in slices(whole, most=1 << 22)):
+            for batch in (part for whole in batches for part in slices(whole)):
                 columns = list(zip(*matches_in(shared.value, batch.column(1).to_pylist()))) or [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(columns[0], pa.int64()))]
@@ -260,7 +270,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(classes)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in (part for whole in batches for part in slices(whole, place, 1 << 22)):
+            for batch in (part for whole in batches for part in slices(whole, place)):
                 hit = {m[0] for m in matches_in(shared.value, batch.column(place).to_pylist())}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
