@@ -132,47 +132,43 @@ def ends_sentence(c: Column) -> Column:
 
 
 def join_wrapped(parts: Column) -> Column:
-    """Fold wrapped lines to one paragraph, undoing end-of-line hyphens."""
-
-    def step(acc: Column, line: Column) -> Column:
-        hyphen = acc.endswith("-") & line.rlike(r"^\p{Ll}")
-        return (
-            F.when(line == "", acc)
-            .when(acc == "", line)
-            .when(hyphen, F.concat(acc.substr(F.lit(1), F.length(acc) - 1), line))
-            .otherwise(F.concat(acc, F.lit(" "), line))
-        )
+    """Fold wrapped lines to one paragraph, undoing end-of-line hyphens.
+
+    What follows a line depends on that line and the next, so every line is
+    rendered by itself and the text is put together once.
+    """
+    def rendered(kept: Column) -> Column:
+        def piece(line: Column, i: Column) -> Column:
+            following = F.get(kept, i + 1)
+            hyphen = line.endswith("-") & following.rlike(r"^\p{Ll}")
+            return F.when(following.isNull(), line).when(hyphen, line.substr(F.lit(1), F.length(line) - 1)).otherwise(
+                F.concat(line, F.lit(" ")))
+
+        return F.array_join(F.transform(kept, piece), "")
 
-    return strip(F.aggregate(parts, F.lit(""), step))
+    return strip(bind(F.filter(parts, lambda p: p != ""), rendered))
 
 
 def reflow(line_array: Column) -> Column:
     """Paragraphs of tidy lines, split at blank lines and sentence stops.
 
-    One fold per document: the accumulator is the finished text plus the
-    previous line, so the whole text stays inside its own row.
+    Without page numbers, a line opens a paragraph if the one before it is
+    blank or ends a sentence; so each line is rendered from its neighbours and
+    the text is put together once.
     """
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("tail"), F.lit(False).alias("gap"))
-
-    def step(acc: Column, line: Column) -> Column:
-        done, tail, gap = acc["done"], acc["tail"], acc["gap"]
-        blank = line == ""
-        number = is_page_number(line)
-        opens = (done == "") | gap | ends_sentence(tail)
-        hyphen = tail.endswith("-") & line.rlike(r"^\p{Ll}")
-        grown = (
-            F.when(done == "", line)
-            .when(opens, F.concat(done, F.lit("\n\n"), line))
-            .when(hyphen, F.concat(done.substr(F.lit(1), F.length(done) - 1), line))
-            .otherwise(F.concat(done, F.lit(" "), line))
-        )
-        return F.struct(
-            F.when(blank | number, done).otherwise(grown).alias("done"),
-            F.when(blank | number, tail).otherwise(line).alias("tail"),
-            F.when(blank, F.lit(True)).when(number, gap).otherwise(F.lit(False)).alias("gap"),
-        )
-
-    return F.aggregate(line_array, start, step, lambda acc: acc["done"])
+    def rendered(kept: Column) -> Column:
+        def piece(line: Column, i: Column) -> Column:
+            before, after = F.get(kept, i - 1), F.coalesce(F.get(kept, i + 1), F.lit(""))
+            opens = (before == "") | ends_sentence(before)
+            glued = before.endswith("-") & line.rlike(r"^\p{Ll}")
+            gap = F.when(before.isNull(), "").when(opens, "\n\n").when(glued, "").otherwise(" ")
+            cut = line.endswith("-") & after.rlike(r"^\p{Ll}") & ~ends_sentence(line)
+            return F.when(line == "", "").otherwise(
+                F.concat(gap, F.when(cut, line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)))
+
+        return F.regexp_replace(F.array_join(F.transform(kept, piece), ""), r"^\n\n", "")
+
+    return bind(F.filter(line_array, lambda line: ~is_page_number(line)), rendered)
 
 
 def matching_form(c: Column) -> Column:

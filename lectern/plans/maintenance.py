@@ -171,4 +171,6 @@ def stream_change_plan(spark, folder):
 
     running = arrivals.writeStream.foreachBatch(plan).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.parquet(f"{base}/plans").select("action", "path", "material_id")
+    plans = spark.read.parquet(f"{base}/plans")
+    last = plans.agg(F.max("batch")).scalar()  # each batch plans against the whole library: the last one holds
+    return plans.where(F.col("batch") == last).select("action", "path", "material_id")
