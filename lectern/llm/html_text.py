@@ -45,6 +45,7 @@ UNLIKELY = re.compile(
     r"breadcrumbs?|sidebar|side-bar|widget|footer|header|masthead|comments?|disqus|replies|share|sharing|social|"
     r"related|recommend\w*|newsletter|subscribe|signup|login|pagination|pager|toolbar|skip|legal|copyright|"
     r"hidden)(?:$|[\s_-])", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")  # between the words of a camel-case name
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 KEPT = frozenset(("html", "body", "article", "main"))
 DEEPEST = 400
@@ -69,7 +70,7 @@ def _unlikely(tag: str, attributes: list[tuple[str, str | None]], named: bool) -
     if tag in KEPT or not named:
         return False
     for name, value in attributes:
-        if name in ("class", "id") and value and UNLIKELY.search(value):
+        if name in ("class", "id") and value and UNLIKELY.search(HUMP.sub("-", value)):
             return True
         if name == "role" and value and value.lower() in ROLES:
             return True
@@ -91,6 +92,9 @@ class Tree(HTMLParser):
         self.out: list[str] = []  # open elements inside a part that is taken out, that part first
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
+        if self.out and (tag in ENDS_PARAGRAPH and self.out[0] == "p" and not BLOCKS.intersection(self.out[1:])
+                         or tag in CLOSES and tag == self.out[0] and not BLOCKS.intersection(self.out[1:])):
+            self.out.clear()  # the new tag ends the part
         if self.out:
             if tag not in VOID:
                 self.out.append(tag)

@@ -26,6 +26,8 @@ PAGES = [
     ("table", f"<article><p>{LONG}</p><table><tr><td>a<td>b<tr><td>c</table></article>", [LONG, "a", "b", "c"]),
     ("header in article", f"<article><header><h1>No</h1></header><p>{LONG}</p><section class=comments>x, y</section></article>", [LONG]),
     ("unclosed advert", f"<article><div class=ad>Buy<p>now</article><p>{LONG}</p>", [LONG]),
+    ("unclosed paragraphs and items", f"<article><p class=ad>Buy<p>{LONG}<ul><li class=promo>no<li>yes</ul><p class='x'>End", [LONG, "yes", "End"]),
+    ("camel case", f"<main><div class=cookieBanner><p>We, use, cookies</p></div><p>{LONG}</p><div id=userComments>x</div></main>", [LONG]),
     ("plain text", "just words", ["just words"]),
     ("cut tag", f"<article><p>{LONG}</p><p>more <a hre", [LONG, "more"]),
 ]
