@@ -44,6 +44,11 @@ def piece_scores(path: str) -> dict[str, float]:
     return scores
 
 
+def endings_of(scores: dict[str, float]) -> set[str]:
+    """All that a piece can end in."""
+    return {piece[i:] for piece in scores for i in range(len(piece))}
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -53,15 +58,14 @@ def vocabulary_path() -> str:
 class Trie:
     """Forward scores of prefixes. A node is a number; `step` leads from (node, character) to the next node."""
 
-    def __init__(self, scores: dict[str, float]) -> None:
-        self.scores, self.byte = scores, scores[""]
-        self.longest = max(map(len, scores))
+    def __init__(self, scores: dict[str, float], endings: set[str]) -> None:
+        self.scores, self.byte, self.endings = scores, scores[""], endings
         self.step: dict[int, int] = {}
         self.best, self.pieces = [0.0], [0]
 
     def count(self, word: str) -> int:
         """Pieces of the best segmentation of a word."""
-        step, best, pieces, scores = self.step, self.best, self.pieces, self.scores
+        step, best, pieces, scores, endings = self.step, self.best, self.pieces, self.scores, self.endings
         path, node = [0], 0
         for end, character in enumerate(word, start=1):
             key = node << 21 | ord(character)
@@ -71,8 +75,11 @@ class Trie:
                 if character not in scores:
                     size = len(character.encode("utf-8", "surrogatepass"))
                     high, few = best[node] + size * self.byte, pieces[node] + size
-                for start in range(max(0, end - self.longest), end):
-                    score = scores.get(word[start:end])
+                for start in range(end - 1, -1, -1):
+                    part = word[start:end]
+                    if part not in endings:  # no piece ends like this, so none that is longer does
+                        break
+                    score = scores.get(part)
                     if score is not None:
                         before = path[start]
                         score += best[before]
@@ -92,7 +99,8 @@ class Counter:
     def __init__(self, path: str) -> None:
         self.scores = piece_scores(path)
         self.known: dict[str, int] = {}
-        self.trie = Trie(self.scores)
+        self.endings = endings_of(self.scores)
+        self.trie = Trie(self.scores, self.endings)
 
     def of(self, text: str | None) -> tuple[int, int]:
         """Number of pre-tokens and of tokens."""
@@ -102,7 +110,7 @@ class Counter:
         known = self.known
         for word in sorted(w for w in set(words) if w not in known):
             if len(self.trie.best) > MOST_NODES:
-                self.trie = Trie(self.scores)
+                self.trie = Trie(self.scores, self.endings)
             known[word] = self.trie.count(SPACE_MARK + word)
         total = sum(map(known.__getitem__, words))
         if len(known) > MOST_WORDS:

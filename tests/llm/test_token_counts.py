@@ -29,7 +29,7 @@ def test_trie_counts_are_those_of_each_word_alone(scores, monkeypatch):
     rng = random.Random(1)
     letters = list("abcdeinrst") + ["é", "ß", "你", "🙂", "▁", "\x00", "ing", "tion"]
     words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(800)]
-    trie = C.Trie(scores)
+    trie = C.Trie(scores, C.endings_of(scores))
     assert [trie.count(C.SPACE_MARK + w) for w in words] == [viterbi(C.SPACE_MARK + w, scores) for w in words]
     assert len(trie.best) < sum(len(w) + 1 for w in words)  # prefixes are shared
     text = " ".join(words)
