@@ -50,7 +50,7 @@ def path_scopes(spark, folder):
     return _files(spark, folder).select("doc_id", paths.domain(path).alias("domain"), paths.collection(path).alias("collection"))
 
 
-@query("library_scan", "S1 S7 X44", with_ctes(FILES) + """
+@query("library_scan", "S1 X44", with_ctes(FILES) + """
 SELECT doc_id, path FROM files WHERE regexp_matches(lower(path), '\\.(pdf|png)$') AND NOT contains(lower(path), 'previos') ORDER BY path""")
 def library_scan(spark, folder):
     ignored = paths.extension_list([" .MD ", "md"])
@@ -165,7 +165,7 @@ def _postings(spark, folder):
     return postings.build(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query("postings_build", "K1 S6", r"""
+@query("postings_build", "W1", r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS t FROM documents),
 u AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM t)
 SELECT term, doc_id, count(*) AS tf, max(length) AS length FROM u GROUP BY 1, 2""")

@@ -86,7 +86,7 @@ def missing_fields(spark, folder):
     return _missing(spark, folder)
 
 
-@query("orphans_anti", "J29 K11", with_ctes(ORPHANS) + "SELECT * FROM orphans")
+@query("orphans_anti", "J29", with_ctes(ORPHANS) + "SELECT * FROM orphans")
 def orphans_anti(spark, folder):
     return _orphans(spark, folder)
 

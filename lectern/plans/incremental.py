@@ -122,7 +122,7 @@ def change_plan_full_outer(spark, folder):
     return ops.change_plan(manifest_of(spark, folder), snapshot_of(spark, folder), ignored_of(spark, folder))
 
 
-@query("prune_missing", "K9 F20", with_ctes(MANIFEST) + """
+@query("prune_missing", "J29", with_ctes(MANIFEST) + """
 SELECT material_id, path FROM manifest WHERE path NOT IN (SELECT path FROM snap)""")
 def prune_missing(spark, folder):
     return manifest_of(spark, folder).join(snapshot_of(spark, folder).select("path"), "path", "left_anti").select("material_id", "path")

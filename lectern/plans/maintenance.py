@@ -143,7 +143,7 @@ def context_requests(spark, folder):
     return first.select("user_id", "event_id", limit.alias("row_limit"), F.col("rn").alias("n"))
 
 
-@query("project_state_latest", "G24 H21", """
+@query("project_state_latest", "H9", """
 SELECT user_id AS project_id, arg_max(event_type, event_id) AS stage, arg_max(event_id, event_id) AS revision,
   count(*) AS revisions FROM events WHERE event_type <> 'error' GROUP BY 1""")
 def project_state_latest(spark, folder):

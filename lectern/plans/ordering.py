@@ -24,7 +24,7 @@ def recent_by_ingest_time(spark, folder):
     return sample_per(rows, "event_type", 10, F.desc("ts"), F.asc("event_id")).select("event_type", "event_id", F.col("rn").alias("n"))
 
 
-@query("random_figures", "O3 J15", None)
+@query("random_figures", "J15", None)
 def random_figures(spark, folder):
     """Seeded sample of figures that have an image."""
     rows = corpus.figures(spark, folder).where("image_path != ''").select("material_id", "figure_id", "image_path")
@@ -73,7 +73,7 @@ def chunks_compact(spark, folder):
     return corpus.chunks(spark, folder).where("material_id = 5").select("chunk_id", "emphasized", F.length("text").cast("bigint").alias("chars"))
 
 
-@query("open_notes", "F17 H37", """
+@query("open_notes", "F17", """
 SELECT event_id, CASE WHEN event_type = 'view' THEN 'incorporated' ELSE 'open' END AS status FROM events WHERE event_type <> 'error'""")
 def open_notes(spark, folder):
     """Deleted notes are left out; open ones other than strategy are incorporated."""

@@ -283,7 +283,7 @@ def doc_context_canonical(spark, folder):
     return table(spark, folder, "part").select("p_partkey", doctypes.canonical_type(raw).alias("raw_document_type"))
 
 
-@query("markdown_tables", "X46 S13", r"""
+@query("markdown_tables", "X46", r"""
 SELECT p_partkey, '| field | value | note |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| name\|title | ' || p_name || ' |  |' || chr(10) ||
   '| brand | ' || p_brand || ' | ' || p_type || ' |' AS md FROM part""")
 def markdown_tables(spark, folder):
