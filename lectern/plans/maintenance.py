@@ -97,7 +97,7 @@ def ignored_hashes(spark, folder):
     return ignored_of(spark, folder)
 
 
-@query("bridge_reflection_due", "H31", """
+@query("bridge_reflection_due", "A13", """
 SELECT n_nationkey AS bridge_id FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n, max(s_acctbal) AS top FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey
 WHERE coalesce(n, 0) = 0 OR n < 4 OR top < 5000""")
 def bridge_reflection_due(spark, folder):
