@@ -36,6 +36,7 @@ WORD = re.compile(r"[^\W\d_]+")
 PAD = "\0" * (ORDER - 1)
 LONGEST = 48  # longer runs of letters are scored in pieces of this length, so that few long keys fill the cache
 CACHED_WORDS = 300_000
+LEAST_SPREAD = 0.15  # bits; long texts vary so little that a word repeated over and over would be rejected
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -286,12 +287,12 @@ def _limits(model: Model, spread: list, z: float) -> np.ndarray:
     limits = np.full((len(model.languages), 64), np.inf)
     for l, lang in enumerate(model.languages):
         rows = [r for r in spread if r["lang"] == lang]
-        own = {r["band"]: r["mean"] + z * max(r["sd"], 0.05) for r in rows if r["n"] >= 20}
+        own = {r["band"]: r["mean"] + z * max(r["sd"], LEAST_SPREAD) for r in rows if r["n"] >= 20}
         if rows and not own:
             n = sum(r["n"] for r in rows)
             mean = sum(r["n"] * r["mean"] for r in rows) / n
             square = sum(r["n"] * (r["sd"] ** 2 + r["mean"] ** 2) for r in rows) / n
-            own = {max(r["band"] for r in rows): mean + z * max((max(square - mean * mean, 0)) ** 0.5, 0.05)}
+            own = {max(r["band"] for r in rows): mean + z * max((max(square - mean * mean, 0)) ** 0.5, LEAST_SPREAD)}
         for band in range(64 if own else 0):
             limits[l, band] = own[min(own, key=lambda b: (abs(b - band), b))]
             if band < min(own):  # shorter than anything calibrated: only far beyond the alphabet's own entropy
