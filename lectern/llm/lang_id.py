@@ -35,7 +35,7 @@ BUCKETS = 1024
 WORD = re.compile(r"[^\W\d_]+")
 PAD = "\0" * (ORDER - 1)
 LONGEST = 48  # longer runs of letters are scored in pieces of this length, so that few long keys fill the cache
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 LEAST_SPREAD = 0.15  # bits; long texts vary so little that a word repeated over and over would be rejected
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
