@@ -34,7 +34,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences, with their ids and a checksum of them."""
-    return packing.packed(docs).withColumn("ids_crc32", F.crc32("ids"))
+    # workers of earlier stages still hold memory here, so fewer words are kept
+    return packing.packed(docs, cached_words=150_000).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("language_id", languages), ("near_dedup", near_duplicates), ("decontamination", benchmark_leaks),

@@ -31,7 +31,7 @@ from lectern.llm.common import slices, stored, table
 LENGTH, END = 2048, 1
 DIMS, BITS = 4, 12
 HASHED = 1024  # length of the hashed vectors
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000  # of one worker process
 _LETTERS = "".join(chr(c) for c in range(0x300) if unicodedata.category(chr(c))[0] == "L")
 _NUMBERS = "".join(chr(c) for c in range(0x300) if unicodedata.category(chr(c))[0] == "N")
 #: The tokenizer's own split, for texts of the characters below.
@@ -69,12 +69,12 @@ class Words(dict):
 class Tokens:
     """Token ids of texts. Words that were met keep their ids in one flat array, up to a bound; then it starts anew."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bytes = dict(enumerate(_byte_characters()))
+        self.bytes, self.most = dict(enumerate(_byte_characters())), most
         self._forget()
 
     def _forget(self) -> None:
@@ -94,7 +94,7 @@ class Tokens:
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by END, in one array, and their number per text."""
         split = [None if UNUSUAL.search(t) else WORD.findall(t.lower()) for t in texts]
-        if len(self.index) > CACHED_WORDS:
+        if len(self.index) > self.most:
             self._forget()
         index = self.index
         words = np.fromiter(chain.from_iterable(chain(map(index.__getitem__, s or ()), (0,)) for s in split), np.int64)
@@ -117,9 +117,10 @@ class Tokens:
 _TOKENS: dict[str, Tokens] = {}  # of this worker process
 
 
-def tokens_of(path: str) -> Tokens:
+def tokens_of(path: str, most: int) -> Tokens:
     if path not in _TOKENS:
         _TOKENS[path] = Tokens(path)
+    _TOKENS[path].most = most
     return _TOKENS[path]
 
 
@@ -158,10 +159,10 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return keys
 
 
-def tokenised(docs: DataFrame, path: str) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, cached_words: int = CACHED_WORDS) -> DataFrame:
     """row (unique), doc_id, n, x0.. (projected vector), ids (little-endian 16-bit, or 32-bit if the vocabulary asks)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_of(path)
+        tokens = tokens_of(path, cached_words)
         size = tokens.tokenizer.get_vocab_size(with_added_tokens=True)
         kind, weights = np.uint16 if size <= 1 << 16 else np.uint32, projection(size)
         row = TaskContext.get().partitionId() << 40
@@ -232,10 +233,13 @@ def tail_cuts(total: int, length: int = LENGTH) -> list[int]:
     return cuts
 
 
-def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
+def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, cached_words: int = CACHED_WORDS) -> DataFrame:
+    """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
+
+    cached_words: how many words a worker keeps the ids of; it only trades memory for time.
+    """
     path = path or tokenizer_path()
-    rows = stored(tokenised(docs, path), "tokens")
+    rows = stored(tokenised(docs, path, cached_words), "tokens")
     places, total = _along_the_curve(rows)
     full = total // length
     ends = np.array(tail_cuts(total, length), np.int64)
