@@ -13,6 +13,8 @@ SAMPLE = (
     "search_cards_bm25", "chunk_topk_emphasis", "related_weighted_union", "cluster_cooccurrence",
     "concept_glossary_having", "relevance_histogram", "corpus_snapshot_hash", "reflow_documents",
     "chunk_greedy", "broken_links_anti", "change_plan_full_outer", "first_claim", "citations", "json_salvage",
+    "project_log_checked", "project_list_edits", "cluster_delta_parts", "cluster_records", "bridge_inputs", "orphaned_pages",
+    "manifest_round_trip", "stage_fingerprints", "deletable_figures", "chunk_annotation_overlap",
 )
 
 
