@@ -1,15 +1,12 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: exact piece search for benchmark items, exact edit verification.
 
-Every word position of a document opens a window as long as a benchmark item. A CGK walk reads a window with one
-pointer: in step j it puts out the word under the pointer and moves on by bit j of that word's hash. Two windows at
-a small edit distance so become two sequences at a small Hamming distance. One repetition has its own hash bits and
-samples one step in each of `STRETCHES`; windows that agree with an item in all of them are candidates. The steps are taken lazily,
-for all positions of a batch at once: after each sampled step only positions that can still agree walk on. The
-number of repetitions follows from the target recall: how often a window with the tolerated edits agrees in one
-repetition is measured on the items themselves, with edits of a fixed seed.
+An item of n words may differ in `most` = 0.2 n of them, rounded down. It is cut into most + 1 pieces of three to five
+words. Edits touch at most `most` of the pieces, so every passage within that distance holds one piece unchanged, and
+no such passage is missed: documents are searched for all pieces by hashes of their word runs.
 
-A candidate is verified by the exact word edit distance between the item and the window, whose end may float:
-similarity = 1 - distance / words of the item, `SIMILARITY` or more. The best place per document and item is kept.
+A piece found in a document says where the item would lie. Around that place the exact word edit distance between the
+item and the text is computed for every start, the end floating, for many places at a time: similarity = 1 - distance /
+words of the item, `SIMILARITY` or more. The best place per document and item is kept.
 
 Words are runs of word characters, lower-cased, accents composed. Items of fewer than `SHORTEST` words are left out:
 ordinary prose would hit them. Items are handled in blocks of at most `BLOCK_WORDS` words, so what a task holds is
@@ -35,11 +32,10 @@ from pyspark.sql import functions as F
 from lectern.llm.common import composed, slices, table
 
 WORD = re.compile(r"\w+")
-SIMILARITY, RECALL, TOLERATED = 0.8, 0.99, 0.1
-SHORTEST, STRETCHES = 8, (1 / 8, 1 / 2, 1)
-MOST_REPETITIONS = 24
+SIMILARITY = 0.8
+SHORTEST = 8
 BLOCK_WORDS = 2_000_000
-SLOTS = 1 << 16
+AT_ONCE = 1 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,102 +47,64 @@ def hashes_of(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def plan_of(repetition: int, reach: int) -> tuple[np.uint64, list[int]]:
-    """Multiplier that gives a repetition its hash bits, and its sampled steps: one in each stretch of the first
-    `reach` steps, the first stretch being the shortest, as all positions have to walk there."""
-    rng = np.random.default_rng(7_000 + repetition)
-    odd = np.uint64(int(rng.integers(1, 2**62)) * 2 + 1)
-    edges = [0, *(int(reach * part) for part in STRETCHES)]
-    return odd, [int(rng.integers(a, max(a + 1, b))) for a, b in zip(edges[:-1], edges[1:])]
-
-
-class Walk:
-    """Pointers of CGK walks over one array of word hashes, all at the same step."""
-
-    def __init__(self, words: np.ndarray, starts: np.ndarray, odd: np.uint64) -> None:
-        self.words, self.at, self.step = words, starts.astype(np.intp), 0
-        bits = words * odd
-        bits ^= bits >> np.uint64(32)
-        self.bytes = bits.view(np.uint8).reshape(-1, 8)
-        self.byte = self.bytes[:, 0].copy()  # the bits of eight steps
-        self.move = np.empty(len(starts), np.uint8)
-
-    def to(self, step: int) -> np.ndarray:
-        """The words put out in `step`."""
-        while self.step < step:
-            np.take(self.byte, self.at, out=self.move, mode="clip")  # no pointer leaves the array
-            np.right_shift(self.move, np.uint8(self.step & 7), out=self.move)
-            np.bitwise_and(self.move, np.uint8(1), out=self.move)
-            np.add(self.at, self.move, out=self.at)
-            self.step += 1
-            if self.step & 7 == 0:
-                self.byte = self.bytes[:, (self.step >> 3) & 7].copy()
-        return np.take(self.words, self.at, mode="clip")
-
-    def keep(self, mask: np.ndarray) -> None:
-        self.at = self.at[mask]
-        self.move = self.move[:len(self.at)]
-
-
-def slot(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(48)).astype(np.int64)
-
-
-def joined(key: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return (key ^ words) * STEP + (key >> np.uint64(7))
+def runs(words: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the ascending widths, the hashes of all runs of so many words."""
+    key, width = np.zeros(len(words), np.uint64), 0
+    for wanted in widths:
+        while width < wanted:
+            key = (key[:max(len(words) - width, 0)] ^ words[width:]) * STEP
+            key ^= key >> np.uint64(29)
+            width += 1
+        yield wanted, key
+
+
+class Pieces:
+    """The pieces of one width, sorted by hash, with their items and places in them."""
+
+    def __init__(self, keys: np.ndarray, items: np.ndarray, offsets: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items, self.offsets = keys[order], items[order], offsets[order]
+        bits = max(16, int(16 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.used = np.zeros(1 << bits, bool)
+        self.used[(keys >> self.shift).astype(np.int64)] = True
+
+    def found(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in keys, item, place in the item) of all pieces among keys, about AT_ONCE at a time."""
+        at = np.flatnonzero(self.used[(keys >> self.shift).astype(np.int64)])
+        low, high = (np.searchsorted(self.keys, keys[at], side) for side in ("left", "right"))
+        at, low, counts = at[high > low], low[high > low], (high - low)[high > low]
+        ends, first = np.cumsum(counts), 0
+        while first < len(at):
+            before = ends[first - 1] if first else 0
+            stop = max(first + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+            part = counts[first:stop]
+            entry = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part - low[first:stop], part)
+            yield np.repeat(at[first:stop], part), self.items[entry], self.offsets[entry]
+            first = stop
 
 
 class Items:
-    """The items of one block with their sampled keys in every repetition."""
+    """The items of one block and their pieces by width."""
 
-    def __init__(self, rows: list[tuple[int, list[str]]], recall: float = RECALL) -> None:
+    def __init__(self, rows: list[tuple[int, list[str]]]) -> None:
         self.ids = [i for i, _ in rows]
-        self.words = [hashes_of(w) for _, w in rows]
-        self.sizes = np.array([len(w) for w in self.words])
-        self.reach = int(1.5 * self.sizes.min())
-        # the walk may run past an item's end; there it reads this mark, as a window's walk reads the next words
-        self.flat = np.concatenate([np.concatenate([w, np.zeros(self.reach, np.uint64)]) for w in self.words])
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes + self.reach)[:-1])).astype(np.int32)
-        self.repetitions = self._needed(recall)
-        self.tables = [self._keys(r) for r in range(self.repetitions)]
-
-    def _keys(self, repetition: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Slots in use after each sampled step; the full keys, sorted, and the items they belong to."""
-        odd, steps = plan_of(repetition, self.reach)
-        walk, key, filters = Walk(self.flat, self.starts, odd), np.zeros(len(self.ids), np.uint64), []
-        for step in steps:
-            key = joined(key, walk.to(step))
-            used = np.zeros(SLOTS, bool)
-            used[slot(key)] = True
-            filters.append(used)
-        order = np.argsort(key, kind="stable")
-        return filters, key[order], order
-
-    def _needed(self, recall: float) -> int:
-        """Repetitions for the target recall at TOLERATED edits, measured on up to 400 edited items."""
-        rng = np.random.default_rng(11)
-        chosen = np.arange(len(self.words)) if len(self.words) <= 400 else rng.choice(len(self.words), 400, False)
-        trials, agree, count = 8, 0, 0
-        for repetition in range(trials):
-            odd, steps = plan_of(100 + repetition, self.reach)
-            for i in chosen:
-                own = self.words[i]
-                edited = own.copy()
-                for _ in range(max(1, int(TOLERATED * len(own)))):
-                    kind, place = rng.integers(3), int(rng.integers(len(edited)))
-                    new = rng.integers(1, 2**63, 1, dtype=np.uint64)
-                    if kind == 0:
-                        edited[place] = new[0]
-                    elif kind == 1:
-                        edited = np.concatenate([edited[:place], new, edited[place:]])
-                    elif len(edited) > 2:
-                        edited = np.delete(edited, place)
-                tail = np.zeros(self.reach, np.uint64)
-                both = [Walk(np.concatenate([w, tail]), np.zeros(1, np.int32), odd) for w in (own, edited)]
-                agree += all(both[0].to(s)[0] == both[1].to(s)[0] for s in steps)
-                count += 1
-        rate = min(max(agree / count, 0.01), 0.999)
-        return min(MOST_REPETITIONS, max(3, math.ceil(math.log(1 - recall) / math.log(1 - rate))))
+        self.sizes = np.array([len(w) for _, w in rows])
+        self.most = ((1 - SIMILARITY) * self.sizes + 1e-9).astype(np.int64)
+        self.flat = np.concatenate([hashes_of(w) for _, w in rows])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        pieces = self.most + 1
+        item = np.repeat(np.arange(len(rows)), pieces)
+        number = np.arange(len(item)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        offset = number * self.sizes[item] // pieces[item]
+        width = (number + 1) * self.sizes[item] // pieces[item] - offset
+        self.pieces: dict[int, Pieces] = {}
+        for wide, keys in runs(self.flat, np.unique(width).tolist()):
+            own = width == wide
+            self.pieces[wide] = Pieces(keys[(self.starts[item] + offset)[own]], item[own], offset[own])
+
+    def words(self, item: int) -> np.ndarray:
+        return self.flat[self.starts[item]:self.starts[item] + self.sizes[item]]
 
 
 def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int]:
@@ -171,53 +129,79 @@ def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int,
     return int(row[end]), end
 
 
-def _candidates(items: Items, flat: np.ndarray, positions: np.ndarray) -> set[tuple[int, int]]:
-    """(position, item) that agree in all sampled steps of a repetition."""
-    found: set[tuple[int, int]] = set()
-    for repetition, (filters, keys, order) in enumerate(items.tables):
-        odd, steps = plan_of(repetition, items.reach)
-        walk, origin, key = Walk(flat, positions, odd), positions, np.zeros(len(positions), np.uint64)
-        for step, used in zip(steps, filters):
-            key = joined(key, walk.to(step))
-            alive = used[slot(key)]
-            key, origin = key[alive], origin[alive]
-            walk.keep(alive)
-        low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-        for place in np.flatnonzero(high > low):
-            found.update((int(origin[place]), item) for item in order[low[place]:high[place]].tolist())
-    return found
+def _start_distances(items: np.ndarray, texts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of items and texts: the rows in which the item lies within `most` edits, and for each of them the
+    least edit distance from each start in the text (and from its end), whatever the end."""
+    width = np.arange(texts.shape[1] + 1, dtype=np.int32)
+    rows, texts = np.arange(len(items)), texts[:, ::-1]
+    row = np.zeros((len(items), len(width)), np.int32)  # from the item's end to its beginning
+    for i in range(items.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (texts != items[rows, -1 - i][:, None]), out=new[:, 1:])
+        row = np.minimum.accumulate(new - width, axis=1) + width
+        alive = row.min(axis=1) <= most
+        if not alive.all():
+            row, rows, texts = row[alive], rows[alive], texts[alive]
+            if not len(rows):
+                break
+    return rows, row[:, ::-1]
+
+
+def _places(items: Items, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
+            item: np.ndarray, doc: np.ndarray, origin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(doc, item, distance, place) of the places near `origin`, the item's supposed start in flat, the best of each
+    row. Rows are distinct; an origin stands for itself and the `most` after it."""
+    order = np.argsort(items.sizes[item], kind="stable")
+    item, doc, origin = item[order], doc[order], origin[order]
+    first = 0
+    while first < len(item):
+        size, most = int(items.sizes[item[first]]), int(items.most[item[first]])
+        length = size + 3 * most
+        last = int(np.searchsorted(items.sizes[item], size, side="right"))
+        stop = min(last, first + max(1, AT_ONCE // length))
+        i, d, begin = item[first:stop], doc[first:stop], origin[first:stop] - most
+        first = stop
+        place = begin[:, None] + np.arange(length)
+        inside = (place >= starts[d][:, None]) & (place < (starts + sizes)[d][:, None])
+        texts = np.where(inside, np.take(flat, place, mode="clip"), np.uint64(0))
+        rows, distances = _start_distances(items.flat[items.starts[i][:, None] + np.arange(size)], texts, most)
+        if not len(rows):
+            continue
+        distances = np.where(inside[rows], distances[:, :-1], most + 1)
+        at = distances.argmin(axis=1)
+        least = distances[np.arange(len(rows)), at]
+        good = least <= most
+        rows, at, least = rows[good], at[good], least[good]
+        yield from zip(d[rows].tolist(), i[rows].tolist(), least.tolist(), (begin[rows] + at).tolist())
 
 
 Match = tuple[int, int, int, int, int, float]
 
 
-def matches_in(classes: list[Items], texts: list[str | None]) -> list[Match]:
+def matches_in(items: Items, texts: list[str | None]) -> list[Match]:
     """(index of the text, item_id, first word, words, distance, similarity) by text, best place of each item."""
-    reach = max(items.reach for items in classes)
     words = [words_of(t) if t else [] for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(sizes + reach) - sizes - reach  # each text is followed by marks, so no walk leaves it
-    flat = np.zeros(int((sizes + reach).sum()), np.uint64)
+    starts = np.cumsum(sizes + 1) - sizes - 1  # a mark follows each text, so that no piece is found across two
+    flat = np.zeros(int((sizes + 1).sum()), np.uint64)
     for own, start in zip(words, starts.tolist()):
         flat[start:start + len(own)] = hashes_of(own)
-    best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
-    for c, items in enumerate(classes):
-        opens = np.maximum(sizes - int(SIMILARITY * items.sizes.min()) + 1, 0)
-        shift = np.repeat(starts - (np.cumsum(opens) - opens), opens)
-        positions = (np.arange(len(shift)) + shift).astype(np.int32)
-        for place, item in _candidates(items, flat, positions):
-            doc = int(np.searchsorted(starts, place, "right")) - 1
-            size = int(items.sizes[item])
-            most = int((1 - SIMILARITY) * size + 1e-9)
-            window = flat[place:min(place + size + most, int(starts[doc] + sizes[doc]))]
-            if len(window) < size - most:
-                continue
-            distance, length = edit_distance(items.words[item], window, most)
-            if distance <= most:
-                at = (distance, place - int(starts[doc]), length)
-                best[doc, c, item] = min(best.get((doc, c, item), at), at)
-    return [(doc, classes[c].ids[item], at, length, distance, 1 - distance / float(classes[c].sizes[item]))
-            for (doc, c, item), (distance, at, length) in sorted(best.items())]
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for width, keys in runs(flat, sorted(items.pieces)):
+        for place, item, offset in items.pieces[width].found(keys):
+            doc = np.searchsorted(starts, place, "right") - 1
+            step = items.most[item] + 1
+            origin = (place - offset) // step * step  # neighbouring places are checked together
+            near = np.unique(np.stack([item, doc, origin]), axis=1)
+            for d, i, distance, at in _places(items, flat, starts, sizes, *near):
+                best[d, i] = min(best.get((d, i), (distance, at)), (distance, at))
+    out = []
+    for (d, i), (distance, at) in sorted(best.items()):
+        size, most = int(items.sizes[i]), int(items.most[i])
+        _, length = edit_distance(items.words(i), flat[at:min(at + size + most, int(starts[d] + sizes[d]))], most)
+        out.append((d, items.ids[i], at - int(starts[d]), length, distance, 1 - distance / size))
+    return out
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
@@ -228,17 +212,11 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[Da
     return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
 
 
-def length_classes(block: DataFrame) -> list[Items]:
-    """The items of a block by length: a class reaches to double its shortest item, so that the sampled steps lie
-    within every item of it."""
+def items_of(block: DataFrame) -> Items | None:
+    """The items of a block; None if it has none."""
     rows = [(r["item_id"], words_of(r["text"])) for r in block.collect()]
     rows = [(i, w) for i, w in rows if len(w) >= SHORTEST]
-    classes: list[list] = []
-    for row in sorted(rows, key=lambda r: (len(r[1]), r[1], r[0] is None, r[0] or 0)):
-        if not classes or len(row[1]) > 2 * len(classes[-1][0][1]):
-            classes.append([])
-        classes[-1].append(row)
-    return [Items(c) for c in classes]
+    return Items(rows) if rows else None
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -246,8 +224,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, first_word long, n_words long, distance long, similarity double"
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
     parts = []
-    for classes in filter(None, map(length_classes, item_blocks(benchmark))):
-        shared = docs.sparkSession.sparkContext.broadcast(classes)
+    for items in filter(None, map(items_of, item_blocks(benchmark))):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in (part for whole in batches for part in slices(whole)):
@@ -266,8 +244,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in which no item is found."""
     place = docs.columns.index("text")
-    for classes in filter(None, map(length_classes, item_blocks(benchmark))):
-        shared = docs.sparkSession.sparkContext.broadcast(classes)
+    for items in filter(None, map(items_of, item_blocks(benchmark))):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in (part for whole in batches for part in slices(whole, place)):

@@ -78,3 +78,32 @@ def test_odd_rows(spark, odd_documents):
     assert D.contaminated(odd_documents.limit(0), bench).count() == 0
     assert D.contaminated(odd_documents, bench.limit(0)).count() == 0
     assert D.clean(odd_documents, bench.limit(0)).count() == 11
+
+
+def nearest(item, words) -> int:
+    """Least edit distance of the item from any run of words, by the full table."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, start=1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(words, start=1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return min(row)
+
+
+def test_finds_every_distance_up_to_the_limit(spark, documents):
+    """Passages with as many edits as similarity 0.8 allows, of every kind, also at the ends of a document."""
+    items = [(i, prose(i, n)) for i, n in enumerate((8, 9, 14, 15, 23, 37, 59))]
+    rng, docs = random.Random(9), []
+    for d in range(280):
+        own = items[d % 7][1].split()
+        for _ in range(min(d // 7, len(own) // 5 + 4)):
+            place = rng.randrange(len(own))
+            own[place:place + rng.randint(0, 1)] = [f"odd{rng.randrange(10**6)}"] * rng.randint(0, 1)
+        docs.append((d, " ".join([prose(400 + d, 6) * (d % 3 > 0), *own, prose(800 + d, 6) * (d % 2)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in D.contaminated(documents(docs), bench).collect()}
+    words = {i: D.words_of(t) for i, t in items}
+    every = {(d, i): nearest(words[i], D.words_of(t)) for d, t in docs for i in words}
+    want = {(d, i): n for (d, i), n in every.items() if n <= int(0.2 * len(words[i]) + 1e-9)}
+    assert {0, 10, 11} <= {n for (_, i), n in want.items() if i == 6} and len(want) > 100
+    assert found == want
