@@ -9,8 +9,8 @@ sequences inside the band that a similarity of 0.8 leaves: similarity = aligned
 Exact copies collapse first, so everything after works on distinct texts. A bucket of at most `SMALL` texts compares
 its texts with each other. A larger one drops members and pairs that cannot reach 0.8 because too many of their
 k-mers are in no other member of a large bucket, and compares its members with its smallest id. What is then not in
-the bucket's largest class is compared, in blocks, with all of its other classes that share a second sketch, whatever
-the bucket's size. Classes are connected components.
+the bucket's largest class is compared, in blocks, with all of its other classes, whatever the bucket's size: one
+shared sketch makes a candidate in every bucket. Classes are connected components.
 
 Defined results: null text is its own class; texts without any word are copies only if identical; a null doc_id gets
 a null class and takes no part; repeated rows and rows sharing an id share a class. Ties cannot matter: the class id
@@ -179,7 +179,7 @@ def similarity_of(x: Prepared, y: Prepared, least: float = SIMILARITY) -> float:
     shared = int(np.minimum(x.counts[i], y.counts[j]).sum())
     if shared < least * (total - shared):
         return 0.0
-    need = int(np.ceil(least / (1 + least) * total))
+    need = int(np.ceil(least / (1 + least) * total - 1e-9))
     matched = _aligned(a, b, max(0, total - 2 * need))
     return matched / (total - matched)
 
@@ -225,7 +225,7 @@ def _with_lone(members: DataFrame, words: DataFrame) -> DataFrame:
             .groupBy("id").agg(F.count("*").alias("lone")))
     return members.join(lone, "id", "left").select(
         "band", "key", "id", "n", F.coalesce("lone", F.lit(0)).alias("lone")).where(
-            F.col("lone") <= (1 - SIMILARITY) * F.col("n"))
+            F.col("lone") <= (1 - SIMILARITY) * F.col("n") + 1e-9)
 
 
 def _fits(n: str, m: str, lone_n: str = "0", lone_m: str = "0") -> Column:
@@ -279,7 +279,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def _between(outside: pa.Table, other: pa.Table) -> pa.Table:
-    """Links between two blocks of a bucket. A pair belongs to the first band its texts share, and must share two."""
+    """Links between two blocks of a bucket. A pair belongs to the first band its texts share."""
     out: list[tuple[int, int]] = []
     if outside.num_rows and other.num_rows:
         ids, others = outside["id"].to_numpy(), other["id"].to_numpy()
@@ -294,7 +294,7 @@ def _between(outside: pa.Table, other: pa.Table) -> pa.Table:
         for i in np.flatnonzero(met.any(axis=1)).tolist():
             own = Prepared(left[i])
             same = other_keys == keys[i]
-            fits = met[i] & (same.argmax(axis=1) == band) & (same.sum(axis=1) > 1)
+            fits = met[i] & (same.argmax(axis=1) == band)
             for j in np.flatnonzero(fits).tolist():
                 if j not in kept:
                     kept[j] = Prepared(right[j])

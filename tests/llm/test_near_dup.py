@@ -89,6 +89,37 @@ def test_classes_match_brute_force(documents, monkeypatch, small):
     assert found == brute(rows)
 
 
+def shared_bands(*texts: str) -> np.ndarray:
+    keys = [N.sketches(N.shingles(N.word_hashes(t.split()))) for t in texts]
+    return np.flatnonzero(np.all([k == keys[0] for k in keys], axis=0))
+
+
+def test_one_shared_sketch_in_a_large_bucket_is_enough(documents, monkeypatch):
+    """14 words and their first 12 (similarity 0.8) that share one sketch only, in a bucket led by another text."""
+    monkeypatch.setattr(N, "SMALL", 2)
+    rows = []
+    for seed in range(100_000):
+        longer = [f"w{seed}x{j}" for j in range(14)]
+        x, y = " ".join(longer[:12]), " ".join(longer)
+        bands = shared_bands(x, y)
+        if len(bands) != 1:
+            continue
+        leads = (" ".join([*longer[:12], *(f"v{k}x{j}" for j in range(4))]) for k in range(1000))
+        z = next(z for z in leads if bands[0] in shared_bands(x, y, z))
+        rows += [(10 * len(rows) + i, t) for i, t in enumerate((z, x, y))]
+        if len(rows) == 12:
+            break
+    found = {r["doc_id"]: r["class_id"] for r in N.near_classes(documents(rows)).collect()}
+    assert found == brute(rows) and len(set(found.values())) == 8
+
+
+def test_similarity_of_exactly_the_limit_with_shifted_shingles():
+    for n in (4, 8, 28, 52):  # shingles of the shorter text
+        words = N.word_hashes([f"w{j}" for j in range(n + n // 4 + 4)])
+        for start in range(n // 4 + 1):
+            assert N.similarity(words[start:start + n + 4], words) == pytest.approx(0.8)
+
+
 def test_odd_rows(odd_documents):
     found = N.near_classes(odd_documents).collect()
     classes = {(r["doc_id"], r["class_id"]) for r in found}
