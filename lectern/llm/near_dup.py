@@ -2,8 +2,10 @@
 
 Words are runs of word characters, lower-cased. A text's k-mers are its shingles of five words, each labelled with
 its occurrence number (a text under five words is one shingle). A sketch takes the `LENGTH` k-mers that are smallest
-under one hash function, in text order; two texts are candidates if they share one of `SKETCHES` sketches (at a
-similarity of 0.8 a pair is missed with a chance of about 0.0002). Candidates are verified by aligning their shingle
+under one hash function, in text order; two texts are candidates if they share one of `SKETCHES` sketches. At a
+similarity of 0.8 a pair of long texts is missed with a chance of about 0.0002, one of short texts more often (8 of 10
+shingles: 0.0015). Texts of `FEW` shingles or less are candidates also if they become equal by leaving out one shingle
+or none in each, which all pairs of them with a similarity of 0.8 do: none is missed. Candidates are verified by aligning their shingle
 sequences inside the band that a similarity of 0.8 leaves: similarity = aligned / (n1 + n2 - aligned).
 
 Exact copies collapse first, so everything after works on distinct texts. A bucket of at most `SMALL` texts compares
@@ -34,6 +36,7 @@ from lectern.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 LENGTH, SKETCHES = 4, 16
+FEW = 9  # two texts of at most 9 shingles reach 0.8 only if each has at most one that is not aligned
 SMALL, BLOCK = 32, 400
 WORD = re.compile(r"\w+")
 SEEDS = np.random.default_rng(20240501).integers(1, 2**63, SKETCHES, dtype=np.uint64)
@@ -95,6 +98,15 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def shortened(kmers: np.ndarray) -> np.ndarray:
+    """Keys of a text of few shingles and of what is left of it without each one of them; none for longer texts and
+    those too short to spare one, whose sketch is the whole text."""
+    if not LENGTH <= len(kmers) <= FEW:
+        return np.zeros(0, np.int64)
+    left = [kmers, *(np.delete(kmers, i) for i in range(len(kmers)))]
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(k.tobytes()) for k in left], np.uint64).view(np.int64))
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     met: dict[bytes, tuple[int, np.ndarray | None]] = {}
     for batch in (part for whole in batches for part in slices(whole)):
@@ -110,7 +122,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     met.clear()
                 if words:
                     kmers = shingles(word_hashes(words))
-                    met[mark] = len(kmers), sketches(kmers)
+                    met[mark] = len(kmers), np.concatenate([sketches(kmers), shortened(kmers)])
                 else:
                     met[mark] = 0, None
             exact.append(mark), sizes.append(met[mark][0]), keys.append(met[mark][1])
@@ -251,6 +263,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("exact_id"), F.max("n").alias("n"), F.max("keys").alias("keys"))
     texts = stored(texts, "texts")
     entries = texts.where("n > 0").select(F.col("exact_id").alias("id"), "n", F.posexplode("keys").alias("band", "key"))
+    entries = entries.withColumn("band", F.least("band", F.lit(SKETCHES)))  # keys of shortened texts have no order
     shared = entries.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(entries.join(shared, ["band", "key"]), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
@@ -279,14 +292,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def _between(outside: pa.Table, other: pa.Table) -> pa.Table:
-    """Links between two blocks of a bucket. A pair belongs to the first band its texts share."""
+    """Links between two blocks of a bucket. A pair belongs to the first band its texts share; to
+    the keys of shortened texts if they share none."""
     out: list[tuple[int, int]] = []
     if outside.num_rows and other.num_rows:
         ids, others = outside["id"].to_numpy(), other["id"].to_numpy()
         band = outside["band"][0].as_py()
         n, m = outside["n"].to_numpy()[:, None], other["n"].to_numpy()[None, :]
         most = np.minimum(n - outside["lone"].to_numpy()[:, None], m - other["lone"].to_numpy()[None, :])
-        keys, other_keys = (np.array(t["keys"].to_pylist(), np.int64) for t in (outside, other))
+        keys, other_keys = (np.array([k[:SKETCHES] for k in t["keys"].to_pylist()], np.int64) for t in (outside, other))
         met = (outside["component"].to_numpy()[:, None] != other["component"].to_numpy()[None, :]) & (
             most >= SIMILARITY * (n + m - most)) & (~other["out"].to_numpy(zero_copy_only=False)[None, :] | (ids[:, None] < others[None, :]))
         left, right = (t["words"].to_pylist() for t in (outside, other))
@@ -294,7 +308,7 @@ def _between(outside: pa.Table, other: pa.Table) -> pa.Table:
         for i in np.flatnonzero(met.any(axis=1)).tolist():
             own = Prepared(left[i])
             same = other_keys == keys[i]
-            fits = met[i] & (same.argmax(axis=1) == band)
+            fits = met[i] & (np.where(same.any(axis=1), same.argmax(axis=1), SKETCHES) == band)
             for j in np.flatnonzero(fits).tolist():
                 if j not in kept:
                     kept[j] = Prepared(right[j])

@@ -120,6 +120,24 @@ def test_similarity_of_exactly_the_limit_with_shifted_shingles():
             assert N.similarity(words[start:start + n + 4], words) == pytest.approx(0.8)
 
 
+@pytest.mark.parametrize("small", [32, 1])
+def test_no_pair_of_short_texts_is_missed(documents, monkeypatch, small):
+    """Every place of a left out word, in texts of up to 13 words that are just similar enough, or just not."""
+    monkeypatch.setattr(N, "SMALL", small)
+    rows = []
+    for k in range(400):
+        words = [f"w{k}x{j}" for j in range(8 + k % 6)]
+        other = words[:-1] if k % 2 else words[1:]
+        if len(words) == 13:
+            other = [*words[1:], "odd"] if k % 2 else [*words[:-1], "odd"]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    found = {r["doc_id"]: r["class_id"] for r in N.near_classes(documents(rows)).collect()}
+    alike = {a: exact(N.word_hashes(rows[a][1].split()), N.word_hashes(rows[a + 1][1].split())) >= N.SIMILARITY
+             for a in range(0, 800, 2)}
+    assert 300 < sum(alike.values()) < 400
+    assert found == {i: i - i % 2 if alike[i - i % 2] else i for i in range(800)}
+
+
 def test_odd_rows(odd_documents):
     found = N.near_classes(odd_documents).collect()
     classes = {(r["doc_id"], r["class_id"]) for r in found}
