@@ -1,18 +1,18 @@
 """Benchmark decontamination: exact piece search for benchmark items, exact edit verification.
 
 An item of n words may differ in `most` = 0.2 n of them, rounded down. It is cut into most + 1 pieces of three to five
-words. Edits touch at most `most` of the pieces, so every passage within that distance holds one piece unchanged, and
+words each. Edits touch at most `most` of the pieces, so every passage within that distance holds one piece unchanged, and
 no such passage is missed: documents are searched for all pieces by hashes of their word runs.
 
 A piece found in a document says where the item would lie. Around that place the exact word edit distance between the
 item and the text is computed for every start, the end floating, for many places at a time: similarity = 1 - distance /
 words of the item, `SIMILARITY` or more. The best place per document and item is kept.
 
-Words are runs of word characters, lower-cased, accents composed. Items of fewer than `SHORTEST` words are left out:
-ordinary prose would hit them. Items are handled in blocks of at most `BLOCK_WORDS` words, so what a task holds is
+Words are runs of word characters, lower-cased, accents composed. Items of fewer than `SHORTEST` words must be
+found word by word, as one piece: with an edit, ordinary prose would hit them. Items are handled in blocks of at most `BLOCK_WORDS` words, so what a task holds is
 bounded; each block is one pass over the documents.
 
-Defined results: null, empty or short texts give no rows; null items are skipped; items with equal words are
+Defined results: null, empty or short texts give no rows; null items and items without a word are skipped; items with equal words are
 reported one by one; repeated rows give repeated results; ties take the first place. Empty tables give no rows.
 """
 
@@ -90,7 +90,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, list[str]]]) -> None:
         self.ids = [i for i, _ in rows]
         self.sizes = np.array([len(w) for _, w in rows])
-        self.most = ((1 - SIMILARITY) * self.sizes + 1e-9).astype(np.int64)
+        self.most = np.where(self.sizes < SHORTEST, 0, (1 - SIMILARITY) * self.sizes + 1e-9).astype(np.int64)
         self.flat = np.concatenate([hashes_of(w) for _, w in rows])
         self.starts = np.cumsum(self.sizes) - self.sizes
         pieces = self.most + 1
@@ -215,7 +215,7 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[Da
 def items_of(block: DataFrame) -> Items | None:
     """The items of a block; None if it has none."""
     rows = [(r["item_id"], words_of(r["text"])) for r in block.collect()]
-    rows = [(i, w) for i, w in rows if len(w) >= SHORTEST]
+    rows = [(i, w) for i, w in rows if w]
     return Items(rows) if rows else None
 
 

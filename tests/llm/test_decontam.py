@@ -107,3 +107,13 @@ def test_finds_every_distance_up_to_the_limit(spark, documents):
     want = {(d, i): n for (d, i), n in every.items() if n <= int(0.2 * len(words[i]) + 1e-9)}
     assert {0, 10, 11} <= {n for (_, i), n in want.items() if i == 6} and len(want) > 100
     assert found == want
+
+
+def test_items_under_eight_words_match_exactly(spark, documents):
+    items = [(n, " ".join(f"w{n}x{j}" for j in range(n))) for n in range(1, 8)] + [(0, "?!")]
+    docs = [(n, f"{prose(n, 9)} {t.upper()}, {prose(50 + n, 9)} {t}") for n, t in items if n]
+    docs += [(10 + n, f"{prose(n, 9)} {t.rsplit(' ', 1)[0]} odd") for n, t in items if n > 1] + [(20, items[6][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {tuple(r) for r in D.contaminated(documents(docs), bench).collect()}
+    assert found == {(n, n, 9, n, 0, 1.0) for n in range(1, 8)} | {(20, 7, 0, 7, 0, 1.0)}
+    assert {r["doc_id"] for r in D.clean(documents(docs), bench).collect()} == {10 + n for n in range(2, 8)}
