@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, html_text, lang_id, licenses, near_dup, neighbours, packing, pii, token_counts, url_rules
+from lectern.llm import (alignment, decontam, html_text, lang_id, licenses, near_dup, neighbours, packing, pii,
+                         token_counts, url_rules)
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -15,5 +16,6 @@ QUERIES = {
     "op7_language_id": lang_id.query,
     "op9_url_rules": url_rules.query,
     "op10_neighbours": neighbours.query,
+    "op11_token_alignment": alignment.query,
 }
 ORACLES: dict[str, str] = {}
