@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lectern.llm import (alignment, decontam, html_text, lang_id, licenses, near_dup, neighbours, packing, pii,
-                         token_counts, url_rules)
+                         secrets, token_counts, url_rules)
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op9_url_rules": url_rules.query,
     "op10_neighbours": neighbours.query,
     "op11_token_alignment": alignment.query,
+    "op12_secrets": secrets.query,
 }
 ORACLES: dict[str, str] = {}
