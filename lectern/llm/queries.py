@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lectern.llm import (alignment, decontam, html_text, lang_id, licenses, near_dup, neighbours, packing, pii,
-                         secrets, token_counts, url_rules)
+from lectern.llm import (alignment, decontam, hard_negatives, html_text, lang_id, licenses, near_dup, neighbours, packing,
+                         pii, secrets, token_counts, url_rules)
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -18,5 +18,6 @@ QUERIES = {
     "op10_neighbours": neighbours.query,
     "op11_token_alignment": alignment.query,
     "op12_secrets": secrets.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_hard_negatives": hard_negatives.SQL}
