@@ -1,19 +1,26 @@
-"""Benchmark decontamination: exact piece search for benchmark items, exact edit verification.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-An item of n words may differ in `most` = 0.2 n of them, rounded down. It is cut into most + 1 pieces of three to five
-words each. Edits touch at most `most` of the pieces, so every passage within that distance holds one piece unchanged, and
-no such passage is missed: documents are searched for all pieces by hashes of their word runs.
+Every word position of a document opens a window as long as a benchmark item. A CGK walk reads a window with one
+pointer: in step j it puts out the word under the pointer and moves on by bit j of that word's hash, so windows at a
+small edit distance become sequences at a small Hamming distance. One repetition has its own hash bits and samples
+`SAMPLES` steps, which lie near each other at a random place of the walk; windows that agree with an item in all of them
+are candidates. All positions of a batch walk at once, and after each sampled step only those that can still agree walk on.
 
-A piece found in a document says where the item would lie. Around that place the exact word edit distance between the
-item and the text is computed for every start, the end floating, for many places at a time: similarity = 1 - distance /
-words of the item, `SIMILARITY` or more. The best place per document and item is kept.
+Items are grouped in classes of lengths up to double the shortest. A class gets as many repetitions as its recall
+needs: copies of its items with as many random edits as similarity `SIMILARITY` allows are walked, repetition after
+repetition, until `RECALL` of them were candidates. Sampled steps lie within the shortest item of the class, so exact
+copies agree in every repetition. The rule is the same for items of any length.
 
-Words are runs of word characters, lower-cased, accents composed. Items of fewer than `SHORTEST` words must be
-found word by word, as one piece: with an edit, ordinary prose would hit them. Items are handled in blocks of at most `BLOCK_WORDS` words, so what a task holds is
-bounded; each block is one pass over the documents.
+Around a candidate's place the exact word edit distance between the item and the text is computed for every start, the
+end floating, for many places at a time: similarity = 1 - distance / words of the item, `SIMILARITY` or more. The best
+place per document and item is kept.
+
+Words are runs of word characters, lower-cased, accents composed. Items are handled in blocks of at most `BLOCK_WORDS`
+words, so what a task holds is bounded; each block is one pass over the documents.
 
 Defined results: null, empty or short texts give no rows; null items and items without a word are skipped; items with equal words are
-reported one by one; repeated rows give repeated results; ties take the first place. Empty tables give no rows.
+reported one by one; repeated rows give repeated results; ties take the first place; very long texts are searched whole. Only doc_id and text (item_id and text) are read, so
+other columns can have any name. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +39,10 @@ from pyspark.sql import functions as F
 from lectern.llm.common import composed, slices, table
 
 WORD = re.compile(r"\w+")
-SIMILARITY = 0.8
-SHORTEST = 8
+SIMILARITY, RECALL = 0.8, 0.99
+SAMPLES, GAP = 3, 4  # sampled steps of a repetition, and how far one lies after another at most
+COPIES = 400  # edited copies that a class's recall is measured on
+SLOTS = 1 << 18
 BLOCK_WORDS = 2_000_000
 AT_ONCE = 1 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -47,61 +56,128 @@ def hashes_of(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def runs(words: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of the ascending widths, the hashes of all runs of so many words."""
-    key, width = np.zeros(len(words), np.uint64), 0
-    for wanted in widths:
-        while width < wanted:
-            key = (key[:max(len(words) - width, 0)] ^ words[width:]) * STEP
-            key ^= key >> np.uint64(29)
-            width += 1
-        yield wanted, key
-
-
-class Pieces:
-    """The pieces of one width, sorted by hash, with their items and places in them."""
-
-    def __init__(self, keys: np.ndarray, items: np.ndarray, offsets: np.ndarray) -> None:
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.items, self.offsets = keys[order], items[order], offsets[order]
-        bits = max(16, int(16 * len(keys)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.used = np.zeros(1 << bits, bool)
-        self.used[(keys >> self.shift).astype(np.int64)] = True
-
-    def found(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place in keys, item, place in the item) of all pieces among keys, about AT_ONCE at a time."""
-        at = np.flatnonzero(self.used[(keys >> self.shift).astype(np.int64)])
-        low, high = (np.searchsorted(self.keys, keys[at], side) for side in ("left", "right"))
-        at, low, counts = at[high > low], low[high > low], (high - low)[high > low]
-        ends, first = np.cumsum(counts), 0
-        while first < len(at):
-            before = ends[first - 1] if first else 0
-            stop = max(first + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
-            part = counts[first:stop]
-            entry = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part - low[first:stop], part)
-            yield np.repeat(at[first:stop], part), self.items[entry], self.offsets[entry]
-            first = stop
+def plan_of(repetition: int, shortest: int) -> tuple[np.uint64, list[int]]:
+    """Multiplier that gives a repetition its hash bits, and its sampled steps for items of so many words or more."""
+    rng = np.random.default_rng(7_000 + repetition)
+    odd, reach = np.uint64(int(rng.integers(1, 2**62)) * 2 + 1), 3 * shortest // 2
+    steps = [int(rng.integers(max(2, reach // 4)))]
+    for _ in range(SAMPLES - 1):
+        steps.append(steps[-1] + int(rng.integers(1, max(1, min(GAP, reach // 4)) + 1)))
+    return odd, [min(s, shortest - 1) for s in steps]
+
+
+class Walk:
+    """Pointers of CGK walks over one array of word hashes, all at the same step."""
+
+    def __init__(self, words: np.ndarray, starts: np.ndarray, odd: np.uint64) -> None:
+        self.words, self.at, self.step = words, starts.astype(np.intp), 0
+        bits = words * odd
+        bits ^= bits >> np.uint64(32)
+        self.bytes = bits.view(np.uint8).reshape(-1, 8)
+        self.byte = self.bytes[:, 0].copy()  # the bits of eight steps
+        self.move = np.empty(len(starts), np.uint8)
+
+    def to(self, step: int) -> np.ndarray:
+        """The words put out in `step`."""
+        while self.step < step:
+            np.take(self.byte, self.at, out=self.move, mode="clip")
+            np.right_shift(self.move, np.uint8(self.step & 7), out=self.move)
+            np.bitwise_and(self.move, np.uint8(1), out=self.move)
+            np.add(self.at, self.move, out=self.at)
+            self.step += 1
+            if self.step & 7 == 0:
+                self.byte = self.bytes[:, (self.step >> 3) & 7].copy()
+        return np.take(self.words, self.at, mode="clip")
+
+    def keep(self, mask: np.ndarray) -> None:
+        self.at = self.at[mask]
+        self.move = self.move[:len(self.at)]
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(46)).astype(np.int64)
+
+
+def _joined(key: np.ndarray, words: np.ndarray) -> np.ndarray:
+    key = (key ^ words) * STEP
+    return key ^ (key >> np.uint64(29))
+
+
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """words with so many random replacements, insertions and deletions."""
+    for _ in range(edits):
+        kind, place = int(rng.integers(3)), int(rng.integers(len(words)))
+        new = rng.integers(1, 2**63, int(kind < 2), dtype=np.uint64)
+        words = np.concatenate([words[:place], new, words[place + (kind != 1):]])
+    return words
 
 
 class Items:
-    """The items of one block and their pieces by width."""
+    """The items of one block and one class of lengths, with their sampled keys in every repetition."""
 
-    def __init__(self, rows: list[tuple[int, list[str]]]) -> None:
+    def __init__(self, rows: list[tuple[int, list[str]]], recall: float = RECALL) -> None:
         self.ids = [i for i, _ in rows]
         self.sizes = np.array([len(w) for _, w in rows])
-        self.most = np.where(self.sizes < SHORTEST, 0, (1 - SIMILARITY) * self.sizes + 1e-9).astype(np.int64)
+        self.most = ((1 - SIMILARITY) * self.sizes + 1e-9).astype(np.int64)
         self.flat = np.concatenate([hashes_of(w) for _, w in rows])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        pieces = self.most + 1
-        item = np.repeat(np.arange(len(rows)), pieces)
-        number = np.arange(len(item)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        offset = number * self.sizes[item] // pieces[item]
-        width = (number + 1) * self.sizes[item] // pieces[item] - offset
-        self.pieces: dict[int, Pieces] = {}
-        for wide, keys in runs(self.flat, np.unique(width).tolist()):
-            own = width == wide
-            self.pieces[wide] = Pieces(keys[(self.starts[item] + offset)[own]], item[own], offset[own])
+        self.starts, self.shortest = np.cumsum(self.sizes) - self.sizes, int(self.sizes.min())
+        self.tables: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
+        self._repeat(recall)
+
+    def _keys(self, flat: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """Keys of walks after each sampled step of the next repetition."""
+        odd, steps = plan_of(len(self.tables), self.shortest)
+        walk, key = Walk(flat, starts, odd), np.zeros(len(starts), np.uint64)
+        for step in steps:
+            key = _joined(key, walk.to(step))
+            yield key
+
+    def _repeat(self, recall: float) -> None:
+        """Repetitions until `recall` of edited copies are candidates, at the largest distance that is accepted."""
+        rng, parts, places, length = np.random.default_rng(11), [], [], 0
+        chosen = np.resize(np.arange(len(self.ids)), COPIES) if len(self.ids) < COPIES else rng.choice(len(self.ids), COPIES, False)
+        widest = int(self.most.max())
+        for i in chosen.tolist():
+            copy = edited(self.words(i), int(self.most[i]), rng)
+            around = rng.integers(1, 2**63, widest + 2 * int(self.sizes[i]), dtype=np.uint64)
+            parts += [around[:widest], copy, around[widest:]]
+            places.append(length + widest)
+            length += len(copy) + len(around)
+        texts, own = np.concatenate(parts), self.most[chosen][:, None]
+        shifts = np.arange(-widest, widest + 1)[None, :]
+        windows = np.where(np.abs(shifts) <= own, np.array(places)[:, None] + shifts, np.array(places)[:, None])
+        found = np.zeros(len(chosen), bool)
+        while found.mean() < recall:
+            *_, met = self._keys(texts, windows.ravel())
+            filters = []
+            for key in self._keys(self.flat, self.starts):
+                used = np.zeros(SLOTS, bool)
+                used[_slot(key)] = True
+                filters.append(used)
+            found |= (met.reshape(windows.shape) == key[chosen][:, None]).any(axis=1)
+            order = np.argsort(key, kind="stable")
+            self.tables.append((filters, key[order], order))
+
+    def found(self, flat: np.ndarray, positions: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(position, item) that agree in all sampled steps of a repetition, about AT_ONCE at a time."""
+        for repetition, (filters, keys, order) in enumerate(self.tables):
+            odd, steps = plan_of(repetition, self.shortest)
+            walk, origin, key = Walk(flat, positions, odd), positions, np.zeros(len(positions), np.uint64)
+            for step, used in zip(steps, filters):
+                key = _joined(key, walk.to(step))
+                alive = used[_slot(key)]
+                key, origin = key[alive], origin[alive]
+                walk.keep(alive)
+            low, high = (np.searchsorted(keys, key, side) for side in ("left", "right"))
+            origin, low, counts = origin[high > low], low[high > low], (high - low)[high > low]
+            ends, first = np.cumsum(counts), 0
+            while first < len(origin):
+                before = ends[first - 1] if first else 0
+                stop = max(first + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+                part = counts[first:stop]
+                entry = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part - low[first:stop], part)
+                yield np.repeat(origin[first:stop], part), order[entry]
+                first = stop
 
     def words(self, item: int) -> np.ndarray:
         return self.flat[self.starts[item]:self.starts[item] + self.sizes[item]]
@@ -179,29 +255,29 @@ def _places(items: Items, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarra
 Match = tuple[int, int, int, int, int, float]
 
 
-def matches_in(items: Items, texts: list[str | None]) -> list[Match]:
+def matches_in(classes: list[Items], texts: list[str | None]) -> list[Match]:
     """(index of the text, item_id, first word, words, distance, similarity) by text, best place of each item."""
     words = [words_of(t) if t else [] for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(sizes + 1) - sizes - 1  # a mark follows each text, so that no piece is found across two
-    flat = np.zeros(int((sizes + 1).sum()), np.uint64)
-    for own, start in zip(words, starts.tolist()):
-        flat[start:start + len(own)] = hashes_of(own)
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for width, keys in runs(flat, sorted(items.pieces)):
-        for place, item, offset in items.pieces[width].found(keys):
+    starts = np.cumsum(sizes) - sizes
+    flat = hashes_of([w for own in words for w in own])
+    out = []
+    for items in classes if len(flat) else ():
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        seen: list[np.ndarray] = []
+        for place, item in items.found(flat, np.arange(len(flat))):
             doc = np.searchsorted(starts, place, "right") - 1
             step = items.most[item] + 1
-            origin = (place - offset) // step * step  # neighbouring places are checked together
-            near = np.unique(np.stack([item, doc, origin]), axis=1)
+            seen.append(np.unique(np.stack([item, doc, place // step * step]), axis=1))  # neighbouring places are checked together
+        if seen:
+            near = np.unique(np.concatenate(seen, axis=1), axis=1)
             for d, i, distance, at in _places(items, flat, starts, sizes, *near):
                 best[d, i] = min(best.get((d, i), (distance, at)), (distance, at))
-    out = []
-    for (d, i), (distance, at) in sorted(best.items()):
-        size, most = int(items.sizes[i]), int(items.most[i])
-        _, length = edit_distance(items.words(i), flat[at:min(at + size + most, int(starts[d] + sizes[d]))], most)
-        out.append((d, items.ids[i], at - int(starts[d]), length, distance, 1 - distance / size))
-    return out
+        for (d, i), (distance, at) in best.items():
+            size, most = int(items.sizes[i]), int(items.most[i])
+            _, length = edit_distance(items.words(i), flat[at:min(at + size + most, int(starts[d] + sizes[d]))], most)
+            out.append((d, items.ids[i], at - int(starts[d]), length, distance, 1 - distance / size))
+    return sorted(out, key=lambda m: (m[0], m[1] is None, m[1] or 0))
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
@@ -212,11 +288,19 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[Da
     return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
 
 
-def items_of(block: DataFrame) -> Items | None:
-    """The items of a block; None if it has none."""
-    rows = [(r["item_id"], words_of(r["text"])) for r in block.collect()]
-    rows = [(i, w) for i, w in rows if w]
-    return Items(rows) if rows else None
+def classes_of(rows: list[tuple[int, list[str]]]) -> list[Items]:
+    """Items by classes of lengths, each reaching to double its shortest item; items without words are left out."""
+    classes: list[list[tuple[int, list[str]]]] = []
+    for row in sorted((r for r in rows if r[1]), key=lambda r: len(r[1])):
+        if not classes or len(row[1]) > 2 * len(classes[-1][0][1]):
+            classes.append([])
+        classes[-1].append(row)
+    return list(map(Items, classes))
+
+
+def items_of(block: DataFrame) -> list[Items]:
+    """The items of a block, by class."""
+    return classes_of([(r["item_id"], words_of(r["text"])) for r in block.collect()])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

