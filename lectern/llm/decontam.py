@@ -67,31 +67,30 @@ def plan_of(repetition: int, shortest: int) -> tuple[np.uint64, list[int]]:
 
 
 class Walk:
-    """Pointers of CGK walks over one array of word hashes, all at the same step."""
+    """CGK walks over one array of word hashes with the hash bits of one repetition."""
 
-    def __init__(self, words: np.ndarray, starts: np.ndarray, odd: np.uint64) -> None:
-        self.words, self.at, self.step = words, starts.astype(np.intp), 0
+    def __init__(self, words: np.ndarray, odd: np.uint64) -> None:
+        self.words = words
         bits = words * odd
         bits ^= bits >> np.uint64(32)
         self.bytes = bits.view(np.uint8).reshape(-1, 8)
-        self.byte = self.bytes[:, 0].copy()  # the bits of eight steps
-        self.move = np.empty(len(starts), np.uint8)
-
-    def to(self, step: int) -> np.ndarray:
-        """The words put out in `step`."""
-        while self.step < step:
-            np.take(self.byte, self.at, out=self.move, mode="clip")
-            np.right_shift(self.move, np.uint8(self.step & 7), out=self.move)
-            np.bitwise_and(self.move, np.uint8(1), out=self.move)
-            np.add(self.at, self.move, out=self.at)
-            self.step += 1
-            if self.step & 7 == 0:
-                self.byte = self.bytes[:, (self.step >> 3) & 7].copy()
-        return np.take(self.words, self.at, mode="clip")
-
-    def keep(self, mask: np.ndarray) -> None:
-        self.at = self.at[mask]
-        self.move = self.move[:len(self.at)]
+
+    def moves(self, step: int) -> np.ndarray:
+        """For every word, whether a pointer on it moves on in this step."""
+        return (self.bytes[:, step >> 3 & 7] >> np.uint8(step & 7)) & np.uint8(1)
+
+    def moved(self, at: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """Pointers that stand at `at` in step `start`, in step `stop`."""
+        for step in range(start, stop):
+            at = np.minimum(at + ((self.bytes[at, step >> 3 & 7] >> np.uint8(step & 7)) & np.uint8(1)), len(self.words) - 1)
+        return at
+
+    def reaching(self, wanted: np.ndarray, step: int) -> np.ndarray:
+        """Starts whose pointer is on a wanted word in `step`; all starts go back step by step at once."""
+        met = wanted.view(np.uint8)
+        for j in range(step - 1, -1, -1):
+            met[:-1] ^= (met[:-1] ^ met[1:]) & self.moves(j)[:-1]
+        return np.flatnonzero(met)
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -122,15 +121,18 @@ class Items:
         self.flat = np.concatenate([hashes_of(w) for _, w in rows])
         self.starts, self.shortest = np.cumsum(self.sizes) - self.sizes, int(self.sizes.min())
         self.tables: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
+        self.marks = np.zeros((len(rows), 256), bool)  # of an item's words, by eight bits of their hashes
+        self.marks[np.repeat(np.arange(len(rows)), self.sizes), self.flat & np.uint64(255)] = True
         self._repeat(recall)
 
-    def _keys(self, flat: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
-        """Keys of walks after each sampled step of the next repetition."""
+    def _keys(self, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words put out in each sampled step of the next repetition, and keys of the walks up to it."""
         odd, steps = plan_of(len(self.tables), self.shortest)
-        walk, key = Walk(flat, starts, odd), np.zeros(len(starts), np.uint64)
-        for step in steps:
-            key = _joined(key, walk.to(step))
-            yield key
+        walk, key, at = Walk(flat, odd), np.zeros(len(starts), np.uint64), starts
+        for before, step in zip([0, *steps], steps):
+            at = walk.moved(at, before, step)
+            key = _joined(key, flat[at])
+            yield flat[at], key
 
     def _repeat(self, recall: float) -> None:
         """Repetitions until `recall` of edited copies are candidates, at the largest distance that is accepted."""
@@ -148,26 +150,30 @@ class Items:
         windows = np.where(np.abs(shifts) <= own, np.array(places)[:, None] + shifts, np.array(places)[:, None])
         found = np.zeros(len(chosen), bool)
         while found.mean() < recall:
-            *_, met = self._keys(texts, windows.ravel())
-            filters = []
-            for key in self._keys(self.flat, self.starts):
+            *_, (_, met) = self._keys(texts, windows.ravel())
+            filters: list[np.ndarray] = []
+            for words, key in self._keys(self.flat, self.starts):
                 used = np.zeros(SLOTS, bool)
-                used[_slot(key)] = True
+                used[_slot(key if filters else words)] = True
                 filters.append(used)
             found |= (met.reshape(windows.shape) == key[chosen][:, None]).any(axis=1)
             order = np.argsort(key, kind="stable")
             self.tables.append((filters, key[order], order))
 
-    def found(self, flat: np.ndarray, positions: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(position, item) that agree in all sampled steps of a repetition, about AT_ONCE at a time."""
+    def found(self, flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(start, item) that agree in all sampled steps of a repetition, about AT_ONCE at a time."""
+        slots = _slot(flat)
         for repetition, (filters, keys, order) in enumerate(self.tables):
             odd, steps = plan_of(repetition, self.shortest)
-            walk, origin, key = Walk(flat, positions, odd), positions, np.zeros(len(positions), np.uint64)
-            for step, used in zip(steps, filters):
-                key = _joined(key, walk.to(step))
+            walk = Walk(flat, odd)
+            origin = walk.reaching(filters[0][slots], steps[0])
+            at = walk.moved(origin, 0, steps[0])
+            key = _joined(np.zeros(len(origin), np.uint64), flat[at])
+            for before, step, used in zip(steps, steps[1:], filters[1:]):
+                at = walk.moved(at, before, step)
+                key = _joined(key, flat[at])
                 alive = used[_slot(key)]
-                key, origin = key[alive], origin[alive]
-                walk.keep(alive)
+                at, key, origin = at[alive], key[alive], origin[alive]
             low, high = (np.searchsorted(keys, key, side) for side in ("left", "right"))
             origin, low, counts = origin[high > low], low[high > low], (high - low)[high > low]
             ends, first = np.cumsum(counts), 0
@@ -241,6 +247,9 @@ def _places(items: Items, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarra
         place = begin[:, None] + np.arange(length)
         inside = (place >= starts[d][:, None]) & (place < (starts + sizes)[d][:, None])
         texts = np.where(inside, np.take(flat, place, mode="clip"), np.uint64(0))
+        # within `most` edits all of the item's other words are in the text
+        alike = (items.marks[i[:, None], texts & np.uint64(255)] & inside).sum(axis=1) >= size - most
+        i, d, begin, inside, texts = i[alike], d[alike], begin[alike], inside[alike], texts[alike]
         rows, distances = _start_distances(items.flat[items.starts[i][:, None] + np.arange(size)], texts, most)
         if not len(rows):
             continue
@@ -265,13 +274,15 @@ def matches_in(classes: list[Items], texts: list[str | None]) -> list[Match]:
     for items in classes if len(flat) else ():
         best: dict[tuple[int, int], tuple[int, int]] = {}
         seen: list[np.ndarray] = []
-        for place, item in items.found(flat, np.arange(len(flat))):
-            doc = np.searchsorted(starts, place, "right") - 1
-            step = items.most[item] + 1
-            seen.append(np.unique(np.stack([item, doc, place // step * step]), axis=1))  # neighbouring places are checked together
+        for place, item in items.found(flat):
+            # neighbouring places of a text are checked together
+            doc, step = np.searchsorted(starts, place, "right") - 1, items.most[item] + 1
+            origin = np.maximum(place // step * step, starts[doc])
+            seen.append(np.unique(item * len(flat) + origin))
         if seen:
-            near = np.unique(np.concatenate(seen, axis=1), axis=1)
-            for d, i, distance, at in _places(items, flat, starts, sizes, *near):
+            item, origin = np.divmod(np.unique(np.concatenate(seen)), len(flat))
+            doc = np.searchsorted(starts, origin, "right") - 1
+            for d, i, distance, at in _places(items, flat, starts, sizes, item, doc, origin):
                 best[d, i] = min(best.get((d, i), (distance, at)), (distance, at))
         for (d, i), (distance, at) in best.items():
             size, most = int(items.sizes[i]), int(items.most[i])
