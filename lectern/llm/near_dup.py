@@ -9,10 +9,11 @@ or none in each, which all pairs of them with a similarity of 0.8 do: none is mi
 sequences inside the band that a similarity of 0.8 leaves: similarity = aligned / (n1 + n2 - aligned).
 
 Exact copies collapse first, so everything after works on distinct texts. A bucket of at most `SMALL` texts compares
-its texts with each other. A larger one drops members and pairs that cannot reach 0.8 because too many of their
-k-mers are in no other member of a large bucket, and compares its members with its smallest id. What is then not in
-the bucket's largest class is compared, in blocks, with all of its other classes, whatever the bucket's size: one
-shared sketch makes a candidate in every bucket. Classes are connected components.
+its texts with each other. A larger one first compares its members with its smallest id. What is then not in the
+bucket's largest class is compared, in blocks, with all of its other classes, whatever the bucket's size: one shared
+sketch makes a candidate in every bucket. Before, members and pairs go that cannot reach 0.8 because too many of their
+k-mers are in no other member of such a bucket; k-mers are counted for these buckets only, and within a task before
+they are shuffled. Classes are connected components.
 
 Defined results: null text is its own class; texts without any word are copies only if identical; a null doc_id gets
 a null class and takes no part; repeated rows and rows sharing an id share a class. Ties cannot matter: the class id
@@ -37,7 +38,8 @@ from lectern.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 LENGTH, SKETCHES = 4, 16
 FEW = 9  # two texts of at most 9 shingles reach 0.8 only if each has at most one that is not aligned
-SMALL, BLOCK = 32, 400
+SMALL = 32
+BLOCK, TEXT = 100_000, 200  # k-mers of a block of texts that are compared with another's; a text counts as so many more
 WORD = re.compile(r"\w+")
 SEEDS = np.random.default_rng(20240501).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 STEP, TURN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(31)
@@ -220,11 +222,13 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _kmer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in slices(whole)):
+    """Labelled k-mers with one text that holds them, and whether another one does; each once per run of texts."""
+    for batch in (part for whole in batches for part in slices(whole, most=1 << 23)):
         marked = [labelled(shingles(np.frombuffer(b, np.uint32))) for b in batch.column(1).to_pylist()]
         ids = np.repeat(batch.column(0).to_numpy(), [len(m) for m in marked])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marked).view(np.int64)), pa.array(ids)],
-                                         ["kmer", "id"])
+        kmers, first, counts = np.unique(np.concatenate(marked), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(kmers.view(np.int64)), pa.array(ids[first]), pa.array(counts > 1)],
+                                         ["kmer", "id", "shared"])
 
 
 def _with_lone(members: DataFrame, words: DataFrame) -> DataFrame:
@@ -232,12 +236,11 @@ def _with_lone(members: DataFrame, words: DataFrame) -> DataFrame:
     at least 0.8 of a text's k-mers must be in the other text too."""
     ids = members.select("id").distinct()
     kmers = words.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(
-        _kmer_rows, "kmer long, id long")
-    lone = (kmers.groupBy("kmer").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-            .groupBy("id").agg(F.count("*").alias("lone")))
-    return members.join(lone, "id", "left").select(
-        "band", "key", "id", "n", F.coalesce("lone", F.lit(0)).alias("lone")).where(
-            F.col("lone") <= (1 - SIMILARITY) * F.col("n") + 1e-9)
+        _kmer_rows, "kmer long, id long, shared boolean")
+    lone = (kmers.groupBy("kmer").agg(F.count("*").alias("c"), F.max("shared").alias("shared"), F.min("id").alias("id"))
+            .where("c = 1 and not shared").groupBy("id").agg(F.count("*").alias("lone")))
+    return members.join(lone, "id", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).where(
+        F.col("lone") <= (1 - SIMILARITY) * F.col("n") + 1e-9)
 
 
 def _fits(n: str, m: str, lone_n: str = "0", lone_m: str = "0") -> Column:
@@ -247,12 +250,11 @@ def _fits(n: str, m: str, lone_n: str = "0", lone_m: str = "0") -> Column:
 
 
 def _leader_pairs(members: DataFrame) -> DataFrame:
-    """Members beside their bucket's smallest id, where they fit each other."""
-    led = members.join(members.groupBy("band", "key").agg(F.min_by(F.struct("id", "n", "lone"), "id").alias("l")),
-                       ["band", "key"]).select(
-        "id", "n", "lone", F.col("l.id").alias("leader"), F.col("l.n").alias("m"), F.col("l.lone").alias("lone_m"))
-    return led.where("id <> leader").where(_fits("n", "m", "lone", "lone_m")).select(
-        F.col("id").alias("u"), F.col("leader").alias("v"))
+    """Members beside their bucket's smallest id, where they fit each other. Leaders are a table of their own, so that
+    the members of a hot bucket can be joined by several tasks."""
+    leaders = stored(members.groupBy("band", "key").agg(F.min_by(F.struct("id", "n"), "id").alias("l")), "leaders")
+    led = members.join(leaders, ["band", "key"]).select("id", "n", F.col("l.id").alias("leader"), F.col("l.n").alias("m"))
+    return led.where("id <> leader").where(_fits("n", "m")).select(F.col("id").alias("u"), F.col("leader").alias("v"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -276,7 +278,6 @@ def near_classes(docs: DataFrame) -> DataFrame:
              .where((F.col("id") > F.col("v")) & _fits("n", "m"))
              .select(F.col("id").alias("u"), "v").distinct())
     many = members.where(F.col("size") > SMALL).select("band", "key", "id", "n")
-    many = stored(_with_lone(many, words), "many")
     links = stored(verified(pairs.union(_leader_pairs(many)).distinct(), words), "links").select("u", "v")
     tied = components(links)
     last = _left_over(many, tied, texts, words)
@@ -321,17 +322,19 @@ def _between(outside: pa.Table, other: pa.Table) -> pa.Table:
 def _left_over(many: DataFrame, tied: DataFrame, texts: DataFrame, words: DataFrame) -> DataFrame | None:
     """Links (u, v) between the classes of large buckets: those outside a bucket's largest class against all its other
     classes, block by block. Members that the bucket's shortest text shows to have no partner are left out; None if
-    nothing is left. A block holds some hundred texts, whatever the size of its bucket."""
+    nothing is left. A block holds some `BLOCK` k-mers, whatever the size of its bucket."""
     placed = many.join(tied.withColumnRenamed("vertex", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
-    largest = (placed.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.min("n").alias("least"))
-               .groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("main"),
-                                           F.sum("c").alias("members"), F.count("*").alias("classes"),
-                                           F.min("least").alias("least")).where("classes > 1"))
-    marked = placed.join(largest, ["band", "key"]).withColumn("out", (F.col("component") != F.col("main")) & (
+    largest = stored(placed.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.min("n").alias("least"))
+                     .groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("main"),
+                                                 F.count("*").alias("classes"), F.min("least").alias("least"))
+                     .where("classes > 1"), "largest")
+    placed = stored(placed.join(largest, ["band", "key"]).drop("classes"), "placed")
+    marked = _with_lone(placed, words).withColumn("out", (F.col("component") != F.col("main")) & (
         F.expr("n - lone") >= SIMILARITY * F.expr("greatest(least, n - lone) + lone")))
-    marked = stored(marked.select("band", "key", "id", "n", "lone", "component", "members", "out"), "placed")
-    left = marked.where("out").groupBy("band", "key").agg(F.count("*").alias("outside"))
+    marked = stored(marked.select("band", "key", "id", "n", "lone", "component", "out"), "marked")
+    left = stored(marked.groupBy("band", "key").agg(
+        F.sum(F.col("n") + TEXT).alias("members"), F.sum(F.when(F.col("out"), F.col("n") + TEXT)).alias("outside")).where("outside > 0"), "left")
     if left.isEmpty():
         return None
     full = (marked.join(left, ["band", "key"])
