@@ -40,16 +40,22 @@ ENDS_PARAGRAPH = BLOCKS - {"br"}
 CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}),
           "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}),
           "option": ("option", {"select"})}
+#: Names of parts that are no article wherever they stand.
 UNLIKELY = re.compile(
     r"(?:^|(?<!has)(?<!with)(?<!no)[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|gdpr|popup|modal|menu|nav\w*|"
-    r"breadcrumbs?|sidebar|side-bar|widget|footer|header|masthead|comments?|disqus|replies|share|sharing|social|"
-    r"related|recommend\w*|newsletter|subscribe|signup|login|pagination|pager|toolbar|skip|legal|copyright|"
-    r"hidden)(?:$|[\s_-])", re.I)
+    r"breadcrumbs?|sidebar|side-bar|footer|header|masthead|comments?|disqus|replies|"
+    r"newsletter|subscribe|signup|login|pagination|pager|hidden)(?:$|[\s_-])", re.I)
+#: Names that also occur in names of content: they count alone or before a word for a part of a page.
+PARTS = "posts?|links?|articles?|items?|list|box|block|section|buttons?|bar|icons?|media|stories|topics?|tools?|nav|area|footer"
+UNLIKELY_ALONE = re.compile(
+    rf"(?:^|\s)(?:widget|share|sharing|social|related|recommend\w*|toolbar|skip|legal|copyright)(?:[_-](?:{PARTS}))*(?:$|\s)", re.I)
+#: Names that count where nothing else is found, too.
+NEVER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|cookies?|consent|notices?|gdpr|comments?|disqus|replies)(?:$|[\s_-])", re.I)
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")  # between the words of a camel-case name
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 KEPT = frozenset(("html", "body", "article", "main"))
 DEEPEST = 400
-CUT_TAG = re.compile(r"<[A-Za-z/!?][^>]*\Z")  # a page that ends inside a tag
+OPENS_TAG = re.compile(r"<[A-Za-z/!?]")
 SPACE = re.compile(r"\s+")
 
 
@@ -67,11 +73,15 @@ class Node:
 def _unlikely(tag: str, attributes: list[tuple[str, str | None]], named: bool) -> bool:
     if tag in DROPPED:
         return True
-    if tag in KEPT or not named:
+    if tag in KEPT:
         return False
     for name, value in attributes:
-        if name in ("class", "id") and value and UNLIKELY.search(HUMP.sub("-", value)):
-            return True
+        if name in ("class", "id") and value:
+            spaced = HUMP.sub("-", value)
+            if NEVER.search(spaced) if not named else UNLIKELY.search(spaced) or UNLIKELY_ALONE.search(spaced):
+                return True
+        if not named:
+            continue
         if name == "role" and value and value.lower() in ROLES:
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -85,7 +95,7 @@ class Tree(HTMLParser):
     """Builds the tree of what may be main text; keeps count of what is taken out."""
 
     def __init__(self, named: bool = True) -> None:
-        """named: take out what class, id, role or style name as no main text, not only what the tag does."""
+        """named: take out what class, id, role or style name as no main text; else only what `NEVER` names, and tags."""
         super().__init__(convert_charrefs=True)
         self.named = named
         self.root = self.at = Node("html", None)
@@ -256,6 +266,13 @@ def best_nodes(root: Node) -> list[Node]:
 
     best = max(scored, key=worth)
     top = worth(best)
+    whole: Node | None = best
+    while whole is not None and whole.tag not in ("article", "main"):
+        whole = whole.parent
+    if whole is not None:
+        size, linked = sizes[id(whole)]
+        if size and linked / size < 0.25:
+            return [whole]
     if best.parent is None:
         return [best]
     kept = []
@@ -275,7 +292,9 @@ def best_nodes(root: Node) -> list[Node]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    html = CUT_TAG.sub("", html)
+    cut = OPENS_TAG.search(html, html.rfind(">") + 1)  # a page that ends inside a tag
+    if cut:
+        html = html[:cut.start()]
     for named in (True, False):
         tree = Tree(named)
         tree.feed(html)

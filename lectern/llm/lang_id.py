@@ -34,7 +34,7 @@ ORDER = 5
 BUCKETS = 1024
 WORD = re.compile(r"[^\W\d_]+")
 PAD = "\0" * (ORDER - 1)
-LONGEST = 48  # longer runs of letters are scored in pieces of this length, so that few long keys fill the cache
+LONGEST = 48  # longer runs of letters are scored like any other, but not kept in the cache
 CACHED_WORDS = 120_000
 LEAST_SPREAD = 0.15  # bits; long texts vary so little that a word repeated over and over would be rejected
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -56,10 +56,7 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    found = WORD.findall(composed(text).lower())
-    if any(len(w) > LONGEST for w in found):
-        found = [w[i:i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    return WORD.findall(composed(text).lower())
 
 
 def has_letter(words: list[str]) -> bool:
@@ -180,12 +177,12 @@ class Scorer:
 
     def _learn(self, batches: list[list[str]]) -> None:
         fresh = [w for w in set().union(*batches) if w not in self.index]
-        if len(self.index) + len(fresh) > CACHED_WORDS:
+        if len(self.table) + len(fresh) > CACHED_WORDS:
             self.index, self.table = {}, self.table[:0]
             fresh = set().union(*batches)
         fresh = sorted(fresh)
         if fresh:
-            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+            self.index.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
             self.table = np.concatenate([self.table, word_scores(self.model, fresh)])
             self.best = self.table.max(axis=1)
 
@@ -204,6 +201,8 @@ class Scorer:
                 events[i] = sum(map(len, own)) + len(own)
                 entropy[i] = -self.table[ids].sum(axis=0, dtype=np.float64) / events[i]
                 blend[i] = -self.best[ids].sum(dtype=np.float64) / events[i]
+        for word in {w for own in words for w in own if len(w) > LONGEST}:
+            del self.index[word]
         return entropy, blend, events, lettered
 
 
@@ -227,13 +226,16 @@ def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def labelled(docs: DataFrame, learn: Column) -> DataFrame:
     return (docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-            .select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket")))
+            .select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"),
+                    (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)).alias("thin")))
 
 
 def _shares(rows: DataFrame, train_chars: int) -> tuple[DataFrame, DataFrame]:
     """Training and calibration rows: hash buckets of each language up to the bound, and as many after them.
 
-    Only sums of lengths per language and bucket reach the driver.
+    A language whose first bucket holds more than its bound takes the same share of every bucket chosen, by another
+    hash, so that a sample stays about as large whatever the input. Only sums of lengths per language and bucket reach
+    the driver.
     """
     sizes = rows.groupBy("lang", "bucket").agg(F.sum(F.length("text")).alias("chars")).collect()
     by_lang: dict[str, list[tuple[int, int]]] = {}
@@ -249,14 +251,14 @@ def _shares(rows: DataFrame, train_chars: int) -> tuple[DataFrame, DataFrame]:
                 spent += chars
         rest = [b for b, _ in own if b not in set(chosen)]
         held = rest[:max(1, len(chosen) // 2)] or chosen
-        train = train | ((F.col("lang") == lang) & F.col("bucket").isin(chosen))
-        check = check | ((F.col("lang") == lang) & F.col("bucket").isin(held))
+        taken = (F.col("lang") == lang) & (F.col("thin") < min(1.0, most / max(1, spent)))
+        train = train | (taken & F.col("bucket").isin(chosen))
+        check = check | (taken & F.col("bucket").isin(held))
     return rows.where(train), rows.where(check)
 
 
 def fit(docs: DataFrame, learn: Column, train_chars: int = 4_000_000, z: float = 8.0) -> Model | None:
-    """Models of the languages in `lang`, from a sample of at most train_chars characters in all (one hash bucket
-    of 1,024 per language at least), and their rejection limits from other labelled rows."""
+    """Models of the languages in `lang`, from a sample of about train_chars characters in all, and their rejection limits from other labelled rows."""
     rows = labelled(docs, learn)
     train, check = _shares(rows, train_chars)
     grams = (train.select("lang", "text").mapInPandas(_gram_rows, "lang string, gram string, n long")

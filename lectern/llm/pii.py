@@ -107,7 +107,7 @@ CANDIDATES = {
     "iban": (r"[A-Z]{2}[0-9]{2}[A-Z0-9]{7}", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"),
     "local_phone": (r"[0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])"),
     "national_id": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "secret": (r"[A-Za-z0-9+/_-]{20}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}+(?![A-Za-z0-9+/_-])"),
+    "secret": (r"[A-Za-z0-9+/_-]{20}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_-])"),
 }
 
 

@@ -28,6 +28,11 @@ PAGES = [
     ("unclosed advert", f"<article><div class=ad>Buy<p>now</article><p>{LONG}</p>", [LONG]),
     ("unclosed paragraphs and items", f"<article><p class=ad>Buy<p>{LONG}<ul><li class=promo>no<li>yes</ul><p class='x'>End", [LONG, "yes", "End"]),
     ("camel case", f"<main><div class=cookieBanner><p>We, use, cookies</p></div><p>{LONG}</p><div id=userComments>x</div></main>", [LONG]),
+    ("parts beside an inner div", f"<article><h1>T</h1><div>{f'<p>{LONG}</p>' * 30}</div><ul><li>one</ul><table><tr><td>cell</table>"
+                                  "<section>short</section></article>", ["T", *[LONG] * 30, "one", "cell", "short"]),
+    ("content that is named like parts", f"<main><p>{LONG}</p><section class='related-work'><p>Work</p></section><p class='legal-basis'>"
+                                         "Basis</p><div class='related-posts'>x</div><div class=share>y</div></main>", [LONG, "Work", "Basis"]),
+    ("notice and comment only", "<div class='cookie-notice'><p>We, use, them</p></div><div id=comments><p>I, reader, say</p></div>", [""]),
     ("plain text", "just words", ["just words"]),
     ("cut tag", f"<article><p>{LONG}</p><p>more <a hre", [LONG, "more"]),
 ]
@@ -42,6 +47,7 @@ def test_nothing_and_depth():
     assert H.main_text(None) == H.main_text("") == H.main_text("<nav>x</nav>") == ""
     deep = "<div>" * 5_000 + f"<p>{LONG}</p>" + "</div>" * 5_000
     assert H.main_text(deep) == LONG
+    assert H.main_text(f"<p>{LONG}</p>" + "<a " * 200_000) == LONG
     many = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
     assert H.main_text(many).count("\n") == 19_999
 

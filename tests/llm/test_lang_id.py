@@ -90,8 +90,8 @@ def test_odd_rows(odd_documents):
     assert lang_id.identify(empty, model).count() == 0 and lang_id.fit(empty, F.lit(True)) is None
 
 
-def test_long_words_are_cut_and_cache_is_bounded(monkeypatch):
-    assert [len(w) for w in lang_id.words_of("a" * 100)] == [48, 48, 4]
+def test_long_words_are_whole_and_cache_is_bounded(monkeypatch):
+    assert [len(w) for w in lang_id.words_of("a" * 100)] == [100]
     model = lang_id.build_model(pd.DataFrame({"lang": ["x"], "gram": [lang_id.PAD + "a"], "n": [1]}))
     plain = lang_id.Scorer(model).score(["ab cd", "ef gh"])
     monkeypatch.setattr(lang_id, "CACHED_WORDS", 1)

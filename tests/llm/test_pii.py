@@ -69,10 +69,11 @@ def test_weak_spans(documents):
     secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     rows = [(i, f'some words token = "{secret[i % 7:]}{secret[:i % 7]}" and more') for i in range(40)]
     rows += [(100 + i, "prose with-a-long-hyphenated-compound-word and internationalisations") for i in range(40)]
-    rows += [(200, "see commit " + "0" * 40), (201, f"me@{'x' * 30}.org"), (202, "ssn 123-45-6789")]
+    rows += [(200, "see commit " + "0" * 40), (201, f"me@{'x' * 30}.org"), (202, "ssn 123-45-6789"), (203, "token = '" + secret * 15 + "'")]
     found = {r["doc_id"]: r["found"] for r in spans(documents(rows))}
     assert all(found[i].startswith("secret:20:") for i in range(40))
     assert not any(found[100 + i] for i in range(40)) and not found[200]
+    assert found[203] == "secret:9:609"
     assert found[201].count(":") == 2 and found[202] == "national_id:4:15"
 
 
