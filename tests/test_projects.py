@@ -6,8 +6,8 @@ from lectern.operators import projects
 def run(spark, *entries):
     rows = [("p", i, e.get("kind", "merge"), e.get("actor", "cli"), e.get("stage"), e.get("confidence"), e.get("lists"),
              e.get("field"), e.get("position"), e.get("text")) for i, e in enumerate(entries)]
-    found = projects.project_log(spark.createDataFrame(rows, projects.LOG)).orderBy("seq").collect()
-    return [r["reason"] for r in found], found[-1]
+    outcomes, states = projects.fold_log(spark.createDataFrame(rows, projects.LOG), 4)
+    return [r["reason"] for r in outcomes.orderBy("seq").collect()], states.first()
 
 
 def test_merge_keeps_what_is_not_named_and_refuses_in_order(spark):
@@ -30,11 +30,59 @@ def test_list_edits_and_resolution(spark):
         {"kind": "resolve", "text": "two WORDS"}, {"kind": "resolve", "text": "two words"}, {"kind": "resolve"},
         {"kind": "add", "field": "stage", "text": "x"}, {**edit, "kind": "delete", "position": 0})
     assert [bool(r) for r in reasons] == [False, False, True, False, True, False, True, True, True, False]
-    assert last["lists"] == {"next_focus": []} and last["revision"] == 5
+    assert last["lists"] == {} and last["revision"] == 5
 
 
-def test_projects_do_not_mix(spark):
-    rows = [(f"p{i % 3}", i, "add", "cli", None, None, None, "decisions", None, f"t{i}") for i in range(300)]
-    found = projects.project_log(spark.createDataFrame(rows, projects.LOG)).groupBy("project_id").max("revision").collect()
-    assert {r[1] for r in found} == {100} and len(found) == 3
-    assert projects.project_log(spark.createDataFrame([], projects.LOG)).count() == 0
+def test_projects_do_not_mix_and_slices_change_nothing(spark):
+    rows = [(f"p{i % 3}", i, "add", "cli", None, None, None, "decisions", None, f"t{i}") for i in range(150)]
+    rows += [("hot", i, ("add", "delete", "update")[i % 3], "cli", None, None, None, "decisions", 0, f"t{i}") for i in range(100)]
+    log = spark.createDataFrame(rows, projects.LOG)
+    one, many = (projects.fold_log(log, size) for size in (1000, 7))
+    for a, b in zip(one, many):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    found = {r["project_id"]: r for r in many[1].collect()}
+    assert {found[f"p{k}"]["revision"] for k in range(3)} == {50} and found["p1"]["lists"]["decisions"][:2] == ["t1", "t4"]
+    empty = projects.fold_log(spark.createDataFrame([], projects.LOG))
+    assert empty[0].count() == empty[1].count() == 0
+
+
+def sections(spark, *entries):
+    rows = [("p", e.get("section", "s"), i, e.get("actor", "cli"), e.get("body", "b"), e.get("revision", 1), e.get("replaces", ""),
+             f"t{i}", e.get("protected"), e.get("why"), e.get("prior"), e.get("confidence")) for i, e in enumerate(entries)]
+    return [r["reason"].split(":")[0] for r in projects.section_log(spark.createDataFrame(rows, projects.SECTION_LOG)).orderBy("seq").collect()]
+
+
+def test_sections_compare_and_set(spark):
+    stale = "stale section update"
+    assert sections(spark, {}, {}, {"revision": 2, "replaces": "t0"}, {"revision": 2, "replaces": "t0"}, {"revision": 4, "replaces": "t2"},
+                    {"revision": 3, "replaces": "t2"}) == ["", stale, "", stale, "section revision must be 3", ""]
+    assert sections(spark, {"section": " "}, {"section": "a/b"}, {"body": " "}, {"actor": "lint"}, {"confidence": 2.0}, {}) == [
+        "section_id is required", "section_id must be a slug, not a path", "section body is required", "updated_by must be one of",
+        "section s confidence must be between 0 and 1", ""]
+
+
+def test_protected_sections_need_a_reason(spark):
+    follow = {"actor": "reflection", "revision": 2, "replaces": "t0"}
+    need = "reflection overwrite of protected section requires "
+    assert sections(spark, {"actor": "human"}, follow, {**follow, "why": "x"}, {**follow, "why": "x", "prior": True},
+                    {"actor": "reflection", "revision": 3, "replaces": "t3"}) == [
+        "", need + "justification", need + "references_prior_body=true", "", need + "justification"]
+    assert sections(spark, {}, follow, {"actor": "cli", "protected": True, "revision": 3, "replaces": "t1"},
+                    {**follow, "revision": 4, "replaces": "t2"}) == ["", "", "", need + "justification"]
+
+
+def test_long_chain_of_revisions(spark):
+    entries = [{"revision": i + 1, "replaces": f"t{i - 1}" if i else ""} for i in range(70)]
+    assert set(sections(spark, *entries)) == {""}
+
+
+def test_notes(spark):
+    rows = [("append", "cli", None, "risk", "a"), ("append", "cli", None, "strategy", "a"), ("append", "human", None, "strategy", "a"),
+            ("append", "cli", None, "risk", " "), ("edit", "cli", "note-0001", None, "b"), ("status", "cli", "note-0001", "deleted", None),
+            ("edit", "cli", "note-0001", None, "c"), ("status", "cli", "note-0002", "deleted", None), ("status", "cli", "note-0002", "open", None),
+            ("edit", "cli", "note-0002", None, "d"), ("edit", "hermes", "note-0002", None, "d"), ("edit", "cli", "note-0003", None, "d"),
+            ("append", "cli", None, "gossip", "a"), ("status", "cli", "note-0001", "open", None), ("edit", "cli", "note-0001", None, "e")]
+    log = spark.createDataFrame([("p", i, *r) for i, r in enumerate(rows)], projects.NOTE_LOG)
+    found = projects.note_log(log).orderBy("seq").collect()
+    assert [bool(r["reason"]) for r in found] == [False, True, False, True, False, False, True, True, True, True, False, True, True, False, False]
+    assert [r["note_id"] for r in found[:4]] == ["note-0001", None, "note-0002", None] and found[6]["status"] == "deleted"
