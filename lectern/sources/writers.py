@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+KEPT = 50  # entries of a version log
+
 
 def _file_system(df: DataFrame, path: str):
     spark = df.sparkSession
@@ -15,34 +18,66 @@ def _file_system(df: DataFrame, path: str):
 
 
 def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Write a new version below ``path``, then let the version log name it as the current one.
-
-    A version is complete before a log entry names it, and no older one is touched, so readers always find a whole
-    table; a write or an entry that fails leaves the last version current.
-    """
+    """Write a new version of one table below ``path``, then let the version log name it as the current one."""
     version = uuid.uuid4().hex
     df.write.partitionBy(*partition_by).parquet(f"{path}/versions/{version}")
-    spark = df.sparkSession
-    entry = spark.range(1).select(F.lit(_last(spark, path)[0] + 1).cast("long").alias("number"), F.lit(version).alias("version"))
-    entry.coalesce(1).write.mode("append").parquet(f"{path}/log")
+    _commit(df, path, version)
 
 
-def _last(spark: SparkSession, path: str) -> tuple[int, str | None]:
-    """Number and name of the current version; two rows at most reach the driver."""
+def publish_all(tables: dict[str, DataFrame], path: str) -> None:
+    """The same for tables that belong together: one entry of the log names the version of all of them."""
+    version = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/versions/{version}/{name}")
+    _commit(next(iter(tables.values())), path, version)
+
+
+def _commit(df: DataFrame, path: str, version: str) -> None:
+    """Append an entry to the log. A version is complete before an entry names it, and no older one is touched, so
+    readers always find whole tables; whatever fails before leaves the last version current. A number is taken by
+    creating its file, which only one publisher can; another one takes the next. Entries before the last `KEPT` go."""
+    fs, log = _file_system(df, f"{path}/log")
+    fs.mkdirs(log)
+    while True:
+        numbers = _numbers(fs, log)
+        entry = log.suffix(f"/{(numbers[-1] if numbers else 0) + 1:012d}")
+        try:
+            out = fs.create(entry, False)
+        except Py4JJavaError:
+            if not fs.exists(entry):
+                raise
+            continue
+        out.write(bytearray(version.encode()))
+        out.close()
+        for old in numbers[:-KEPT]:
+            fs.delete(log.suffix(f"/{old:012d}"), False)
+        return
+
+
+def _numbers(fs, log) -> list[int]:
+    """Numbers of the entries that are written; one that is still empty isn't there yet for readers, but is taken."""
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(log) if s.getPath().getName().isdigit())
+
+
+def _current(spark: SparkSession, path: str) -> str:
+    """Name of the current version; a few entries of the log are looked at, newest first."""
     fs, log = _file_system(spark.range(0), f"{path}/log")
-    if not fs.exists(log):
-        return 0, None
-    rows = spark.read.schema("number long, version string").parquet(f"{path}/log")
-    row = rows.orderBy(F.desc("number"), "version").first()
-    return (row["number"], row["version"]) if row else (0, None)
+    for number in reversed(_numbers(fs, log) if fs.exists(log) else []):
+        entry = log.suffix(f"/{number:012d}")
+        if fs.getFileStatus(entry).getLen() > 0:
+            return spark.read.text(entry.toString()).first()[0]
+    raise FileNotFoundError(f"nothing is published at {path}")
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
     """The current version of a published table."""
-    version = _last(spark, path)[1]
-    if version is None:
-        raise FileNotFoundError(f"nothing is published at {path}")
-    return spark.read.parquet(f"{path}/versions/{version}")
+    return spark.read.parquet(f"{path}/versions/{_current(spark, path)}")
+
+
+def published_all(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    """Tables of the current version, all of the same one."""
+    version = _current(spark, path)
+    return {name: spark.read.parquet(f"{path}/versions/{version}/{name}") for name in names}
 
 
 def write_manifest(df: DataFrame, path: str) -> None:

@@ -131,3 +131,38 @@ def test_resume_skips_done(spark):
     wanted = spark.range(5)
     assert {r["id"] for r in resume(spark.range(3), wanted, "id").collect()} == {3, 4}
     assert wanted.where(F.col("id") >= 0).count() == 5
+
+
+def test_publish_all_commits_every_table_or_none(spark, tmp_path):
+    target = str(tmp_path / "graph")
+    old = {"a": spark.range(2), "b": spark.range(3)}
+    writers.publish_all(old, target)
+    broken = spark.range(3).select(F.raise_error(F.lit("stop")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        writers.publish_all({"a": spark.range(9), "b": broken}, target)
+    found = writers.published_all(spark, target, ["a", "b"])
+    assert found["a"].count() == 2 and found["b"].count() == 3
+    writers.publish_all({"a": spark.range(7), "b": spark.range(8)}, target)
+    assert [found["a"].count(), writers.published_all(spark, target, ["b"])["b"].count()] == [2, 8]
+
+
+def test_version_numbers_are_taken_once(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "table")
+    writers.publish(spark.range(1), target)
+    real, calls = writers._numbers, []
+
+    def stale(fs, log):  # the first look misses an entry that another publisher has just made
+        calls.append(1)
+        return [] if len(calls) == 1 else real(fs, log)
+
+    monkeypatch.setattr(writers, "_numbers", stale)
+    writers.publish(spark.range(4), target)
+    assert writers.published(spark, target).count() == 4
+    assert sorted(p.name for p in (tmp_path / "table" / "log").iterdir() if not p.name.startswith(".")) == ["000000000001", "000000000002"]
+    (tmp_path / "table" / "log" / "000000000003").touch()  # begun, and never written
+    assert writers.published(spark, target).count() == 4
+    writers.publish(spark.range(6), target)
+    assert writers.published(spark, target).count() == 6
+    monkeypatch.setattr(writers, "KEPT", 1)
+    writers.publish(spark.range(7), target)
+    assert writers.published(spark, target).count() == 7 and len([p for p in (tmp_path / "table" / "log").iterdir() if p.name.isdigit()]) == 2
