@@ -60,9 +60,15 @@ def reflected(bridges: DataFrame, reflections: DataFrame) -> DataFrame:
         "bridge_id", *[scalar(f) for f in SCALARS], *[listed(f, n) for f, n in LIST_LIMITS.items()])
 
 
-def collection_notes(stored: DataFrame, given: DataFrame) -> DataFrame:
-    """(bridge_id, collection_key, why) rows: a given text replaces the stored one of its key unless it is blank."""
-    new = given.where(F.trim(F.coalesce("collection_key", F.lit(""))) != "").select(
-        "bridge_id", F.trim("collection_key").alias("collection_key"), F.nullif(F.trim("why"), F.lit("")).alias("_why"))
-    return stored.join(new, ["bridge_id", "collection_key"], "full_outer").select(
-        "bridge_id", "collection_key", F.coalesce("_why", "why").alias("why"))
+def collection_notes(stored: DataFrame, given: DataFrame, valid: DataFrame) -> DataFrame:
+    """Notes of bridges after a response: bridge_id, collection_key, why, position.
+
+    given: bridge_id, collection_key, why, position; valid: bridge_id, collection_key of the bridge's collections. Keys
+    are trimmed; those that the bridge doesn't have are left out, and the first note of a key counts, blank or not. A
+    response whose list has any note left replaces the bridge's stored list; else what is stored stays.
+    """
+    notes = given.select("bridge_id", F.trim("collection_key").alias("collection_key"), F.trim(F.coalesce("why", F.lit(""))).alias("why"), "position")
+    known = notes.join(valid.select("bridge_id", "collection_key").distinct(), ["bridge_id", "collection_key"], "left_semi")
+    first = known.groupBy("bridge_id", "collection_key").agg(F.min_by("why", "position").alias("why"), F.min("position").alias("position"))
+    kept = stored.join(first.select("bridge_id").distinct(), "bridge_id", "left_anti")
+    return first.unionByName(kept.select(*first.columns))

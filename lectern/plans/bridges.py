@@ -93,14 +93,23 @@ def bridge_reflections_due(spark, folder):
 
 
 @query("bridge_collection_notes", "H30 H34", """
-WITH stored AS (SELECT DISTINCT p_size AS bridge_id, p_brand AS collection_key, 'stored ' || p_brand AS why FROM part),
-given AS (SELECT p_size + 1 AS bridge_id, p_brand AS collection_key, max(CASE WHEN p_size % 2 = 0 THEN 'new ' || p_brand END) AS why FROM part WHERE p_brand <> 'Brand#1' GROUP BY 1, 2)
-SELECT coalesce(s.bridge_id, g.bridge_id) AS bridge_id, coalesce(s.collection_key, g.collection_key) AS collection_key, coalesce(g.why, s.why) AS why
-FROM stored s FULL OUTER JOIN given g ON g.bridge_id = s.bridge_id AND g.collection_key = s.collection_key""")
+WITH scopes AS (SELECT DISTINCT p_size AS bridge_id, p_brand AS collection_key FROM part WHERE p_brand <> 'Brand#2'),
+given AS (
+  SELECT p_size AS bridge_id, trim(CASE WHEN p_partkey % 7 = 0 THEN 'nowhere' ELSE ' ' || p_brand END) AS collection_key,
+    trim(CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE 'new ' || p_name END) AS why, p_partkey AS position FROM part WHERE p_size % 4 <> 0),
+valid AS (
+  SELECT g.* FROM given g SEMI JOIN scopes s ON s.bridge_id = g.bridge_id AND s.collection_key = g.collection_key
+  QUALIFY row_number() OVER (PARTITION BY g.bridge_id, g.collection_key ORDER BY position) = 1)
+SELECT bridge_id, collection_key, why, CAST(position AS BIGINT) AS position FROM valid
+UNION ALL
+SELECT s.bridge_id, s.collection_key, 'stored ' || s.collection_key, CAST(0 AS BIGINT) FROM scopes s WHERE s.bridge_id NOT IN (SELECT bridge_id FROM valid)""")
 def bridge_collection_notes(spark, folder):
-    """Why a collection matters to a bridge, merged by key; unknown keys are added, blank ones dropped."""
+    """Why a collection matters to a bridge: only its own collections, the first note of each, else what is stored."""
     part = table(spark, folder, "part")
-    stored = part.select(F.col("p_size").alias("bridge_id"), F.col("p_brand").alias("collection_key"), F.concat(F.lit("stored "), "p_brand").alias("why")).distinct()
-    given = part.groupBy((F.col("p_size") + 1).alias("bridge_id"), F.when(F.col("p_brand") != "Brand#1", F.concat(F.lit(" "), "p_brand")).alias("collection_key")).agg(
-        F.max(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("new "), "p_brand")).otherwise(" ")).alias("why"))
-    return ops.collection_notes(stored, given)
+    scopes = part.where("p_brand <> 'Brand#2'").select(F.col("p_size").alias("bridge_id"), F.col("p_brand").alias("collection_key")).distinct()
+    stored = scopes.select("bridge_id", "collection_key", F.concat(F.lit("stored "), "collection_key").alias("why"), F.lit(0).cast("long").alias("position"))
+    number = F.col("p_partkey")
+    given = part.where("p_size % 4 <> 0").select(
+        F.col("p_size").alias("bridge_id"), F.when(number % 7 == 0, "nowhere").otherwise(F.concat(F.lit(" "), "p_brand")).alias("collection_key"),
+        F.when(number % 3 == 0, " ").otherwise(F.concat(F.lit("new "), "p_name")).alias("why"), number.cast("long").alias("position"))
+    return ops.collection_notes(stored, given, scopes)

@@ -99,16 +99,16 @@ def missing_metadata(spark, folder):
     return m.select("doc_id", missing_fields(asked).alias("fields")).where("fields != ''")
 
 
-WANTED = "wanted AS (SELECT page_id AS material_id, 'fig_0002' AS figure_id FROM pages WHERE page_id % 7 = 0)"
+WANTED = "wanted AS (SELECT page_id AS material_id, 'fig_000' || (1 + page_id % 5) AS figure_id FROM pages)"
 
 
 @query("figures_by_id", "F9", with_ctes(FIGURES, WANTED) + """
 SELECT w.material_id, w.figure_id, f.description, CASE WHEN f.figure_id IS NULL THEN 'figure not found' ELSE '' END AS error
 FROM wanted w LEFT JOIN figures f ON f.material_id = w.material_id AND f.figure_id = w.figure_id""")
 def figures_by_id(spark, folder):
-    """Point lookups of figures; an absent one is answered with an error."""
-    wanted = table(spark, folder, "pages").where("page_id % 7 = 0").select(
-        F.col("page_id").alias("material_id"), F.lit("fig_0002").alias("figure_id"))
+    """One figure of every page, looked up by its number; an absent one is answered with an error."""
+    wanted = table(spark, folder, "pages").select(
+        F.col("page_id").alias("material_id"), F.format_string("fig_%04d", 1 + F.col("page_id") % 5).alias("figure_id"))
     known = corpus.figures(spark, folder).select("material_id", "figure_id", "description", F.lit(True).alias("known"))
     return wanted.join(known, ["material_id", "figure_id"], "left").select(
         "material_id", "figure_id", "description", F.when(F.col("known").isNull(), "figure not found").otherwise("").alias("error"))
