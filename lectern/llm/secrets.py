@@ -205,6 +205,10 @@ def found(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         index.join(hits, "key", "left_anti").select("doc_id", F.array_sort("scanned")))
 
 
+def number_of(rule: int) -> Column:
+    return F.size(F.filter("spans", lambda s: s["rule"] == rule))
+
+
 def text_of(spans: Column, rules: tuple[Rule, ...]) -> Column:
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["rule"]], s["start"], s["end"])), ",")
@@ -213,8 +217,7 @@ def text_of(spans: Column, rules: tuple[Rule, ...]) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and spans of secrets of every document."""
     rows = found(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["rule"] == n)).cast("long").alias(f"n_{r.kind}")
-              for n, r in enumerate(BASE)]
+    counts = [number_of(n).cast("long").alias(f"n_{r.kind}") for n, r in enumerate(BASE)]
     base = F.filter("spans", lambda s: s["rule"] < len(BASE))
     return rows.select("doc_id", *counts, F.sha2(text_of(base, RULES), 256).alias("base_sha256"),
                        text_of(F.col("spans"), RULES).alias("spans"))

@@ -89,6 +89,10 @@ def test_query_and_odd_rows(spark, documents, odd_documents, tmp_path):
     by_id = {r["doc_id"]: r for r in found}
     assert by_id[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and by_id[2]["spans"] == ""
     assert by_id[1]["base_sha256"] == hashlib.sha256(",".join(base(SAMPLES[26])).encode()).hexdigest()
+    mixed = "hex " + "0f" * 12 + " AKIA" + "A1" * 8 + " token=abcdef " + "ab" * 20 + " secret: abcdefg AKIA" + "B2" * 8
+    documents([(1, mixed)]).write.parquet(f"{tmp_path}/more/documents.parquet")
+    one = secrets.query(spark, f"{tmp_path}/more").first()
+    assert [one["n_assign"], one["n_access"], one["n_hex"]] == [sum(s.startswith(k) for s in base(mixed)) for k in PATTERNS] == [2, 2, 2]
     names = {n: secrets.F.lit("x") for n in ("key", "grams", "rules", "spans", "scanned", "gram", "rule")}
     assert len(rows_of(odd_documents.withColumns(names))) == 11 and not rows_of(odd_documents.limit(0))
 
