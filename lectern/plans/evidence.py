@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 
 from lectern.operators import search as search_ops
 from lectern.operators.evidence import sample_per
-from lectern.operators.ranking import bm25, query_phrases
+from lectern.operators.ranking import query_phrases
 from lectern.plans import corpus
 from lectern.plans.corpus import ANNOTATIONS, CHUNKS, CONCEPTS, FIGURES, table, with_ctes
+from lectern.plans.indexes import search
 from lectern.plans.registry import query
 from lectern.plans.search import bm25_cte, chunk_table
 
@@ -72,7 +73,7 @@ def evidence_packet(spark, folder):
     """Chunks found by each query in turn, filled up from the plain sample."""
     found = []
     for i, ask in enumerate(("thorat mente", "erblest")):
-        top = search_ops.top_chunks(bm25(chunk_table(spark, folder), query_phrases(ask)), "material_id", "chunk_key", 3)
+        top = search_ops.top_chunks(search(spark, "chunks", chunk_table(spark, folder), query_phrases(ask)), "material_id", "chunk_key", 3)
         found.append(top.select("material_id", "chunk_id", F.struct(F.lit(i).alias("src"), F.col("rank").cast("bigint").alias("r")).alias("o")))
     found.append(_fallback(spark, folder).select("material_id", "chunk_id", F.struct(F.lit(len(found)).alias("src"), F.col("rn").cast("bigint").alias("r")).alias("o")))
     one = reduce(DataFrame.unionByName, found).groupBy("material_id", "chunk_id").agg(F.min("o").alias("o"))

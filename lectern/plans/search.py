@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions.lists import first_text
 from lectern.functions.names import bridge_path
-from lectern.functions.text import excerpt
+from lectern.functions.text import excerpt, lines
 from lectern.operators import search as ops
-from lectern.operators.ranking import TextTable, best, bm25, query_phrases
+from lectern.operators.ranking import TextTable, best, query_phrases
 from lectern.plans import corpus
 from lectern.plans.corpus import ANNOTATIONS, CHUNKS, CLUSTERS, CONCEPTS, FIGURES, MATERIALS, MEMBERSHIPS, with_ctes
+from lectern.plans.indexes import search
 from lectern.plans.registry import query
 from lectern.session import rounded
 
@@ -111,7 +112,7 @@ CARD_COLUMNS = ", domain, collection"
 
 @query("search_cards_bm25", "W1 O1 F5 J1 X1", with_ctes(MATERIALS, CARD_HITS) + top_sql("hits", "material_id", 20, CARD_COLUMNS))
 def search_cards_bm25(spark, folder):
-    return _cards(bm25(material_table(spark, folder), query_phrases(ASK)))
+    return _cards(search(spark, "materials", material_table(spark, folder), query_phrases(ASK)))
 
 
 @query("search_cards_stemmed", "W1", None)
@@ -119,13 +120,52 @@ def search_cards_stemmed(spark, folder):
     """Cards are indexed by stem: any inflection of a query word matches."""
     rows = corpus.materials(spark, folder)
     stems = TextTable(rows, "material_id", ("title", "text"), ("domain", "collection"), stemmed=True)
-    return _cards(bm25(stems, query_phrases("licensing hatedness relational")))
+    return _cards(search(spark, "stems", stems, query_phrases("licensing hatedness relational")))
+
+
+SEVEN = """
+seven AS (
+  SELECT doc_id AS material_id, lang AS domain, source AS collection, trim(l[1]) AS title, coalesce(l[2], '') AS summary,
+    lang || ' ' || source AS keywords, coalesce(regexp_replace(lower(l[3]), '[^a-z]+', ' ', 'g'), '') AS raw_keywords, source AS authors,
+    coalesce(l[len(l)], '') AS methodological_conclusions, array_to_string(l[4:], ' ') AS main_content_learnings
+  FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents))"""
+#: The indexed columns of a card.
+CARD_FIELDS = ("title", "summary", "keywords", "raw_keywords", "authors", "methodological_conclusions", "main_content_learnings")
+
+
+def seven_columns(spark, folder, stemmed=False):
+    """Cards with all indexed columns: lines of a document in the places of its summary, conclusions and learnings."""
+    docs = corpus.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("material_id"), F.col("lang").alias("domain"), F.col("source").alias("collection"), lines(F.col("text")).alias("l"))
+    line = lambda i: F.coalesce(F.get("l", F.lit(i)), F.lit(""))
+    rows = docs.select(
+        "material_id", "domain", "collection", F.trim(line(0)).alias("title"), line(1).alias("summary"), F.concat_ws(" ", "domain", "collection").alias("keywords"),
+        F.regexp_replace(F.lower(line(2)), "[^a-z]+", " ").alias("raw_keywords"), F.col("collection").alias("authors"),
+        F.coalesce(F.element_at("l", -1), F.lit("")).alias("methodological_conclusions"),
+        F.array_join(F.slice("l", 4, F.greatest(F.size("l"), F.lit(1))), " ").alias("main_content_learnings"))
+    return TextTable(rows, "material_id", CARD_FIELDS, ("domain", "collection"), stemmed=stemmed)
+
+
+SEVEN_HITS = bm25_cte("hits", "seven", "material_id", list(CARD_FIELDS), "src7 inhe mente of", carry=("domain", "collection"))
+
+
+@query("search_seven_columns", "W1 J1 F5", with_ctes(SEVEN, SEVEN_HITS) + top_sql("hits", "material_id", 20, CARD_COLUMNS))
+def search_seven_columns(spark, folder):
+    """Cards ranked over their seven indexed columns."""
+    return _cards(search(spark, "cards", seven_columns(spark, folder), query_phrases("src7 inhe mente of")))
+
+
+@query("search_seven_columns_phrase", "W1 X1 F3", with_ctes(SEVEN, bm25_cte(
+    "hits", "seven", "material_id", list(CARD_FIELDS), '"of the"', only="main_content_learnings", carry=("domain", "collection"))) + top_sql("hits", "material_id", 20, CARD_COLUMNS))
+def search_seven_columns_phrase(spark, folder):
+    """A phrase in one of the seven columns, from the places of its words."""
+    return _cards(search(spark, "cards", seven_columns(spark, folder), query_phrases('"of the"'), "main_content_learnings"))
 
 
 @query("search_faceted_exact", "F1 F2", with_ctes(MATERIALS, CARD_HITS) + top_sql(
     "(SELECT * FROM hits WHERE domain = 'en' AND collection = 'src7')", "material_id", 20, CARD_COLUMNS))
 def search_faceted_exact(spark, folder):
-    hits = bm25(material_table(spark, folder), query_phrases(ASK))
+    hits = search(spark, "materials", material_table(spark, folder), query_phrases(ASK))
     wanted = ops.facet_filter(["domain==en", "collection==src7", "colour==red"])
     return _cards(hits.where(wanted))
 
@@ -133,7 +173,7 @@ def search_faceted_exact(spark, folder):
 @query("search_faceted_contains", "F1 F2 X2", with_ctes(MATERIALS, CARD_HITS) + top_sql(
     "(SELECT * FROM hits WHERE lower(domain) LIKE '%e%' AND lower(collection) LIKE '%c1%')", "material_id", 20, CARD_COLUMNS))
 def search_faceted_contains(spark, folder):
-    hits = bm25(material_table(spark, folder), query_phrases(ASK))
+    hits = search(spark, "materials", material_table(spark, folder), query_phrases(ASK))
     return _cards(hits.where(ops.facet_filter(["domain=E"], collection="c1")))
 
 
@@ -141,43 +181,43 @@ def search_faceted_contains(spark, folder):
     "(SELECT * FROM hits WHERE material_id IN (SELECT doc_id FROM labels WHERE quality = 1))", "material_id", 20, CARD_COLUMNS))
 def search_scoped_ids(spark, folder):
     scope = corpus.table(spark, folder, "labels").where("quality = 1").select(F.col("doc_id").alias("material_id"))
-    hits = bm25(material_table(spark, folder), query_phrases(ASK))
+    hits = search(spark, "materials", material_table(spark, folder), query_phrases(ASK))
     return _cards(hits.join(scope, "material_id", "left_semi"))
 
 
 @query("search_phrase", "X1 F5", with_ctes(MATERIALS, bm25_cte(
     "hits", "materials", "material_id", ["title", "text"], '"of the"', carry=("domain", "collection"))) + top_sql("hits", "material_id", 20, CARD_COLUMNS))
 def search_phrase(spark, folder):
-    return _cards(bm25(material_table(spark, folder), query_phrases('"of the"')))
+    return _cards(search(spark, "materials", material_table(spark, folder), query_phrases('"of the"')))
 
 
 @query("search_title_scope", "F3", with_ctes(MATERIALS, bm25_cte(
     "hits", "materials", "material_id", ["title", "text"], ASK, only="title", carry=("domain", "collection"))) + top_sql("hits", "material_id", 20, CARD_COLUMNS))
 def search_title_scope(spark, folder):
-    return _cards(bm25(material_table(spark, folder), query_phrases(ASK), only="title"))
+    return _cards(search(spark, "materials", material_table(spark, folder), query_phrases(ASK), only="title"))
 
 
 @query("search_stopword_only", "X1", with_ctes(MATERIALS, bm25_cte(
     "hits", "materials", "material_id", ["title", "text"], "that the", carry=("domain", "collection"))) + top_sql("hits", "material_id", 20, CARD_COLUMNS))
 def search_stopword_only(spark, folder):
-    return _cards(bm25(material_table(spark, folder), query_phrases("that the")))
+    return _cards(search(spark, "materials", material_table(spark, folder), query_phrases("that the")))
 
 
 @query("search_hyphenated", "X1", with_ctes(MATERIALS, bm25_cte(
     "hits", "materials", "material_id", ["title", "text"], "in-the", carry=("domain", "collection"))) + top_sql("hits", "material_id", 20, CARD_COLUMNS))
 def search_hyphenated(spark, folder):
-    return _cards(bm25(material_table(spark, folder), query_phrases("in-the")))
+    return _cards(search(spark, "materials", material_table(spark, folder), query_phrases("in-the")))
 
 
 @query("search_empty_query", "X1", "SELECT doc_id AS material_id, lang AS domain, source AS collection, CAST(0 AS DOUBLE) AS score, CAST(0 AS BIGINT) AS rank FROM documents WHERE false")
 def search_empty_query(spark, folder):
-    return _cards(bm25(material_table(spark, folder), query_phrases("   ")))
+    return _cards(search(spark, "materials", material_table(spark, folder), query_phrases("   ")))
 
 
 @query("search_project_scope", "F18 F19", with_ctes(MATERIALS, CARD_HITS) + top_sql(
     "(SELECT * FROM hits WHERE domain = 'fr' AND lower(collection) LIKE '%src1%')", "material_id", 20, CARD_COLUMNS))
 def search_project_scope(spark, folder):
-    hits = bm25(material_table(spark, folder), query_phrases(ASK))
+    hits = search(spark, "materials", material_table(spark, folder), query_phrases(ASK))
     facets = ops.facets_in_domain(["domain==en"], "fr")
     return _cards(hits.where(ops.facet_filter(facets, collection="src1")))
 
@@ -190,7 +230,7 @@ SELECT material_id, chunk_id, emphasized, round(score, 6) AS score, rank FROM (
     ORDER BY score + CASE WHEN emphasized THEN 0.2 ELSE 0 END DESC, chunk_key) AS rank FROM chunk_hits)
 WHERE rank <= 5""")
 def chunk_topk_emphasis(spark, folder):
-    hits = bm25(chunk_table(spark, folder), query_phrases(ASK))
+    hits = search(spark, "chunks", chunk_table(spark, folder), query_phrases(ASK))
     top = ops.top_chunks(hits, "material_id", "chunk_key", 5)
     return top.select("material_id", "chunk_id", "emphasized", rounded(F.col("score")).alias("score"), "rank")
 
@@ -201,7 +241,7 @@ SELECT material_id, annotation_id, type, round(score, 6) AS score, rank FROM (
     ORDER BY CASE WHEN comment = '' THEN 1 ELSE 0 END, score DESC, annotation_id) AS rank FROM ann_hits)
 WHERE rank <= 3""")
 def annotation_topk_commented_first(spark, folder):
-    hits = bm25(annotation_table(spark, folder), query_phrases(ASK))
+    hits = search(spark, "annotations", annotation_table(spark, folder), query_phrases(ASK))
     top = ops.top_annotations(hits, "material_id", "annotation_id", 3)
     return top.select("material_id", "annotation_id", "type", rounded(F.col("score")).alias("score"), "rank")
 
@@ -211,7 +251,7 @@ SELECT material_id, figure_id, visual_type, round(score, 6) AS score, rank FROM
   SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY score DESC, figure_key) AS rank FROM fig_hits)
 WHERE rank <= 3""")
 def figure_topk(spark, folder):
-    hits = bm25(figure_table(spark, folder), query_phrases(ASK))
+    hits = search(spark, "figures", figure_table(spark, folder), query_phrases(ASK))
     top = ops.top_plain(hits, "material_id", "figure_key", 3)
     return top.select("material_id", "figure_id", "visual_type", rounded(F.col("score")).alias("score"), "rank")
 
@@ -225,7 +265,7 @@ SELECT material_id, concept_name, relevance, round(score, 6) AS score, rank FROM
   SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY score DESC, concept_row) AS rank FROM concept_hits)
 WHERE rank <= 3""")
 def concept_topk(spark, folder):
-    hits = bm25(concept_table(spark, folder), query_phrases(TERMS))
+    hits = search(spark, "concepts", concept_table(spark, folder), query_phrases(TERMS))
     top = ops.top_plain(hits, "material_id", "concept_row", 3)
     return top.select("material_id", "concept_name", "relevance", rounded(F.col("score")).alias("score"), "rank")
 
@@ -240,8 +280,8 @@ SELECT 'annotation', annotation_id, round(score, 6), rank FROM (
   FROM ann_hits WHERE material_id = 110) WHERE rank <= 3""")
 def material_evidence(spark, folder):
     one = F.col("material_id") == 110
-    chunk = ops.top_chunks(bm25(chunk_table(spark, folder), query_phrases(ASK)).where(one), "material_id", "chunk_key", 5)
-    note = ops.top_annotations(bm25(annotation_table(spark, folder), query_phrases(ASK)).where(one), "material_id", "annotation_id", 3)
+    chunk = ops.top_chunks(search(spark, "chunks", chunk_table(spark, folder), query_phrases(ASK)).where(one), "material_id", "chunk_key", 5)
+    note = ops.top_annotations(search(spark, "annotations", annotation_table(spark, folder), query_phrases(ASK)).where(one), "material_id", "annotation_id", 3)
     return chunk.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("evidence_id"), rounded(F.col("score")).alias("score"), "rank").unionByName(
         note.select(F.lit("annotation").alias("kind"), F.col("annotation_id").alias("evidence_id"), rounded(F.col("score")).alias("score"), "rank"))
 
@@ -260,7 +300,8 @@ ALL_HITS = (CHUNKS, CHUNK_HITS, ANNOTATIONS, ANN_HITS, FIGURES, FIG_HITS, CONCEP
 
 def content_sources(spark, folder):
     phrases = query_phrases(ASK)
-    return [bm25(t(spark, folder), phrases) for t in (chunk_table, annotation_table, figure_table, concept_table)]
+    tables = {"chunks": chunk_table, "annotations": annotation_table, "figures": figure_table, "concepts": concept_table}
+    return [search(spark, name, build(spark, folder), phrases) for name, build in tables.items()]
 
 
 @query("content_first_candidates", "W6 U1", with_ctes(*ALL_HITS, CANDIDATES) +
@@ -297,7 +338,7 @@ ordered AS (
     MATERIALS, CARD_HITS, *ALL_HITS, CANDIDATES, ORDERED.format(where="WHERE domain = 'en'")) + "SELECT * FROM ordered")
 def content_first_limit_then_filter(spark, folder):
     in_domain = ops.facet_filter(["domain==en"])
-    card_rows = ops.cards(bm25(material_table(spark, folder), query_phrases(ASK)).where(in_domain), "material_id", 20)
+    card_rows = ops.cards(search(spark, "materials", material_table(spark, folder), query_phrases(ASK)).where(in_domain), "material_id", 20)
     found = ops.content_candidates(content_sources(spark, folder), "material_id", 20)
     allowed = corpus.materials(spark, folder).where(in_domain)
     return ops.append_content(card_rows, found, allowed, "material_id")
@@ -323,7 +364,7 @@ scored AS (
        "SELECT *, row_number() OVER (ORDER BY priority, ordinal) AS rank FROM scored")
 def rerank_evidence(spark, folder):
     chunk_top, note_top, figure_top, concept_top = content_tops(spark, folder)
-    card_rows = ops.cards(bm25(material_table(spark, folder), query_phrases(ASK)), "material_id", 20)
+    card_rows = ops.cards(search(spark, "materials", material_table(spark, folder), query_phrases(ASK)), "material_id", 20)
     found = ops.content_candidates([chunk_top, note_top, figure_top, concept_top], "material_id", 20)
     ordered = ops.append_content(card_rows, found, corpus.materials(spark, folder), "material_id")
     return ops.rerank(ordered, chunk_top, note_top, concept_top, "material_id")
@@ -347,7 +388,7 @@ SELECT material_id, domain, rank, CASE WHEN late = 0 THEN 'terms' ELSE 'substrin
 FROM numbered WHERE rank <= 30""")
 def like_fallback_union(spark, folder):
     rows = corpus.materials(spark, folder)
-    hits = bm25(TextTable(rows, "material_id", ("title",), ("domain",)), query_phrases("erblest heon"))
+    hits = search(spark, "titles", TextTable(rows, "material_id", ("title",), ("domain",)), query_phrases("erblest heon"))
     fallback = rows.where(ops.like_any([F.col("title"), F.col("collection")], "heonth")).select("material_id", "domain")
     key = F.col("material_id").asc()
     merged = ops.hits_then_fallback(
@@ -406,8 +447,8 @@ FROM hits h LEFT JOIN cluster_notes n ON n.cluster_id = h.cluster_id
 ORDER BY h.score DESC, h.cluster_id LIMIT 50""")
 def cluster_search_left_reflection(spark, folder):
     rows = corpus.clusters(spark, folder)
-    hits = bm25(TextTable(rows, "cluster_id", ("canonical_name", "collection"), ("domain", "canonical_name")),
-                query_phrases("nation_7 supplier"))
+    names = TextTable(rows, "cluster_id", ("canonical_name", "collection"), ("domain", "canonical_name"))
+    hits = search(spark, "clusters", names, query_phrases("nation_7 supplier"))
     top = hits.orderBy(F.desc("score"), "cluster_id").limit(50)
     return top.join(cluster_notes(spark, folder), "cluster_id", "left").select(
         "cluster_id", "canonical_name", "domain", rounded(F.col("score")).alias("score"),
@@ -479,7 +520,7 @@ SELECT m.material_id, m.title, m.domain || ', ' || m.collection AS authors, t.ra
 FROM top t JOIN materials m USING (material_id)""")
 def card_projection(spark, folder):
     """Rank on narrow rows first; wide card columns join only the top rows."""
-    hits = bm25(material_table(spark, folder), query_phrases(ASK)).select("material_id", "score")
+    hits = search(spark, "materials", material_table(spark, folder), query_phrases(ASK)).select("material_id", "score")
     top = best(hits, 20, F.desc("score"), F.asc("material_id")).select("material_id", "rank")
     wide = corpus.materials(spark, folder).select("material_id", "title", "domain", "collection")
     return wide.join(top, "material_id").select(
