@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.functions.fixed import BM25_B, BM25_IDF_FLOOR, BM25_K1
 from lectern.functions.stem import stem, stem_tokens
@@ -32,6 +33,7 @@ class TextIndex:
     fields: tuple[str, ...]
     carry: tuple[str, ...]
     stemmed: bool
+    schema: StructType  # of the postings: those of an empty table have no file that tells
 
 
 def _placed(words: Column, number: int) -> Column:
@@ -60,12 +62,13 @@ def write(table: TextTable, path: str) -> TextIndex:
     postings.write(grouped, f"{path}/postings")
     table.rows.select(table.key, *table.carry).write.parquet(f"{path}/rows")
     tokens.agg(F.count("*").alias("n"), F.avg("length").alias("average")).coalesce(1).write.parquet(f"{path}/statistics")
-    return TextIndex(path, table.key, table.fields, table.carry, table.stemmed)
+    schema = StructType([*grouped.schema.fields, StructField("buckets", IntegerType()), StructField("bucket", IntegerType())])
+    return TextIndex(path, table.key, table.fields, table.carry, table.stemmed, schema)
 
 
 def _places(index: TextIndex, spark: SparkSession, terms: list[str]) -> DataFrame:
     """One row per document that holds any of the terms, with the places of each of them."""
-    hit = postings.probe(spark.read.parquet(f"{index.path}/postings"), terms)
+    hit = postings.probe(spark.read.schema(index.schema).parquet(f"{index.path}/postings"), terms)
     return hit.groupBy(index.key).agg(F.first("length").alias("_len"), *[
         F.max(F.when(F.col("term") == t, F.col("places"))).alias(f"_p{i}") for i, t in enumerate(terms)])
 
