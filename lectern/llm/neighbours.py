@@ -6,9 +6,10 @@ it by at most r // bytes in some byte (pigeonhole), so probing every byte's inde
 codes within r; these are checked as a whole and reranked by cosine in double precision. The radius is the one that
 holds `TARGET` of the true neighbours within the sample, where neighbours lie farther than among all rows.
 
-Queries meet all rows in blocks: rows are dealt to row blocks, queries to query blocks, and each pair of blocks is
-one task that builds the index of its rows and returns the k best per query. If fewer than k codes of a block lie
-within the radius, its nearest codes fill up, so a query gets k results if there are k candidates.
+Rows are dealt to blocks of `BLOCK_BYTES`. A block's rows are sorted before a copy of all queries: a task builds the index
+of one block and lets the queries stream past, so every row is shuffled once, every index is built once, and the k best
+per query and block are what leaves. If fewer than k codes of a block lie within the radius, its nearest codes fill up,
+so a query gets k results if there are k candidates.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id,
 take no part; vectors meet those of their own length only; of rows that repeat an id the nearest counts; a query's own
@@ -18,17 +19,19 @@ id is no candidate; equal scores go by the smaller id. Empty tables give no rows
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import stored, table
 
 SAMPLE, CODE_BITS, TARGET, ITERATIONS = 10_000, 256, 0.995, 25
-ROW_BLOCK, QUERY_BLOCK = 20_000, 4_000
+BLOCK_BYTES = 16 << 20  # of a block's components, eight bytes each
 COUNTS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -103,9 +106,64 @@ def usable(vector: Column) -> Column:
     return (F.size(vector) > 0) & inner & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    values = column.combine_chunks()
-    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(values), -1 if len(values) else 0)
+
+
+class Block:
+    """Rows of one block and one vector length, with the index of their codes."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: Codes) -> None:
+        self.ids, self.vectors, self.codes = ids, vectors, codes
+        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
+        self.index = Index(codes.of(unit_rows(vectors)))
+
+    def best(self, names: np.ndarray, questions: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+        """(query, row, cosine) of the k rows nearest to each query."""
+        for name, question, code in zip(names.tolist(), questions, self.codes.of(unit_rows(questions))):
+            own = int((self.ids == name).sum())
+            near = self.index.within(code, self.codes.radius, k + own)
+            near = near[self.ids[near] != name]
+            scores = (self.vectors[near] * question).sum(axis=1) / (self.norms[near] * np.sqrt((question * question).sum()))
+            seen: set[int] = set()
+            for i in np.lexsort((self.ids[near], -scores)).tolist():
+                if int(self.ids[near[i]]) not in seen:
+                    seen.add(int(self.ids[near[i]]))
+                    yield name, int(self.ids[near[i]]), float(scores[i])
+                    if len(seen) == k:
+                        break
+
+
+def _streamed(codes: Broadcast, k: int):
+    """Rows come by block and vector length, in each the block's rows before the queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
+        at, block = None, None
+        for batch in batches:
+            place = np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("block", "dim", "asked")], axis=1)
+            turns = np.flatnonzero((np.diff(place, axis=0) != 0).any(axis=1)) + 1
+            for start, stop in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
+                if start == stop:
+                    continue
+                part = batch.slice(start, stop - start)
+                if at != tuple(place[start, :2]):
+                    at, rows, block = tuple(place[start, :2]), [], None
+                if not place[start, 2]:
+                    rows.append(part)
+                    continue
+                if rows:
+                    block = Block(np.concatenate([r["id"].to_numpy() for r in rows]), np.concatenate([_matrix(r["v"]) for r in rows]),
+                                  codes.value[int(at[1])])
+                    rows = []
+                if block is not None:
+                    columns = list(zip(*block.best(part["id"].to_numpy(), _matrix(part["v"]), k))) or [[]] * 3
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
+                        ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def nearest(rows: DataFrame, asked: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -129,40 +187,12 @@ def nearest(rows: DataFrame, asked: DataFrame, k: int = 5, id: str = "vec_id", v
         else:
             codes[dim] = fit_codes(_matrix(rows.where(F.col("dim") == dim).select("v").limit(SAMPLE).toArrow().column(0)), k)
     shared = spark.sparkContext.broadcast(codes)
-    queries = asked.count()
-    row_blocks = max(1, math.ceil(sum(counts.values()) / ROW_BLOCK))
-    query_blocks = max(1, math.ceil(queries / QUERY_BLOCK))
-    row_side = rows.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(row_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    query_side = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if left.num_rows and right.num_rows:
-            ids, vectors = left["id"].to_numpy(), _matrix(left["v"])
-            names, questions = right["id"].to_numpy(), _matrix(right["v"])
-            model = shared.value[vectors.shape[1]]
-            index = Index(model.of(unit_rows(vectors)))
-            norms = np.sqrt((vectors * vectors).sum(axis=1))
-            for name, question, code in zip(names.tolist(), questions, model.of(unit_rows(questions))):
-                own = int((ids == name).sum())
-                near = index.within(code, model.radius, k + own)
-                near = near[ids[near] != name]
-                scores = (vectors[near] * question).sum(axis=1) / (norms[near] * np.sqrt((question * question).sum()))
-                seen: set[int] = set()
-                for i in np.lexsort((ids[near], -scores)).tolist():
-                    if int(ids[near[i]]) not in seen:
-                        seen.add(int(ids[near[i]]))
-                        out.append((name, int(ids[near[i]]), float(scores[i])))
-                        if len(seen) == k:
-                            break
-        columns = list(zip(*out)) or [[]] * 3
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
-                         pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = row_side.groupBy("dim", "qb", "vb").cogroup(query_side.groupBy("dim", "qb", "vb")).applyInArrow(
-        search, "query_id long, vec_id long, score double")
+    blocks = max(1, math.ceil(sum(8 * dim * n for dim, n in counts.items()) / BLOCK_BYTES))
+    own = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("asked", F.lit(False))
+    copies = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn(
+        "asked", F.lit(True))
+    found = own.unionByName(copies).repartition("block").sortWithinPartitions("block", "dim", "asked").mapInArrow(
+        _streamed(shared, k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select(

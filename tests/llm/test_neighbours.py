@@ -34,8 +34,7 @@ def results(df):
 
 @pytest.mark.parametrize("blocks", [20_000, 150])
 def test_recall_and_scores(spark, monkeypatch, blocks):
-    monkeypatch.setattr(A, "ROW_BLOCK", blocks)
-    monkeypatch.setattr(A, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(A, "BLOCK_BYTES", 8 * 24 * blocks)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=24)) for i in range(600)]
     df = frame(spark, rows)
