@@ -17,7 +17,7 @@ COVERS: dict[str, str] = {}
 MODULES = (
     "search", "related", "graph", "aggregates", "texts", "chunks", "linking", "health", "incremental", "deltas",
     "evidence", "ordering", "extraction", "projections", "maintenance", "projects", "publication", "clusters", "wiki", "bridges",
-    "published_graph", "audit", "bridge_sets",
+    "published_graph", "audit", "bridge_sets", "removal",
 )
 
 
