@@ -5,7 +5,8 @@ keys and its scheme. Spark's FP-growth finds token combinations that are frequen
 a label; rules under the confidence and support bounds or no better than chance go, and so does a rule that a shorter one with at least its
 confidence implies. Rules are indexed by their rarest token: a URL's tokens meet the index by an equality join, and a
 rule that is met is checked for its other tokens. Distinct token sets are matched once, whatever number of URLs share
-one. Given rules decide first; then the mined rule of the highest confidence (ties: support, then block); else allow.
+one. Tokens that stand in the same labelled URLs are one item, so that keys which always come together don't multiply
+combinations; a URL has an item if it has one of its tokens. Given rules decide first; then the mined rule of the highest confidence (ties: support, then block); else allow.
 
 Defined results: null URLs, or those without `://`, have an empty host and path, no rule, and are allowed; repeated
 rows give repeated results; a null label is no label. Empty tables give no rows; without labels nothing is mined.
@@ -62,6 +63,22 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(everything, lambda t: F.length(t) > 2)))
 
 
+def equal_tokens(labelled: DataFrame) -> DataFrame:
+    """(row, tokens, blocked) -> token, item: tokens that stand in the same rows as a smaller one, and the smallest.
+
+    Two sets of rows count as the same if their sizes and two 64-bit digests agree."""
+    held = labelled.where("blocked is not null").select("row", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    first = held.groupBy("n", "x", "y").agg(F.min("token").alias("item"), F.count("*").alias("tokens")).where("tokens > 1")
+    return held.join(first, ["n", "x", "y"]).where("token <> item").select("token", "item")
+
+
+def with_items(sets: DataFrame, equal: DataFrame, key: list[str]) -> DataFrame:
+    """sets, distinct by key, with `items`: their tokens with equal ones put together."""
+    items = sets.select(*key, F.explode_outer("tokens").alias("token")).join(equal, "token", "left")
+    return items.groupBy(*key).agg(F.array_sort(F.collect_set(F.coalesce("item", "token"))).alias("items"))
+
+
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(tokens, blocked) -> rules: antecedent, verdict, confidence, support."""
     rows = labelled.where("blocked is not null").select(F.concat(
@@ -83,14 +100,16 @@ def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CON
 
 
 def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct token sets -> tokens, verdict, antecedent, confidence of the best rule; only sets that have one."""
+    """Distinct token sets (tokens, and items if they differ) -> tokens, verdict, antecedent, confidence of the best rule;
+    only sets that have one."""
+    sets = sets if "items" in sets.columns else sets.withColumn("items", F.col("tokens"))
     common = rules.select(F.explode("antecedent").alias("token")).groupBy("token").count()
     met = rules.select("*", F.explode("antecedent").alias("token")).join(common, "token")
     index = met.groupBy("antecedent", "verdict").agg(
         F.min_by("token", F.struct("count", "token")).alias("token"), F.max("confidence").alias("confidence"),
         F.max("support").alias("support"))
-    found = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(
-        F.size(F.array_except("antecedent", "tokens")) == 0)
+    found = sets.select("tokens", "items", F.explode("items").alias("token")).join(index, "token").where(
+        F.size(F.array_except("antecedent", "items")) == 0)
     best = F.struct("confidence", "support", (F.col("verdict") == "block").alias("b"),
                     F.negative(F.size("antecedent")).alias("s"), "antecedent", "verdict")
     return found.groupBy("tokens").agg(F.max(best).alias("r")).select("tokens", "r.verdict", "r.antecedent", "r.confidence")
@@ -110,9 +129,11 @@ def judged(urls: DataFrame, labels: DataFrame | None, rules=RULES, url: str = "u
     if labels is not None:
         other = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
         known.append(labels.where(other.isNull()).select(tokens_of(F.col("url")).alias("tokens"), "blocked"))
-    found = mined(reduce(DataFrame.union, known))
+    labelled = stored(reduce(DataFrame.union, known).where("blocked is not null").withColumn("row", F.monotonically_increasing_id()), "labelled")
+    equal = stored(equal_tokens(labelled), "equal")
+    found = mined(with_items(labelled, equal, ["row", "blocked"]).select(F.col("items").alias("tokens"), "blocked"))
     sets = rows.where("__rule is null").select(F.col("__tokens").alias("tokens")).distinct()
-    best = matched(sets, found).select(F.col("tokens").alias("__tokens"), F.col("verdict").alias("__verdict"),
+    best = matched(with_items(sets, equal, ["tokens"]), found).select(F.col("tokens").alias("__tokens"), F.col("verdict").alias("__verdict"),
                                        F.col("antecedent").alias("__antecedent"))
     free = rows.where("__rule is null").join(best, "__tokens", "left")
     ruled = rows.where("__rule is not null").select(

@@ -69,3 +69,21 @@ def test_labels_decide_where_no_rule_does(spark):
     found = U.judged(urls, labels).collect()
     assert sorted((r["page_id"], r["verdict"]) for r in found) == [(1, "block"), (2, "allow"), (3, "allow"), (3, "allow")]
     assert U.judged(urls.limit(0), labels).count() == 0 and U.judged(urls, labels.limit(0)).count() == 4
+
+
+def test_keys_that_come_together_are_one_item(spark):
+    keys = "&".join(f"k{j}=1" for j in range(30))
+    rows = [(f"http://{'spam' if i % 2 else 'good'}.x.com/{'a' if i % 3 else 'b'}/{i}?" + (keys if i % 2 else "z=1"), bool(i % 2)) for i in range(120)]
+    labels = spark.createDataFrame(rows, "url string, blocked boolean")
+    urls = spark.createDataFrame([(1, "http://other.x.com/q?k7=5"), (2, "http://other.x.com/q?z=1"), (3, "http://other.x.com/q")], "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] for r in U.judged(urls, labels).collect()}
+    assert found == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_equal_tokens(spark):
+    sets = [(0, ["a", "b", "c"]), (1, ["a", "b"]), (2, ["c", "d"]), (3, []), (4, ["a", "b", "e", "f"])]
+    labelled = spark.createDataFrame([(i, t, True) for i, t in sets] + [(5, ["a"], None)], "row long, tokens array<string>, blocked boolean")
+    equal = U.equal_tokens(labelled)
+    assert {tuple(r) for r in equal.collect()} == {("b", "a"), ("f", "e")}
+    items = {r["row"]: r["items"] for r in U.with_items(labelled, equal, ["row"]).collect()}
+    assert items[0] == ["a", "c"] and items[3] == [] and items[4] == ["a", "e"]
