@@ -9,15 +9,17 @@ pre-token's terminal count is kept and added up for each occurrence.
 The vocabulary is that of a public piece model; its pieces come in order of rank, and the model has no probabilities,
 so piece of rank r gets the Zipf-Mandelbrot weight 1 / (r + `OFFSET`). A character in no piece costs its UTF-8 bytes,
 each scored below every piece. Nothing is trained. The trie and the counts of a task start anew when they reach a
-bound; results do not depend on that.
+bound, and a pre-token of `LONG` characters or more takes twelve bytes a character and no nodes; results do not depend on that.
 
-Defined results: null or empty text, and text of white space only, has 0 tokens; repeated rows give repeated results.
-Empty tables give no rows. Only doc_id and text are read.
+Defined results: null or empty text, and text of white space only, has 0 tokens; repeated rows give repeated results;
+very long texts and words are counted whole. Only doc_id and text are read, so other columns can have any name. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ from lectern.llm.common import slices, table
 SPACE_MARK = "▁"
 OFFSET = 2.7
 MOST_NODES, MOST_WORDS = 700_000, 300_000
+LONG = 2_000  # characters from which a pre-token is counted by the same recurrence without nodes that others could share
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -93,6 +96,28 @@ class Trie:
         return pieces[node]
 
 
+def count_alone(word: str, scores: dict[str, float], endings: set[str]) -> int:
+    """Trie.count() of one word that shares nothing."""
+    best, pieces = array("d", [0.0]), array("i", [0])
+    for end, character in enumerate(word, start=1):
+        high, few = -math.inf, 0
+        if character not in scores:
+            size = len(character.encode("utf-8", "surrogatepass"))
+            high, few = best[-1] + size * scores[""], pieces[-1] + size
+        for start in range(end - 1, -1, -1):
+            part = word[start:end]
+            if part not in endings:
+                break
+            score = scores.get(part)
+            if score is not None:
+                score += best[start]
+                if score > high or score == high and pieces[start] + 1 < few:
+                    high, few = score, pieces[start] + 1
+        best.append(high)
+        pieces.append(few)
+    return pieces[-1]
+
+
 class Counter:
     """Token counts of texts."""
 
@@ -111,8 +136,11 @@ class Counter:
         for word in sorted(w for w in set(words) if w not in known):
             if len(self.trie.best) > MOST_NODES:
                 self.trie = Trie(self.scores, self.endings)
-            known[word] = self.trie.count(SPACE_MARK + word)
+            known[word] = self.trie.count(SPACE_MARK + word) if len(word) < LONG else count_alone(
+                SPACE_MARK + word, self.scores, self.endings)
         total = sum(map(known.__getitem__, words))
+        for word in {w for w in words if len(w) >= LONG}:
+            del known[word]
         if len(known) > MOST_WORDS:
             known.clear()
         return len(words), total

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import pytest
 
@@ -47,3 +48,16 @@ def test_rows(odd_documents, scores):
     assert by_id[1] == by_id[2] == by_id[3] == (0, 0)
     assert by_id[4] == (3, sum(viterbi("▁" + w, scores) for w in ("123", "456", "!!")))
     assert C.counted(odd_documents.limit(0)).count() == 0
+
+
+def test_very_long_words(scores):
+    rng = random.Random(3)
+    endings = C.endings_of(scores)
+    word = "▁" + "".join(rng.choice(["a", "the", "你", "🙂", "ing", "\x01"]) for _ in range(900))
+    assert C.count_alone(word, scores, endings) == C.Trie(scores, endings).count(word) == viterbi(word, scores)
+    counter = C.Counter(C.vocabulary_path())
+    tracemalloc.start()
+    assert counter.of("ab1" * 700_000)[0] == 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and len(counter.trie.best) == 1 and not counter.known
