@@ -252,7 +252,7 @@ def cluster_delta_applied(spark, folder):
     return existing.unionByName(links).unionByName(fresh).distinct()
 
 
-@query("response_validation", "G10 H34", """
+@query("response_validation", "G10", """
 SELECT o_orderkey, s_suppkey IS NOT NULL AS accepted, CASE WHEN s_suppkey IS NULL THEN 'unknown local cluster ' || o_custkey ELSE '' END AS error
 FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey""")
 def response_validation(spark, folder):

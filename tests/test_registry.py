@@ -15,6 +15,7 @@ SAMPLE = (
     "chunk_greedy", "broken_links_anti", "change_plan_full_outer", "first_claim", "citations", "json_salvage",
     "project_log_checked", "project_list_edits", "cluster_delta_parts", "cluster_records", "bridge_inputs", "orphaned_pages",
     "manifest_round_trip", "stage_fingerprints", "deletable_figures", "chunk_annotation_overlap",
+    "search_seven_columns", "project_sections_checked", "audit_reviews_merged", "bridges_after_response", "removal_dry_run",
 )
 
 
