@@ -9,7 +9,7 @@ and drops the chunks that are through. A chunk of very many tokens is first spli
 `LANE` tokens, so that steps stay few. Tokens between two cuts are a group; every A and B token of a group are linked.
 
 A pair's count is the number of documents that hold it linked. Pairs are counted per block of documents first (a block
-is bounded by its links), so only the distinct pairs of a block are shuffled; the totals return to each block and are
+is bounded by the pairs of its documents), so only the distinct pairs of a block are shuffled; the totals return to each block and are
 looked up there while its documents stream past. No table of pairs is broadcast or collected.
 
 Defined results: null and empty texts, and texts that either tokenizer doesn't give back byte by byte, have no tokens:
@@ -38,8 +38,8 @@ from lectern.llm.packing import Words
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHIFT = 20  # a pair is a << SHIFT | b
 LANE = 4096
-CACHED_CHARS = 12_000_000  # of one worker process, counting 24 for a chunk besides its characters
-BLOCK_LINKS = 30_000_000  # links of a block of documents
+CACHED_CHARS = 6_000_000  # of one worker process, counting 24 for a chunk besides its characters
+BLOCK_PAIRS = 4_000_000  # distinct pairs of documents, added up over a block of them
 LARGE_GROUP = 1 << 16  # links of a group from which its distinct ids are paired instead of its tokens
 TOGETHER = 2000  # chunks of one call of a tokenizer
 #: How byte_bpe_50k.json splits texts before merging.
@@ -325,7 +325,7 @@ def _digests(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
                  pa.array(np.full(len(digests), block))],
                 ["doc_id", *COUNTS, "groups_sha256", "pairs", "times", "block"])
             held += len(pairs)
-            if held > BLOCK_LINKS:
+            if held > BLOCK_PAIRS:
                 block, held = block + 1, 0
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
@@ -381,7 +381,9 @@ def with_counts(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFr
     in_blocks = stored(rows.select("block", F.explode("pairs").alias("pair")).groupBy("block", "pair").agg(
         F.count("*").alias("docs")), "pairs")
     lookup = in_blocks.join(pair_counts(in_blocks), "pair").select("block", "pair", "count", "best")
-    both = lookup.unionByName(rows, allowMissingColumns=True).repartition("block").sortWithinPartitions(
+    # as many partitions as blocks, so that they don't grow with the input
+    blocks = max(1, rows.select("block").distinct().count())
+    both = lookup.unionByName(rows, allowMissingColumns=True).repartition(blocks, "block").sortWithinPartitions(
         "block", F.col("pair").isNull())
     return both.mapInArrow(_looked_up, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
                            + ", n_best long, count_sum long, groups_sha256 string")

@@ -111,7 +111,7 @@ def test_lanes_give_the_same_cuts():
 
 def test_blocks_and_forgotten_chunks_change_nothing(documents, brute, monkeypatch):
     texts = [f"word{i} shared words here, and {i % 7} more" for i in range(200)] + ["shared"] * 50
-    for name, value in (("BLOCK_LINKS", 50), ("CACHED_CHARS", 300), ("LARGE_GROUP", 1)):
+    for name, value in (("BLOCK_PAIRS", 50), ("CACHED_CHARS", 300), ("LARGE_GROUP", 1)):
         monkeypatch.setattr(alignment, name, value)
     got = alignment.Aligner(*alignment.tokenizer_paths())
     want = brute(texts)
