@@ -4,7 +4,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last ke
 
 Defined results: rows with a null or empty text, or without a letter, are of no language and go in the first stage; a null
 doc_id is kept by every stage; of rows that repeat an id and its text one stays, of ties among near duplicates the smallest id;
-very long texts are worked on whole; extra columns, whatever their names, pass the first four stages; empty tables give none.
+very long texts are worked on whole; extra columns pass the first four stages, but for names that masking uses itself (found,
+base_spans, weak_spans, and names that begin with two underscores); empty tables give no rows.
 """
 
 from __future__ import annotations
