@@ -139,7 +139,8 @@ def context_requests(spark, folder):
     """Known tools only, at most four requests per pass, limits clamped to 1..8."""
     known = table(spark, folder, "events").where(F.col("event_type").isin("view", "click"))
     first = sample_per(known, "user_id", 4, F.asc("event_id"))
-    limit = F.least(F.greatest(F.round("value").cast("bigint"), F.lit(1)), F.lit(8)).cast("bigint")
+    # halves go to the even number, as a cast does in SQL
+    limit = F.least(F.greatest(F.rint("value").cast("bigint"), F.lit(1)), F.lit(8)).cast("bigint")
     return first.select("user_id", "event_id", limit.alias("row_limit"), F.col("rn").alias("n"))
 
 
