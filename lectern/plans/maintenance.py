@@ -164,7 +164,8 @@ def stream_change_plan(spark, folder):
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-stream-")
     base = os.path.join(shared, f"change-plan-{uuid.uuid4().hex}")
     docs = table(spark, folder, "documents")
-    arrivals = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(folder).select("doc_id")
+    # a pattern matches a single file and a folder of part files alike; a plain file is refused as a stream's path
+    arrivals = spark.readStream.schema(docs.schema).parquet(f"{folder}/[d]ocuments.parquet").select("doc_id")
 
     def plan(batch, batch_id):
         actions = ops.change_plan(manifest_of(spark, folder), snapshot_of(spark, folder), ignored_of(spark, folder))
