@@ -29,9 +29,10 @@ from lectern.operators.tables import stored
 LOG = ("project_id string, seq long, kind string, actor string, stage string, confidence double, "
        "lists map<string,array<string>>, field string, position int, text string")
 SLICE = 500
+LISTING = 100  # changes of a slice whose outcomes hold whole lists
 LIST = "array<string>"
 STATE = f"struct<place:int,confidence:double,lists:array<{LIST}>,revision:bigint>"
-OUTCOME = "array<struct<seq:bigint,reason:string,revision:bigint,place:int,confidence:double,field:int,item:string,size:int>>"
+OUTCOME = "array<struct<seq:bigint,reason:string,revision:bigint,place:int,confidence:double,field:int,item:string,size:int,items:array<string>>>"
 
 
 def folded(text: Column) -> Column:
@@ -107,7 +108,7 @@ def _clash(lists: Column) -> Column:
         v.isNotNull(), F.concat(F.lit("'"), v, F.lit(f"' appears in both {a} and {b}")))) for a, b in pairs])
 
 
-def _next(held: Column, x: Column) -> Column:
+def _next(held: Column, x: Column, listing: bool) -> Column:
     """State and outcomes after one more change."""
     state = held["state"]
 
@@ -126,31 +127,34 @@ def _next(held: Column, x: Column) -> Column:
                     F.zip_with(state["lists"], x["lists"], lambda old, new: F.coalesce(new, old)))
         early = F.coalesce(x["refusal"], missed, back, x["late"])
         return bind(F.when(early.isNull(), lists).otherwise(state["lists"]), lambda new: bind(
-            F.coalesce(early, _clash(new), F.lit("")), lambda reason: _after(held, x, target, values, new, reason)))
+            F.coalesce(early, _clash(new), F.lit("")), lambda reason: _after(held, x, target, values, new, reason, listing)))
 
     return bind(_target(state, x), judged)
 
 
-def _after(held: Column, x: Column, target: Column, values: Column, lists: Column, reason: Column) -> Column:
+def _after(held: Column, x: Column, target: Column, values: Column, lists: Column, reason: Column, listing: bool) -> Column:
     state, good = held["state"], reason == ""
     new = F.struct(F.when(good, F.coalesce(x["place"], state["place"])).otherwise(state["place"]).alias("place"),
                    F.when(good, F.coalesce(x["confidence"], state["confidence"])).otherwise(state["confidence"]).alias("confidence"),
                    F.when(good, lists).otherwise(state["lists"]).alias("lists"),
                    (state["revision"] + good.cast("bigint")).alias("revision"))
     item = F.when(good & x["kind"].isin("add", "update"), x["text"]).when(good, F.get(values, target["position"]))
-    size = F.size(F.get(F.when(good, lists).otherwise(state["lists"]), F.coalesce(target["field"], x["field"])))
+    kept = F.get(F.when(good, lists).otherwise(state["lists"]), F.coalesce(target["field"], x["field"]))
+    items = F.when(x["kind"] != "merge", kept) if listing else F.lit(None).cast(LIST)
     outcome = F.struct(x["seq"].alias("seq"), reason.alias("reason"), (state["revision"] + good.cast("bigint")).alias("revision"),
                        F.when(good, F.coalesce(x["place"], state["place"])).otherwise(state["place"]).alias("place"),
                        F.when(good, F.coalesce(x["confidence"], state["confidence"])).otherwise(state["confidence"]).alias("confidence"),
                        F.coalesce(target["field"], x["field"]).alias("field"),
-                       F.when(x["kind"] != "merge", item).alias("item"), F.when(x["kind"] != "merge", size).alias("size"))
+                       F.when(x["kind"] != "merge", item).alias("item"), F.when(x["kind"] != "merge", F.size(kept)).alias("size"), items.alias("items"))
     return F.struct(new.cast(STATE).alias("state"), F.concat(held["outcomes"], F.array(outcome).cast(OUTCOME)).alias("outcomes"))
 
 
-def fold_log(log: DataFrame, size: int = SLICE) -> tuple[DataFrame, DataFrame]:
-    """Outcomes (project_id, seq, accepted, reason, revision, stage, confidence, field, item, size: the list an edit is
-    about, what it put in or took out, and the items of that list afterwards) and final states (project_id, stage,
-    confidence, revision, lists) of every project."""
+def fold_log(log: DataFrame, size: int | None = None, listing: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Outcomes (project_id, seq, accepted, reason, revision, stage, confidence, field, item, size, items: the list an edit
+    is about, what it put in or took out, the length of that list afterwards and, if `listing`, the list itself) and final
+    states (project_id, stage, confidence, revision, lists) of every project. Lists make the outcomes of a slice longer,
+    so its slices are shorter then."""
+    size = size or (LISTING if listing else SLICE)
     numbered = running_number(_judged(log), ["project_id"], "seq").withColumn("slice", F.floor((F.col("number") - 1) / size))
     numbered = stored(numbered, "changes")
     last = numbered.agg(F.max("slice")).first()[0]
@@ -166,7 +170,7 @@ def fold_log(log: DataFrame, size: int = SLICE) -> tuple[DataFrame, DataFrame]:
         else:
             changes = changes.withColumn("before", F.lit(None).cast(STATE))
         zero = F.struct(F.coalesce("before", start.cast(STATE)).alias("state"), F.array().cast(OUTCOME).alias("outcomes"))
-        f = F.aggregate("c", zero, lambda held, c: _next(held, c["x"]))
+        f = F.aggregate("c", zero, lambda held, c: _next(held, c["x"], listing))
         parts.append(stored(changes.select("project_id", f.alias("f")), "states").withColumn("slice", F.lit(k)))
     if not parts:
         parts = [log.sparkSession.createDataFrame([], f"project_id string, f struct<state:{STATE},outcomes:{OUTCOME}>, slice int")]
@@ -174,7 +178,7 @@ def fold_log(log: DataFrame, size: int = SLICE) -> tuple[DataFrame, DataFrame]:
     stages, names = (F.array(*map(F.lit, n)) for n in (PROJECT_STAGES, PROJECT_LISTS))
     outcomes = folds.select("project_id", F.explode("f.outcomes").alias("o")).select(
         "project_id", "o.seq", (F.col("o.reason") == "").alias("accepted"), "o.reason", "o.revision",
-        F.get(stages, F.col("o.place")).alias("stage"), "o.confidence", F.get(names, F.col("o.field")).alias("field"), "o.item", "o.size")
+        F.get(stages, F.col("o.place")).alias("stage"), "o.confidence", F.get(names, F.col("o.field")).alias("field"), "o.item", "o.size", "o.items")
     states = folds.groupBy("project_id").agg(F.max_by("f.state", "slice").alias("s")).select(
         "project_id", F.get(stages, F.col("s.place")).alias("stage"), "s.confidence", "s.revision",
         F.map_filter(F.map_from_arrays(names, "s.lists"), lambda k, v: F.size(v) > 0).alias("lists"))

@@ -106,12 +106,12 @@ fold AS (
         WHEN trim(text) = '' THEN -1
         ELSE coalesce(list_position(list_transform(f.items, lambda x: lower(regexp_replace(x, '\s+', ' ', 'g'))), lower(regexp_replace(trim(text), '\s+', ' ', 'g'))), 0) - 1 END AS place
       FROM fold f JOIN d s ON s.project_id = f.project_id AND s.rn = f.rn + 1)))
-SELECT project_id, seq, reason, item, CAST(len(items) AS INTEGER) AS items FROM fold WHERE rn > 0"""
+SELECT project_id, seq, reason, item, array_to_string(items, '|') AS items FROM fold WHERE rn > 0"""
 
 
 @query("project_list_edits", "G24 H21 H37", EDITS)
 def project_list_edits(spark, folder):
-    """Items of a project list added, changed, removed by index, and resolved by index or by their text; the list's length after."""
+    """Items of a project list added, changed, removed by index, and resolved by index or by their text; the whole list after each."""
     e, kind = F.col("event_id"), F.col("event_type")
     action = F.when(kind == "click", "update").when(kind == "purchase", "delete").when(kind == "view", "resolve").otherwise("add")
     text = F.when(e % 19 == 0, "  ").otherwise(F.concat(F.lit(" Task  "), (e % 6).cast("string")))
@@ -121,7 +121,7 @@ def project_list_edits(spark, folder):
         F.lit("human").alias("actor"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("double").alias("confidence"),
         F.lit(None).cast("map<string,array<string>>").alias("lists"), F.lit("next_focus").alias("field"),
         F.when(placed, (e % 4).cast("int")).alias("position"), text.alias("text"))
-    return fold_log(log)[0].select("project_id", "seq", "reason", "item", F.coalesce("size", F.lit(0)).alias("items"))
+    return fold_log(log, listing=True)[0].select("project_id", "seq", "reason", "item", F.coalesce(F.array_join("items", "|"), F.lit("")).alias("items"))
 
 
 # Good changes follow each other; of the others some repeat a revision, some come without a reason.

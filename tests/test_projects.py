@@ -86,3 +86,19 @@ def test_notes(spark):
     found = projects.note_log(log).orderBy("seq").collect()
     assert [bool(r["reason"]) for r in found] == [False, True, False, True, False, False, True, True, True, True, False, True, True, False, False]
     assert [r["note_id"] for r in found[:4]] == ["note-0001", None, "note-0002", None] and found[6]["status"] == "deleted"
+
+
+def test_list_edits_return_the_whole_list_after_each(spark, tmp_path):
+    from lectern.plans import registry
+
+    registry.load_all()
+    kinds = ["signup", "signup", "click", "signup", "purchase", "view", "signup"]
+    rows = [(seq, 1, kind) for seq, kind in enumerate(kinds, 1)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    found = registry.QUERIES["project_list_edits"](spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r["items"] for r in found] == [
+        "Task  1", "Task  1|Task  2", "Task  1|Task  2", "Task  1|Task  2|Task  4", "Task  1|Task  4", "Task  1|Task  4",
+        "Task  1|Task  4|Task  1"]
+    log = spark.createDataFrame([("p", i, "add", "cli", None, None, None, "decisions", None, f"t{i}") for i in range(9)], projects.LOG)
+    lists = [r["items"] for r in projects.fold_log(log, 4, listing=True)[0].orderBy("seq").collect()]
+    assert lists == [[f"t{i}" for i in range(n + 1)] for n in range(9)]
