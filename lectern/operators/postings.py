@@ -28,12 +28,12 @@ def term_stats(postings: DataFrame) -> DataFrame:
 
 def write(postings: DataFrame, path: str, buckets: int | None = None) -> None:
     """Parquet partitioned by term bucket, as many as the session has shuffle partitions unless told otherwise; the
-    number is part of the layout. Rebalancing splits a bucket that is larger than the advisory partition size over
-    several writers, however frequent its terms are."""
+    number is part of the layout. Each task writes its own part of every bucket, sorted by term: nothing is shuffled, and
+    no task holds more than its own rows, however frequent a term is."""
     buckets = buckets or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucketed = postings.withColumns({
         "buckets": F.lit(buckets), "bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")})
-    bucketed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
+    bucketed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
         "buckets", "bucket").parquet(path)
 
 

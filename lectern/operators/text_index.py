@@ -3,7 +3,7 @@
 Three tables: postings (term, key, places, length), in as many term buckets as the session has shuffle partitions; the
 rows that hits are shown with (key, carried columns); and one row of corpus statistics. A place is an indexed column's
 number and a word's position in it, so phrases and column scopes are answered from the postings and no text is read.
-Building shuffles every word once; a search reads the buckets of its own terms.
+A row's postings are grouped inside the row, so building shuffles nothing; a search reads the buckets of its own terms.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.functions.fixed import BM25_B, BM25_IDF_FLOOR, BM25_K1
 from lectern.functions.stem import stem, stem_tokens
-from lectern.functions.text import word_tokens
+from lectern.functions.text import bind, word_tokens
 from lectern.operators import postings
 from lectern.operators.ranking import TextTable
 
@@ -40,6 +40,17 @@ def _placed(words: Column, number: int) -> Column:
     return F.transform(words, lambda t, i: F.struct(t.alias("term"), (F.lit(number * FIELD) + i).alias("place")))
 
 
+def _grouped(placed: Column) -> Column:
+    """(term, places in order) of each term of one row. Items are fetched by number: a slice would copy the whole array."""
+    def runs(s: Column) -> Column:
+        starts = F.array_compact(F.transform(s, lambda p, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != p["term"]), i)))
+        return bind(starts, lambda b: F.transform(b, lambda at, k: F.struct(
+            F.get(s, at)["term"].alias("term"),
+            F.transform(F.sequence(at, F.coalesce(F.get(b, k + 1), F.size(s)) - 1), lambda j: F.get(s, j)["place"]).alias("places"))))
+
+    return bind(F.sort_array(placed), runs)
+
+
 def _shifted(term: int, by: int) -> Column:
     """Where a phrase would start that has this term so many words later."""
     return F.transform(F.coalesce(f"_p{term}", F.array().cast("array<bigint>")), lambda p: p - by)
@@ -54,15 +65,16 @@ def write(table: TextTable, path: str) -> TextIndex:
     placed = F.concat(*[_placed(w, k) for k, w in enumerate(words.values())])
     # bound to a lambda variable, so that a row is tokenised once
     tokens = rows.select(table.key, F.inline(F.transform(F.array(placed), lambda p: F.struct(
-        F.size(p).cast("bigint").alias("length"), p.alias("placed")))))
-    exploded = tokens.select(table.key, "length", F.inline("placed"))
-    # the places of a term in one row are bounded by that row
-    grouped = exploded.groupBy("term", table.key).agg(
-        F.sort_array(F.collect_list("place")).alias("places"), F.first("length").alias("length"))
+        F.size(p).cast("bigint").alias("length"), _grouped(p).alias("terms")))))
+    grouped = tokens.select(F.inline("terms"), table.key, "length").select("term", table.key, "places", "length")
+    schema = StructType([*grouped.schema.fields, StructField("buckets", IntegerType()), StructField("bucket", IntegerType())])
     postings.write(grouped, f"{path}/postings")
     table.rows.select(table.key, *table.carry).write.parquet(f"{path}/rows")
-    tokens.agg(F.count("*").alias("n"), F.avg("length").alias("average")).coalesce(1).write.parquet(f"{path}/statistics")
-    schema = StructType([*grouped.schema.fields, StructField("buckets", IntegerType()), StructField("bucket", IntegerType())])
+    spark = table.rows.sparkSession
+    # every word stands in the postings once, so that the texts need not be tokenised again for their mean length
+    words = spark.read.schema(schema).parquet(f"{path}/postings").agg(F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("words"))
+    n = spark.read.parquet(f"{path}/rows").agg(F.count("*").alias("n"))
+    n.crossJoin(words).select("n", F.try_divide("words", "n").alias("average")).coalesce(1).write.parquet(f"{path}/statistics")
     return TextIndex(path, table.key, table.fields, table.carry, table.stemmed, schema)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.operators import text_index
+from lectern.operators import ranking, text_index
 from lectern.operators.ranking import TextTable
 from lectern.operators.tables import shared_folder
 
@@ -33,5 +33,7 @@ def index_of(spark: SparkSession, name: str, table: TextTable) -> text_index.Tex
 
 
 def search(spark: SparkSession, name: str, table: TextTable, phrases: list[list[str]], only: str | None = None) -> DataFrame:
-    """ranking.bm25() from the stored index of the table."""
+    """ranking.bm25() from the stored index of the table; a question without words needs no index."""
+    if not phrases:
+        return ranking.bm25(table, phrases, only)
     return text_index.bm25(index_of(spark, name, table), spark, phrases, only)

@@ -58,3 +58,24 @@ def test_an_index_is_built_once_per_state_of_the_files(spark, rows, tmp_path):
 def test_empty_table(spark, rows, tmp_path):
     index = text_index.write(TextTable(rows.limit(0), "id", ("title",)), str(tmp_path / "index"))
     assert text_index.bm25(index, spark, [["the"]]).count() == 0
+
+
+def test_building_shuffles_no_postings_and_empty_questions_build_nothing(spark, rows, tmp_path):
+    rows.write.parquet(str(tmp_path / "cards.parquet"))
+    table = TextTable(spark.read.parquet(str(tmp_path / "cards.parquet")), "id", ("title", "summary", "body"), ("kind",))
+    built = dict(indexes._BUILT)
+    assert indexes.search(spark, "unasked", table, query_phrases("   ")).count() == 0 and indexes._BUILT == built
+    store, before = spark._jsc.sc().statusStore(), set()
+
+    def written():
+        none, empty = spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()
+        stages = store.stageList(None, False, False, none, empty)
+        return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = set(written())
+    index = text_index.write(table, str(tmp_path / "index"))
+    after = written()
+    assert sum(n for stage, n in after.items() if stage not in before) < 100  # partial sums only; there are some 1,400 postings
+    places = spark.read.schema(index.schema).parquet(f"{index.path}/postings")
+    assert places.count() > 700 and places.where("places <> sort_array(places)").count() == 0
+    assert places.count() == places.select("term", "id").distinct().count()
