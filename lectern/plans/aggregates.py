@@ -128,9 +128,9 @@ counts AS (
   UNION ALL SELECT doc_id, term, true, count(*), 0 FROM bi GROUP BY 1, 2)"""
 
 
-def _counts(spark, folder):
+def _counts(spark, folder, pairs_only=False):
     docs = table(spark, folder, "documents").select("doc_id", "text").select("doc_id", lines(F.col("text")).alias("pages"))
-    return keywords.term_counts(docs, "doc_id", "pages")
+    return keywords.term_counts(docs, "doc_id", "pages", pairs_only)
 
 
 @query("term_tf_df", "A16 X14", with_ctes(TERMS) + """
@@ -141,7 +141,7 @@ def term_tf_df(spark, folder):
 
 @query("bigram_counts", "A15", with_ctes(TERMS) + "SELECT doc_id, term, tf FROM counts WHERE pair AND tf >= 2")
 def bigram_counts(spark, folder):
-    return _counts(spark, folder).where("pair AND tf >= 2").select("doc_id", "term", "tf")
+    return _counts(spark, folder, pairs_only=True).where("tf >= 2").select("doc_id", "term", "tf")
 
 
 @query("tfidf_keywords", "X15 O11", with_ctes(TERMS) + """,
