@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import lists as L
 from lectern.functions import names as N
 from lectern.operators import deltas as ops
+from lectern.operators.tables import spread
 from lectern.plans import corpus
 from lectern.plans.corpus import CLUSTERS, CONCEPTS, MEMBERSHIPS, table, with_ctes
 from lectern.plans.registry import query
@@ -245,11 +246,13 @@ fresh AS (SELECT DISTINCT 1000000 + c_nationkey AS cluster_id, c_custkey AS mate
 SELECT * FROM memberships UNION SELECT * FROM links WHERE cluster_id IN (SELECT cluster_id FROM memberships) UNION SELECT * FROM fresh""")
 def cluster_delta_applied(spark, folder):
     """Links to unknown clusters are skipped, new clusters appended, repeats dropped."""
-    existing = corpus.memberships(spark, folder)
-    ids = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("cluster_id"))
+    # repeats are dropped once, at the end; ids are few, so each is kept once for the join
+    existing = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("cluster_id"), F.col("l_partkey").alias("material_id"))
+    ids = existing.select("cluster_id").distinct()
     links = table(spark, folder, "orders").select(F.col("o_custkey").alias("cluster_id"), F.col("o_orderkey").alias("material_id")).join(ids, "cluster_id", "left_semi")
     fresh = table(spark, folder, "customer").select((F.lit(1000000) + F.col("c_nationkey")).cast("bigint").alias("cluster_id"), F.col("c_custkey").alias("material_id"))
-    return existing.unionByName(links).unionByName(fresh).distinct()
+    total = existing.count() + table(spark, folder, "orders").count()
+    return spread(existing.unionByName(links).unionByName(fresh), total, "cluster_id", "material_id").distinct()
 
 
 @query("response_validation", "G10", """
