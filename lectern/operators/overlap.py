@@ -1,80 +1,93 @@
 """Which annotations a chunk repeats: exact phrase-window matching.
 
 A span of four or more words matches when any window of six words (all words
-when the span is shorter) occurs in the chunk's text. Inner words of such an
-occurrence are whole words, so the second and third word of a window are an
-equality key; neighbours are then compared literally. A span of two or three
-words is keyed by the letters around its first gap, a single long word by its
-first letters, which long words of the text offer at every place.
+when the span is shorter) occurs in the chunk's text, a shorter span when all
+of it does. Inner words of such an occurrence are whole words, so they are an
+equality key; the words at its ends are then compared literally. A span of two
+words is keyed by the letters around its gap, a single long word by its first
+letters, which long words of the text offer at every place.
+
+Spans and chunks are shuffled once, as texts, and sorted by page. A task keys
+the spans of one page at a time and reads the page's chunks past them, so
+neither windows nor positions are ever rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import matching_form
 
 PAGE = ["material_id", "page"]
 
-
-MARK = "\u001f"
-
-
-def _windows(words: Column) -> Column:
-    """(pair, first, rest) of every six-word window, joined to one string."""
-    width = F.least(F.size(words), F.lit(6))
-    starts = F.sequence(F.lit(0), F.size(words) - width)
-    return F.transform(starts, lambda s: F.concat_ws(
-        MARK, F.concat_ws(" ", F.get(words, s + 1), F.get(words, s + 2)), F.get(words, s),
-        F.array_join(F.slice(words, s + 4, width - 3), " ")))
-
-
-GAP, WORD = "\u001eg", "\u001ew"  # matching forms hold no control characters
-SHORTEST, LETTERS = 10, 4
-
-
-def _gap_key(left: Column, right: Column) -> Column:
-    return F.concat(F.lit(GAP), F.right(left, F.lit(1)), F.lit(" "), F.left(right, F.lit(1)))
-
-
-def _short(words: Column, span: Column) -> Column:
-    """(pair, first, rest) of a span under four words."""
-    first, rest = F.get(words, F.lit(0)), F.array_join(F.slice(words, 2, 2), " ")
-    letters = F.concat(F.lit(WORD), F.substring(span, 1, LETTERS))
-    return F.when(F.size(words) > 1, F.concat_ws(MARK, _gap_key(first, F.get(words, F.lit(1))), first, rest)).otherwise(
-        F.concat_ws(MARK, letters, F.lit(""), span))
-
-
-def _positions(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """(pair, before, after) at every word of ``body``: for windows, for gaps, and for long words.
-
-    Shifted copies of the word array are zipped and unrolled, which generated
-    code does far faster than a lambda per position.
-    """
-    words = rows.select(*keep, F.split("body", " ").alias("_w"))
-    names = [f"_t{i}" for i in range(6)]
-    shifted = [F.col("_w")] + [F.slice("_w", F.lit(i + 1), F.size("_w")) for i in range(1, 6)]
-    unrolled = words.select(*keep, F.inline(F.arrays_zip(*shifted)).alias(*names))
-
-    def entry(pair: Column, before: Column, after: Column) -> Column:
-        return F.struct(pair.alias("pair"), before.alias("before"), after.alias("after"))
-
-    t0, t1 = F.col("_t0"), F.col("_t1")
-    window = F.when(F.col("_t3").isNotNull(), entry(F.concat_ws(" ", "_t1", "_t2"), t0, F.concat_ws(" ", "_t3", "_t4", "_t5")))
-    gap = F.when(t1.isNotNull(), entry(_gap_key(t0, t1), t0, F.concat_ws(" ", "_t1", "_t2")))
-    inside = F.when(F.length(t0) >= SHORTEST, F.transform(
-        F.sequence(F.lit(1), F.length(t0) - (SHORTEST - 1)),
-        lambda i: entry(F.concat(F.lit(WORD), F.substring(t0, i, F.lit(LETTERS))), F.lit(""), F.substring(t0, i, F.length(t0)))))
-    everything = F.concat(F.array_compact(F.array(window, gap)), F.coalesce(inside, F.array().cast(
-        "array<struct<pair:string,before:string,after:string>>")))
-    return unrolled.select(*keep, F.inline(everything))
-
-
-def _exploded(rows: DataFrame, keep: list[str], joined: Column, names: tuple[str, str, str]) -> DataFrame:
-    """One row per distinct triple; strings keep the distinct hash-based."""
-    parts = rows.select(*keep, F.explode(F.array_distinct(joined)).alias("_t")).withColumn("_t", F.split("_t", MARK))
-    return parts.select(*keep, *[F.get("_t", F.lit(i)).alias(n) for i, n in enumerate(names)])
+SHORTEST, LETTERS, BATCH = 10, 4, 50_000
+
+
+def _key(parts: tuple[str, ...]) -> tuple[str, ...]:
+    """What an occurrence has word by word: the inner words; of two words the letters around the gap."""
+    return parts[1:-1] or (parts[0][-1:], parts[1][:1])
+
+
+class _Spans:
+    """Keyed windows of one page's spans; each distinct window holds the annotations that have it."""
+
+    def __init__(self) -> None:
+        self.windows: dict[int, dict[tuple[str, ...], dict[tuple[str, str], list[str]]]] = {}  # by their number of words
+        self.words: dict[str, dict[str, list[str]]] = {}
+
+    def add(self, annotation: str, span: str) -> None:
+        if len(span) < SHORTEST:
+            return
+        words = span.split(" ")
+        width = min(len(words), 6)
+        if width == 1:
+            self.words.setdefault(span[:LETTERS], {}).setdefault(span, []).append(annotation)
+            return
+        keyed = self.windows.setdefault(width, {})
+        for parts in zip(*(words[k:] for k in range(width))):
+            keyed.setdefault(_key(parts), {}).setdefault((parts[0], parts[-1]), []).append(annotation)
+
+    def met(self, body: str) -> set[str]:
+        """Annotations with a window that occurs in the body."""
+        words, found = body.split(" "), {}
+        for width, keyed in self.windows.items():
+            for parts in zip(*(words[k:] for k in range(width))):
+                for (first, last), annotations in keyed.get(_key(parts), {}).items():
+                    if parts[0].endswith(first) and parts[-1].startswith(last):
+                        found[id(annotations)] = annotations
+        for w in words if self.words else ():
+            for i in range(len(w) - SHORTEST + 1):
+                for span, annotations in self.words.get(w[i:i + LETTERS], {}).items():
+                    if w.startswith(span, i):
+                        found[id(annotations)] = annotations
+        return set().union(*found.values())
+
+
+def _matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come by page, spans before chunks, chunks by id; a page may go on in the next batch."""
+    page = chunk = None
+    spans, told, out = _Spans(), set(), []
+    for batch in batches:
+        for material, number, is_chunk, key, text in batch.itertuples(index=False, name=None):
+            if (material, number) != page:
+                page, chunk, spans = (material, number), None, _Spans()
+            if not is_chunk:
+                spans.add(key, text)
+                continue
+            if key != chunk:
+                chunk, told = key, set()
+            new = spans.met(text) - told
+            told |= new
+            out.extend((material, number, key, annotation) for annotation in new)
+            while len(out) >= BATCH:
+                yield pd.DataFrame(out[:BATCH], columns=[*PAGE, "chunk_id", "annotation_id"])
+                out = out[BATCH:]
+    if out:
+        yield pd.DataFrame(out, columns=[*PAGE, "chunk_id", "annotation_id"])
 
 
 def overlaps(chunks: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -83,17 +96,10 @@ def overlaps(chunks: DataFrame, annotations: DataFrame) -> DataFrame:
     ``chunks``: material_id, page, chunk_id, text. ``annotations``:
     material_id, page, annotation_id, quoted_text, type.
     """
-    spans = (
-        annotations.where(F.col("type").isin("highlight", "underline") & (F.coalesce("quoted_text", F.lit("")) != ""))
-        .select(*PAGE, "annotation_id", matching_form(F.col("quoted_text")).alias("span"))
-        .where(F.length("span") >= SHORTEST)
-        .withColumn("words", F.split("span", " "))
-    )
-    marked = spans.select(*PAGE).distinct()
-    texts = chunks.join(marked, PAGE, "left_semi").select(*PAGE, "chunk_id", matching_form(F.col("text")).alias("body"))
-
-    wanted = F.when(F.size("words") >= 4, _windows(F.col("words"))).otherwise(F.array(_short(F.col("words"), F.col("span"))))
-    windows = _exploded(spans, [*PAGE, "annotation_id"], wanted, ("pair", "first", "rest"))
-    aligned = F.endswith("before", "first") & F.startswith("after", "rest")
-    met = _positions(texts, [*PAGE, "chunk_id"]).join(windows, [*PAGE, "pair"]).where(aligned)
-    return met.select(*PAGE, "chunk_id", "annotation_id").distinct()
+    spans = annotations.where(F.col("type").isin("highlight", "underline") & (F.coalesce("quoted_text", F.lit("")) != "")).select(
+        *PAGE, F.lit(False).alias("is_chunk"), F.col("annotation_id").alias("key"), matching_form(F.col("quoted_text")).alias("text"))
+    texts = chunks.select(*PAGE, F.lit(True).alias("is_chunk"), F.col("chunk_id").alias("key"), matching_form(F.col("text")).alias("text"))
+    both = spans.union(texts).where("material_id is not null and page is not null")
+    kinds = both.schema
+    schema = ", ".join([*[f"{c} {kinds[c].dataType.simpleString()}" for c in PAGE], "chunk_id string", "annotation_id string"])
+    return both.repartition(*PAGE).sortWithinPartitions(*PAGE, "is_chunk", "key").mapInPandas(_matched, schema)

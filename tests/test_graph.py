@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -175,3 +176,26 @@ def test_hashes_tell_null_from_text_and_fields_apart(spark):
 
     rows = spark.createDataFrame([(None, "b"), ("null", "b"), ("a\u001fb", ""), ("a", "b\u001f"), ("", None)], "x string, y string")
     assert rows.select(canonical_hash(F.col("x"), F.col("y")).alias("h")).distinct().count() == 5
+
+
+def test_overlap_shuffles_texts_and_finds_every_width(spark):
+    rng = random.Random(8)
+    words = ["ab", "abc", "bca", "cab", "lantern", "superstructure", "understructure"]
+    chunks = [("m", 1, f"c{i}", " ".join(rng.choice(words) for _ in range(120))) for i in range(40)]
+    chunks += [("m", None, "lost", chunks[0][3]), ("m", 1, "c0", chunks[1][3]), ("m", 1, "none", None)]
+    notes = []
+    for i in range(400):
+        body = chunks[i % 40][3]
+        at = rng.randrange(len(body) - 70)
+        notes.append(("m", 1, f"a{i}", body[at:at + rng.choice([10, 11, 12, 15, 20, 30, 60])], "highlight"))
+    notes += [("m", None, "lost", chunks[0][3], "highlight"), ("m", 1, "null", None, "highlight")]
+    notes += [("m", 1, f"copy{i}", chunks[2][3], "underline") for i in range(30)]
+    got = overlap.overlaps(
+        spark.createDataFrame(chunks, "material_id string, page int, chunk_id string, text string"),
+        spark.createDataFrame(notes, "material_id string, page int, annotation_id string, quoted_text string, type string"))
+    found = [(r["material_id"], r["chunk_id"], r["annotation_id"]) for r in got.collect()]
+    known = lambda rows: [(*r[:3], r[3] or "", *r[4:]) for r in rows if r[1] is not None]
+    assert len(found) == len(set(found))
+    assert set(found) == _brute_overlap(known(chunks), known(notes), lambda t: " ".join(re.sub(r"\b[a-z]\b", "", t).split()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "inline" not in plan  # texts are shuffled; windows and positions are no rows
