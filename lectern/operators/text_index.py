@@ -3,25 +3,30 @@
 Three tables: postings (term, key, places, length), in as many term buckets as the session has shuffle partitions; the
 rows that hits are shown with (key, carried columns); and one row of corpus statistics. A place is an indexed column's
 number and a word's position in it, so phrases and column scopes are answered from the postings and no text is read.
-A row's postings are grouped inside the row, so building shuffles nothing; a search reads the buckets of its own terms.
+A row's postings are grouped inside its task, some rows at a time, so building shuffles nothing; a search reads the buckets of its own terms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.functions.fixed import BM25_B, BM25_IDF_FLOOR, BM25_K1
-from lectern.functions.stem import stem, stem_tokens
-from lectern.functions.text import bind, word_tokens
+from lectern.functions.stem import stem
+from lectern.functions.text import word_tokens
 from lectern.operators import postings
 from lectern.operators.ranking import TextTable
 
 FIELD = 1 << 40  # a place is the column's number times this, plus the word's position
+WORDS = 500_000  # words that are grouped at a time, about
 
 
 @dataclass(frozen=True)
@@ -36,19 +41,40 @@ class TextIndex:
     schema: StructType  # of the postings: those of an empty table have no file that tells
 
 
-def _placed(words: Column, number: int) -> Column:
-    return F.transform(words, lambda t, i: F.struct(t.alias("term"), (F.lit(number * FIELD) + i).alias("place")))
-
-
-def _grouped(placed: Column) -> Column:
-    """(term, places in order) of each term of one row. Items are fetched by number: a slice would copy the whole array."""
-    def runs(s: Column) -> Column:
-        starts = F.array_compact(F.transform(s, lambda p, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != p["term"]), i)))
-        return bind(starts, lambda b: F.transform(b, lambda at, k: F.struct(
-            F.get(s, at)["term"].alias("term"),
-            F.transform(F.sequence(at, F.coalesce(F.get(b, k + 1), F.size(s)) - 1), lambda j: F.get(s, j)["place"]).alias("places"))))
-
-    return bind(F.sort_array(placed), runs)
+def _grouped(rows: pa.RecordBatch, fields: int, stemmed: bool) -> pa.RecordBatch:
+    """(term, key, places in order, length) of each term of each row; the columns are the key and each field's words."""
+    place, row, words, length = [], [], [], np.zeros(rows.num_rows, np.int64)
+    for k in range(fields):
+        n = pc.fill_null(pc.list_value_length(rows.column(1 + k)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + k * FIELD)
+        row.append(np.repeat(np.arange(rows.num_rows), n))
+        words.append(rows.column(1 + k).flatten())
+        length += n
+    coded = pa.concat_arrays(words).dictionary_encode()
+    code, terms = coded.indices.to_numpy(), coded.dictionary
+    if stemmed:  # each distinct word once
+        stems = pa.array([stem(w) for w in terms.to_pylist()], pa.string()).dictionary_encode()
+        code, terms = stems.indices.to_numpy()[code], stems.dictionary
+    place, row = np.concatenate(place), np.concatenate(row)
+    group = row * len(terms) + code
+    order = np.argsort(group, kind="stable")  # fields, and words within them, stay in order
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    at = order[first]
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int64()))
+    return pa.RecordBatch.from_arrays(
+        [terms.take(pa.array(code[at])), rows.column(0).take(pa.array(row[at])), places, pa.array(length[row[at]])],
+        ["term", rows.schema.names[0], "places", "length"])
+
+
+def _postings(fields: int, stemmed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = sum(len(batch.column(1 + k).flatten()) for k in range(fields))
+            step = max(1, batch.num_rows * WORDS // max(words, 1))
+            for at in range(0, batch.num_rows, step):
+                yield _grouped(batch.slice(at, step), fields, stemmed)
+
+    return run
 
 
 def _shifted(term: int, by: int) -> Column:
@@ -57,16 +83,10 @@ def _shifted(term: int, by: int) -> Column:
 
 
 def write(table: TextTable, path: str) -> TextIndex:
-    words = {f: word_tokens(F.col(f)) for f in table.fields}
-    rows = table.rows
-    if table.stemmed:
-        rows = rows.select(table.key, *table.carry, *[stem_tokens(w).alias(f"_stems_{f}") for f, w in words.items()])
-        words = {f: F.col(f"_stems_{f}") for f in table.fields}
-    placed = F.concat(*[_placed(w, k) for k, w in enumerate(words.values())])
-    # bound to a lambda variable, so that a row is tokenised once
-    tokens = rows.select(table.key, F.inline(F.transform(F.array(placed), lambda p: F.struct(
-        F.size(p).cast("bigint").alias("length"), _grouped(p).alias("terms")))))
-    grouped = tokens.select(F.inline("terms"), table.key, "length").select("term", table.key, "places", "length")
+    words = table.rows.select(table.key, *[word_tokens(F.col(f)).alias(f"_w{k}") for k, f in enumerate(table.fields)])
+    key = words.schema[table.key].dataType.simpleString()
+    grouped = words.mapInArrow(
+        _postings(len(table.fields), table.stemmed), f"term string, `{table.key}` {key}, places array<bigint>, length bigint")
     schema = StructType([*grouped.schema.fields, StructField("buckets", IntegerType()), StructField("bucket", IntegerType())])
     postings.write(grouped, f"{path}/postings")
     table.rows.select(table.key, *table.carry).write.parquet(f"{path}/rows")

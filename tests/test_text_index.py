@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +80,21 @@ def test_building_shuffles_no_postings_and_empty_questions_build_nothing(spark,
     places = spark.read.schema(index.schema).parquet(f"{index.path}/postings")
     assert places.count() > 700 and places.where("places <> sort_array(places)").count() == 0
     assert places.count() == places.select("term", "id").distinct().count()
+
+
+def test_postings_are_sorted_by_bucket_once(spark, rows, tmp_path):
+    index = text_index.write(TextTable(rows, "id", ("title", "body")), str(tmp_path / "sorted"))
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    written = [p for p in plans if f"{index.path}/postings" in p and "MapInArrow" in p]
+    written = [re.sub(r"#\d+", "", p) for p in written]
+    assert len(written) == 1 and set(re.findall(r"^\(\d+\) Sort.*\n.*\nArguments: (\[.*?\])", written[0], re.M)) == {"[bucket ASC NULLS FIRST]"}
+
+
+def test_words_are_grouped_some_rows_at_a_time(spark, rows, tmp_path, monkeypatch):
+    batches = [b for b in rows.select("id", F.split("title", " ").alias("a"), F.split("body", " ").alias("b")).toArrow().to_batches()]
+    whole = text_index._postings(2, True)(iter(batches))
+    monkeypatch.setattr(text_index, "WORDS", 7)
+    parts = list(text_index._postings(2, True)(iter(batches)))
+    listed = lambda found: sorted(map(str, (r for b in found for r in b.to_pylist())))
+    assert len(parts) > 50 and listed(parts) == listed(whole)
