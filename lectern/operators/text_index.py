@@ -3,7 +3,8 @@
 Three tables: postings (term, key, places, length), in as many term buckets as the session has shuffle partitions; the
 rows that hits are shown with (key, carried columns); and one row of corpus statistics. A place is an indexed column's
 number and a word's position in it, so phrases and column scopes are answered from the postings and no text is read.
-A row's postings are grouped inside its task, some rows at a time, so building shuffles nothing; a search reads the buckets of its own terms.
+A row's postings are grouped inside its task, some rows at a time, so building shuffles no postings; a search reads the buckets of its own terms.
+More text than a task should index is first dealt by key to tasks of bounded text, so that sorting a task's postings never spills.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from lectern.operators.ranking import TextTable
 
 FIELD = 1 << 40  # a place is the column's number times this, plus the word's position
 WORDS = 500_000  # words that are grouped at a time, about
+TASK_TEXT = 32 << 20  # bytes of text that one task indexes, about; its postings take some 20 times as much while they are sorted
 
 
 @dataclass(frozen=True)
@@ -82,8 +84,19 @@ def _shifted(term: int, by: int) -> Column:
     return F.transform(F.coalesce(f"_p{term}", F.array().cast("array<bigint>")), lambda p: p - by)
 
 
+def _dealt(table: TextTable) -> DataFrame:
+    """Key and indexed columns: as they are read where one task can index them all, else dealt by key to as many tasks as the
+    text needs, however few or large the files are."""
+    size = reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(f), F.lit(0)).cast("bigint") for f in table.fields))
+    total = table.rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    rows = table.rows.select(table.key, *[f for f in table.fields if f != table.key])
+    if total <= TASK_TEXT:
+        return rows
+    return rows.repartition(max(-(-total // TASK_TEXT), rows.sparkSession.sparkContext.defaultParallelism), table.key)
+
+
 def write(table: TextTable, path: str) -> TextIndex:
-    words = table.rows.select(table.key, *[word_tokens(F.col(f)).alias(f"_w{k}") for k, f in enumerate(table.fields)])
+    words = _dealt(table).select(table.key, *[word_tokens(F.col(f)).alias(f"_w{k}") for k, f in enumerate(table.fields)])
     key = words.schema[table.key].dataType.simpleString()
     grouped = words.mapInArrow(
         _postings(len(table.fields), table.stemmed), f"term string, `{table.key}` {key}, places array<bigint>, length bigint")

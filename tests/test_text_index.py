@@ -98,3 +98,16 @@ def test_words_are_grouped_some_rows_at_a_time(spark, rows, tmp_path, monkeypatc
     parts = list(text_index._postings(2, True)(iter(batches)))
     listed = lambda found: sorted(map(str, (r for b in found for r in b.to_pylist())))
     assert len(parts) > 50 and listed(parts) == listed(whole)
+
+
+def test_more_text_than_a_task_takes_is_dealt(spark, rows, tmp_path, monkeypatch):
+    table = TextTable(rows.coalesce(1), "id", ("title", "summary", "body"), ("kind",))
+    assert text_index._dealt(table).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(text_index, "TASK_TEXT", 400)
+    text = rows.agg(F.sum(F.octet_length(F.concat_ws("", "title", "summary", "body")))).first()[0]
+    assert text_index._dealt(table).rdd.getNumPartitions() >= text / 400 > 10
+    index = text_index.write(table, str(tmp_path / "dealt"))
+    tasks = {re.search(r"part-(\d+)", f).group(1) for f in spark.read.parquet(f"{index.path}/postings").inputFiles()}
+    assert len(tasks) > 10
+    listed = lambda found: sorted((r["id"], r["kind"], round(r["score"], 9)) for r in found.collect())
+    assert listed(text_index.bm25(index, spark, [["the"], ["one", "two"]])) == listed(bm25(table, [["the"], ["one", "two"]]))
