@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.names import material_path
+from lectern.operators.tables import spread, stored
 
+SHARE = 500_000  # members of clusters that one task holds, about
 STORES = ("manifest", "extracted", "pages", "clusters", "members")
 
 
@@ -18,13 +20,14 @@ def _asked(asked: DataFrame) -> DataFrame:
 
 def _hit(stores: dict[str, DataFrame], ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clusters that hold an asked material, with whether they collapse; pages that go."""
-    members = stores["members"]
-    touched = members.join(ids, "material_id", "left_semi").select("cluster_id").distinct()
-    # a cluster's smallest and largest remaining material are the same if it has one left
-    left = members.join(ids, "material_id", "left_anti").join(touched, "cluster_id", "left_semi").groupBy("cluster_id").agg(
-        F.min("material_id").alias("a"), F.max("material_id").alias("b"))
-    hit = stores["clusters"].join(touched, "cluster_id", "left_semi").join(left, "cluster_id", "left").select(
-        "cluster_id", "wiki_path", "file", (~F.coalesce(F.col("a") != F.col("b"), F.lit(False))).alias("collapses"))
+    members = stores["members"].select("cluster_id", "material_id").where("material_id is not null")
+    # dealt once, by material: which pairs are asked for, and repeats of a pair, are settled in the task that holds it
+    dealt = spread(members, stores["members"].count(), "material_id", share=SHARE)
+    pairs = dealt.join(ids.withColumn("_asked", F.lit(True)), "material_id", "left").distinct()
+    counts = pairs.groupBy("cluster_id").agg(F.count("_asked").alias("_gone"), F.count_if(F.col("_asked").isNull()).alias("_left"))
+    # written once, as every part of a report or of the stores afterwards asks for it
+    hit = stored(stores["clusters"].join(counts.where("_gone > 0"), "cluster_id").select(
+        "cluster_id", "wiki_path", "file", (F.col("_left") < 2).alias("collapses")), "removal-hit")
     scopes = stores["manifest"].select("material_id", "domain", "collection", F.lit(1).alias("n")).unionByName(
         stores["extracted"].select("material_id", "domain", "collection", F.lit(0).alias("n")))
     known = scopes.join(ids, "material_id", "left_semi").groupBy("material_id").agg(F.min_by(F.struct("domain", "collection"), "n").alias("s"))
@@ -37,7 +40,7 @@ def report(stores: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
     """kind and id of all that a removal finds and touches; nothing is changed.
 
     manifest, extracted: material_id, domain, collection (what was extracted rules a page's place). pages: path. clusters:
-    cluster_id, wiki_path, file. members: cluster_id, material_id, distinct.
+    cluster_id, wiki_path, file. members: cluster_id, material_id.
     """
     ids = _asked(asked)
     hit, pages = _hit(stores, ids)

@@ -47,7 +47,7 @@ def _stores(spark, folder) -> tuple[dict[str, DataFrame], DataFrame]:
         F.concat(F.lit("c"), key.cast("string")).alias("cluster_id"), F.when(key % 3 != 0, F.concat(F.lit("wiki/concepts/"), key.cast("string"), F.lit(".md"))).alias("wiki_path"),
         F.concat(F.lit("derived/"), (key % 50).cast("string"), F.lit("/clusters.jsonl")).alias("file"))
     members = table(spark, folder, "lineitem").select(
-        F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("cluster_id"), F.col("l_partkey").cast("string").alias("material_id")).distinct()
+        F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("cluster_id"), F.col("l_partkey").cast("string").alias("material_id"))
     pages = extracted.where("p_partkey % 9 <> 0").select(material_path(F.col("domain"), F.col("collection"), F.col("material_id")).alias("path")).union(
         clusters.where("wiki_path IS NOT NULL AND wiki_path NOT LIKE '%8.md'").select("wiki_path")).distinct()
     asked = m.where("p_partkey % 6 = 0").select("material_id").union(
@@ -78,7 +78,8 @@ UNION ALL SELECT 'members', cluster_id, material_id FROM left_over WHERE cluster
 def removal_applied(spark, folder):
     """The stores after a removal, published together and read back."""
     path = shared_folder(spark, "removal")
-    writers.publish_all(ops.without(*_stores(spark, folder)), path)
+    stores, asked = _stores(spark, folder)
+    writers.publish_all(ops.without({**stores, "members": stores["members"].distinct()}, asked), path)
     found = writers.published_all(spark, path, list(ops.STORES))
     shown = {"manifest": ("material_id", None), "extracted": ("material_id", None), "pages": ("path", None), "clusters": ("cluster_id", "file"),
              "members": ("cluster_id", "material_id")}
