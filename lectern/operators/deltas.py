@@ -43,7 +43,8 @@ def resolve_references(refs: DataFrame, index: DataFrame) -> DataFrame:
     asked = refs.select("ref_id", "material_id", F.explode(
         bind(cluster_name_key(F.col("concept_name")), asked_probes)).alias("probe"))
     known = index.select("material_id", "concept_key", F.explode(known_probes).alias("probe"))
-    pairs = asked.join(known, ["material_id", "probe"]).select(
+    # merged: the size check sees the concepts before each of them becomes some 15 probes, and would broadcast them
+    pairs = asked.join(known.hint("merge"), ["material_id", "probe"]).select(
         "ref_id", F.least(F.substring("probe", 1, 1), F.lit("2")).alias("stage"), "concept_key").distinct()
     at = [F.when(F.col("stage") == str(s), F.col("concept_key")) for s in range(3)]
     counted = pairs.groupBy("ref_id").agg(

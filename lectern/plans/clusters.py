@@ -8,7 +8,7 @@ from lectern.functions.names import slugify
 from lectern.operators import deltas as ops
 from lectern.plans import corpus
 from lectern.plans.corpus import CONCEPTS, table, with_ctes
-from lectern.plans.deltas import CLAIMS, REFS, _claims
+from lectern.plans.deltas import CLAIMS, REFS, _claims, _concepts
 from lectern.plans.registry import query
 
 PARTS = r"""
@@ -78,8 +78,9 @@ titled AS (
 
 
 def _sources(spark, folder):
-    kept = ops.connected(_claims(spark, folder)).select("cluster_id", "material_id", "concept_key")
-    named = corpus.concepts(spark, folder).select("material_id", "concept_key", "concept_name", "relevance", "pos")
+    concepts = _concepts(spark, folder)
+    kept = ops.connected(_claims(spark, folder, concepts)).select("cluster_id", "material_id", "concept_key")
+    named = concepts.select("material_id", "concept_key", "concept_name", "relevance", "pos")
     return kept.join(named, ["material_id", "concept_key"]).withColumn("place", F.substring("cluster_id", 4, 19).cast("bigint"))
 
 

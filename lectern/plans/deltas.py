@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import lists as L
 from lectern.functions import names as N
 from lectern.operators import deltas as ops
-from lectern.operators.tables import spread
+from lectern.operators.tables import spread, stored
 from lectern.plans import corpus
 from lectern.plans.corpus import CLUSTERS, CONCEPTS, MEMBERSHIPS, table, with_ctes
 from lectern.plans.registry import query
@@ -39,9 +39,9 @@ claims AS (
 kept AS (SELECT * FROM claims WHERE cluster_id IN (SELECT cluster_id FROM claims GROUP BY 1 HAVING count(DISTINCT material_id) >= 2))"""
 
 
-def _refs(spark, folder):
+def _refs(spark, folder, concepts):
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("material_id"), F.col("source").alias("cluster_id"))
-    rows = corpus.concepts(spark, folder).join(docs, "material_id")
+    rows = concepts.join(docs, "material_id")
     name, pos = F.col("concept_name"), F.col("pos")
     shorter = F.substring(name, F.lit(1), F.greatest(F.length(name) - 1, F.lit(1)))
     proposed = (
@@ -55,18 +55,25 @@ def _refs(spark, folder):
 
 @query("reference_resolve", "J22", with_ctes(CONCEPTS, REFS) + "SELECT ref_id, concept_key FROM resolved")
 def reference_resolve(spark, folder):
-    return ops.resolve_references(_refs(spark, folder), corpus.concepts(spark, folder))
+    concepts = _concepts(spark, folder)
+    return ops.resolve_references(_refs(spark, folder, concepts), concepts)
 
 
-def _claims(spark, folder):
-    refs = _refs(spark, folder)
-    resolved = ops.resolve_references(refs, corpus.concepts(spark, folder))
+def _concepts(spark, folder):
+    """Written once: they are asked for as references, as what these are resolved by and as what the claims are graded by, and
+    each time anew the texts would be read and cut into words."""
+    return stored(corpus.concepts(spark, folder), "concepts")
+
+
+def _claims(spark, folder, concepts):
+    refs = _refs(spark, folder, concepts)
+    resolved = ops.resolve_references(refs, concepts)
     return ops.first_claims(refs.join(resolved, "ref_id"))
 
 
 @query("first_claim", "W13", with_ctes(CONCEPTS, REFS) + CLAIMS + "SELECT material_id, concept_key, cluster_id FROM claims")
 def first_claim(spark, folder):
-    return _claims(spark, folder).select("material_id", "concept_key", "cluster_id")
+    return _claims(spark, folder, _concepts(spark, folder)).select("material_id", "concept_key", "cluster_id")
 
 
 @query("validated_clusters", "G4", with_ctes(CONCEPTS, REFS) + CLAIMS + """
@@ -74,8 +81,9 @@ SELECT cluster_id, count(*) AS concepts, count(DISTINCT material_id) AS material
   round(greatest(0.0, least(1.0, avg(CASE relevance WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 ELSE 0.4 END))), 6) AS confidence
 FROM kept JOIN concepts USING (material_id, concept_key) GROUP BY 1""")
 def validated_clusters(spark, folder):
-    kept = ops.connected(_claims(spark, folder))
-    graded = kept.join(corpus.concepts(spark, folder).select("material_id", "concept_key", "relevance"), ["material_id", "concept_key"])
+    concepts = _concepts(spark, folder)
+    kept = ops.connected(_claims(spark, folder, concepts))
+    graded = kept.join(concepts.select("material_id", "concept_key", "relevance"), ["material_id", "concept_key"])
     confidence = F.when(F.col("relevance") == "high", 1.0).when(F.col("relevance") == "medium", 0.7).otherwise(0.4)
     return graded.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("concepts"), F.count_distinct("material_id").alias("materials"),

@@ -199,3 +199,15 @@ def test_overlap_shuffles_texts_and_finds_every_width(spark):
     assert set(found) == _brute_overlap(known(chunks), known(notes), lambda t: " ".join(re.sub(r"\b[a-z]\b", "", t).split()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "inline" not in plan  # texts are shuffled; windows and positions are no rows
+
+
+def test_concepts_are_cut_from_the_texts_once(spark, tmp_path):
+    from lectern.plans import deltas
+
+    spark.createDataFrame([(i, f"relation words\nthe library {i % 3}\nshelves", f"src{i % 2}") for i in range(12)], "doc_id long, text string, source string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    found = deltas.validated_clusters(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "source#" in plan and "text#" not in plan, plan
+    assert re.search(r"SortMergeJoin \[material_id#\d+L?, probe#\d+\]", plan), plan
+    assert {r["cluster_id"]: r["materials"] for r in found.collect()} == {"src0": 6, "src1": 6}
