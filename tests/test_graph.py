@@ -211,3 +211,21 @@ def test_concepts_are_cut_from_the_texts_once(spark, tmp_path):
     assert "source#" in plan and "text#" not in plan, plan
     assert re.search(r"SortMergeJoin \[material_id#\d+L?, probe#\d+\]", plan), plan
     assert {r["cluster_id"]: r["materials"] for r in found.collect()} == {"src0": 6, "src1": 6}
+
+
+def test_materials_of_clusters_are_picked_once(spark):
+    from lectern.operators import graph_tables
+
+    clusters = spark.createDataFrame([("c1", "d", "x", "One", "one", 0.5, "", 1), ("c2", "d", "x", "Two", "two", 0.5, "", 2)],
+                                     "cluster_id string, domain string, collection string, canonical_name string, slug string, confidence double, wiki_path string, position long")
+    sources = spark.createDataFrame([("c1", "m1", "high", 0.1, 1), ("c1", "m1", "low", 0.2, 2), ("c2", "m1", "low", 0.3, 3), ("c9", "m1", "low", 0.3, 4)],
+                                    "cluster_id string, material_id string, relevance string, confidence double, position long")
+    found = graph_tables.local_tables(clusters, spark.createDataFrame([("c1", "a")], "cluster_id string, alias string"), sources,
+                                      spark.createDataFrame([("m1", "d", "x")], "material_id string, domain string, collection string"),
+                                      spark.createDataFrame([("c1",)], "cluster_id string"))
+    assert sorted((r["cluster_id"], r["material_id"], r["relevance"]) for r in found["cluster_materials"].collect()) == [("c1", "m1", "high"), ("c2", "m1", "low")]
+    assert [tuple(r) for r in found["relations"].collect()] == [("c1", "c2", 1)]
+    for name in ("clusters", "cluster_materials", "relations"):
+        plan = found[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "relevance" not in plan or "min_by" not in plan
+        assert any("/held-" in f for f in found[name].inputFiles())
