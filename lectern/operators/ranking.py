@@ -67,6 +67,7 @@ class TextTable:
     fields: tuple[str, ...]
     carry: tuple[str, ...] = field(default=())
     stemmed: bool = False
+    derived: bool = False  # its rows cost more than writing them and reading them again
 
 
 def bm25(table: TextTable, phrases: list[list[str]], only: str | None = None) -> DataFrame:

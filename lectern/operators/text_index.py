@@ -5,13 +5,16 @@ rows that hits are shown with (key, carried columns); and one row of corpus stat
 number and a word's position in it, so phrases and column scopes are answered from the postings and no text is read.
 A row's postings are grouped inside its task, some rows at a time, so building shuffles no postings; a search reads the buckets of its own terms.
 More text than a task should index is first dealt by key to tasks of bounded text, so that sorting a task's postings never spills.
+Postings of such a table are packed (blocks.py): a row of theirs holds what a bucket's terms have in some rows, which are named by
+number, and the rows that hits are shown with are a bucket of their own, written by the same tasks: texts are read once for all of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +25,17 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.functions.fixed import BM25_B, BM25_IDF_FLOOR, BM25_K1
 from lectern.functions.stem import stem
-from lectern.functions.text import word_tokens
-from lectern.operators import postings
+from lectern.functions.text import text_or_empty, word_tokens
+from lectern.functions.words import char_classes
+from lectern.operators import blocks, postings
+from lectern.operators.blocks import FIELD
 from lectern.operators.ranking import TextTable
+from lectern.operators.tables import stored
 
-FIELD = 1 << 40  # a place is the column's number times this, plus the word's position
 WORDS = 500_000  # words that are grouped at a time, about
 TASK_TEXT = 32 << 20  # bytes of text that one task indexes, about; its postings take some 20 times as much while they are sorted
+PACKED = 2  # times as much text a task indexes where postings are packed; they take some twice as much as the text
+ROW_TEXT = 64  # bytes of text that a row counts as besides its own: a task remembers its keys
 
 
 @dataclass(frozen=True)
@@ -41,6 +48,12 @@ class TextIndex:
     carry: tuple[str, ...]
     stemmed: bool
     schema: StructType  # of the postings: those of an empty table have no file that tells
+    packed: int = 0  # buckets of packed postings
+
+    @property
+    def by(self) -> str:
+        """What postings name their row by."""
+        return "_row" if self.packed else self.key
 
 
 def _grouped(rows: pa.RecordBatch, fields: int, stemmed: bool) -> pa.RecordBatch:
@@ -84,19 +97,45 @@ def _shifted(term: int, by: int) -> Column:
     return F.transform(F.coalesce(f"_p{term}", F.array().cast("array<bigint>")), lambda p: p - by)
 
 
-def _dealt(table: TextTable) -> DataFrame:
-    """Key and indexed columns: as they are read where one task can index them all, else dealt by key to as many tasks as the
-    text needs, however few or large the files are."""
+def _text(table: TextTable) -> int:
+    """Bytes of text to index."""
     size = reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(f), F.lit(0)).cast("bigint") for f in table.fields))
-    total = table.rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    rows = table.rows.select(table.key, *[f for f in table.fields if f != table.key])
+    return table.rows.agg(F.coalesce(F.sum(size + ROW_TEXT), F.lit(0))).first()[0]
+
+
+def _dealt(table: TextTable, total: int | None = None, share: int = 1) -> DataFrame:
+    """Key, indexed and carried columns: as they are read where one task can index them all, else dealt by key to as many tasks
+    as the text needs, however few or large the files are."""
+    total = _text(table) if total is None else total
+    rows = table.rows.select(*dict.fromkeys([table.key, *table.fields, *table.carry]))
     if total <= TASK_TEXT:
         return rows
-    return rows.repartition(max(-(-total // TASK_TEXT), rows.sparkSession.sparkContext.defaultParallelism), table.key)
+    return rows.repartition(max(-(-total // (TASK_TEXT * share)), rows.sparkSession.sparkContext.defaultParallelism), table.key)
+
+
+def _pack(table: TextTable, total: int, path: str) -> TextIndex:
+    """Postings and rows of a large table, from one reading of its texts."""
+    spark = table.rows.sparkSession
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, isqrt(total >> 20)))  # files are tasks times buckets
+    shown = F.struct(*dict.fromkeys([table.key, *table.carry]))
+    texts = _dealt(table, total, PACKED).select(
+        F.col(table.key).alias("key"), shown.alias("row"), *[F.lower(text_or_empty(F.col(f))).alias(f"_t{k}") for k, f in enumerate(table.fields)])
+    schema = blocks.packed_schema(texts.schema["row"].dataType)
+    packed = texts.mapInArrow(blocks.packer(len(table.fields), table.stemmed, buckets, char_classes(spark)), schema)
+    packed.sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
+    index = TextIndex(path, table.key, table.fields, table.carry, table.stemmed, schema, buckets)
+    n = _rows(index, spark).agg(F.count("*").alias("n"), F.coalesce(F.sum("_len"), F.lit(0)).alias("words"))
+    n.select("n", F.try_divide("words", "n").alias("average")).coalesce(1).write.parquet(f"{path}/statistics")
+    return index
 
 
 def write(table: TextTable, path: str) -> TextIndex:
-    words = _dealt(table).select(table.key, *[word_tokens(F.col(f)).alias(f"_w{k}") for k, f in enumerate(table.fields)])
+    if table.derived:
+        table = replace(table, rows=stored(table.rows.select(*dict.fromkeys([table.key, *table.fields, *table.carry])), "derived"))
+    total = _text(table)
+    if total > TASK_TEXT:
+        return _pack(table, total, path)
+    words = _dealt(table, total).select(table.key, *[word_tokens(F.col(f)).alias(f"_w{k}") for k, f in enumerate(table.fields)])
     key = words.schema[table.key].dataType.simpleString()
     grouped = words.mapInArrow(
         _postings(len(table.fields), table.stemmed), f"term string, `{table.key}` {key}, places array<bigint>, length bigint")
@@ -111,10 +150,24 @@ def write(table: TextTable, path: str) -> TextIndex:
     return TextIndex(path, table.key, table.fields, table.carry, table.stemmed, schema)
 
 
+def _rows(index: TextIndex, spark: SparkSession) -> DataFrame:
+    """Rows that hits are shown with: those of a packed index with the number that its postings name them by."""
+    if not index.packed:
+        return spark.read.parquet(f"{index.path}/rows")
+    rows = spark.read.schema(index.schema).parquet(f"{index.path}/postings").where(F.col("bucket") == blocks.ROWS)
+    return rows.select((F.col("task") * blocks.TASK_ROWS + F.col("row._number")).alias("_row"), "row.*").drop("_number")
+
+
 def _places(index: TextIndex, spark: SparkSession, terms: list[str]) -> DataFrame:
     """One row per document that holds any of the terms, with the places of each of them."""
-    hit = postings.probe(spark.read.schema(index.schema).parquet(f"{index.path}/postings"), terms)
-    return hit.groupBy(index.key).agg(F.first("length").alias("_len"), *[
+    found = spark.read.schema(index.schema).parquet(f"{index.path}/postings")
+    if index.packed:
+        own = found.where(F.col("bucket").isin(*set(blocks.bucket(pa.array(terms), index.packed).tolist()))).select("task", "terms", "ends", "postings")
+        hit = own.mapInArrow(blocks.unpacker(len(index.fields), terms), blocks.UNPACKED)
+    else:
+        hit = postings.probe(found, terms)
+    length = [] if index.packed else [F.first("length").alias("_len")]
+    return hit.groupBy(index.by).agg(*length, *[
         F.max(F.when(F.col("term") == t, F.col("places"))).alias(f"_p{i}") for i, t in enumerate(terms)])
 
 
@@ -128,18 +181,22 @@ def _count(phrase: list[str], terms: list[str], field: int | None) -> Column:
 
 def bm25(index: TextIndex, spark: SparkSession, phrases: list[list[str]], only: str | None = None) -> DataFrame:
     """What ranking.bm25() gives for the indexed table: key, carried columns, score of the rows that match."""
-    rows = spark.read.parquet(f"{index.path}/rows")
+    rows = _rows(index, spark)
     if index.stemmed:
         phrases = [[stem(w) for w in p] for p in phrases]
     if not phrases:
         return rows.select(index.key, *index.carry, F.lit(0.0).alias("score")).where("false")
     terms = list(dict.fromkeys(w for p in phrases for w in p))
     field = index.fields.index(only) if only else None
-    counted = _places(index, spark, terms).select(index.key, "_len", *[
+    counted = _places(index, spark, terms).select(index.by, *([] if index.packed else ["_len"]), *[
         _count(p, terms, field).alias(f"_tf{i}") for i, p in enumerate(phrases)])
     frequent = counted.agg(F.struct(*[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))])).scalar()
     corpus = spark.read.parquet(f"{index.path}/statistics").agg(F.struct(F.max("n").alias("n"), F.max("average").alias("average"))).scalar()
     hits = counted.where(reduce(lambda a, b: a | b, (F.col(f"_tf{i}") > 0 for i in range(len(phrases)))))
+    if index.packed:  # rows of one key share its postings
+        shown = rows.where(F.col(index.key).isNotNull()) if index.carry else rows.groupBy("_row").agg(
+            *[F.first(c).alias(c) for c in (index.key, "_len")])
+        hits = hits.join(shown, "_row")
     hits = hits.withColumn("_df", frequent).withColumn("_all", corpus)
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("_len") / F.col("_all.average"))
     score = F.lit(0.0)
@@ -147,5 +204,7 @@ def bm25(index: TextIndex, spark: SparkSession, phrases: list[list[str]], only:
         idf = F.log((F.col("_all.n") - F.col(f"_df.df{i}") + 0.5) / (F.col(f"_df.df{i}") + 0.5))
         tf = F.col(f"_tf{i}")
         score = score + F.when(idf <= 0, F.lit(BM25_IDF_FLOOR)).otherwise(idf) * tf * (BM25_K1 + 1) / (tf + norm)
+    if index.packed:
+        return hits.select(index.key, *index.carry, score.alias("score"))
     scored = hits.select(index.key, score.alias("score"))
     return scored.join(rows, index.key).select(index.key, *index.carry, "score") if index.carry else scored

@@ -81,7 +81,7 @@ def concept_table(spark, folder):
     rows = corpus.concepts(spark, folder)
     return TextTable(
         rows.withColumn("concept_row", F.concat_ws("/", "material_id", "concept_key")),
-        "concept_row", ("concept_name",), ("material_id", "concept_name", "relevance"),
+        "concept_row", ("concept_name",), ("material_id", "concept_name", "relevance"), derived=True,
     )
 
 
