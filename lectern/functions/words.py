@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from lectern.functions.text import ACCENTS, WORD, text_or_empty
 
+SLICE = 4 << 20  # bytes of text that are cut at a time, about
 _CLASSES: list[bytes] = []
 
 
@@ -95,20 +96,30 @@ def cutter(packed_classes: bytes) -> Callable[[pa.Array], Cut]:
     return cut
 
 
+def slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes: arrays of a range's bytes and words take some 15 times as much while they are in use."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // most, prepend=0) > 0) + 1).tolist(), len(texts)]
+    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+
+
 def longest_of_lines(c: Column, classes: bytes) -> Column:
     """The first of the longest words of each line that has any, in order."""
-    @F.arrow_udf(ArrayType(StringType()))
-    def longest(texts: pa.Array) -> pa.Array:
-        found = cutter(classes)(texts)
-        text = np.repeat(np.arange(len(found.per_text)), found.per_text)
-        line = np.searchsorted(np.flatnonzero((found.raw == 10) | (found.raw == 13)), found.begins)
-        size = pc.utf8_length(found.words).to_numpy()
+    def longest(cut: Cut) -> pa.Array:
+        text = np.repeat(np.arange(len(cut.per_text)), cut.per_text)
+        line = np.searchsorted(np.flatnonzero((cut.raw == 10) | (cut.raw == 13)), cut.begins)
+        size = pc.utf8_length(cut.words).to_numpy()
         opens = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(line, prepend=-1) != 0))
         most = np.maximum.reduceat(size, opens) if len(opens) else size
         part = np.repeat(np.arange(len(opens)), np.diff(opens, append=len(size)))
         at = np.flatnonzero(size == most[part])
         at = at[np.diff(part[at], prepend=-1) != 0]
-        ends = np.append(0, np.cumsum(np.bincount(text[at], minlength=len(texts))))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found.words.take(pa.array(at)).cast(pa.string()))
+        ends = np.append(0, np.cumsum(np.bincount(text[at], minlength=len(cut.per_text))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cut.words.take(pa.array(at)).cast(pa.string()))
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def each(texts: pa.Array) -> pa.Array:
+        cut = cutter(classes)
+        return pa.concat_arrays([longest(cut(texts.slice(a, b - a))) for a, b in slices(texts, SLICE)] or [pa.array([], pa.list_(pa.string()))])
 
-    return longest(F.lower(text_or_empty(c)))
+    return each(F.lower(text_or_empty(c)))

@@ -19,7 +19,7 @@ from lectern.functions.words import cutter
 
 FIELD = 1 << 40  # a place is the column's number times this, plus the word's position
 TASK_ROWS = 1 << 33  # a row's number is its task's number times this, plus its number in the task
-GROUP_TEXT = 16 << 20  # bytes of text whose words are grouped at a time, about
+GROUP_TEXT = 4 << 20  # bytes of text whose words are grouped at a time, about; the arrays for it take some 25 times as much
 STEP = 1 << 20  # numbers that are unpacked at a time, about
 LAST = -1 << 31  # marks the last place of a posting
 ROWS = -1  # bucket of the table's rows

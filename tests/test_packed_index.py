@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import words
 from lectern.functions.text import lines, word_tokens
 from lectern.functions.words import char_classes, cutter, longest_of_lines
 from lectern.operators import blocks, text_index
@@ -50,7 +51,9 @@ def test_words_are_those_of_the_expression(spark, odd):
     assert cut(low.slice(0, 0)).words.to_pylist() == cut(pa.array(["", ""])).words.to_pylist() == []
 
 
-def test_longest_words_of_lines(spark, odd):
+@pytest.mark.parametrize("slice", [words.SLICE, 50])
+def test_longest_words_of_lines(spark, odd, monkeypatch, slice):
+    monkeypatch.setattr(words, "SLICE", slice)
     by_line = F.transform(lines(F.col("text")), lambda line: F.aggregate(
         word_tokens(line), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a)))
     both = odd.select(F.filter(by_line, lambda w: w != "").alias("a"), longest_of_lines(F.col("text"), char_classes(spark)).alias("b"))
@@ -106,3 +109,9 @@ def test_an_index_of_texts_without_words(spark, tmp_path, small):
     empty = spark.range(200).select("id", F.lit("...").alias("text"))
     index = text_index.write(TextTable(empty, "id", ("text",)), str(tmp_path / "index"))
     assert index.packed and text_index.bm25(index, spark, [["the"]]).count() == 0
+
+
+def test_texts_are_cut_some_at_a_time():
+    texts = pa.array(["a" * 30, "", "b" * 200, None, "c" * 9, "d" * 90])
+    assert words.slices(texts, 100) == [(0, 3), (3, 6)] and words.slices(texts.slice(0, 2), 100) == [(0, 2)] and words.slices(texts.slice(0, 0), 1) == []
+    assert words.slices(texts, 10) == [(0, 1), (1, 3), (3, 6)]
