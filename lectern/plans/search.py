@@ -9,6 +9,7 @@ from lectern.functions.names import bridge_path
 from lectern.functions.text import excerpt, lines
 from lectern.operators import search as ops
 from lectern.operators.ranking import TextTable, best, query_phrases
+from lectern.operators.tables import stored
 from lectern.plans import corpus
 from lectern.plans.corpus import ANNOTATIONS, CHUNKS, CLUSTERS, CONCEPTS, FIGURES, MATERIALS, MEMBERSHIPS, with_ctes
 from lectern.plans.indexes import search
@@ -363,7 +364,8 @@ scored AS (
   FROM ordered LEFT JOIN (SELECT material_id, sum(CAST(boost AS DOUBLE)) AS boost FROM boosts GROUP BY 1) b USING (material_id))""") +
        "SELECT *, row_number() OVER (ORDER BY priority, ordinal) AS rank FROM scored")
 def rerank_evidence(spark, folder):
-    chunk_top, note_top, figure_top, concept_top = content_tops(spark, folder)
+    # each source's hits name candidates and boost them: they are found and cut once, and the plan holds none of it
+    chunk_top, note_top, figure_top, concept_top = (stored(top, "tops") for top in content_tops(spark, folder))
     card_rows = ops.cards(search(spark, "materials", material_table(spark, folder), query_phrases(ASK)), "material_id", 20)
     found = ops.content_candidates([chunk_top, note_top, figure_top, concept_top], "material_id", 20)
     ordered = ops.append_content(card_rows, found, corpus.materials(spark, folder), "material_id")

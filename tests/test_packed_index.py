@@ -115,3 +115,21 @@ def test_texts_are_cut_some_at_a_time():
     texts = pa.array(["a" * 30, "", "b" * 200, None, "c" * 9, "d" * 90])
     assert words.slices(texts, 100) == [(0, 3), (3, 6)] and words.slices(texts.slice(0, 2), 100) == [(0, 2)] and words.slices(texts.slice(0, 0), 1) == []
     assert words.slices(texts, 10) == [(0, 1), (1, 3), (3, 6)]
+
+
+def test_rerank_evidence_finds_each_sources_hits_once(spark, tmp_path):
+    from lectern.plans.search import rerank_evidence
+
+    folder = str(tmp_path)
+    texts = [(i, "en", "src", f"inhe mente {i}\n" + "reer word " * (i % 40)) for i in range(60)]
+    turns = [(i, 1, "user" if i % 2 else "assistant", "the inhe mente") for i in range(0, 60, 3)]
+    pages = [(i, "<p>reer inhe</p>") for i in range(0, 60, 7)]
+    for name, rows, schema in (
+            ("documents", texts, "doc_id long, lang string, source string, text string"), ("conversations", turns, "conv_id long, turn long, role string, text string"),
+            ("pages", pages, "page_id long, html string"), ("labels", [(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    found = rerank_evidence(spark, folder)
+    rows = found.orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and len(rows) >= 20
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") < 20  # only those of the cards' search; all five sources' before
